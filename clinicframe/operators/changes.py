@@ -23,7 +23,7 @@ from clinicframe.schemas import PANEL_OF_TEST, PRIMARY_KEY, REFERENCES, panel_fi
 
 
 def _moment(now: datetime | None) -> Column:
-    return (F.current_timestamp() if now is None else F.lit(now)).cast("timestamp_ntz")
+    return (F.current_timestamp() if now is None else F.lit(str(now))).cast("timestamp_ntz")
 
 
 def _day(as_of: date | None) -> Column:

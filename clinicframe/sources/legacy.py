@@ -29,7 +29,7 @@ def from_legacy(tables: dict[str, DataFrame], now: datetime) -> dict[str, DataFr
 
 
 def _to_live(df: DataFrame, table: str, now: datetime) -> DataFrame:
-    fallback = {"created_at": F.lit(now), "updated_at": F.lit(now), "registered_at": F.lit(now), "status": F.lit("PENDING")}
+    fallback = {"created_at": F.lit(str(now)), "updated_at": F.lit(str(now)), "registered_at": F.lit(str(now)), "status": F.lit("PENDING")}
     columns = []
     for field in TABLES[table].fields:
         given = F.col(field.name) if field.name in df.columns else F.lit(None)
