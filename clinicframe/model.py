@@ -2,37 +2,49 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields, replace
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from clinicframe.schemas import TABLES
+
+Table = DataFrame | Callable[[], DataFrame]
+
 
-@dataclass(frozen=True)
 class Clinic:
-    """One DataFrame per clinic table; operators never modify it, they return new DataFrames."""
+    """One DataFrame per clinic table, read as ``clinic.payments`` or ``clinic.table("payments")``.
 
-    clinic_patients: DataFrame
-    lab_test_catalog: DataFrame
-    lab_test: DataFrame
-    cbc: DataFrame
-    urinalysis: DataFrame
-    fecalysis: DataFrame
-    payments: DataFrame
-    app_users: DataFrame
+    A table may be given as a function, called when the table is first used.
+    Operators never modify a clinic, they return new DataFrames or a new clinic.
+    """
+
+    def __init__(self, **tables: Table):
+        odd = set(tables) ^ set(TABLES)
+        if odd:
+            raise ValueError(f"unknown or missing tables: {', '.join(sorted(odd))}")
+        self._tables = tables
 
     @classmethod
     def table_names(cls) -> list[str]:
-        return [f.name for f in fields(cls)]
+        return list(TABLES)
 
     def table(self, name: str) -> DataFrame:
-        return getattr(self, name)
+        found = self._tables[name]
+        if not isinstance(found, DataFrame):
+            found = self._tables[name] = found()
+        return found
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name in TABLES:
+            return self.table(name)
+        raise AttributeError(name)
 
     def tables(self) -> dict[str, DataFrame]:
-        return {name: self.table(name) for name in self.table_names()}
+        return {name: self.table(name) for name in TABLES}
 
-    def with_tables(self, **changed: DataFrame) -> Clinic:
-        return replace(self, **changed)
+    def with_tables(self, **changed: Table) -> Clinic:
+        return Clinic(**{**self._tables, **changed})
 
     @property
     def spark(self) -> SparkSession:
-        return self.lab_test.sparkSession
+        return next((t for t in self._tables.values() if isinstance(t, DataFrame)), self.table("lab_test")).sparkSession

@@ -1,4 +1,4 @@
-"""Payments accepted in arrival order under a price cap.
+"""Payments accepted in order under a price cap.
 
 Whether a payment fits depends on which earlier ones were accepted, so a running
 sum over all earlier payments is wrong: it would count rejected ones. Two exact
@@ -27,107 +27,118 @@ from clinicframe.session import ensure_checkpoint_dir
 
 FOLD_ROWS = 1_000
 CHUNK_ROWS = 200_000
+# Kinds of steps, in the order they apply within a group.
+FREE, LOWER, RAISE = 0, 1, 2
 
 
-def accept_within_cap(
-    rows: DataFrame, room: DataFrame, group: str, arrival: Sequence[str], amount: Column,
+def accept_steps(
+    rows: DataFrame, room: DataFrame, group: str, arrival: Sequence[str], step: Column, free: Column,
     fold_rows: int = FOLD_ROWS, chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """Append ``room`` and ``accepted``: the greedy choice in ``arrival`` order within each group.
+    """Append ``room`` and ``accepted``: a greedy choice of steps within each group.
 
-    ``room`` has one row per group with the column ``room``. An amount of zero always
-    fits; NULL never does; nor does anything in a group without a room. ``arrival``
-    must be unique within a group.
+    A step takes its amount out of the group's room and is accepted if that much is
+    left. Free steps always are, and apply first; then come steps that take nothing
+    or give back, then those that take, each kind in ``arrival`` order, which must be
+    unique within a group. A NULL step, or a group without ``room``, is never
+    accepted. ``room`` has one row per group.
     """
-    spark = rows.sparkSession
-    ensure_checkpoint_dir(spark)
-    marked = rows.withColumn("__cents", (amount * 100).cast("bigint"))
-    limits = room.select(group, "room")
-    large = marked.groupBy(group).agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") > fold_rows).checkpoint()
-    total = large.agg(F.sum("__rows")).first()[0]
+    kind = F.when(free, FREE).when(step <= 0, LOWER).otherwise(RAISE)
+    marked = rows.withColumns({"__cents": (step * 100).cast("bigint"), "__kind": F.when(step.isNotNull(), kind)})
+    limits = room.select(group, F.col("room").cast(CENT).alias("room"))
+    columns = rows.columns
+    sizes = marked.groupBy(group).agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") > fold_rows)
+    total = sizes.agg(F.sum("__rows")).first()[0]
     if not total:
-        return _fold(marked, limits, group, arrival, rows.columns)
-    names = large.select(group)
-    small = _fold(marked.join(names, group, "left_anti"), limits, group, arrival, rows.columns)
+        return _fold(marked, limits, group, arrival, columns)
+    ensure_checkpoint_dir(rows.sparkSession)
+    large = sizes.select(group).checkpoint()
+    small = _fold(marked.join(large, group, "left_anti"), limits, group, arrival, columns)
     chunks = -(-total // chunk_rows)
-    return small.unionByName(_halve(marked.join(names, group, "left_semi"), limits, group, arrival, rows.columns, chunks))
+    return small.unionByName(_by_halving(marked.join(large, group, "left_semi"), limits, group, arrival, columns, chunks))
 
 
 def _fold(marked: DataFrame, room: DataFrame, group: str, arrival: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    entry = F.struct(*arrival, "__cents", F.struct(*columns).alias("row"))
+    entry = F.struct("__kind", *arrival, "__cents", F.struct(*columns).alias("row"))
     lists = marked.groupBy(group).agg(F.sort_array(F.collect_list(entry)).alias("entries"))
     state_type = "struct<left:bigint,fits:array<boolean>>"
 
-    def step(state: Column, item: Column) -> Column:
+    def apply(state: Column, item: Column) -> Column:
         cents = item["__cents"]
-        fits = F.coalesce((cents == 0) | (cents <= state["left"]), F.lit(False))
+        fits = F.coalesce((item["__kind"] == FREE) | (cents <= state["left"]), F.lit(False))
         left = state["left"] - F.when(fits, cents).otherwise(0)
         return F.struct(left.alias("left"), F.array_append(state["fits"], fits).alias("fits")).cast(state_type)
 
     start = F.struct((F.col("room") * 100).cast("bigint").alias("left"), F.array().cast("array<boolean>").alias("fits"))
-    judged = lists.join(room, group, "left").withColumn("fits", F.aggregate("entries", start.cast(state_type), step, lambda s: s["fits"]))
+    judged = lists.join(room, group, "left").withColumn("fits", F.aggregate("entries", start.cast(state_type), apply, lambda s: s["fits"]))
     each = judged.select("room", F.explode(F.arrays_zip(F.col("entries.row").alias("row"), "fits")).alias("one"))
     known = F.col("room").isNotNull()
-    return each.select("one.row.*", F.col("room").cast(CENT).alias("room"), (known & F.col("one.fits")).alias("accepted"))
+    return each.select("one.row.*", "room", (known & F.col("one.fits")).alias("accepted"))
 
 
-def _halve(
+def _by_halving(
     marked: DataFrame, room: DataFrame, group: str, arrival: Sequence[str], columns: Sequence[str], chunks: int
 ) -> DataFrame:
-    at = F.struct(*arrival)
+    cents, kind, at = F.col("__cents"), F.col("__kind"), F.col("__at")
     placed = (
         marked.repartitionByRange(chunks, group, *arrival)
-        .withColumns({"__chunk": F.spark_partition_id(), "__at": at})
+        .withColumns({"__chunk": F.spark_partition_id(), "__at": F.struct(*arrival)})
         .checkpoint()
     )
     at_type = placed.schema["__at"].dataType.simpleString()
     span = f"struct<after:{at_type},until:{at_type},base:bigint>"
-    known = placed.select(group).distinct().join(room, group, "left")
-    state = known.select(
-        group, "room", (F.col("room") * 100).cast("bigint").alias("left"), F.lit(None).cast(at_type).alias("after"),
-        F.array().cast(f"array<{span}>").alias("spans"),
+    freed = placed.groupBy(group).agg(F.sum(F.when(kind == FREE, cents).otherwise(0)).alias("__freed"))
+    start = freed.join(room, group, "left").withColumn("left", (F.col("room") * 100).cast("bigint") - F.col("__freed"))
+    lowering = placed.filter(kind == LOWER).select(group, "__at", "__cents").join(start.select(group, "left"), group)
+    # Until one step brings the room to zero or above none is accepted, and from there on all are.
+    first = lowering.filter(cents <= F.col("left")).groupBy(group).agg(F.min("__at").alias("__first"))
+    given = lowering.join(first, group).filter(at >= F.col("__first")).groupBy(group).agg(F.sum("__cents").alias("__given"))
+    state = start.join(first, group, "left").join(given, group, "left").select(
+        group, "room", "__first", (F.col("left") - F.coalesce("__given", F.lit(0))).alias("left"),
+        F.lit(None).cast(at_type).alias("after"), F.array().cast(f"array<{span}>").alias("spans"),
     ).withColumn("active", F.coalesce(F.col("left") > 0, F.lit(False))).checkpoint()
+    taking = placed.filter(kind == RAISE).select(group, *arrival, "__chunk", "__at", "__cents")
     while not state.filter("active").isEmpty():
-        state = _halve_once(placed, state, group, arrival, span).checkpoint()
+        state = _halve(taking, state, group, arrival, span).checkpoint()
 
-    def took(s: Column) -> Column:
-        inside = (s["after"].isNull() | (F.col("__at") > s["after"])) & (s["until"].isNull() | (F.col("__at") <= s["until"]))
-        return F.coalesce(inside & ((F.col("__cents") < s["base"]) | (F.col("__at") == s["until"])), F.lit(False))
+    def in_span(s: Column) -> Column:
+        inside = (s["after"].isNull() | (at > s["after"])) & (s["until"].isNull() | (at <= s["until"]))
+        return F.coalesce(inside & ((cents < s["base"]) | (at == s["until"])), F.lit(False))
 
-    judged = placed.join(state.select(group, "room", "spans"), group)
-    fits = F.coalesce(F.col("__cents") == 0, F.lit(False)) | (F.col("__cents").isNotNull() & F.exists("spans", took))
-    return judged.select(*columns, F.col("room").cast(CENT).alias("room"), (F.col("room").isNotNull() & fits).alias("accepted"))
+    judged = placed.join(state.select(group, "room", "__first", "spans"), group)
+    fits = F.when(kind == FREE, True).when(kind == LOWER, F.coalesce(at >= F.col("__first"), F.lit(False))).when(
+        kind == RAISE, F.exists("spans", in_span)
+    ).otherwise(False)
+    return judged.select(*columns, "room", (F.col("room").isNotNull() & fits).alias("accepted"))
 
 
-def _halve_once(placed: DataFrame, state: DataFrame, group: str, arrival: Sequence[str], span: str) -> DataFrame:
+def _halve(taking: DataFrame, state: DataFrame, group: str, arrival: Sequence[str], span: str) -> DataFrame:
     """Advance every active group past the point where its room drops below its power of two."""
-    base = F.expr("shiftleft(1L, length(bin(`left`)) - 1)")
-    current = state.withColumn("base", base)
+    cents, base, left = F.col("__cents"), F.col("base"), F.col("left")
+    current = state.withColumn("base", F.expr("shiftleft(1L, length(bin(`left`)) - 1)"))
     ahead = F.col("after").isNull() | (F.col("__at") > F.col("after"))
-    live = placed.select(group, *arrival, "__chunk", "__at", "__cents").join(
-        current.filter("active").select(group, "left", "after", "base"), group
-    ).filter(ahead & (F.col("__cents") > 0) & (F.col("__cents") <= F.col("left")))
-    is_small = F.col("__cents") < F.col("base")
-    small = F.when(is_small, F.col("__cents")).otherwise(0)
-    first_to_here = Window.partitionBy(group, "__chunk").orderBy(*arrival).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    earlier_chunks = Window.partitionBy(group).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    live = taking.join(current.filter("active").select(group, "left", "after", "base"), group).filter(ahead & (cents <= left))
+    is_small = cents < base
+    small = F.when(is_small, cents).otherwise(0)
+    up_to_here = Window.partitionBy(group, "__chunk").orderBy(*arrival).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy(group).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunk_sums = live.groupBy(group, "__chunk").agg(F.sum(small).alias("__sum"))
-    before = chunk_sums.select(group, "__chunk", F.coalesce(F.sum("__sum").over(earlier_chunks), F.lit(0)).alias("__before"))
-    running = live.withColumn("__within", F.sum(small).over(first_to_here)).join(before, [group, "__chunk"])
-    left_here = F.col("left") - F.col("__before") - F.col("__within")
-    drop = F.when(is_small, left_here < F.col("base")).otherwise(F.col("__cents") <= left_here)
-    left_after = F.when(is_small, left_here).otherwise(left_here - F.col("__cents"))
-    first = running.filter(drop).groupBy(group).agg(F.min(F.struct("__at", left_after.alias("left"))).alias("drop"))
+    before = chunk_sums.select(group, "__chunk", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__before"))
+    running = live.withColumn("__within", F.sum(small).over(up_to_here)).join(before, [group, "__chunk"])
+    left_here = left - F.col("__before") - F.col("__within")
+    drops = F.when(is_small, left_here < base).otherwise(cents <= left_here)
+    left_after = F.when(is_small, left_here).otherwise(left_here - cents)
+    first = running.filter(drops).groupBy(group).agg(F.min(F.struct("__at", left_after.alias("left"))).alias("drop"))
     moved = current.join(first, group, "left")
-    until, active = F.col("drop.__at"), F.col("active")
-    new_span = F.struct(F.col("after").alias("after"), until.alias("until"), F.col("base").alias("base")).cast(span)
+    active, until, left_then = F.col("active"), F.col("drop.__at"), F.col("drop.left")
     dropped = active & F.col("drop").isNotNull()
+    new_span = F.struct(F.col("after").alias("after"), until.alias("until"), base.alias("base")).cast(span)
     return moved.select(
-        group, "room",
-        F.when(dropped, F.col("drop.left")).otherwise(F.col("left")).alias("left"),
+        group, "room", "__first",
+        F.when(dropped, left_then).otherwise(left).alias("left"),
         F.when(dropped, until).otherwise(F.col("after")).alias("after"),
         F.when(active, F.array_append("spans", new_span)).otherwise(F.col("spans")).alias("spans"),
-        (dropped & F.coalesce(F.col("drop.left") > 0, F.lit(False))).alias("active"),
+        (dropped & F.coalesce(left_then > 0, F.lit(False))).alias("active"),
     )
 
 
@@ -142,13 +153,18 @@ def open_room(clinic: Clinic) -> DataFrame:
 ARRIVAL = ("payment_date", "payment_id")
 
 
+def _positive_amount() -> Column:
+    """What the row counts towards the price; NULL when its amount is not positive."""
+    return F.when(F.col("amount_paid") > 0, counted_amount())
+
+
 def accept_payments(clinic: Clinic, incoming: DataFrame, arrival: Sequence[str] = ARRIVAL, **limits: int) -> DataFrame:
     """Judge new payments in arrival order against what each order still owes.
 
     Refunded payments are recorded without counting. Adds ``accepted`` and ``reject_reason``.
     """
-    amount = F.when(F.col("amount_paid") > 0, counted_amount())
-    judged = accept_within_cap(incoming, open_room(clinic), "order_id", arrival, amount, **limits)
+    free = F.col("status") == NOT_COUNTED
+    judged = accept_steps(incoming, open_room(clinic), "order_id", arrival, _positive_amount(), free, **limits)
     reason = (
         F.when(F.col("room").isNull(), "unknown order")
         .when(F.coalesce(F.col("amount_paid") <= 0, F.lit(True)), "amount not positive")
@@ -158,40 +174,19 @@ def accept_payments(clinic: Clinic, incoming: DataFrame, arrival: Sequence[str]
 
 
 def edit_payments(clinic: Clinic, edits: DataFrame, arrival: Sequence[str] = ("payment_id",), **limits: int) -> DataFrame:
-    """Judge edits of recorded payments: others' payments plus the new amount must not exceed the price.
+    """Judge edits of recorded payments: the other payments plus the new amount must not exceed the price.
 
     A batch holds at most one edit per payment. Within an order, edits to REFUNDED
     come first and always pass, then edits that lower the counted amount, then those
     that raise it, each kind in arrival order. Adds ``order_id``, ``accepted`` and ``reject_reason``.
     """
-    own = clinic.payments.select("payment_id", "order_id", counted_amount().alias("own"))
-    matched = edits.join(own, "payment_id", "left").withColumns({
-        "__at": F.struct(*arrival),
-        "__step": (F.when(F.col("amount_paid") > 0, counted_amount()) - F.col("own")).cast("decimal(11,2)"),
-    }).withColumn(
-        "__kind",
-        F.when(F.col("order_id").isNull() | F.col("__step").isNull(), "bad")
-        .when(F.col("status") == NOT_COUNTED, "refund").when(F.col("__step") <= 0, "lower").otherwise("raise"),
-    )
-    step, kind, at = F.col("__step"), F.col("__kind"), F.col("__at")
-    touched = matched.filter(kind != "bad")
-    refunded = touched.groupBy("order_id").agg(F.sum(F.when(kind == "refund", step).otherwise(0)).cast(CENT).alias("__refunds"))
-    standing = refunded.join(open_room(clinic), "order_id").select(
-        "order_id", (F.col("room") - F.col("__refunds")).cast(CENT).alias("room")
-    )
-    lowering = touched.filter(kind == "lower").join(standing, "order_id")
-    # The first lowering that brings the order under its price passes, and so do all later ones.
-    first = lowering.filter(F.col("room") - step >= 0).groupBy("order_id").agg(F.min("__at").alias("__first"))
-    lowered = lowering.join(first, "order_id", "left").withColumn("accepted", F.coalesce(at >= F.col("__first"), F.lit(False)))
-    freed = lowered.filter("accepted").groupBy("order_id").agg(F.sum("__step").cast(CENT).alias("__freed"))
-    final_room = standing.join(freed, "order_id", "left").select(
-        "order_id", (F.col("room") - F.coalesce("__freed", F.lit(0).cast(CENT))).cast(CENT).alias("room")
-    )
-    raised = accept_within_cap(touched.filter(kind == "raise"), final_room, "order_id", arrival, step, **limits)
-    columns = [c for c in matched.columns if not c.startswith("__") and c != "own"]
-    passed = matched.filter(kind == "refund").select(*columns, F.lit(True).alias("accepted"), F.lit(None).cast("string").alias("reject_reason"))
-    refused = F.when(~F.col("accepted"), "exceeds balance").alias("reject_reason")
-    unknown = F.when(F.col("order_id").isNull(), "unknown payment").otherwise("amount not positive")
-    bad = matched.filter(kind == "bad").select(*columns, F.lit(False).alias("accepted"), unknown.alias("reject_reason"))
-    judged = [df.select(*columns, "accepted", refused) for df in (lowered, raised)]
-    return passed.unionByName(judged[0]).unionByName(judged[1]).unionByName(bad)
+    own = clinic.payments.select("payment_id", "order_id", counted_amount().alias("__own"))
+    matched = edits.join(own, "payment_id", "left").withColumn("__step", (_positive_amount() - F.col("__own")).cast("decimal(11,2)"))
+    # Edits of unknown payments have no order; they are split off so they cannot form one huge group.
+    unknown = matched.filter(F.col("order_id").isNull()).withColumns({"accepted": F.lit(False), "reject_reason": F.lit("unknown payment")})
+    known = matched.filter(F.col("order_id").isNotNull())
+    free = F.col("status") == NOT_COUNTED
+    judged = accept_steps(known, open_room(clinic), "order_id", arrival, F.col("__step"), free, **limits)
+    reason = F.when(F.col("__step").isNull(), "amount not positive").when(~F.col("accepted"), "exceeds balance")
+    columns = [*edits.columns, "order_id", "accepted", "reject_reason"]
+    return judged.withColumn("reject_reason", reason).select(*columns).unionByName(unknown.select(*columns))

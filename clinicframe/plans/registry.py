@@ -40,14 +40,14 @@ class Data:
     def sealed(self) -> Clinic:
         """The clinic with encrypted contacts and receipts; missing text stays missing."""
         return self.clinic.with_tables(
-            clinic_patients=encryption.encrypt_column(self.clinic.clinic_patients, CONTACT, TEST_KEY, "keep"),
-            payments=encryption.encrypt_column(self.clinic.payments, RECEIPT, TEST_KEY, "keep"),
+            clinic_patients=lambda: encryption.encrypt_column(self.clinic.clinic_patients, CONTACT, TEST_KEY, "keep"),
+            payments=lambda: encryption.encrypt_column(self.clinic.payments, RECEIPT, TEST_KEY, "keep"),
         )
 
     @cached_property
     def imported(self) -> Clinic:
         """The clinic with unchecked orders and payments in place of its own."""
-        return self.clinic.with_tables(lab_test=self.intake.orders(), payments=self.intake.payments())
+        return self.clinic.with_tables(lab_test=self.intake.orders, payments=self.intake.payments)
 
     def payments_with(self, **values: str) -> DataFrame:
         condition = reduce(lambda a, b: a & b, [F.col(c) == v for c, v in values.items()])

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from clinicframe.functions.text import patient_code
 from clinicframe.model import Clinic
+from clinicframe.sources.testdata import star_reader
 
 
 def _pick(column: Column, cases: dict, otherwise: Column | str | None = None) -> Column:
@@ -26,7 +27,7 @@ class Intake:
     """Lazy batches over one data folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self._read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        self._read = star_reader(spark, sf_dir)
 
     def patients(self) -> DataFrame:
         """An unchecked patient import."""

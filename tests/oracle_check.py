@@ -10,6 +10,7 @@ import duckdb
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
+LAST: dict[str, int] = {}
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
@@ -44,6 +45,7 @@ def compare(spark, connection, sf_dir: str, name: str) -> str | None:
     types = [(n, str(a), str(b)) for n, a, b in zip(mine.column_names, mine.schema.types, theirs.schema.types) if not same_type(a, b)]
     if types:
         return f"types {types}"
+    LAST["rows"] = mine.num_rows
     left, right = (sorted(map(repr, rows(t))) for t in (mine, theirs))
     if len(left) != len(right):
         return f"rows {len(left)} / {len(right)}"
@@ -77,7 +79,7 @@ def main() -> int:
         except Exception as error:  # report and go on
             problem = f"{type(error).__name__}: {str(error)[:600]}"
         bad += problem is not None
-        print(f"{name}: {problem or 'ok'} ({time.time() - start:.1f}s)", flush=True)
+        print(f"{name}: {problem or f'ok, {LAST.get("rows")} rows'} ({time.time() - start:.1f}s)", flush=True)
     print(f"{bad} of {len(wanted or entry.queries())} differ")
     return 1 if bad else 0
 
