@@ -83,10 +83,16 @@ def privilege_matrix(grants: DataFrame, grantee: str) -> DataFrame:
 
 
 def portal_for_users(clinic: Clinic) -> DataFrame:
-    """For each active patient account its own released orders, latest first."""
+    """For each active patient account its own released orders, latest first.
+
+    Accounts meet their patient first; only the orders of those patients go on.
+    """
     own = clinic.app_users.filter(F.col("is_active") & (F.col("role_name") == "role_patient") & F.col("patient_id").isNotNull())
-    seen = joins.patient_portal(clinic).join(own.select("username", "patient_id"), "patient_id")
-    return seen.orderBy("username", F.desc("order_date"), "test_name")
+    people = clinic.clinic_patients.join(own.select("username", "patient_id"), "patient_id")
+    done = clinic.lab_test.filter(F.col("status") == "COMPLETED")
+    lines = joins.order_lines(clinic.with_tables(clinic_patients=people, lab_test=done), ("username", "first_name", "last_name"))
+    seen = lines.orderBy("username", F.desc("order_date"), "order_id")
+    return seen.select("username", "patient_id", "first_name", "last_name", "order_date", "test_name", "status")
 
 
 def view_for_role(clinic: Clinic, role: str) -> DataFrame:

@@ -158,13 +158,21 @@ def _positive_amount() -> Column:
     return F.when(F.col("amount_paid") > 0, counted_amount())
 
 
+def _judge(clinic: Clinic, rows: DataFrame, arrival: Sequence[str], step: Column, **limits: int) -> DataFrame:
+    # Rows without an order get a made-up negative one each, so that they never form one huge group.
+    own = -1 - F.shiftrightunsigned(F.xxhash64(*arrival), 1)
+    keyed = rows.withColumn("__order", F.coalesce("order_id", own))
+    room = open_room(clinic).select(F.col("order_id").alias("__order"), "room")
+    judged = accept_steps(keyed, room, "__order", arrival, step, F.col("status") == NOT_COUNTED, **limits)
+    return judged.drop("__order")
+
+
 def accept_payments(clinic: Clinic, incoming: DataFrame, arrival: Sequence[str] = ARRIVAL, **limits: int) -> DataFrame:
     """Judge new payments in arrival order against what each order still owes.
 
     Refunded payments are recorded without counting. Adds ``accepted`` and ``reject_reason``.
     """
-    free = F.col("status") == NOT_COUNTED
-    judged = accept_steps(incoming, open_room(clinic), "order_id", arrival, _positive_amount(), free, **limits)
+    judged = _judge(clinic, incoming, arrival, _positive_amount(), **limits)
     reason = (
         F.when(F.col("room").isNull(), "unknown order")
         .when(F.coalesce(F.col("amount_paid") <= 0, F.lit(True)), "amount not positive")
@@ -182,11 +190,10 @@ def edit_payments(clinic: Clinic, edits: DataFrame, arrival: Sequence[str] = ("p
     """
     own = clinic.payments.select("payment_id", "order_id", counted_amount().alias("__own"))
     matched = edits.join(own, "payment_id", "left").withColumn("__step", (_positive_amount() - F.col("__own")).cast("decimal(11,2)"))
-    # Edits of unknown payments have no order; they are split off so they cannot form one huge group.
-    unknown = matched.filter(F.col("order_id").isNull()).withColumns({"accepted": F.lit(False), "reject_reason": F.lit("unknown payment")})
-    known = matched.filter(F.col("order_id").isNotNull())
-    free = F.col("status") == NOT_COUNTED
-    judged = accept_steps(known, open_room(clinic), "order_id", arrival, F.col("__step"), free, **limits)
-    reason = F.when(F.col("__step").isNull(), "amount not positive").when(~F.col("accepted"), "exceeds balance")
-    columns = [*edits.columns, "order_id", "accepted", "reject_reason"]
-    return judged.withColumn("reject_reason", reason).select(*columns).unionByName(unknown.select(*columns))
+    judged = _judge(clinic, matched, arrival, F.col("__step"), **limits)
+    reason = (
+        F.when(F.col("order_id").isNull(), "unknown payment")
+        .when(F.col("__step").isNull(), "amount not positive")
+        .when(~F.col("accepted"), "exceeds balance")
+    )
+    return judged.withColumn("reject_reason", reason).select(*edits.columns, "order_id", "accepted", "reject_reason")

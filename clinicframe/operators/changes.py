@@ -22,7 +22,7 @@ from clinicframe.operators.keys import assign_ids, free_patient_numbers, high_wa
 from clinicframe.schemas import PANEL_OF_TEST, PRIMARY_KEY, REFERENCES, panel_fields
 
 
-def _moment(now: datetime | None) -> Column:
+def moment(now: datetime | None) -> Column:
     return (F.current_timestamp() if now is None else F.lit(str(now))).cast("timestamp_ntz")
 
 
@@ -57,7 +57,7 @@ def place_orders(
     placed = assign_ids(orders_by_test_name(clinic, requests), "order_id", order_by, last)
     new = placed.select(
         "order_id", "patient_id", "test_id", "order_date", F.lit("PENDING").alias("status"),
-        _moment(now).alias("created_at"), _moment(now).alias("updated_at"),
+        moment(now).alias("created_at"), moment(now).alias("updated_at"),
     )
     return clinic.lab_test.unionByName(new)
 
@@ -69,7 +69,7 @@ def register_patients(
     numbered = number_rows(arrivals, order_by, "rank")
     numbers = free_patient_numbers(clinic.clinic_patients, numbered.count())
     text = {c: stripped(F.coalesce(c, F.lit(""))) for c in ("first_name", "last_name", "sex", "address", "contact")}
-    moments = {c: _moment(now) for c in ("registered_at", "created_at", "updated_at")}
+    moments = {c: moment(now) for c in ("registered_at", "created_at", "updated_at")}
     new = numbered.join(numbers, "rank").withColumns({"patient_id": patient_code(F.col("number")), **text, **moments})
     existing = with_encryption_columns(clinic.clinic_patients, CONTACT)
     plain = [c for c in existing.columns if c not in CONTACT.stored]
@@ -116,7 +116,7 @@ def post_results(
     numbered = assign_ids(good.drop(key), key, order_by, high_water_mark(clinic.table(panel), key))
     new = numbered.select(
         key, "order_id", *[F.col(f"__{f.name}").alias(f.name) for f in fields],
-        _moment(now).alias("created_at"), _moment(now).alias("updated_at"),
+        moment(now).alias("created_at"), moment(now).alias("updated_at"),
     )
     done = numbered.select("order_id", F.lit("COMPLETED").alias("status"))
     return PostedResults(
@@ -139,7 +139,7 @@ def patch_rows(table: DataFrame, patch: DataFrame, key: str, columns: Sequence[s
     values = {c: F.when(hit, F.col(f"__{c}").cast(table.schema[c].dataType)).otherwise(F.col(c)) for c in columns}
     differs = reduce(lambda a, b: a | b, [~F.col(f"__{c}").cast(table.schema[c].dataType).eqNullSafe(F.col(c)) for c in columns])
     if "updated_at" in table.columns:
-        values["updated_at"] = F.when(hit & differs, _moment(now)).otherwise(F.col("updated_at"))
+        values["updated_at"] = F.when(hit & differs, moment(now)).otherwise(F.col("updated_at"))
     return table.join(new, key, "left").select(*[values.get(c, F.col(c)).alias(c) for c in table.columns])
 
 
@@ -149,7 +149,7 @@ def set_where(table: DataFrame, condition: Column, values: dict[str, Column], no
     changed = {c: F.when(hit, v.cast(table.schema[c].dataType)).otherwise(F.col(c)) for c, v in values.items()}
     differs = reduce(lambda a, b: a | b, [~v.cast(table.schema[c].dataType).eqNullSafe(F.col(c)) for c, v in values.items()])
     if "updated_at" in table.columns:
-        changed["updated_at"] = F.when(hit & differs, _moment(now)).otherwise(F.col("updated_at"))
+        changed["updated_at"] = F.when(hit & differs, moment(now)).otherwise(F.col("updated_at"))
     return table.select(*[changed.get(c, F.col(c)).alias(c) for c in table.columns])
 
 

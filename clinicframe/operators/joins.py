@@ -112,6 +112,13 @@ def payment_detail(clinic: Clinic, key: str | bytes, payments: DataFrame) -> Dat
     return payment_lines(chosen, decrypted("receipt_number_encrypted", "encryption_iv", key)).drop("payment_date")
 
 
+def order_payments(clinic: Clinic, key: str | bytes, orders: DataFrame) -> DataFrame:
+    """The payments of each listed order with decrypted receipts, latest first."""
+    rows = lookup_many(clinic.payments, orders, "order_id").orderBy("order_id", F.desc("payment_date"), F.desc("payment_id"))
+    receipt = decrypted("receipt_number_encrypted", "encryption_iv", key).alias("receipt_number")
+    return rows.select("order_id", "payment_id", "amount_paid", "payment_method", "payment_date", "status", receipt)
+
+
 def payment_header(clinic: Clinic, orders: DataFrame) -> DataFrame:
     """What is to be paid for each listed order."""
     wanted = lookup_many(clinic.lab_test.select("order_id", "patient_id", "test_id"), orders, "order_id")

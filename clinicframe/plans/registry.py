@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from clinicframe.functions.text import patient_number
 from clinicframe.model import Clinic
-from clinicframe.operators import access, aggregates, billing, caps, changes, encryption, joins, keys, listings, quality
+from clinicframe.operators import access, aggregates, billing, caps, changes, encryption, joins, keys, ledger, listings, quality
 from clinicframe.operators.encryption import CONTACT, RECEIPT
 from clinicframe.plans.oracle import NOW as SQL_NOW
 from clinicframe.plans.oracle import sql
@@ -200,6 +200,11 @@ register(
     sql("""select y.payment_id, y.order_id, y.amount_paid, y.payment_method, y.status, y.receipt_number, l.patient_id, l.patient_name,
         l.test_name from payments y join line l using (order_id) where y.payment_method = 'CARD'"""),
 )
+register(
+    "order_payments", lambda d: joins.order_payments(d.sealed, TEST_KEY, d.clinic.lab_test.filter("status = 'PENDING'")),
+    sql("""select order_id, payment_id, amount_paid, payment_method, payment_date, status, receipt_number from payments
+        where order_id in (select order_id from lab_test where status = 'PENDING')"""),
+)
 register(
     "payment_header", lambda d: joins.payment_header(d.clinic, d.clinic.lab_test.filter("status = 'PENDING'")),
     sql("select order_id, patient_id, test_name, price from line where status = 'PENDING'"),
@@ -557,19 +562,74 @@ register(
     sql(_verdict, True, incoming="select * from counted where payment_method <> 'INSURANCE'",
         known="select order_id, sum(net) as paid from counted where payment_method = 'INSURANCE' group by order_id", **_walk),
 )
-register(
-    "edit_payments", lambda d: caps.edit_payments(d.clinic, batches.payment_edits(d.clinic)).select("payment_id", "order_id", "accepted", "reject_reason"),
-    sql("select payment_id, order_id, accepted, case when not accepted then 'exceeds balance' end as reject_reason from walk", True,
-        edits="""select payment_id, order_id, net as own, payment_method = 'GCASH' as refund,
+_edit_walk = {
+    "edits": """select payment_id, order_id, net as own, payment_method = 'GCASH' as refund,
         case payment_method when 'GCASH' then 0 when 'CASH' then amount_paid * 2 when 'CARD' then cast(amount_paid / 2 as decimal(10,2))
              else amount_paid end as new from counted""",
-        ranked="""select e.*, b.price, b.paid, row_number() over (partition by order_id
+    "ranked": """select e.*, b.price, b.paid, row_number() over (partition by order_id
         order by case when refund then 0 when new <= own then 1 else 2 end, payment_id) as rn from edits e join bill b using (order_id)""",
-        walk="""select order_id, payment_id, rn, (refund or paid - own + new <= price) as accepted,
+    "walk": """select order_id, payment_id, rn, (refund or paid - own + new <= price) as accepted,
         case when refund or paid - own + new <= price then paid - own + new else paid end as total from ranked where rn = 1
         union all select r.order_id, r.payment_id, r.rn, (r.refund or w.total - r.own + r.new <= r.price),
         case when r.refund or w.total - r.own + r.new <= r.price then w.total - r.own + r.new else w.total end
-        from walk w join ranked r on r.order_id = w.order_id and r.rn = w.rn + 1"""),
+        from walk w join ranked r on r.order_id = w.order_id and r.rn = w.rn + 1""",
+}
+register(
+    "edit_payments", lambda d: caps.edit_payments(d.clinic, batches.payment_edits(d.clinic)).select("payment_id", "order_id", "accepted", "reject_reason"),
+    sql("select payment_id, order_id, accepted, case when not accepted then 'exceeds balance' end as reject_reason from walk", True, **_edit_walk),
+)
+
+
+def _recorded(d: Data) -> ledger.RecordedPayments:
+    """Enter every payment anew on a ledger that holds the partial ones."""
+    partial = encryption.encrypt_column(d.payments_with(status="PARTIAL"), RECEIPT, TEST_KEY, "empty")
+    return ledger.record_payments(d.clinic.with_tables(payments=partial), batches.payment_entries(d.clinic), ("entry",), TEST_KEY, now=NOW)
+
+
+_entered = {
+    "incoming": """select payment_id as entry, payment_id, order_id, payment_method, status, payment_date,
+        round_even(amount_paid * 1.125, 2)::decimal(10,2) as amount_paid,
+        case when status = 'REFUNDED' then 0 else round_even(amount_paid * 1.125, 2)::decimal(10,2) end as net,
+        case payment_method when 'CARD' then null when 'GCASH' then receipt_number when 'INSURANCE' then 'N-' || order_id
+             else 'E-' || payment_id end as receipt from payments""",
+    "known": "select order_id, sum(net) as paid from counted where status = 'PARTIAL' group by order_id",
+    "screened": """select i.*, case when receipt in (select receipt_number from payments where status = 'PARTIAL' and receipt_number is not null)
+        then 'receipt exists' when receipt is not null and row_number() over (partition by receipt order by entry) > 1
+        then 'receipt repeated' end as refused from incoming i""",
+    "ranked": """select s.*, row_number() over (partition by order_id order by entry) as rn, b.price - coalesce(k.paid, 0) as room
+        from screened s join bill b using (order_id) left join known k using (order_id) where refused is null""",
+    "walk": _walk["walk"],
+}
+register(
+    "record_payments",
+    lambda d: _recorded(d).payments.select(
+        "payment_id", "order_id", "amount_paid", "payment_method", "status", "payment_date", "receipt_number", RECEIPT.token,
+        encryption.visible(RECEIPT, TEST_KEY).alias("visible_receipt"),
+    ),
+    sql(f"""select payment_id, order_id, amount_paid, payment_method, status, payment_date, receipt_number,
+        sha256(coalesce(receipt_number, '')) as receipt_token_hash, coalesce(receipt_number, '') as visible_receipt
+        from payments where status = 'PARTIAL' union all
+        select (select max(payment_id) from payments where status = 'PARTIAL') + row_number() over (order by i.entry), i.order_id, i.amount_paid,
+        i.payment_method, i.status, {SQL_NOW}, i.receipt, sha256(coalesce(i.receipt, '')), coalesce(i.receipt, '')
+        from walk w join incoming i using (payment_id) where w.accepted""", True, **_entered),
+)
+register(
+    "record_payments_rejected", lambda d: _recorded(d).rejected.select("entry", "order_id", "reject_reason"),
+    sql("""select entry, order_id, refused as reject_reason from screened where refused is not null
+        union all select payment_id, order_id, 'exceeds balance' from walk where not accepted""", True, **_entered),
+)
+register(
+    "apply_payment_edits",
+    lambda d: ledger.apply_payment_edits(
+        d.sealed, batches.payment_edits(d.clinic).withColumn("receipt_number", F.lit(" ")), ("payment_id",), TEST_KEY, NOW
+    ).select("payment_id", "amount_paid", "status", "receipt_number", RECEIPT.token, encryption.visible(RECEIPT, TEST_KEY).alias("visible_receipt")),
+    sql("""select payment_id, case when not w.accepted then p.amount_paid when p.payment_method = 'CASH' then p.amount_paid * 2
+        when p.payment_method = 'CARD' then cast(p.amount_paid / 2 as decimal(10,2)) else p.amount_paid end::decimal(10,2) as amount_paid,
+        case when not w.accepted then p.status when p.payment_method = 'GCASH' then 'REFUNDED' else 'PAID' end as status,
+        case when not w.accepted then receipt_number end as receipt_number,
+        case when not w.accepted then sha256(receipt_number) end as receipt_token_hash,
+        case when not w.accepted then receipt_number end as visible_receipt
+        from payments p join walk w using (payment_id)""", True, **_edit_walk),
 )
 
 # Encryption

@@ -158,3 +158,13 @@ def payment_edits(clinic: Clinic) -> DataFrame:
         "payment_id", new.cast("decimal(10,2)").alias("amount_paid"), "payment_method",
         F.when(F.col("payment_method") == "GCASH", "REFUNDED").otherwise("PAID").alias("status"),
     )
+
+
+def payment_entries(clinic: Clinic) -> DataFrame:
+    """Every payment entered again with a surcharge, some with receipts that exist, repeat or are blank."""
+    receipts = {"CARD": F.lit(" "), "GCASH": F.col("receipt_number"), "INSURANCE": F.concat(F.lit("N-"), F.col("order_id").cast("string"))}
+    return clinic.payments.select(
+        F.col("payment_id").alias("entry"), "order_id", (F.col("amount_paid") * F.lit(1.125).cast("decimal(4,3)")).cast("string").alias("amount_text"),
+        "payment_method", "status",
+        _pick(F.col("payment_method"), receipts, F.concat(F.lit("E-"), F.col("payment_id").cast("string"))).alias("receipt_number"),
+    )
