@@ -34,12 +34,12 @@ def encrypted_columns(
 ) -> DataFrame:
     """Append ciphertext, IV and token of ``plain``; NULL text gives three NULLs.
 
-    Spark draws a fresh IV per call and returns it in front of the ciphertext. The
-    never-true random branch marks the call as non-deterministic: the optimizer then
+    Spark draws a fresh IV per call and returns it in front of the ciphertext. A random
+    tail that is cut off again marks the call as non-deterministic: the optimizer then
     neither folds a constant plaintext into one ciphertext nor evaluates the call
     twice, so the two stored parts always belong together.
     """
-    unfoldable = F.concat(plain, F.when(F.rand() < 0, F.lit("-")).otherwise(F.lit("")))
+    unfoldable = F.substring(F.concat(plain, F.rand().cast("string")), F.lit(1), F.length(plain))
     blob = F.aes_encrypt(unfoldable, _key_column(key), F.lit("CBC"), F.lit("PKCS"))
     kept = [c for c in df.columns if c not in (cipher_name, iv_name, token_name)]
     return df.select(*kept, plain.alias("__plain"), blob.alias("__blob")).select(

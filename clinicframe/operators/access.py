@@ -41,9 +41,16 @@ ROLE_VIEWS: dict[str, tuple[str, Callable[[Clinic], DataFrame]]] = {
 }
 
 
-def _relation(spark: SparkSession, entries: tuple) -> DataFrame:
-    rows = [(role, thing, privilege) for role, thing, privileges in entries for privilege in privileges]
-    return spark.createDataFrame(rows, "role_name string, object_name string, privilege string")
+Entry = tuple[str, str, tuple[str, ...]]
+
+
+def _spelled_out(entries: tuple[Entry, ...]) -> list[tuple[str, str, str]]:
+    return [(role, thing, privilege) for role, thing, privileges in entries for privilege in privileges]
+
+
+def _relation(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFrame:
+    values = ", ".join(f"('{role}', '{thing}', '{privilege}')" for role, thing, privilege in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS g(role_name, object_name, privilege)")
 
 
 def effective_grants(grants: DataFrame, revokes: DataFrame) -> DataFrame:
@@ -54,14 +61,14 @@ def effective_grants(grants: DataFrame, revokes: DataFrame) -> DataFrame:
 
 def role_grants(spark: SparkSession) -> DataFrame:
     """What each role may do after the revokes. A fixed handful of rows, safe to broadcast."""
-    grants, revokes = (_relation(spark, entries).withColumnRenamed("role_name", "grantee") for entries in (GRANTS, REVOKES))
-    return effective_grants(grants, revokes).withColumnRenamed("grantee", "role_name")
+    revoked = _spelled_out(REVOKES)
+    return _relation(spark, [row for row in _spelled_out(GRANTS) if row not in revoked])
 
 
-def granted_to_accounts(clinic: Clinic, entries: tuple) -> DataFrame:
+def granted_to_accounts(clinic: Clinic, entries: tuple[Entry, ...]) -> DataFrame:
     """Role entries spelled out per account holding the role."""
     holders = clinic.app_users.select(F.col("mysql_username").alias("grantee"), "role_name")
-    return holders.join(F.broadcast(_relation(clinic.spark, entries)), "role_name").select("grantee", "object_name", "privilege")
+    return holders.join(F.broadcast(_relation(clinic.spark, _spelled_out(entries))), "role_name").select("grantee", "object_name", "privilege")
 
 
 def account_grants(clinic: Clinic) -> DataFrame:
