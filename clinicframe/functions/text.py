@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -58,3 +58,8 @@ def day_text(column: str | Column) -> Column:
 def money_text(column: str | Column) -> Column:
     value = F.col(column) if isinstance(column, str) else column
     return value.cast("decimal(20,2)").cast("string")
+
+
+def in_order(columns: Sequence[str]) -> Column:
+    """One comparable value for a list of sort columns; a single one stays as it is, which groups faster."""
+    return F.col(columns[0]) if len(columns) == 1 else F.struct(*columns)

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clinicframe.functions.amounts import CENT, NOT_COUNTED, counted_amount
+from clinicframe.functions.text import in_order
 from clinicframe.model import Clinic
 from clinicframe.operators.billing import paid_to_date
 from clinicframe.session import ensure_checkpoint_dir
@@ -82,7 +83,7 @@ def _by_halving(
     cents, kind, at = F.col("__cents"), F.col("__kind"), F.col("__at")
     placed = (
         marked.repartitionByRange(chunks, group, *arrival)
-        .withColumns({"__chunk": F.spark_partition_id(), "__at": F.struct(*arrival)})
+        .withColumns({"__chunk": F.spark_partition_id(), "__at": in_order(arrival)})
         .checkpoint()
     )
     at_type = placed.schema["__at"].dataType.simpleString()

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clinicframe.functions.crypto import encrypted_columns
-from clinicframe.functions.text import blank_to_null, patient_code, stripped
+from clinicframe.functions.text import blank_to_null, in_order, patient_code, stripped
 from clinicframe.model import Clinic
 from clinicframe.operators.encryption import CONTACT, with_encryption_columns
 from clinicframe.operators.keys import assign_ids, free_patient_numbers, high_water_mark, number_rows
@@ -99,7 +99,7 @@ def post_results(
     texts = {f.name: blank_to_null(f.name) for f in fields}
     values = {f"__{f.name}": F.col(f.name).try_cast(f.dataType) for f in fields}
     bad = reduce(lambda a, b: a | b, [F.col(f.name).isNotNull() & F.col(f"__{f.name}").isNull() for f in fields])
-    first = results.groupBy("order_id").agg(F.min(F.struct(*order_by)).alias("__first"))
+    first = results.groupBy("order_id").agg(F.min(in_order(order_by)).alias("__first"))
     have = clinic.table(panel).select("order_id", F.lit(True).alias("__have"))
     known = clinic.lab_test.select("order_id", F.lit(True).alias("__known"))
     judged = (
@@ -108,7 +108,7 @@ def post_results(
         .withColumn(
             "reject_reason",
             F.when(F.col("__known").isNull(), "unknown order").when(F.col("__have").isNotNull(), "result exists")
-            .when(F.struct(*order_by) != F.col("__first"), "repeated in batch").when(bad, "unreadable number"),
+            .when(in_order(order_by) != F.col("__first"), "repeated in batch").when(bad, "unreadable number"),
         )
     )
     good = judged.filter(F.col("reject_reason").isNull())

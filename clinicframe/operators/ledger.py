@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clinicframe.functions.crypto import encrypted_columns
-from clinicframe.functions.text import blank_to_null
+from clinicframe.functions.text import blank_to_null, in_order
 from clinicframe.model import Clinic
 from clinicframe.operators.caps import accept_payments, edit_payments
 from clinicframe.operators.changes import moment, patch_rows
@@ -45,11 +45,11 @@ def record_payments(
     parsed = payment_input(typed).withColumn("amount_paid", F.col("amount").try_cast("decimal(10,2)"))
     used = clinic.payments.select("receipt_number", F.lit(True).alias("__used"))
     readable = parsed.filter(F.col("reject_reason").isNull() & F.col("receipt_number").isNotNull())
-    first = readable.groupBy("receipt_number").agg(F.min(F.struct(*order_by)).alias("__first"))
+    first = readable.groupBy("receipt_number").agg(F.min(in_order(order_by)).alias("__first"))
     screened = parsed.join(used, "receipt_number", "left").join(first, "receipt_number", "left").withColumn(
         "reject_reason",
         F.coalesce(
-            "reject_reason", F.when(F.col("__used"), "receipt exists").when(F.struct(*order_by) != F.col("__first"), "receipt repeated")
+            "reject_reason", F.when(F.col("__used"), "receipt exists").when(in_order(order_by) != F.col("__first"), "receipt repeated")
         ),
     ).drop("__used", "__first")
     fit = screened.filter(F.col("reject_reason").isNull()).drop("reject_reason")
