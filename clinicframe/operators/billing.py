@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clinicframe.functions.amounts import CENT, counted_amount
-from clinicframe.functions.text import money_text
+from clinicframe.functions.text import day_text, money_text
 from clinicframe.model import Clinic
 
 
@@ -42,7 +42,7 @@ def billing_statement(clinic: Clinic) -> DataFrame:
     """The lines of the printed bills, amounts with two decimals."""
     lines = billing_by_order(clinic).orderBy("patient_id", "order_date", "order_id")
     texts = [money_text(c).alias(f"{c}_text") for c in ("price", "paid", "balance")]
-    return lines.select("patient_id", "order_id", F.date_format("order_date", "MM/dd/yyyy").alias("date_text"), "test_name", *texts)
+    return lines.select("patient_id", "order_id", day_text("order_date").alias("date_text"), "test_name", *texts)
 
 
 def billing_by_patient(clinic: Clinic) -> DataFrame:

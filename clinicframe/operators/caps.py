@@ -28,6 +28,7 @@ from clinicframe.session import ensure_checkpoint_dir
 
 FOLD_ROWS = 1_000
 CHUNK_ROWS = 200_000
+MAX_CHUNKS = 10_000
 # Kinds of steps, in the order they apply within a group.
 FREE, LOWER, RAISE = 0, 1, 2
 
@@ -55,7 +56,7 @@ def accept_steps(
     ensure_checkpoint_dir(rows.sparkSession)
     large = sizes.select(group).checkpoint()
     small = _fold(marked.join(large, group, "left_anti"), limits, group, arrival, columns)
-    chunks = -(-total // chunk_rows)
+    chunks = min(-(-total // chunk_rows), MAX_CHUNKS)
     return small.unionByName(_by_halving(marked.join(large, group, "left_semi"), limits, group, arrival, columns, chunks))
 
 

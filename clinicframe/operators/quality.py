@@ -94,17 +94,22 @@ def orphans(clinic: Clinic, tables: tuple[str, ...] | None = None) -> DataFrame:
 
 
 def panel_mismatches(clinic: Clinic) -> DataFrame:
-    """Panel rows on orders of another test, and completed orders whose own panel row is missing."""
+    """Panel rows on orders of another test, and completed orders whose own panel row is missing.
+
+    Every order learns which panels it has, over one partitioning by order number.
+    """
     tests = clinic.lab_test_catalog.select("test_id", "test_name")
-    orders = clinic.lab_test.select("order_id", "test_id", "status").join(tests, "test_id")
-    found = []
-    for test, panel in PANEL_OF_TEST.items():
-        have = clinic.table(panel).select("order_id")
-        stray = orders.filter(F.col("test_name") != test).join(have, "order_id", "left_semi")
-        due = orders.filter((F.col("test_name") == test) & (F.col("status") == "COMPLETED"))
-        for kind, rows in (("panel of another test", stray), ("completed without panel", due.join(have, "order_id", "left_anti"))):
-            found.append(rows.select(F.lit(kind).alias("rule"), F.lit(panel).alias("panel"), "order_id", "test_name"))
-    return reduce(DataFrame.unionByName, found)
+    orders = clinic.lab_test.select("order_id", "test_id", "status").join(tests, "test_id").drop("test_id")
+    test, done, findings = F.col("test_name"), F.col("status") == "COMPLETED", []
+    for name, panel in PANEL_OF_TEST.items():
+        have = clinic.table(panel).select("order_id").distinct().withColumn(f"has_{panel}", F.lit(True))
+        orders = orders.join(have, "order_id", "left")
+        has = F.col(f"has_{panel}").isNotNull()
+        stray = F.struct(F.lit("panel of another test").alias("rule"), F.lit(panel).alias("panel"))
+        lacking = F.struct(F.lit("completed without panel").alias("rule"), F.lit(panel).alias("panel"))
+        findings += [F.when(has & (test != name), stray), F.when(~has & (test == name) & done, lacking)]
+    found = orders.select("order_id", "test_name", F.explode(F.array_compact(F.array(*findings))).alias("finding"))
+    return found.select("finding.rule", "finding.panel", "order_id", "test_name")
 
 
 def payment_input(rows: DataFrame, amount: str = "amount_text") -> DataFrame:

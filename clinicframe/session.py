@@ -16,6 +16,7 @@ def build_session(app_name: str = "clinicframe", master: str | None = None, **co
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
     }
     settings.update({name.replace("__", "."): value for name, value in conf.items()})

@@ -23,11 +23,6 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return connection
 
 
-def spark_rows(df) -> tuple[list[str], list[tuple]]:
-    names = sorted(df.columns)
-    return names, [tuple(r) for r in df.select(*[f"`{n}`" for n in names]).toArrow().to_pandas(types_mapper=None).itertuples(index=False)]
-
-
 def arrow_of(df):
     names = sorted(df.columns)
     return df.select(*[f"`{n}`" for n in names]).toArrow()
