@@ -67,9 +67,11 @@ def _name_and_sort(clinic: Clinic, best: DataFrame) -> DataFrame:
     return named.orderBy(F.desc("max_test_price"), "patient_id")
 
 
-def patient_overview(clinic: Clinic) -> DataFrame:
+def patient_overview(clinic: Clinic, as_array: bool = False) -> DataFrame:
     """Each patient with the distinct tests taken and the last visit; patients without orders stay.
 
+    ``as_array`` adds the names as an array too, which stays right for names with commas.
+
     Orders shrink to one row per patient and test before any name is collected, so
     a list never holds more entries than the catalog has tests.
     """
@@ -83,6 +85,7 @@ def patient_overview(clinic: Clinic) -> DataFrame:
         "patient_id", "first_name", "last_name", "age", "sex", "address", "registered_at", taken.alias("tests_taken"), "last_visit",
         F.coalesce(taken, F.lit("No tests")).alias("tests_taken_text"),
         F.coalesce(F.date_format("last_visit", "yyyy-MM-dd"), F.lit("N/A")).alias("last_visit_text"),
+        *([F.coalesce("tests", F.array().cast("array<string>")).alias("tests_taken_array")] if as_array else []),
     )
     return overview.orderBy(*BY_NAME)
 

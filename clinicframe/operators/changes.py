@@ -19,6 +19,7 @@ from clinicframe.functions.text import blank_to_null, in_order, patient_code, st
 from clinicframe.model import Clinic
 from clinicframe.operators.encryption import CONTACT, with_encryption_columns
 from clinicframe.operators.keys import assign_ids, free_patient_numbers, high_water_mark, number_rows
+from clinicframe.operators.quality import account_rules
 from clinicframe.schemas import PANEL_OF_TEST, PRIMARY_KEY, REFERENCES, panel_fields
 
 
@@ -76,6 +77,49 @@ def register_patients(
     return existing.unionByName(encrypted_columns(new.select(*plain), F.col("contact"), key, *CONTACT.stored))
 
 
+class AddedUsers(NamedTuple):
+    """The new account table and the refused requests."""
+
+    app_users: DataFrame
+    rejected: DataFrame
+
+
+def add_users(
+    clinic: Clinic, requests: DataFrame, order_by: Sequence[str], high_water: int | None = None, now: datetime | None = None
+) -> AddedUsers:
+    """The account table with the requested accounts added as active.
+
+    ``requests`` holds ``username``, ``password_hash``, ``role_name``, ``patient_id``,
+    ``mysql_username`` (the username where blank) and the columns of ``order_by``.
+    Refused with a reason: malformed names or roles, unknown patients, and names or
+    patients that have an account or repeat an earlier well-formed request.
+    """
+    login = stripped("username")
+    cleaned = requests.withColumns({
+        "username": login, "mysql_username": F.coalesce(blank_to_null("mysql_username"), login), "patient_id": blank_to_null("patient_id"),
+    })
+    broken = [F.when(F.coalesce(bad, F.lit(True)), F.lit(f"bad {name}")) for name, bad in account_rules().items()]
+    people = clinic.clinic_patients.select("patient_id", F.lit(True).alias("__person"))
+    known = cleaned.join(people, "patient_id", "left").withColumn("reject_reason", F.coalesce(
+        *broken, F.when(F.col("patient_id").isNotNull() & F.col("__person").isNull(), "unknown patient")
+    ))
+    for key, what in (("username", "name"), ("patient_id", "patient")):
+        taken = clinic.app_users.filter(F.col(key).isNotNull()).select(key, F.lit(True).alias("__taken"))
+        sound = known.filter(F.col("reject_reason").isNull() & F.col(key).isNotNull())
+        first = sound.groupBy(key).agg(F.min(in_order(order_by)).alias("__first"))
+        known = known.join(taken, key, "left").join(first, key, "left").withColumn("reject_reason", F.coalesce(
+            "reject_reason", F.when(F.col("__taken"), f"{what} has an account"),
+            F.when(in_order(order_by) != F.col("__first"), f"{what} repeated in batch"),
+        )).drop("__taken", "__first")
+    last = high_water_mark(clinic.app_users, "user_id") if high_water is None else high_water
+    numbered = assign_ids(known.filter(F.col("reject_reason").isNull()), "user_id", order_by, last)
+    new = numbered.withColumns({"is_active": F.lit(True), "created_at": moment(now), "updated_at": moment(now)})
+    return AddedUsers(
+        clinic.app_users.unionByName(new.select(*clinic.app_users.columns)),
+        known.filter(F.col("reject_reason").isNotNull()).select(*order_by, "username", "reject_reason"),
+    )
+
+
 class PostedResults(NamedTuple):
     """What posting a batch of results changes, and what it refuses."""
 
@@ -160,6 +204,20 @@ def edit_results(clinic: Clinic, panel: str, edits: DataFrame, now: datetime | N
     return patch_rows(clinic.table(panel), cleaned, "order_id", fields, now)
 
 
+def edit_patients(clinic: Clinic, edits: DataFrame, key: str | bytes, now: datetime | None = None) -> DataFrame:
+    """Replace name, age, sex, address and contact of the listed patients and encrypt the contact anew."""
+    texts = ("first_name", "last_name", "sex", "address", "contact")
+    cleaned = edits.select("patient_id", "age", *[stripped(F.coalesce(c, F.lit(""))).alias(c) for c in texts])
+    sealed = encrypted_columns(cleaned, F.col("contact"), key, *CONTACT.stored)
+    table = with_encryption_columns(clinic.clinic_patients, CONTACT)
+    return patch_rows(table, sealed, "patient_id", ("age", *texts, *CONTACT.stored), now)
+
+
+def edit_tests(clinic: Clinic, edits: DataFrame, now: datetime | None = None) -> DataFrame:
+    """Replace name, price and description of the listed catalog tests."""
+    return patch_rows(clinic.lab_test_catalog, edits, "test_id", ("test_name", "price", "description"), now)
+
+
 def change_contact(
     clinic: Clinic, patient_id: str, contact: str, address: str, key: str | bytes, now: datetime | None = None
 ) -> DataFrame:
@@ -270,6 +328,17 @@ def rename_patients(clinic: Clinic, names: DataFrame) -> Clinic:
     )
 
 
+def renumber_orders(clinic: Clinic, numbers: DataFrame) -> Clinic:
+    """Change order numbers (``order_id`` to ``new_order_id``); payments follow.
+
+    Panel rows do not follow such a change, so an order that has one keeps its number.
+    """
+    free = numbers
+    for panel in PANEL_OF_TEST.values():
+        free = free.join(clinic.table(panel).select("order_id").distinct(), "order_id", "left_anti")
+    return clinic.with_tables(lab_test=_rekey(clinic.lab_test, free, "order_id"), payments=_rekey(clinic.payments, free, "order_id"))
+
+
 def _rekey(table: DataFrame, names: DataFrame, key: str) -> DataFrame:
     joined = table.join(names.select(key, f"new_{key}"), key, "left")
     return joined.withColumn(key, F.coalesce(f"new_{key}", key)).select(*table.columns)

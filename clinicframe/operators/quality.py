@@ -20,7 +20,7 @@ from clinicframe.schemas import (
 )
 
 __all__ = [
-    "duplicate_keys", "enforce", "identifier_errors", "orphans", "overpaid_orders", "panel_mismatches", "payment_input",
+    "account_rules", "duplicate_keys", "enforce", "identifier_errors", "orphans", "overpaid_orders", "panel_mismatches", "payment_input",
     "row_violations",
 ]
 
@@ -126,15 +126,19 @@ def payment_input(rows: DataFrame, amount: str = "amount_text") -> DataFrame:
     return parsed.withColumn("reject_reason", reason)
 
 
-def identifier_errors(users: DataFrame) -> DataFrame:
-    """Accounts with a malformed name, an unknown role, or a patient role without patient."""
-    broken = {
+def account_rules() -> dict[str, Column]:
+    """The column at fault and the condition under which it is."""
+    return {
         "username": ~F.col("username").rlike(IDENTIFIER),
         "mysql_username": ~F.col("mysql_username").rlike(IDENTIFIER),
         "role_name": ~F.col("role_name").isin(*ROLES),
         "patient_id": (F.col("role_name") == "role_patient") & F.col("patient_id").isNull(),
     }
-    names = F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in broken.items()]))
+
+
+def identifier_errors(users: DataFrame) -> DataFrame:
+    """Accounts with a malformed name, an unknown role, or a patient role without patient."""
+    names = F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in account_rules().items()]))
     return users.select(F.lit("account").alias("rule"), F.col("user_id"), F.explode(names).alias("column_name"))
 
 

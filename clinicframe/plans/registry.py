@@ -427,6 +427,86 @@ register(
         case when e then {SQL_NOW} else u.updated_at end as updated_at from edited u""",
         edited="select u.*, o.status = 'COMPLETED' as e from urinalysis u join lab_test o using (order_id)"),
 )
+def _patient_edits(d: Data) -> DataFrame:
+    """Patients without an address give one, and drop the blanks around their name."""
+    return d.clinic.clinic_patients.filter("address is null").select(
+        "patient_id", F.concat(F.lit(" "), "first_name").alias("first_name"), "last_name", (F.col("age") + 1).alias("age"), "sex",
+        F.concat(F.lit("Found, "), "last_name").alias("address"), F.concat("contact", F.lit("-2")).alias("contact"),
+    )
+
+
+register(
+    "edit_patients",
+    lambda d: changes.edit_patients(d.sealed, _patient_edits(d), TEST_KEY, NOW).select(
+        "patient_id", "first_name", "age", "address", "contact", "updated_at", "contact_token_hash",
+        encryption.visible(CONTACT, TEST_KEY).alias("visible_contact"),
+    ),
+    sql(f"""select patient_id, first_name, cast(case when e then age + 1 else age end as int) as age,
+        case when e then 'Found, ' || last_name else address end as address, fresh as contact,
+        case when e then {SQL_NOW} else updated_at end as updated_at, sha256(fresh) as contact_token_hash, fresh as visible_contact from edited""",
+        edited="""select *, address is null as e, case when address is null then coalesce(contact || '-2', '') else contact end as fresh
+        from clinic_patients"""),
+)
+register(
+    "edit_tests",
+    lambda d: changes.edit_tests(
+        d.clinic,
+        d.clinic.lab_test_catalog.join(d.clinic.lab_test, "test_id", "left_anti").select(
+            "test_id", F.concat("test_name", F.lit(" (retired)")).alias("test_name"), (F.col("price") - 1).alias("price"),
+            F.lit(None).cast("string").alias("description"),
+        ), NOW,
+    ),
+    sql(f"""select test_id, case when e then test_name || ' (retired)' else test_name end as test_name,
+        cast(case when e then price - 1 else price end as decimal(10,2)) as price, case when not e then description end as description,
+        created_at, case when e then {SQL_NOW} else updated_at end as updated_at from edited""",
+        edited="select *, test_id not in (select test_id from lab_test) as e from lab_test_catalog"),
+)
+
+
+def _added(d: Data) -> changes.AddedUsers:
+    """Ask for the imported accounts where only administrators have one."""
+    admins = d.clinic.with_tables(app_users=d.clinic.app_users.filter("role_name = 'role_admin'"))
+    return changes.add_users(admins, d.intake.users().withColumns({"password_hash": F.lit("-"), "entry": F.col("user_id")}).drop("user_id"), ("entry",), now=NOW)
+
+
+_asked = {
+    "admins": "select * from app_users where role_name = 'role_admin'",
+    "checked": """select u.*, case when not regexp_full_match(username, '[A-Za-z0-9_.-]{1,80}') then 'bad username'
+        when role_name = 'role_guest' then 'bad role_name' when role_name = 'role_patient' and u.patient_id is null then 'bad patient_id'
+        when u.patient_id is not null and p.patient_id is null then 'unknown patient'
+        when username in (select username from admins) then 'name has an account'
+        when u.patient_id in (select patient_id from admins where patient_id is not null) then 'patient has an account' end as reject_reason
+        from in_users u left join clinic_patients p using (patient_id)""",
+}
+register(
+    "add_users", lambda d: _added(d).app_users.select("user_id", "username", "role_name", "patient_id", "mysql_username", "is_active", "created_at"),
+    sql(f"""select user_id, username, role_name, patient_id, mysql_username, is_active, created_at from admins union all
+        select (select max(user_id) from admins) + row_number() over (order by user_id), username, role_name, patient_id, mysql_username, true,
+        {SQL_NOW} from checked where reject_reason is null""", **_asked),
+)
+register(
+    "add_users_rejected", lambda d: _added(d).rejected,
+    sql("select user_id as entry, username, reject_reason from checked where reject_reason is not null", **_asked),
+)
+
+
+def _renumbered(d: Data) -> DataFrame:
+    """Orders and payments after every order that may has taken a negative number."""
+    numbers = d.clinic.lab_test.select("order_id", (-F.col("order_id")).alias("new_order_id"))
+    after = changes.renumber_orders(d.clinic, numbers)
+    orders = after.lab_test.select(F.lit("lab_test").alias("table_name"), "order_id", F.col("patient_id").alias("other_key"))
+    return orders.unionByName(after.payments.select(F.lit("payments").alias("table_name"), "order_id", F.col("payment_id").cast("string").alias("other_key")))
+
+
+register(
+    "renumber_orders",
+    _renumbered,
+    sql("""select 'lab_test' as table_name, case when free then -order_id else order_id end as order_id, patient_id as other_key from marked
+        union all select 'payments', case when free then -order_id else order_id end, cast(payment_id as varchar)
+        from payments join marked using (order_id)""",
+        marked="""select order_id, patient_id, order_id not in (select order_id from cbc) and order_id not in (select order_id from urinalysis)
+        and order_id not in (select order_id from fecalysis) as free from lab_test"""),
+)
 register(
     "set_user_status",
     lambda d: listings.user_list(d.clinic.with_tables(app_users=changes.set_user_status(d.clinic, d.intake.account_changes(), NOW))),

@@ -33,7 +33,7 @@ def compare(spark, connection, sf_dir: str, name: str) -> str | None:
     import __spark_entry__ as entry
 
     mine = arrow_of(entry.queries()[name](spark, sf_dir))
-    result = connection.execute(entry.oracle_sql()[name]).to_arrow_table()
+    result = connection.sql(entry.oracle_sql()[name]).to_arrow_table()
     theirs = result.select(sorted(result.column_names))
     if mine.column_names != theirs.column_names:
         return f"columns {mine.column_names} / {theirs.column_names}"

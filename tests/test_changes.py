@@ -202,3 +202,36 @@ def test_apply_payment_edits(clinic, spark):
     assert seen[5] == (D("200.00"), "CASH", "R-5", "R-5")
     assert seen[6] == (D("10.00"), "CASH", None, None)
     assert seen[3] == (D("70.00"), "CASH", None, "")
+
+
+def test_add_users(clinic, spark):
+    requests = spark.createDataFrame(
+        [(1, "new.one", "h", "role_doctor", None, " "), (2, "new.one", "h", "role_doctor", None, "x"), (3, "desk", "h", "role_doctor", None, ""),
+         (4, "a b", "h", "role_doctor", None, "x"), (5, "pat", "h", "role_patient", " ", "x"), (6, "pat", "h", "role_patient", "PAT-002", "db_pat"),
+         (7, "pat2", "h", "role_patient", "PAT-001", ""), (8, "pat3", "h", "role_patient", "PAT-404", ""), (9, "g", "h", "role_guest", None, "")],
+        "n int, username string, password_hash string, role_name string, patient_id string, mysql_username string",
+    )
+    added = changes.add_users(clinic, requests, ("n",), now=NOW)
+    assert sorted(rows(added.app_users.filter("user_id > 6"), "user_id", "username", "patient_id", "mysql_username", "is_active")) == [
+        (7, "new.one", None, "new.one", True), (8, "pat", "PAT-002", "db_pat", True),
+    ]
+    assert sorted(rows(added.rejected, "n", "reject_reason")) == [
+        (2, "name repeated in batch"), (3, "name has an account"), (4, "bad username"), (5, "bad patient_id"),
+        (7, "patient has an account"), (8, "unknown patient"), (9, "bad role_name"),
+    ]
+
+
+def test_edit_patients_and_tests(clinic, spark):
+    edit = spark.createDataFrame([("PAT-003", 32, " Cyd ", "Young", "M", "", " 0903 ")], "patient_id string, age int, first_name string, last_name string, sex string, address string, contact string")
+    table = changes.edit_patients(clinic, edit, KEY, NOW).withColumn("seen", encryption.visible(CONTACT, KEY))
+    assert rows(table.filter("patient_id = 'PAT-003'"), "first_name", "age", "address", "contact", "seen") == [("Cyd", 32, "", "0903", "0903")]
+    assert rows(table.filter("patient_id = 'PAT-001'"), "contact", "contact_encrypted", "updated_at") == [("0901", None, THEN)]
+    price = spark.createDataFrame([(4, "LIPIDS", D("310.00"), None)], "test_id long, test_name string, price decimal(10,2), description string")
+    assert dict(rows(changes.edit_tests(clinic, price, NOW), "test_id", "price"))[4] == D("310.00")
+
+
+def test_renumber_orders_only_without_panels(clinic, spark):
+    numbers = spark.createDataFrame([(4, 40), (1, 10)], "order_id long, new_order_id long")
+    after = changes.renumber_orders(clinic, numbers)
+    assert {r[0] for r in rows(after.lab_test, "order_id")} == {1, 2, 3, 40, 5, 6, 7, 8}
+    assert quality.orphans(after).isEmpty()
