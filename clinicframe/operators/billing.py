@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from clinicframe.functions.amounts import CENT, counted_amount
 from clinicframe.functions.text import day_text, money_text
 from clinicframe.model import Clinic
+from clinicframe.operators.skew import join_grouped
 
 
 def paid_to_date(payments: DataFrame) -> DataFrame:
@@ -18,7 +19,7 @@ def paid_to_date(payments: DataFrame) -> DataFrame:
 def paid_by_others(payments: DataFrame) -> DataFrame:
     """For every payment, what the other payments of its order add up to."""
     own = payments.select("payment_id", "order_id", counted_amount().alias("own"))
-    joined = own.join(paid_to_date(payments), "order_id")
+    joined = join_grouped(own, paid_to_date(payments), "order_id")
     return joined.select("payment_id", "order_id", (F.col("paid") - F.col("own")).cast(CENT).alias("paid_by_others"))
 
 

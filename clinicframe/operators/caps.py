@@ -15,7 +15,7 @@ methods share the work:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,13 +24,16 @@ from clinicframe.functions.amounts import CENT, NOT_COUNTED, counted_amount
 from clinicframe.functions.text import in_order
 from clinicframe.model import Clinic
 from clinicframe.operators.billing import paid_to_date
+from clinicframe.operators.skew import join_grouped
 from clinicframe.session import ensure_checkpoint_dir
 
 FOLD_ROWS = 1_000
 CHUNK_ROWS = 200_000
 MAX_CHUNKS = 10_000
+BROADCAST_GROUPS = 1_000
 # Kinds of steps, in the order they apply within a group.
 FREE, LOWER, RAISE = 0, 1, 2
+Attach = Callable[..., DataFrame]
 
 
 def accept_steps(
@@ -50,14 +53,21 @@ def accept_steps(
     limits = room.select(group, F.col("room").cast(CENT).alias("room"))
     columns = rows.columns
     sizes = marked.groupBy(group).agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") > fold_rows)
-    total = sizes.agg(F.sum("__rows")).first()[0]
-    if not total:
+    total, groups = sizes.agg(F.sum("__rows"), F.count(F.lit(1))).first()
+    if not groups:
         return _fold(marked, limits, group, arrival, columns)
     ensure_checkpoint_dir(rows.sparkSession)
     large = sizes.select(group).checkpoint()
-    small = _fold(marked.join(large, group, "left_anti"), limits, group, arrival, columns)
+    # One row per large group: broadcast while they are few, else joined with the hot key split.
+    attach = _attach_small if groups <= BROADCAST_GROUPS else join_grouped
+    small = _fold(attach(marked, large, group, "left_anti").select(*marked.columns), limits, group, arrival, columns)
     chunks = min(-(-total // chunk_rows), MAX_CHUNKS)
-    return small.unionByName(_by_halving(marked.join(large, group, "left_semi"), limits, group, arrival, columns, chunks))
+    hot = attach(marked, large, group, "left_semi").select(*marked.columns)
+    return small.unionByName(_by_halving(hot, limits, group, arrival, columns, chunks, attach))
+
+
+def _attach_small(many: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    return many.join(F.broadcast(small), key, how)
 
 
 def _fold(marked: DataFrame, room: DataFrame, group: str, arrival: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -79,7 +89,7 @@ def _fold(marked: DataFrame, room: DataFrame, group: str, arrival: Sequence[str]
 
 
 def _by_halving(
-    marked: DataFrame, room: DataFrame, group: str, arrival: Sequence[str], columns: Sequence[str], chunks: int
+    marked: DataFrame, room: DataFrame, group: str, arrival: Sequence[str], columns: Sequence[str], chunks: int, attach: Attach
 ) -> DataFrame:
     cents, kind, at = F.col("__cents"), F.col("__kind"), F.col("__at")
     placed = (
@@ -91,35 +101,38 @@ def _by_halving(
     span = f"struct<after:{at_type},until:{at_type},base:bigint>"
     freed = placed.groupBy(group).agg(F.sum(F.when(kind == FREE, cents).otherwise(0)).alias("__freed"))
     start = freed.join(room, group, "left").withColumn("left", (F.col("room") * 100).cast("bigint") - F.col("__freed"))
-    lowering = placed.filter(kind == LOWER).select(group, "__at", "__cents").join(start.select(group, "left"), group)
+    start = start.checkpoint()
+    lowering = attach(placed.filter(kind == LOWER).select(group, "__at", "__cents"), start.select(group, "left"), group)
     # Until one step brings the room to zero or above none is accepted, and from there on all are.
     first = lowering.filter(cents <= F.col("left")).groupBy(group).agg(F.min("__at").alias("__first"))
-    given = lowering.join(first, group).filter(at >= F.col("__first")).groupBy(group).agg(F.sum("__cents").alias("__given"))
+    given = attach(lowering, first, group).filter(at >= F.col("__first")).groupBy(group).agg(F.sum("__cents").alias("__given"))
     state = start.join(first, group, "left").join(given, group, "left").select(
         group, "room", "__first", (F.col("left") - F.coalesce("__given", F.lit(0))).alias("left"),
         F.lit(None).cast(at_type).alias("after"), F.array().cast(f"array<{span}>").alias("spans"),
     ).withColumn("active", F.coalesce(F.col("left") > 0, F.lit(False))).checkpoint()
     taking = placed.filter(kind == RAISE).select(group, *arrival, "__chunk", "__at", "__cents")
     while not state.filter("active").isEmpty():
-        state = _halve(taking, state, group, arrival, span).checkpoint()
+        state = _halve(taking, state, group, arrival, span, attach).checkpoint()
 
     def in_span(s: Column) -> Column:
         inside = (s["after"].isNull() | (at > s["after"])) & (s["until"].isNull() | (at <= s["until"]))
         return F.coalesce(inside & ((cents < s["base"]) | (at == s["until"])), F.lit(False))
 
-    judged = placed.join(state.select(group, "room", "__first", "spans"), group)
+    judged = attach(placed, state.select(group, "room", "__first", "spans"), group)
     fits = F.when(kind == FREE, True).when(kind == LOWER, F.coalesce(at >= F.col("__first"), F.lit(False))).when(
         kind == RAISE, F.exists("spans", in_span)
     ).otherwise(False)
     return judged.select(*columns, "room", (F.col("room").isNotNull() & fits).alias("accepted"))
 
 
-def _halve(taking: DataFrame, state: DataFrame, group: str, arrival: Sequence[str], span: str) -> DataFrame:
+def _halve(
+    taking: DataFrame, state: DataFrame, group: str, arrival: Sequence[str], span: str, attach: Attach
+) -> DataFrame:
     """Advance every active group past the point where its room drops below its power of two."""
     cents, base, left = F.col("__cents"), F.col("base"), F.col("left")
     current = state.withColumn("base", F.expr("shiftleft(1L, length(bin(`left`)) - 1)"))
     ahead = F.col("after").isNull() | (F.col("__at") > F.col("after"))
-    live = taking.join(current.filter("active").select(group, "left", "after", "base"), group).filter(ahead & (cents <= left))
+    live = attach(taking, current.filter("active").select(group, "left", "after", "base"), group).filter(ahead & (cents <= left))
     is_small = cents < base
     small = F.when(is_small, cents).otherwise(0)
     up_to_here = Window.partitionBy(group, "__chunk").orderBy(*arrival).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -20,6 +20,7 @@ from clinicframe.model import Clinic
 from clinicframe.operators.encryption import CONTACT, with_encryption_columns
 from clinicframe.operators.keys import assign_ids, free_patient_numbers, high_water_mark, number_rows
 from clinicframe.operators.quality import account_rules
+from clinicframe.operators.skew import join_grouped
 from clinicframe.schemas import PANEL_OF_TEST, PRIMARY_KEY, REFERENCES, panel_fields
 
 
@@ -104,10 +105,10 @@ def add_users(
         *broken, F.when(F.col("patient_id").isNotNull() & F.col("__person").isNull(), "unknown patient")
     ))
     for key, what in (("username", "name"), ("patient_id", "patient")):
-        taken = clinic.app_users.filter(F.col(key).isNotNull()).select(key, F.lit(True).alias("__taken"))
+        taken = clinic.app_users.filter(F.col(key).isNotNull()).select(key).distinct().withColumn("__taken", F.lit(True))
         sound = known.filter(F.col("reject_reason").isNull() & F.col(key).isNotNull())
-        first = sound.groupBy(key).agg(F.min(in_order(order_by)).alias("__first"))
-        known = known.join(taken, key, "left").join(first, key, "left").withColumn("reject_reason", F.coalesce(
+        first = sound.groupBy(key).agg(F.min(in_order(order_by)).alias("__first")).join(taken, key, "left")
+        known = join_grouped(known, first, key, "left").withColumn("reject_reason", F.coalesce(
             "reject_reason", F.when(F.col("__taken"), f"{what} has an account"),
             F.when(in_order(order_by) != F.col("__first"), f"{what} repeated in batch"),
         )).drop("__taken", "__first")
@@ -135,6 +136,8 @@ def post_results(
 
     Blank texts become NULL. Refused with a reason: unknown orders, orders that have
     this panel already, repeats within the batch after the first, unreadable numbers.
+    What is known of an order is put together first, so the sheets join only once
+    and an order with very many of them can be split.
     """
     panel = PANEL_OF_TEST.get(test_type.upper())
     if panel is None:
@@ -143,17 +146,14 @@ def post_results(
     texts = {f.name: blank_to_null(f.name) for f in fields}
     values = {f"__{f.name}": F.col(f.name).try_cast(f.dataType) for f in fields}
     bad = reduce(lambda a, b: a | b, [F.col(f.name).isNotNull() & F.col(f"__{f.name}").isNull() for f in fields])
-    first = results.groupBy("order_id").agg(F.min(in_order(order_by)).alias("__first"))
     have = clinic.table(panel).select("order_id", F.lit(True).alias("__have"))
     known = clinic.lab_test.select("order_id", F.lit(True).alias("__known"))
-    judged = (
-        results.withColumns(texts).withColumns(values)
-        .join(first, "order_id", "left").join(known, "order_id", "left").join(have, "order_id", "left")
-        .withColumn(
-            "reject_reason",
-            F.when(F.col("__known").isNull(), "unknown order").when(F.col("__have").isNotNull(), "result exists")
-            .when(in_order(order_by) != F.col("__first"), "repeated in batch").when(bad, "unreadable number"),
-        )
+    first = results.groupBy("order_id").agg(F.min(in_order(order_by)).alias("__first"))
+    facts = first.join(known, "order_id", "left").join(have, "order_id", "left")
+    judged = join_grouped(results.withColumns(texts).withColumns(values), facts, "order_id", "left").withColumn(
+        "reject_reason",
+        F.when(F.col("__known").isNull(), "unknown order").when(F.col("__have").isNotNull(), "result exists")
+        .when(in_order(order_by) != F.col("__first"), "repeated in batch").when(bad, "unreadable number"),
     )
     good = judged.filter(F.col("reject_reason").isNull())
     key = PRIMARY_KEY[panel]
@@ -281,7 +281,7 @@ def delete_patient_test(clinic: Clinic, patient_id: str, test_name: str) -> Data
 
 
 def delete_keys(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    return table.join(keys.select(key).distinct(), key, "left_anti")
+    return join_grouped(table, keys.select(key).distinct(), key, "left_anti").select(*table.columns)
 
 
 def delete_payments(clinic: Clinic, payments: DataFrame) -> DataFrame:
@@ -297,7 +297,7 @@ def cascade_delete_orders(clinic: Clinic, orders: DataFrame) -> Clinic:
 def cascade_delete_patients(clinic: Clinic, patients: DataFrame) -> Clinic:
     """Delete patients with all their orders; their accounts stay without a patient."""
     gone = patients.select("patient_id").distinct()
-    orders = clinic.lab_test.join(gone, "patient_id", "left_semi").select("order_id")
+    orders = join_grouped(clinic.lab_test, gone, "patient_id", "left_semi").select("order_id")
     after = cascade_delete_orders(clinic, orders)
     users = _forget_patients(clinic.app_users, gone)
     return after.with_tables(clinic_patients=delete_keys(clinic.clinic_patients, gone, "patient_id"), app_users=users)
@@ -312,7 +312,7 @@ def _forget_patients(users: DataFrame, gone: DataFrame) -> DataFrame:
 def cascade_delete_tests(clinic: Clinic, tests: DataFrame) -> Clinic:
     """Delete catalog tests with all orders of them."""
     gone = tests.select("test_id").distinct()
-    orders = clinic.lab_test.join(gone, "test_id", "left_semi").select("order_id")
+    orders = join_grouped(clinic.lab_test, gone, "test_id", "left_semi").select("order_id")
     after = cascade_delete_orders(clinic, orders)
     return after.with_tables(lab_test_catalog=delete_keys(clinic.lab_test_catalog, gone, "test_id"))
 

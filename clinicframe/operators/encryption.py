@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from clinicframe.functions.crypto import decrypted, encrypted_columns, token
 from clinicframe.model import Clinic
 from clinicframe.operators.listings import BY_NAME
+from clinicframe.operators.skew import join_grouped
 
 
 class Secret(NamedTuple):
@@ -130,7 +131,7 @@ def find_by_token(df: DataFrame, secret: Secret, term: str) -> DataFrame:
 def find_many_by_token(df: DataFrame, secret: Secret, terms: DataFrame, term: str) -> DataFrame:
     """Rows whose protected text equals one of the terms; each row once."""
     wanted = terms.select(token(term).alias(secret.token)).distinct()
-    return df.join(wanted, secret.token, "left_semi")
+    return join_grouped(df, wanted, secret.token, "left_semi").select(*df.columns)
 
 
 def raw_cipher(df: DataFrame, secret: Secret, k: int = 3) -> DataFrame:

@@ -15,6 +15,7 @@ from clinicframe.functions.crypto import decrypted
 from clinicframe.functions.text import full_name
 from clinicframe.model import Clinic
 from clinicframe.operators.listings import lookup_many
+from clinicframe.operators.skew import join_grouped
 from clinicframe.schemas import ORDER_STATUS
 
 
@@ -29,7 +30,7 @@ def _tests(clinic: Clinic, *extra: str) -> DataFrame:
 def order_lines(clinic: Clinic, patient: tuple[str, ...] = (), test: tuple[str, ...] = ()) -> DataFrame:
     """Orders with their patient's name and test name, plus the columns asked for."""
     orders = clinic.lab_test.withColumnsRenamed({"created_at": "order_created_at", "updated_at": "order_updated_at"})
-    return orders.join(_patients(clinic, *patient), "patient_id").join(_tests(clinic, *test), "test_id")
+    return join_grouped(orders, _patients(clinic, *patient), "patient_id").join(_tests(clinic, *test), "test_id")
 
 
 def with_panels(orders: DataFrame, clinic: Clinic, cbc: tuple[str, ...]) -> DataFrame:
@@ -145,12 +146,18 @@ def _with_payments(orders: DataFrame, payments: DataFrame) -> DataFrame:
 
 
 def patient_review(clinic: Clinic, patients: DataFrame) -> DataFrame:
-    """Orders of each listed patient with payments and blood count."""
-    wanted = clinic.with_tables(lab_test=lookup_many(clinic.lab_test, patients, "patient_id"))
+    """Orders of each listed patient with payments and blood count.
+
+    The blood count joins before names and tests do, so that the order number is
+    shuffled on anew for the payments and an order with very many can be split.
+    """
+    wanted = clinic.with_tables(
+        clinic_patients=lookup_many(clinic.clinic_patients, patients, "patient_id"),
+        lab_test=clinic.lab_test.join(clinic.cbc.select("order_id", "hemoglobin", "wbc"), "order_id", "left"),
+    )
     orders = order_lines(wanted).withColumnRenamed("status", "order_status")
-    counted = orders.join(clinic.cbc.select("order_id", "hemoglobin", "wbc"), "order_id", "left")
     paid = clinic.payments.select("order_id", "payment_id", "amount_paid", "payment_method", F.col("status").alias("payment_status"))
-    rows = _with_payments(counted, paid).orderBy("patient_id", "order_id", "payment_id")
+    rows = _with_payments(orders, paid).orderBy("patient_id", "order_id", "payment_id")
     return rows.select(
         "patient_id", "patient_name", "order_id", "test_name", "order_status", "amount_paid", "payment_method",
         "payment_status", "hemoglobin", "wbc",

@@ -17,6 +17,7 @@ from clinicframe.operators.changes import moment, patch_rows
 from clinicframe.operators.encryption import RECEIPT, encrypt_column, with_encryption_columns
 from clinicframe.operators.keys import assign_ids, high_water_mark
 from clinicframe.operators.quality import payment_input
+from clinicframe.operators.skew import join_grouped
 
 
 class RecordedPayments(NamedTuple):
@@ -43,10 +44,10 @@ def record_payments(
         "receipt_number": blank_to_null("receipt_number"),
     })
     parsed = payment_input(typed).withColumn("amount_paid", F.col("amount").try_cast("decimal(10,2)"))
-    used = clinic.payments.select("receipt_number", F.lit(True).alias("__used"))
+    used = clinic.payments.select("receipt_number").distinct().withColumn("__used", F.lit(True))
     readable = parsed.filter(F.col("reject_reason").isNull() & F.col("receipt_number").isNotNull())
-    first = readable.groupBy("receipt_number").agg(F.min(in_order(order_by)).alias("__first"))
-    screened = parsed.join(used, "receipt_number", "left").join(first, "receipt_number", "left").withColumn(
+    first = readable.groupBy("receipt_number").agg(F.min(in_order(order_by)).alias("__first")).join(used, "receipt_number", "left")
+    screened = join_grouped(parsed, first, "receipt_number", "left").withColumn(
         "reject_reason",
         F.coalesce(
             "reject_reason", F.when(F.col("__used"), "receipt exists").when(in_order(order_by) != F.col("__first"), "receipt repeated")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from clinicframe.functions.text import contains_any, domain_rank, full_name
 from clinicframe.model import Clinic
+from clinicframe.operators.skew import join_grouped
 from clinicframe.schemas import ORDER_STATUS, PANEL_OF_TEST
 
 BY_NAME = ("last_name", "first_name", "patient_id")
@@ -92,7 +93,7 @@ def lookup(table: DataFrame, key: str, value: object) -> DataFrame:
 
 def lookup_many(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows whose key occurs in ``keys``; each row once, however often its key is listed."""
-    return table.join(keys.select(key).distinct(), key, "left_semi")
+    return join_grouped(table, keys.select(key).distinct(), key, "left_semi").select(*table.columns)
 
 
 def orderable_tests(clinic: Clinic) -> DataFrame:

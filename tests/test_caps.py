@@ -9,6 +9,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from clinicframe.operators import caps
 from clinicframe.operators.caps import accept_payments, accept_steps, edit_payments
 
 
@@ -63,6 +64,12 @@ def test_one_group_holding_nearly_everything(spark):
     assert judge(spark, entries, rooms) == expected
 
 
+def test_many_large_groups_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(caps, "BROADCAST_GROUPS", 0)
+    entries, rooms = random_case(3, 6, 40, 300)
+    assert judge(spark, entries, rooms, fold_rows=5, chunk_rows=20) == reckon(entries, rooms)
+
+
 def test_halving_ends_on_slowly_shrinking_room(spark):
     # A cent, then an amount just above what is left, over and over.
     entries = [(1, s, 1 if s % 2 == 0 else 512 - s // 2, False) for s in range(600)]
