@@ -63,11 +63,12 @@ def free_patient_numbers(patients: DataFrame, k: int) -> DataFrame:
     bitmaps = used.groupBy(F.bitmap_bucket_number("n").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("n")).alias("bitmap")
     )
-    spine = spark.range(1, buckets + 1).withColumnRenamed("id", "bucket").join(bitmaps, "bucket", "left")
-    free = F.lit(BUCKET) - F.coalesce(F.bitmap_count("bitmap"), F.lit(0))
+    used_up = bitmaps.select("bucket", F.bitmap_count("bitmap").alias("used"))
+    spine = spark.range(1, buckets + 1).withColumnRenamed("id", "bucket").join(used_up, "bucket", "left")
     before = F.sum("free").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    counted = spine.withColumn("free", free).withColumn("before", F.coalesce(before, F.lit(0)))
-    opened = counted.filter((F.col("before") < k) & (F.col("free") > 0)).select(
+    counted = spine.select("bucket", (F.lit(BUCKET) - F.coalesce("used", F.lit(0))).alias("free"))
+    counted = counted.withColumn("before", F.coalesce(before, F.lit(0)))
+    opened = counted.filter((F.col("before") < k) & (F.col("free") > 0)).join(bitmaps, "bucket", "left").select(
         "bucket", "before", "bitmap", F.explode(F.sequence(F.lit(0), F.lit(BUCKET - 1))).alias("position")
     )
     clear = opened.filter(F.col("bitmap").isNull() | _bit_is_clear(F.col("bitmap"), F.col("position")))
