@@ -9,14 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinicframe.functions.text import patient_code
 from clinicframe.model import Clinic
 from clinicframe.schemas import TABLES
 
-START = "2020-01-01 00:00:00"
+START = "TIMESTAMP_NTZ '2020-01-01 00:00:00'"
 
 # Declared, so that opening a table reads no file footers.
 STAR_SCHEMA = {
@@ -34,131 +33,103 @@ STAR_SCHEMA = {
 }
 
 
-def _typed(df: DataFrame, table: str) -> DataFrame:
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[table].fields])
-
-
-def _start() -> Column:
-    return F.lit(START).cast("timestamp_ntz")
+def _typed(df: DataFrame, table: str, **columns: str) -> DataFrame:
+    """Select the columns of a table with their declared types; ``columns`` gives SQL for those that are not there yet."""
+    texts = [f"CAST({columns.get(f.name, f.name)} AS {f.dataType.simpleString()}) AS {f.name}" for f in TABLES[table].fields]
+    return df.selectExpr(*texts)
 
 
 def _patients(read) -> DataFrame:
-    key = F.col("c_custkey")
-    places = read("nation").join(read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    district = F.concat("c_mktsegment", F.lit(" District, "), "n_name", F.lit(", "), "r_name")
     # Nations are a fixed list of 25.
-    df = read("customer").join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey")).select(
-        patient_code(key + 1).alias("patient_id"),
-        F.split_part("c_name", F.lit("#"), F.lit(1)).alias("first_name"),
-        F.split_part("c_name", F.lit("#"), F.lit(2)).alias("last_name"),
-        (18 + key % 63).alias("age"),
-        F.when(key % 2 == 0, "F").otherwise("M").alias("sex"),
-        F.when(key % 17 != 0, district).alias("address"),
-        F.when(key % 29 != 0, F.format_string("09%09d", key)).alias("contact"),
-        _start().alias("registered_at"), _start().alias("created_at"), _start().alias("updated_at"),
+    places = read("nation").join(read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    placed = read("customer").join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey"))
+    return _typed(
+        placed, "clinic_patients",
+        patient_id="format_string('PAT-%03d', c_custkey + 1)",
+        first_name="split_part(c_name, '#', 1)", last_name="split_part(c_name, '#', 2)",
+        age="18 + c_custkey % 63", sex="IF(c_custkey % 2 = 0, 'F', 'M')",
+        address="IF(c_custkey % 17 <> 0, concat(c_mktsegment, ' District, ', n_name, ', ', r_name), NULL)",
+        contact="IF(c_custkey % 29 <> 0, format_string('09%09d', c_custkey), NULL)",
+        registered_at=START, created_at=START, updated_at=START,
     )
-    return _typed(df, "clinic_patients")
 
 
 def _catalog(read) -> DataFrame:
-    key = F.col("p_partkey")
-    other = F.concat(F.upper("p_name"), F.lit(" "), key.cast("string"))
-    name = F.when(key == 0, "CBC").when(key == 1, "URINALYSIS").when(key == 2, "FECALYSIS").otherwise(other)
-    df = read("part").select(
-        (key + 1).alias("test_id"), name.alias("test_name"), F.col("p_retailprice").alias("price"),
-        F.col("p_type").alias("description"), _start().alias("created_at"), _start().alias("updated_at"),
+    name = "CASE p_partkey WHEN 0 THEN 'CBC' WHEN 1 THEN 'URINALYSIS' WHEN 2 THEN 'FECALYSIS' ELSE concat(upper(p_name), ' ', p_partkey) END"
+    return _typed(
+        read("part"), "lab_test_catalog", test_id="p_partkey + 1", test_name=name, price="p_retailprice", description="p_type",
+        created_at=START, updated_at=START,
     )
-    return _typed(df, "lab_test_catalog")
 
 
 def _orders(read) -> DataFrame:
-    key, buyer = F.col("o_orderkey"), F.col("o_custkey")
-    status = F.when(F.col("o_orderstatus") == "F", "COMPLETED").when(F.col("o_orderstatus") == "P", "PENDING")
-    quarter = key % 4
-    df = read("orders").select(
-        (key + 1).alias("order_id"),
-        patient_code(F.when(buyer % 10 == 3, buyer - 1).otherwise(buyer) + 1).alias("patient_id"),
-        F.when(quarter < 3, quarter + 1).otherwise(4 + key % 190).alias("test_id"),
-        F.col("o_orderdate").alias("order_date"),
-        status.otherwise("CANCELLED").alias("status"),
-        F.col("o_orderdate").alias("created_at"), F.col("o_orderdate").alias("updated_at"),
+    return _typed(
+        read("orders"), "lab_test", order_id="o_orderkey + 1",
+        patient_id="format_string('PAT-%03d', IF(o_custkey % 10 = 3, o_custkey - 1, o_custkey) + 1)",
+        test_id="IF(o_orderkey % 4 < 3, o_orderkey % 4 + 1, 4 + o_orderkey % 190)",
+        order_date="o_orderdate", status="CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' WHEN 'P' THEN 'PENDING' ELSE 'CANCELLED' END",
+        created_at="o_orderdate", updated_at="o_orderdate",
     )
-    return _typed(df, "lab_test")
 
 
-def _panel(read, flag: str, table: str, key_name: str, fixed: dict, **columns: Column) -> DataFrame:
-    grouped = read("lineitem").filter(F.col("l_returnflag") == flag).groupBy((F.col("l_orderkey") + 1).alias("order_id"))
-    df = grouped.agg(*[c.alias(n) for n, c in columns.items()], F.max("l_shipdate").alias("created_at"))
-    constants = {n: F.lit(v) for n, v in fixed.items()}
-    return _typed(df.withColumns({**constants, key_name: F.col("order_id"), "updated_at": F.col("created_at")}), table)
+def _lines_by_order(read, flag: str) -> DataFrame:
+    """What the panels need to know of the lines of one kind, per order."""
+    lines = read("lineitem").filter(F.col("l_returnflag") == flag).groupBy(F.expr("l_orderkey + 1 AS order_id"))
+    return lines.agg(*[F.expr(text) for text in (
+        "max(l_quantity) AS most", "min(l_quantity) AS least", "sum(l_quantity) AS total", "min(l_linenumber) AS first_line",
+        "max(l_linenumber) AS last_line", "max(l_shipdate) AS shipped",
+    )])
 
 
 def _cbc(read) -> DataFrame:
-    most, least = F.max("l_quantity"), F.min("l_quantity")
-    fixed = {"mcv": 87, "mch": 29, "neutrophils": 55, "lymphocytes": 35, "monocytes": 5, "eosinophils": 4, "basophils": 1}
-    return _panel(
-        read, "A", "cbc", "cbc_id", fixed,
-        wbc=4 + most / 10, rbc=3 + most / 20, hemoglobin=8 + least / 5, hematocrit=3 * (8 + least / 5),
-        platelets=150 + F.sum("l_quantity"),
+    return _typed(
+        _lines_by_order(read, "A"), "cbc", cbc_id="order_id", wbc="4 + most / 10", rbc="3 + most / 20", hemoglobin="8 + least / 5",
+        hematocrit="3 * (8 + least / 5)", platelets="150 + total", mcv="87", mch="29", neutrophils="55", lymphocytes="35",
+        monocytes="5", eosinophils="4", basophils="1", created_at="shipped", updated_at="shipped",
     )
 
 
-def _line_case(values: list[str]) -> Column:
-    """The text for the smallest line number 1, 2, 3, 4; NULL past those."""
-    return F.get(F.array(*[F.lit(v) for v in values]), F.min("l_linenumber") - 1)
-
-
 def _urinalysis(read) -> DataFrame:
-    fixed = {"appearance": "Clear", "color": "Yellow", "specific_gravity": "1.010", "glucose": "Negative",
-             "ketones": "Negative", "nitrites": "Negative"}
-    return _panel(
-        read, "N", "urinalysis", "ua_id", fixed,
-        ph=5 + F.max("l_quantity") / 25, protein=_line_case(["Negative", "Trace", "1+", "2+"]),
-        other_findings=F.when(F.max("l_linenumber") > 5, "RBCs Present").otherwise("None"),
+    protein = "CASE first_line WHEN 1 THEN 'Negative' WHEN 2 THEN 'Trace' WHEN 3 THEN '1+' WHEN 4 THEN '2+' END"
+    return _typed(
+        _lines_by_order(read, "N"), "urinalysis", ua_id="order_id", appearance="'Clear'", color="'Yellow'", ph="5 + most / 25",
+        specific_gravity="1.010", glucose="'Negative'", protein=protein, ketones="'Negative'", nitrites="'Negative'",
+        other_findings="IF(last_line > 5, 'RBCs Present', 'None')", created_at="shipped", updated_at="shipped",
     )
 
 
 def _fecalysis(read) -> DataFrame:
-    fixed = {"appearance": "Brown", "occult_blood": "Negative", "wbc": "1/hpf", "rbc": "1/hpf", "bacteria": "Few",
-             "other_findings": "None"}
-    return _panel(
-        read, "R", "fecalysis", "fa_id", fixed,
-        parasite_id=_line_case(["None", "Giardia spp.", "Ascaris spp.", "Hookworm spp."]),
-        consistency=F.when(F.max("l_linenumber") > 4, "Soft").otherwise("Formed"),
+    parasite = "CASE first_line WHEN 1 THEN 'None' WHEN 2 THEN 'Giardia spp.' WHEN 3 THEN 'Ascaris spp.' WHEN 4 THEN 'Hookworm spp.' END"
+    return _typed(
+        _lines_by_order(read, "R"), "fecalysis", fa_id="order_id", appearance="'Brown'", consistency="IF(last_line > 4, 'Soft', 'Formed')",
+        occult_blood="'Negative'", parasite_id=parasite, wbc="'1/hpf'", rbc="'1/hpf'", bacteria="'Few'", other_findings="'None'",
+        created_at="shipped", updated_at="shipped",
     )
 
 
 def _payments(read) -> DataFrame:
-    line = F.col("l_linenumber")
-    method = F.when(line % 4 == 0, "CASH").when(line % 4 == 1, "CARD").when(line % 4 == 2, "GCASH").otherwise("INSURANCE")
+    grouped = read("lineitem").groupBy(F.expr("l_orderkey + 1 AS order_id"), "l_linenumber")
     # The largest flag letter by its code: a number keeps the grouping hash-based.
-    flag = F.max(F.ascii("l_returnflag"))
-    # The line number is part of the key, yet grouping by the pair keeps the order number first for later joins.
-    grouped = read("lineitem").groupBy((F.col("l_orderkey") + 1).alias("order_id"), line)
-    df = grouped.agg(
-        (F.max("l_quantity") * 10).alias("amount_paid"), F.max("l_shipdate").alias("payment_date"),
-        F.when(flag == ord("A"), "PAID").when(flag == ord("N"), "PARTIAL").otherwise("REFUNDED").alias("status"),
-    ).select(
-        ((F.col("order_id") - 1) * 8 + line).alias("payment_id"), "order_id", "amount_paid",
-        method.alias("payment_method"), "payment_date",
-        F.when(line != 7, F.concat(F.lit("RCPT-"), ((F.col("order_id") - 1) * 8 + line).cast("string"))).alias("receipt_number"),
-        "status", F.col("payment_date").alias("created_at"), F.col("payment_date").alias("updated_at"),
+    lines = grouped.agg(*[F.expr(text) for text in ("max(l_quantity) AS most", "max(l_shipdate) AS shipped", "max(ascii(l_returnflag)) AS flag")])
+    number = "(order_id - 1) * 8 + l_linenumber"
+    return _typed(
+        lines, "payments", payment_id=number, amount_paid="most * 10", payment_date="shipped",
+        payment_method="CASE l_linenumber % 4 WHEN 0 THEN 'CASH' WHEN 1 THEN 'CARD' WHEN 2 THEN 'GCASH' ELSE 'INSURANCE' END",
+        receipt_number=f"IF(l_linenumber <> 7, concat('RCPT-', {number}), NULL)",
+        status="CASE flag WHEN ascii('A') THEN 'PAID' WHEN ascii('N') THEN 'PARTIAL' ELSE 'REFUNDED' END",
+        created_at="shipped", updated_at="shipped",
     )
-    return _typed(df, "payments")
 
 
 def _users(read) -> DataFrame:
-    key = F.col("s_suppkey")
-    roles = F.array(*[F.lit(r) for r in ("role_admin", "role_front_desk", "role_lab_tech", "role_doctor", "role_patient")])
-    username = F.concat(F.lit("user"), key.cast("string"))
-    df = read("supplier").select(
-        (key + 1).alias("user_id"), username.alias("username"), F.sha2(username, 256).alias("password_hash"),
-        F.get(roles, (key % 5).cast("int")).alias("role_name"),
-        F.when(key % 5 == 4, patient_code(key + 1)).alias("patient_id"),
-        F.concat(F.lit("clinic_"), username).alias("mysql_username"), (key % 7 != 0).alias("is_active"),
-        _start().alias("created_at"), _start().alias("updated_at"),
+    roles = "array('role_admin', 'role_front_desk', 'role_lab_tech', 'role_doctor', 'role_patient')"
+    return _typed(
+        read("supplier"), "app_users", user_id="s_suppkey + 1", username="concat('user', s_suppkey)",
+        password_hash="sha2(concat('user', s_suppkey), 256)", role_name=f"{roles}[int(s_suppkey % 5)]",
+        patient_id="IF(s_suppkey % 5 = 4, format_string('PAT-%03d', s_suppkey + 1), NULL)",
+        mysql_username="concat('clinic_user', s_suppkey)", is_active="s_suppkey % 7 <> 0",
+        created_at=START, updated_at=START,
     )
-    return _typed(df, "app_users")
 
 
 def star_reader(spark: SparkSession, sf_dir: str) -> Callable[[str], DataFrame]:
