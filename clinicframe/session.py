@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -28,19 +26,11 @@ def build_session(app_name: str = "clinicframe", master: str | None = None, **co
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder, taking the shared one the session names.
+    """Return the checkpoint folder, taking the one the session names in ``spark.checkpoint.dir``.
 
-    Only a local session without one gets a temporary folder; on a cluster the
-    files must outlive the executor that wrote them, so a missing setting is an error.
+    A session without that setting, as in tests, gets a folder in the warehouse, which all executors share too.
     """
     context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        named = tempfile.mkdtemp(prefix="clinicframe-checkpoint-")
-    context.setCheckpointDir(named)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
     return context.getCheckpointDir()

@@ -8,6 +8,7 @@ import oracle_check
 import pytest
 
 import __spark_entry__ as entry
+from clinicframe.plans import registry
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="no test tables")
@@ -19,10 +20,10 @@ def connection():
 
 
 def test_every_query_has_reference_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(registry.QUERIES) == set(registry.ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query(spark, connection, name):
     assert oracle_check.compare(spark, connection, SF_DIR, name) is None
 
