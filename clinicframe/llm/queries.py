@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clinicframe.llm import golomb_dedup, pattern_packing, warc_chunks, weighted_mix
+from clinicframe.llm import cover_dedup, embedding_dedup, golomb_dedup, pattern_packing, pii_disclosure, quality_classifier, warc_chunks, weighted_mix
 from clinicframe.session import ensure_checkpoint_dir
 
 
@@ -15,6 +15,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_disclosure.digest(table(spark, sf_dir, "documents"))
+
+
+def op3_cover_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op4_golomb_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golomb_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -29,6 +41,10 @@ def op6_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_chunks.read_archives(spark, path)
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_copies(table(spark, sf_dir, "embeddings"))
+
+
 def tokenizer_file() -> str:
     import public_tokenizers
 
@@ -40,7 +56,7 @@ def op9_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_golomb_exact_dedup, op5_weighted_mix, op6_warc_chunks, op9_pattern_packing)
+    f.__name__: f for f in (op1_quality_classifier, op2_pii_disclosure, op3_cover_substring_dedup, op4_golomb_exact_dedup, op5_weighted_mix, op6_warc_chunks, op8_embedding_dedup, op9_pattern_packing)
 }
 
 ORACLES: dict[str, str] = {
