@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from clinicframe.llm.common import I64, POWERS_2, U64, WORDS, Rolling, block_count, blocked_texts, deal, identifier, joined, mix, run_starts, unpacked
+from clinicframe.llm.common import I64, POWERS_2, U64, WORDS, Rolling, block_count, blocked_texts, deal, identifier, joined, members, mix, run_starts, unpacked
 
 WINDOW = 50
 #: A perfect difference set; every distance modulo 31 is a difference of two of its members.
@@ -95,14 +95,6 @@ def shared_keys(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["block", "keys"])
 
 
-def members(values: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(whether a value is in the sorted table, where)."""
-    if not len(table):
-        return np.zeros(len(values), bool), np.zeros(len(values), np.int64)
-    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
-    return table[at] == values, at
-
-
 def _passages(frame: pd.DataFrame, answers: pd.DataFrame, owners: int, window: int) -> pd.DataFrame:
     columns = ["owner", "block", "first", "second", "low", "high"]
     shared = np.sort(joined(answers["keys"], U64))
