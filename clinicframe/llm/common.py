@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCKS_PER_PARTITION = 4
+BLOCKS_PER_PARTITION = 1
 #: A missing doc_id sorts after every other.
 LAST_ID = np.iinfo(np.int64).max
 U64 = np.dtype("<u8")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clinicframe.llm import cover_dedup, embedding_dedup, golomb_dedup, pattern_packing, pii_disclosure, quality_classifier, suffix_dedup, warc_chunks, weighted_mix
+from clinicframe.llm import cover_dedup, embedding_dedup, golomb_dedup, ngram_join, pattern_packing, pii_disclosure, quality_classifier, suffix_dedup, warc_chunks, weighted_mix
 from clinicframe.session import ensure_checkpoint_dir
 
 
@@ -41,6 +41,10 @@ def op6_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_chunks.read_archives(spark, path)
 
 
+def op7_universe_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_components(table(spark, sf_dir, "documents"))
+
+
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_copies(table(spark, sf_dir, "embeddings"))
 
@@ -60,7 +64,7 @@ def op9_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op2_pii_disclosure, op3_cover_substring_dedup, op4_golomb_exact_dedup, op5_weighted_mix, op6_warc_chunks, op8_embedding_dedup, op9_pattern_packing, op10_suffix_substring_dedup)
+    f.__name__: f for f in (op1_quality_classifier, op2_pii_disclosure, op3_cover_substring_dedup, op4_golomb_exact_dedup, op5_weighted_mix, op6_warc_chunks, op7_universe_ngram_join, op8_embedding_dedup, op9_pattern_packing, op10_suffix_substring_dedup)
 }
 
 ORACLES: dict[str, str] = {

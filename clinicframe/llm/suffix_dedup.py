@@ -268,7 +268,7 @@ def _marked(frame: pd.DataFrame, answers: pd.DataFrame, length: int) -> Iterator
     table = [joined(answers[c], d) for c, d in REPEATS.items()]
     at = np.lexsort((table[1], table[0]))
     anchor, name, count, step, long, first, first_start = (x[at] for x in table)
-    split = np.unique(anchor[count == 1])
+    split, shared = np.unique(anchor[count == 1]), np.unique(anchor)
     runs = run_starts(anchor, name)
     ends = np.append(runs[1:], len(anchor))
     # One number for anchor and name; the name is compared again.
@@ -279,8 +279,7 @@ def _marked(frame: pd.DataFrame, answers: pd.DataFrame, length: int) -> Iterator
         repeats = []
         for begin, data in parts(text, length) if len(key) else ():
             s = Stretches(data, length)
-            keep = members(s.anchor, np.unique(anchor))[0]
-            s.select(keep)
+            s.select(members(s.anchor, shared)[0])
             places, names, anchors = [s.start], [s.name], [s.anchor]
             hot = members(s.anchor, split)[0]
             if hot.any():
