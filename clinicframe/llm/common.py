@@ -49,22 +49,45 @@ def identifier(column: str = "doc_order") -> Column:
     return F.nullif(F.col(column), F.lit(LAST_ID))
 
 
-def blocked_texts(docs: DataFrame, blocks: int) -> DataFrame:
+FILTER_BITS = 1 << 23
+
+
+def blocked_texts(docs: DataFrame, blocks: int, only: np.ndarray | None = None) -> DataFrame:
     """(block, doc_order, packed): each document's UTF-8 text, compressed, dealt by block.
 
     The block depends on identifier and text, so repeats of one identifier spread out
-    and a task that runs again deals alike.
+    and a task that runs again deals alike. ``only`` is a filter made by ``id_filter``:
+    documents outside it are left out, a few others may come along.
     """
-    base = in_order(docs).withColumn("block", F.pmod(F.xxhash64("doc_order", "text"), F.lit(blocks)).cast("int"))
+    base = in_order(docs).select(
+        F.pmod(F.xxhash64("doc_order", "text"), F.lit(blocks)).cast("int").alias("block"), _filter_bit("doc_order").alias("bit"), "doc_order", "text"
+    )
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for frame in frames:
+            if only is not None:
+                bit = frame["bit"].to_numpy()
+                frame = frame[(only[bit >> 6] >> (bit & 63).astype(U64) & np.uint64(1)).astype(bool)]
             yield pd.DataFrame({"block": frame["block"], "doc_order": frame["doc_order"], "packed": [squeeze(t.encode()) for t in frame["text"]]})
 
     return base.mapInPandas(pack, "block int, doc_order long, packed binary")
 
 
+def _filter_bit(column: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(column)), F.lit(FILTER_BITS)).cast("long")
+
+
+def id_filter(ids: DataFrame, column: str) -> np.ndarray:
+    """A filter of one megabyte, whatever the number of identifiers: a bit per hash value, made by the executors."""
+    bit = _filter_bit(column)
+    words = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
+    out = np.zeros(FILTER_BITS // 64, U64)
+    for row in words.toPandas().itertuples():
+        out[row.word] = np.int64(row.bits).astype(U64)
+    return out
+
+
 def unpacked(frame: pd.DataFrame) -> Iterator[tuple[int, bytes]]:
     """(order, UTF-8 text) of each document of a block."""
     expand = zstandard.ZstdDecompressor().decompress

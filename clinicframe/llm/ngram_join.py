@@ -12,7 +12,7 @@ entries, thin segments cost comparisons. The spared weight lets sets leave out t
 empty segments, which would otherwise meet for nothing.
 
 Blocks of documents send segment names to their owners, which answer with the names that
-several sets share. Sets are then compared exactly in two rounds: each with the first set
+several sets share. Sets are then compared, by sketches and then exactly, in two rounds: each with the first set
 of its names, and, within a name whose sets did not all end up in one component, those
 outside the first set's component with the sets of other components. Sets in one
 component need no comparison, so a large group of near copies costs about one each.
@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clinicframe.llm.common import I64, U64, WORDS, Rolling, block_count, blocked_texts, deal, identifier, joined, mix, run_starts, unpacked
+from clinicframe.llm.common import I64, U32, U64, WORDS, Rolling, block_count, blocked_texts, deal, id_filter, identifier, joined, mix, run_starts, unpacked
 from clinicframe.llm.components import components
 from clinicframe.session import ensure_checkpoint_dir
 
@@ -47,6 +47,8 @@ LARGEST = 1 << 40
 COMPARISON = 20.0
 COMMON = 0.1
 MOST_SPARE = 4
+#: Cells of a set's sketch.
+SKETCH = 256
 
 
 def bands(ratio: float = BAND_RATIO) -> list[int]:
@@ -140,31 +142,43 @@ def all_names(tokens: np.ndarray, plans: dict[int, Scheme], percent: int) -> np.
     return np.unique(np.concatenate([names(tokens, p) for p in own])) if own else np.zeros(0, U64)
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """How many hashes fall into each of SKETCH cells, at most 255."""
+    return np.minimum(np.bincount((tokens >> np.uint64(40)).astype(np.int64) % SKETCH, minlength=SKETCH), 255).astype(np.uint8).tobytes()
+
+
 def _indexed(frame: pd.DataFrame, owners: int, plans: dict[int, Scheme], n: int, percent: int) -> pd.DataFrame:
     """One message per owner: names with their sets, and the block's documents, dealt by set."""
-    docs, found, seen = [], [], set()
+    docs, found, seen = [], [], {}
     for order, text in unpacked(frame):
         tokens = ngrams(text, n)
         name = set_name(tokens)
-        docs.append((name, order, len(tokens)))
+        docs.append((name, order, len(tokens), sketch(tokens)))
         if len(tokens) and name not in seen:
-            seen.add(name)
+            seen[name] = len(seen)
             own = all_names(tokens, plans, percent)
-            found.append((own, np.full(len(own), name, U64)))
+            found.append((own, np.full(len(own), seen[name], U32)))
+    distinct = np.array(list(seen), U64)
     doc_set = np.array([d[0] for d in docs], U64)
     doc_order, doc_size = (np.array([d[k] for d in docs], I64) for k in (1, 2))
-    key, of = (np.concatenate([*(f[k] for f in found), np.zeros(0, U64)]) for k in (0, 1))
+    sketches = np.frombuffer(b"".join(d[3] for d in docs), np.uint8).reshape(-1, SKETCH)
+    key, of = np.concatenate([*(f[0] for f in found), np.zeros(0, U64)]), np.concatenate([*(f[1] for f in found), np.zeros(0, U32)])
     block, messages = int(frame["block"].iloc[0]), {}
     for owner, at in deal(key, owners):
-        messages[owner] = [key[at].tobytes(), of[at].tobytes(), b"", b"", b""]
+        here, index = np.unique(of[at], return_inverse=True)
+        messages[owner] = [key[at].tobytes(), index.astype(U32).tobytes(), distinct[here].tobytes(), b"", b"", b"", b""]
     for owner, at in deal(mix(doc_set ^ doc_order.astype(U64)), owners):
-        messages.setdefault(owner, [b""] * 5)[2:] = [doc_set[at].tobytes(), doc_order[at].tobytes(), doc_size[at].tobytes()]
-    return pd.DataFrame([(o, block, *m) for o, m in messages.items()], columns=["owner", "block", "key", "of", "doc_set", "doc_order", "doc_size"])
+        messages.setdefault(owner, [b""] * 7)[3:] = [doc_set[at].tobytes(), doc_order[at].tobytes(), doc_size[at].tobytes(), sketches[at].tobytes()]
+    return pd.DataFrame([(o, block, *m) for o, m in messages.items()], columns=["owner", "block", *MESSAGE])
+
+
+MESSAGE = ("key", "index", "sets", "doc_set", "doc_order", "doc_size", "sketches")
 
 
 def _shared(frame: pd.DataFrame) -> pd.DataFrame:
-    """Of one owner: a row (set, order, size, block) per document, and a row (set, key) per set and name that several sets share."""
-    key, of = joined(frame["key"], U64), joined(frame["of"], U64)
+    """Of one owner: a row per document, with its sketch, and a row (set, key) per set and name that several sets share."""
+    key = joined(frame["key"], U64)
+    of = np.concatenate([np.frombuffer(s, U64)[np.frombuffer(i, U32)] for i, s in zip(frame["index"], frame["sets"])])
     at = np.lexsort((of, key))
     key, of = key[at], of[at]
     runs = run_starts(key, of)
@@ -172,9 +186,13 @@ def _shared(frame: pd.DataFrame) -> pd.DataFrame:
     groups = run_starts(key)
     several = np.repeat(np.diff(np.append(groups, len(key))) > 1, np.diff(np.append(groups, len(key))))
     docs = [joined(frame[c], d) for c, d in (("doc_set", U64), ("doc_order", I64), ("doc_size", I64))]
+    held = b"".join(frame["sketches"])
     block = np.repeat(frame["block"].to_numpy(), [len(x) // 8 for x in frame["doc_set"]])
-    members = pd.DataFrame({"set": of[several].view(I64), "doc_order": 0, "size": -1, "block": -1, "key": key[several].view(I64)})
-    return pd.concat([pd.DataFrame({"set": docs[0].view(I64), "doc_order": docs[1], "size": docs[2], "block": block, "key": 0}), members])
+    listed = pd.DataFrame({
+        "set": docs[0].view(I64), "doc_order": docs[1], "size": docs[2], "block": block, "key": 0,
+        "sketch": [held[SKETCH * k : SKETCH * (k + 1)] for k in range(len(block))],
+    })
+    return pd.concat([listed, pd.DataFrame({"set": of[several].view(I64), "doc_order": 0, "size": -1, "block": -1, "key": key[several].view(I64), "sketch": b""})])
 
 
 def _contents(frame: pd.DataFrame, wanted: pd.DataFrame, n: int) -> pd.DataFrame:
@@ -192,6 +210,19 @@ def _contents(frame: pd.DataFrame, wanted: pd.DataFrame, n: int) -> pd.DataFrame
     return pd.DataFrame(out, columns=["node", "tokens"])
 
 
+def most_different(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """How many hashes two similar sets of these sizes can have apart."""
+    return (a + b) * (100 - percent) // (100 + percent)
+
+
+def _possible(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
+    """Pairs whose sketches are no farther apart than similar sets can be; sets differ in at least as many hashes as their sketches do."""
+    for frame in frames:
+        x, y = (np.frombuffer(b"".join(frame[c]), np.uint8).reshape(-1, SKETCH).astype(np.int16) for c in ("sketch_a", "sketch_b"))
+        apart = np.abs(x - y).sum(axis=1, dtype=np.int64)
+        yield frame.loc[apart <= most_different(frame["size_a"].to_numpy(), frame["size_b"].to_numpy(), percent), ["a", "b"]]
+
+
 def _similar(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
     for frame in frames:
         fits = []
@@ -202,10 +233,17 @@ def _similar(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFr
         yield frame.loc[fits, ["a", "b"]]
 
 
-def compared(pairs: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar."""
-    side = lambda name: contents.select(F.col("node").alias(name), F.col("tokens").alias(f"tokens_{name}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(lambda f: _similar(f, percent), "a long, b long")
+def compared(pairs: DataFrame, sets: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar: first by sketch, then exactly, on texts read again."""
+    blocks = block_count(docs.sparkSession)
+    side = lambda df, name: df.select(*[F.col(c).alias(f"{c}_{name}" if c != "node" else name) for c in df.columns])
+    sketches = sets.select("node", "size", "sketch")
+    possible = pairs.join(side(sketches, "a"), "a").join(side(sketches, "b"), "b").mapInPandas(lambda f: _possible(f, percent), "a long, b long").checkpoint()
+    nodes = possible.select(F.col("a").alias("node")).union(possible.select("b")).distinct()
+    wanted = sets.join(nodes, "node").select("block", "node", "set")
+    texts = blocked_texts(docs, blocks, id_filter(nodes, "node"))
+    contents = texts.groupBy("block").cogroup(wanted.groupBy("block")).applyInPandas(lambda f, w: _contents(f, w, n), "node long, tokens binary")
+    return possible.join(side(contents, "a"), "a").join(side(contents, "b"), "b").mapInPandas(lambda f: _similar(f, percent), "a long, b long").checkpoint()
 
 
 def schemes(docs: DataFrame, n: int, percent: int) -> dict[int, Scheme]:
@@ -229,24 +267,20 @@ def near_components(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) ->
     ensure_checkpoint_dir(spark)
     blocks = block_count(spark)
     plans = schemes(docs, n, percent)
-    texts = blocked_texts(docs, blocks)
-    sent = texts.groupBy("block").applyInPandas(
-        lambda f: _indexed(f, blocks, plans, n, percent), "owner int, block int, key binary, of binary, doc_set binary, doc_order binary, doc_size binary"
+    sent = blocked_texts(docs, blocks).groupBy("block").applyInPandas(
+        lambda f: _indexed(f, blocks, plans, n, percent), "owner int, block int, " + ", ".join(f"{c} binary" for c in MESSAGE)
     )
-    table = sent.groupBy("owner").applyInPandas(_shared, "set long, doc_order long, size long, block int, key long").checkpoint()
+    table = sent.groupBy("owner").applyInPandas(_shared, "set long, doc_order long, size long, block int, key long, sketch binary").checkpoint()
     listed = table.filter("size >= 0")
     # A set goes by its smallest document from here on.
-    sets = listed.filter("size > 0").groupBy("set").agg(F.min(F.struct("doc_order", "block")).alias("m"), F.first("size").alias("size"))
-    sets = sets.select("set", F.col("m.doc_order").alias("node"), F.col("m.block").alias("block"), "size")
-    named = table.filter("size < 0").select("key", "set").join(sets, "set").select("key", "node", "set", "block", "size").checkpoint()
-    wanted = named.select("block", "node", "set").distinct()
-    contents = texts.groupBy("block").cogroup(wanted.groupBy("block")).applyInPandas(lambda f, w: _contents(f, w, n), "node long, tokens binary")
-    contents = contents.checkpoint()
+    sets = listed.filter("size > 0").groupBy("set").agg(F.min(F.struct("doc_order", "block", "size", "sketch")).alias("m"))
+    sets = sets.select("set", F.col("m.doc_order").alias("node"), "m.block", "m.size", "m.sketch").checkpoint()
+    named = table.filter("size < 0").select("key", "set").join(sets.select("set", "node", "size"), "set").select("key", "node", "size")
     alike = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
     leaders = named.groupBy("key").agg(F.min(F.struct("node", "size")).alias("leader"))
-    led = named.join(leaders, "key").select("key", "node", "size", "leader.*").toDF("key", "node", "size", "leader", "leader_size")
+    led = named.join(leaders, "key").select("key", "node", "size", "leader.*").toDF("key", "node", "size", "leader", "leader_size").checkpoint()
     stars = led.filter("node <> leader").filter(alike(F.col("size"), F.col("leader_size"))).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    links = compared(stars, contents, percent).checkpoint()
+    links = compared(stars, sets, docs, n, percent)
 
     found = components(links)
     placed = led.join(found.select("node", F.col("component").alias("own")), "node", "left").join(
@@ -258,7 +292,7 @@ def near_components(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) ->
     # Two sets outside the first component meet once, from the smaller; one inside meets those outside.
     crossing = apart.join(others, "key").filter((F.col("x_own") != F.col("y_own")) & ((F.col("y_own") == F.col("x_led")) | (F.col("x") < F.col("y"))))
     crossing = crossing.filter(alike(F.col("x_size"), F.col("y_size"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = compared(crossing, contents, percent)
+    more = compared(crossing, sets, docs, n, percent)
     groups = components(links.union(more))
     by_set = sets.join(groups, "node", "left").select("set", F.coalesce("component", "node").alias("component"))
     out = listed.filter("size > 0").join(by_set, "set").select("doc_order", "size", "component")

@@ -99,7 +99,7 @@ r as (
   select *, coalesce(sum(lim) over w, 0.0) as used, sum(weight) over () - coalesce(sum(weight) over w, 0.0) as rest
   from b window w as (order by lim / weight, source nulls last rows between unbounded preceding and 1 preceding)),
 l as (select *, case when (budget - used) / rest * weight < lim then (budget - used) / rest end as one_level from r),
-g as (select *, min(one_level) over () as level from l),
+g as (select *, max(one_level) over () as level from l),
 x as (
   select source, source_size, least(lim, coalesce(level * weight, lim)) as target,
          case when source_size > 0 then floor(least(lim, coalesce(level * weight, lim)) / source_size) else 0 end as epochs from g),

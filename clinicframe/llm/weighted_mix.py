@@ -64,7 +64,8 @@ def targets(sizes: DataFrame) -> DataFrame:
     base = base.withColumn("rest", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
     level = (F.col("budget") - F.col("used")) / F.col("rest")
     base = base.withColumn("level", F.when(level * F.col("weight") < F.col("limit"), level))
-    base = base.withColumn("level", F.min("level").over(everything))
+    # The first source that is not full gives the level; from later rows, which count it as full, it looks lower.
+    base = base.withColumn("level", F.max("level").over(everything))
     return base.select("source", "source_size", F.least("limit", F.coalesce(F.col("level") * F.col("weight"), F.col("limit"))).alias("target"))
 
 
