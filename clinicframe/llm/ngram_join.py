@@ -166,19 +166,24 @@ def _indexed(frame: pd.DataFrame, owners: int, plans: dict[int, Scheme], n: int,
     block, messages = int(frame["block"].iloc[0]), {}
     for owner, at in deal(key, owners):
         here, index = np.unique(of[at], return_inverse=True)
-        messages[owner] = [key[at].tobytes(), index.astype(U32).tobytes(), distinct[here].tobytes(), b"", b"", b"", b""]
+        # Names stand in the order of their sets: one bit each says whether a new set begins.
+        new = np.packbits(np.diff(index, prepend=0).astype(np.uint8)).tobytes()
+        messages[owner] = [key[at].tobytes(), new, distinct[here].tobytes(), b"", b"", b"", b""]
     for owner, at in deal(mix(doc_set ^ doc_order.astype(U64)), owners):
-        messages.setdefault(owner, [b""] * 7)[3:] = [doc_set[at].tobytes(), doc_order[at].tobytes(), doc_size[at].tobytes(), sketches[at].tobytes()]
+        messages.setdefault(owner, [b"", b"", b"", b"", b"", b"", b""])[3:] = [doc_set[at].tobytes(), doc_order[at].tobytes(), doc_size[at].tobytes(), sketches[at].tobytes()]
     return pd.DataFrame([(o, block, *m) for o, m in messages.items()], columns=["owner", "block", *MESSAGE])
 
 
-MESSAGE = ("key", "index", "sets", "doc_set", "doc_order", "doc_size", "sketches")
+MESSAGE = ("key", "new", "sets", "doc_set", "doc_order", "doc_size", "sketches")
 
 
 def _shared(frame: pd.DataFrame) -> pd.DataFrame:
     """Of one owner: a row per document, with its sketch, and a row (set, key) per set and name that several sets share."""
     key = joined(frame["key"], U64)
-    of = np.concatenate([np.frombuffer(s, U64)[np.frombuffer(i, U32)] for i, s in zip(frame["index"], frame["sets"])])
+    of = np.concatenate([
+        np.frombuffer(s, U64)[np.cumsum(np.unpackbits(np.frombuffer(new, np.uint8), count=len(k) // 8), dtype=np.int64)]
+        for k, new, s in zip(frame["key"], frame["new"], frame["sets"])
+    ])
     at = np.lexsort((of, key))
     key, of = key[at], of[at]
     runs = run_starts(key, of)
