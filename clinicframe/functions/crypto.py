@@ -44,7 +44,7 @@ def encrypted_columns(
     kept = [c for c in df.columns if c not in (cipher_name, iv_name, token_name)]
     return df.select(*kept, plain.alias("__plain"), blob.alias("__blob")).select(
         *kept,
-        F.substring("__blob", IV_BYTES + 1, 1 << 30).alias(cipher_name),
+        F.expr(f"substring(__blob, {IV_BYTES + 1})").alias(cipher_name),
         F.substring("__blob", 1, IV_BYTES).alias(iv_name),
         token("__plain").alias(token_name),
     )

@@ -15,7 +15,8 @@ methods share the work:
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,15 +26,13 @@ from clinicframe.functions.text import in_order
 from clinicframe.model import Clinic
 from clinicframe.operators.billing import paid_to_date
 from clinicframe.operators.skew import join_grouped
+from clinicframe.schemas import DOMAINS
 from clinicframe.session import ensure_checkpoint_dir
 
 FOLD_ROWS = 1_000
 CHUNK_ROWS = 200_000
-MAX_CHUNKS = 10_000
-BROADCAST_GROUPS = 1_000
 # Kinds of steps, in the order they apply within a group.
 FREE, LOWER, RAISE = 0, 1, 2
-Attach = Callable[..., DataFrame]
 
 
 def accept_steps(
@@ -58,16 +57,10 @@ def accept_steps(
         return _fold(marked, limits, group, arrival, columns)
     ensure_checkpoint_dir(rows.sparkSession)
     large = sizes.select(group).checkpoint()
-    # One row per large group: broadcast while they are few, else joined with the hot key split.
-    attach = _attach_small if groups <= BROADCAST_GROUPS else join_grouped
-    small = _fold(attach(marked, large, group, "left_anti").select(*marked.columns), limits, group, arrival, columns)
-    chunks = min(-(-total // chunk_rows), MAX_CHUNKS)
-    hot = attach(marked, large, group, "left_semi").select(*marked.columns)
-    return small.unionByName(_by_halving(hot, limits, group, arrival, columns, chunks, attach))
-
-
-def _attach_small(many: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    return many.join(F.broadcast(small), key, how)
+    small = _fold(join_grouped(marked, large, group, "left_anti").select(*marked.columns), limits, group, arrival, columns)
+    chunks = -(-total // chunk_rows)
+    hot = join_grouped(marked, large, group, "left_semi").select(*marked.columns)
+    return small.unionByName(_by_halving(hot, limits, group, arrival, columns, chunks))
 
 
 def _fold(marked: DataFrame, room: DataFrame, group: str, arrival: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -89,7 +82,7 @@ def _fold(marked: DataFrame, room: DataFrame, group: str, arrival: Sequence[str]
 
 
 def _by_halving(
-    marked: DataFrame, room: DataFrame, group: str, arrival: Sequence[str], columns: Sequence[str], chunks: int, attach: Attach
+    marked: DataFrame, room: DataFrame, group: str, arrival: Sequence[str], columns: Sequence[str], chunks: int
 ) -> DataFrame:
     cents, kind, at = F.col("__cents"), F.col("__kind"), F.col("__at")
     placed = (
@@ -102,23 +95,23 @@ def _by_halving(
     freed = placed.groupBy(group).agg(F.sum(F.when(kind == FREE, cents).otherwise(0)).alias("__freed"))
     start = freed.join(room, group, "left").withColumn("left", (F.col("room") * 100).cast("bigint") - F.col("__freed"))
     start = start.checkpoint()
-    lowering = attach(placed.filter(kind == LOWER).select(group, "__at", "__cents"), start.select(group, "left"), group)
+    lowering = join_grouped(placed.filter(kind == LOWER).select(group, "__at", "__cents"), start.select(group, "left"), group)
     # Until one step brings the room to zero or above none is accepted, and from there on all are.
     first = lowering.filter(cents <= F.col("left")).groupBy(group).agg(F.min("__at").alias("__first"))
-    given = attach(lowering, first, group).filter(at >= F.col("__first")).groupBy(group).agg(F.sum("__cents").alias("__given"))
+    given = join_grouped(lowering, first, group).filter(at >= F.col("__first")).groupBy(group).agg(F.sum("__cents").alias("__given"))
     state = start.join(first, group, "left").join(given, group, "left").select(
         group, "room", "__first", (F.col("left") - F.coalesce("__given", F.lit(0))).alias("left"),
         F.lit(None).cast(at_type).alias("after"), F.array().cast(f"array<{span}>").alias("spans"),
     ).withColumn("active", F.coalesce(F.col("left") > 0, F.lit(False))).checkpoint()
     taking = placed.filter(kind == RAISE).select(group, *arrival, "__chunk", "__at", "__cents")
     while not state.filter("active").isEmpty():
-        state = _halve(taking, state, group, arrival, span, attach).checkpoint()
+        state = _halve(taking, state, group, arrival, span).checkpoint()
 
     def in_span(s: Column) -> Column:
         inside = (s["after"].isNull() | (at > s["after"])) & (s["until"].isNull() | (at <= s["until"]))
         return F.coalesce(inside & ((cents < s["base"]) | (at == s["until"])), F.lit(False))
 
-    judged = attach(placed, state.select(group, "room", "__first", "spans"), group)
+    judged = join_grouped(placed, state.select(group, "room", "__first", "spans"), group)
     fits = F.when(kind == FREE, True).when(kind == LOWER, F.coalesce(at >= F.col("__first"), F.lit(False))).when(
         kind == RAISE, F.exists("spans", in_span)
     ).otherwise(False)
@@ -126,13 +119,13 @@ def _by_halving(
 
 
 def _halve(
-    taking: DataFrame, state: DataFrame, group: str, arrival: Sequence[str], span: str, attach: Attach
+    taking: DataFrame, state: DataFrame, group: str, arrival: Sequence[str], span: str
 ) -> DataFrame:
     """Advance every active group past the point where its room drops below its power of two."""
     cents, base, left = F.col("__cents"), F.col("base"), F.col("left")
     current = state.withColumn("base", F.expr("shiftleft(1L, length(bin(`left`)) - 1)"))
     ahead = F.col("after").isNull() | (F.col("__at") > F.col("after"))
-    live = attach(taking, current.filter("active").select(group, "left", "after", "base"), group).filter(ahead & (cents <= left))
+    live = join_grouped(taking, current.filter("active").select(group, "left", "after", "base"), group).filter(ahead & (cents <= left))
     is_small = cents < base
     small = F.when(is_small, cents).otherwise(0)
     up_to_here = Window.partitionBy(group, "__chunk").orderBy(*arrival).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -196,18 +189,27 @@ def accept_payments(clinic: Clinic, incoming: DataFrame, arrival: Sequence[str]
     return judged.withColumn("reject_reason", reason).drop("room")
 
 
+def _known_options(columns: Sequence[str]) -> dict[str, Column]:
+    """For the options an edit sets: whether the value is one of those allowed."""
+    domains = {name: values for name, values in DOMAINS["payments"].items() if name in columns}
+    return {name: F.coalesce(F.col(name).isin(*values), F.lit(False)) for name, values in domains.items()}
+
+
 def edit_payments(clinic: Clinic, edits: DataFrame, arrival: Sequence[str] = ("payment_id",), **limits: int) -> DataFrame:
     """Judge edits of recorded payments: the other payments plus the new amount must not exceed the price.
 
     A batch holds at most one edit per payment. Within an order, edits to REFUNDED
     come first and always pass, then edits that lower the counted amount, then those
-    that raise it, each kind in arrival order. Adds ``order_id``, ``accepted`` and ``reject_reason``.
+    that raise it, each kind in arrival order. Unknown methods and statuses are refused. Adds ``order_id``, ``accepted`` and ``reject_reason``.
     """
     own = clinic.payments.select("payment_id", "order_id", counted_amount().alias("__own"))
-    matched = edits.join(own, "payment_id", "left").withColumn("__step", (_positive_amount() - F.col("__own")).cast("decimal(11,2)"))
+    options = _known_options(edits.columns)
+    step = (_positive_amount() - F.col("__own")).cast("decimal(11,2)")
+    matched = edits.join(own, "payment_id", "left").withColumn("__step", F.when(reduce(lambda a, b: a & b, options.values(), F.lit(True)), step))
     judged = _judge(clinic, matched, arrival, F.col("__step"), **limits)
     reason = (
         F.when(F.col("order_id").isNull(), "unknown payment")
+        .when(~options.get("payment_method", F.lit(True)), "unknown method").when(~options.get("status", F.lit(True)), "unknown status")
         .when(F.col("__step").isNull(), "amount not positive")
         .when(~F.col("accepted"), "exceeds balance")
     )

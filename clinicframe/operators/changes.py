@@ -22,6 +22,7 @@ from clinicframe.operators.keys import assign_ids, free_patient_numbers, high_wa
 from clinicframe.operators.quality import account_rules
 from clinicframe.operators.skew import join_grouped
 from clinicframe.schemas import PANEL_OF_TEST, PRIMARY_KEY, REFERENCES, panel_fields
+from clinicframe.session import ensure_checkpoint_dir
 
 
 def moment(now: datetime | None) -> Column:
@@ -35,10 +36,16 @@ def _day(as_of: date | None) -> Column:
 # Inserts
 
 
-def insert_if_absent(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Add the rows whose key is not present yet; a NULL key counts as absent."""
+def insert_if_absent(existing: DataFrame, new: DataFrame, key: str, order_by: Sequence[str] = ()) -> DataFrame:
+    """Add the rows whose key is not present yet; a NULL key counts as absent.
+
+    Of new rows with one key the first is added, in the order of ``order_by`` or else of all columns.
+    """
     fresh = new.join(existing.select(key), key, "left_anti")
-    return existing.unionByName(fresh, allowMissingColumns=True)
+    first = F.min_by(F.struct(*new.columns), F.struct(*(order_by or new.columns)))
+    named = fresh.filter(F.col(key).isNotNull()).groupBy(key).agg(first.alias("row")).select("row.*")
+    added = named.unionByName(fresh.filter(F.col(key).isNull()).select(*new.columns))
+    return existing.unionByName(added, allowMissingColumns=True)
 
 
 def orders_by_test_name(clinic: Clinic, requests: DataFrame) -> DataFrame:
@@ -135,7 +142,7 @@ def post_results(
     """Add panel rows given as text and complete their orders.
 
     Blank texts become NULL. Refused with a reason: unknown orders, orders that have
-    this panel already, repeats within the batch after the first, unreadable numbers.
+    this panel already, unreadable numbers, readable sheets after an order's first one.
     What is known of an order is put together first, so the sheets join only once
     and an order with very many of them can be split.
     """
@@ -148,12 +155,13 @@ def post_results(
     bad = reduce(lambda a, b: a | b, [F.col(f.name).isNotNull() & F.col(f"__{f.name}").isNull() for f in fields])
     have = clinic.table(panel).select("order_id", F.lit(True).alias("__have"))
     known = clinic.lab_test.select("order_id", F.lit(True).alias("__known"))
-    first = results.groupBy("order_id").agg(F.min(in_order(order_by)).alias("__first"))
+    read = results.withColumns(texts).withColumns(values)
+    first = read.groupBy("order_id").agg(F.min(F.when(~bad, in_order(order_by))).alias("__first"))
     facts = first.join(known, "order_id", "left").join(have, "order_id", "left")
-    judged = join_grouped(results.withColumns(texts).withColumns(values), facts, "order_id", "left").withColumn(
+    judged = join_grouped(read, facts, "order_id", "left").withColumn(
         "reject_reason",
         F.when(F.col("__known").isNull(), "unknown order").when(F.col("__have").isNotNull(), "result exists")
-        .when(in_order(order_by) != F.col("__first"), "repeated in batch").when(bad, "unreadable number"),
+        .when(bad, "unreadable number").when(in_order(order_by) != F.col("__first"), "repeated in batch"),
     )
     good = judged.filter(F.col("reject_reason").isNull())
     key = PRIMARY_KEY[panel]
@@ -173,12 +181,17 @@ def post_results(
 # Updates
 
 
-def patch_rows(table: DataFrame, patch: DataFrame, key: str, columns: Sequence[str], now: datetime | None = None) -> DataFrame:
+def patch_rows(
+    table: DataFrame, patch: DataFrame, key: str, columns: Sequence[str], now: datetime | None = None, order_by: Sequence[str] = ()
+) -> DataFrame:
     """Set the columns of every row whose key is in ``patch``, NULL included.
 
-    ``patch`` has one row per key. ``updated_at`` moves only where a value really changes.
+    Of rows with one key the last counts, in the order of ``order_by`` or else of the
+    columns set. ``updated_at`` moves only where a value really changes.
     """
-    new = patch.select(key, F.lit(True).alias("__hit"), *[F.col(c).alias(f"__{c}") for c in columns])
+    last = F.max_by(F.struct(*columns), F.struct(*(order_by or columns)))
+    one = patch.groupBy(key).agg(last.alias("__new"))
+    new = one.select(key, F.lit(True).alias("__hit"), *[F.col(f"__new.{c}").alias(f"__{c}") for c in columns])
     hit = F.col("__hit").isNotNull()
     values = {c: F.when(hit, F.col(f"__{c}").cast(table.schema[c].dataType)).otherwise(F.col(c)) for c in columns}
     differs = reduce(lambda a, b: a | b, [~F.col(f"__{c}").cast(table.schema[c].dataType).eqNullSafe(F.col(c)) for c in columns])
@@ -294,17 +307,24 @@ def cascade_delete_orders(clinic: Clinic, orders: DataFrame) -> Clinic:
     return clinic.with_tables(**{t: delete_keys(clinic.table(t), orders, "order_id") for t in ("lab_test", *children)})
 
 
+def _found(orders: DataFrame) -> DataFrame:
+    """The order numbers to delete, found once for all tables that hold rows of them."""
+    ensure_checkpoint_dir(orders.sparkSession)
+    return orders.checkpoint()
+
+
 def cascade_delete_patients(clinic: Clinic, patients: DataFrame) -> Clinic:
     """Delete patients with all their orders; their accounts stay without a patient."""
     gone = patients.select("patient_id").distinct()
-    orders = join_grouped(clinic.lab_test, gone, "patient_id", "left_semi").select("order_id")
+    orders = _found(join_grouped(clinic.lab_test, gone, "patient_id", "left_semi").select("order_id"))
     after = cascade_delete_orders(clinic, orders)
     users = _forget_patients(clinic.app_users, gone)
     return after.with_tables(clinic_patients=delete_keys(clinic.clinic_patients, gone, "patient_id"), app_users=users)
 
 
 def _forget_patients(users: DataFrame, gone: DataFrame) -> DataFrame:
-    marked = users.join(gone.withColumn("__gone", F.lit(True)), "patient_id", "left")
+    # Most staff accounts have no patient: one key with very many rows.
+    marked = join_grouped(users, gone.withColumn("__gone", F.lit(True)), "patient_id", "left")
     kept = F.when(F.col("__gone").isNull(), F.col("patient_id"))
     return marked.withColumn("patient_id", kept).select(*users.columns)
 
@@ -312,7 +332,7 @@ def _forget_patients(users: DataFrame, gone: DataFrame) -> DataFrame:
 def cascade_delete_tests(clinic: Clinic, tests: DataFrame) -> Clinic:
     """Delete catalog tests with all orders of them."""
     gone = tests.select("test_id").distinct()
-    orders = join_grouped(clinic.lab_test, gone, "test_id", "left_semi").select("order_id")
+    orders = _found(join_grouped(clinic.lab_test, gone, "test_id", "left_semi").select("order_id"))
     after = cascade_delete_orders(clinic, orders)
     return after.with_tables(lab_test_catalog=delete_keys(clinic.lab_test_catalog, gone, "test_id"))
 
@@ -340,5 +360,6 @@ def renumber_orders(clinic: Clinic, numbers: DataFrame) -> Clinic:
 
 
 def _rekey(table: DataFrame, names: DataFrame, key: str) -> DataFrame:
-    joined = table.join(names.select(key, f"new_{key}"), key, "left")
+    one = names.groupBy(key).agg(F.max(f"new_{key}").alias(f"new_{key}"))
+    joined = join_grouped(table, one, key, "left")
     return joined.withColumn(key, F.coalesce(f"new_{key}", key)).select(*table.columns)

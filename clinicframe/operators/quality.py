@@ -100,11 +100,12 @@ def panel_mismatches(clinic: Clinic) -> DataFrame:
     """
     tests = clinic.lab_test_catalog.select("test_id", "test_name")
     orders = clinic.lab_test.select("order_id", "test_id", "status").join(tests, "test_id").drop("test_id")
+    rows = [clinic.table(p).select("order_id", *[F.lit(p == q).alias(f"has_{q}") for q in PANEL_OF_TEST.values()]) for p in PANEL_OF_TEST.values()]
+    have = reduce(DataFrame.unionByName, rows).groupBy("order_id").agg(*[F.bool_or(f"has_{p}").alias(f"has_{p}") for p in PANEL_OF_TEST.values()])
+    orders = orders.join(have, "order_id", "left")
     test, done, findings = F.col("test_name"), F.col("status") == "COMPLETED", []
     for name, panel in PANEL_OF_TEST.items():
-        have = clinic.table(panel).select("order_id").distinct().withColumn(f"has_{panel}", F.lit(True))
-        orders = orders.join(have, "order_id", "left")
-        has = F.col(f"has_{panel}").isNotNull()
+        has = F.coalesce(f"has_{panel}", F.lit(False))
         stray = F.struct(F.lit("panel of another test").alias("rule"), F.lit(panel).alias("panel"))
         lacking = F.struct(F.lit("completed without panel").alias("rule"), F.lit(panel).alias("panel"))
         findings += [F.when(has & (test != name), stray), F.when(~has & (test == name) & done, lacking)]

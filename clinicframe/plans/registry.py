@@ -132,11 +132,11 @@ register(
 )
 register(
     "q09", lambda d: listings.abnormal_protein(d.clinic),
-    sql("select ua_id, order_id, ph, protein, other_findings from urinalysis where protein not in ('Negative')"),
+    sql("select ua_id, order_id, ph, protein, other_findings from urinalysis where protein <> 'Negative'"),
 )
 register(
     "q10", lambda d: listings.parasites_found(d.clinic),
-    sql("select fa_id, order_id, appearance, parasite_id, other_findings from fecalysis where parasite_id not in ('None')"),
+    sql("select fa_id, order_id, appearance, parasite_id, other_findings from fecalysis where parasite_id <> 'None'"),
 )
 register(
     "lookup_by_key", lambda d: listings.lookup_many(d.clinic.lab_test, d.payments_with(status="REFUNDED"), "order_id"),
@@ -144,13 +144,13 @@ register(
 )
 register(
     "orderable_tests", lambda d: listings.orderable_tests(d.clinic),
-    sql("select test_id, test_name from lab_test_catalog where test_name = 'CBC' or test_name = 'URINALYSIS' or test_name = 'FECALYSIS'"),
+    sql("select test_id, test_name from lab_test_catalog where test_name in ('CBC', 'URINALYSIS', 'FECALYSIS')"),
 )
 register(
     "patient_picker", lambda d: listings.patient_picker(d.clinic),
     sql("select patient_id, patient_name as full_name from people order by last_name, first_name"),
 )
-register("test_picker", lambda d: listings.test_picker(d.clinic), sql("select test_id, test_name from lab_test_catalog order by 2"))
+register("test_picker", lambda d: listings.test_picker(d.clinic), sql("select test_id, test_name from lab_test_catalog order by test_name"))
 _user_columns = ", ".join(listings.USER_COLUMNS)
 register("user_list", lambda d: listings.user_list(d.clinic), sql(f"select {_user_columns} from app_users order by username"))
 register("active_users", lambda d: listings.active_users(d.clinic), sql(f"select {_user_columns} from app_users where is_active order by username"))
@@ -319,10 +319,10 @@ register(
 _order_columns = _columns("lab_test")
 register(
     "insert_if_absent",
-    lambda d: changes.insert_if_absent(d.clinic.clinic_patients.select("patient_id", "first_name"), d.intake.demo_patients(), "patient_id"),
-    sql("""select patient_id, first_name from clinic_patients union all select * from fresh
-        where patient_id not in (select patient_id from clinic_patients)""",
-        fresh="""select case when s_acctbal < 5000 then 'DEMO-' || s_suppkey else printf('PAT-%03d', s_suppkey + 1) end as patient_id,
+    lambda d: changes.insert_if_absent(d.clinic.clinic_patients.select("patient_id", "first_name"), d.intake.demo_patients(), "patient_id", ("first_name",)),
+    sql("""select patient_id, first_name from clinic_patients union all select patient_id, min(first_name) from fresh
+        where patient_id not in (select patient_id from clinic_patients) group by patient_id""",
+        fresh="""select case when s_acctbal < 5000 then 'DEMO-' || (s_suppkey // 2) else printf('PAT-%03d', s_suppkey + 1) end as patient_id,
         s_name as first_name from supplier"""),
 )
 _resolved = "select r.*, t.test_id from in_requests r join lab_test_catalog t using (test_name) join clinic_patients p using (patient_id)"
@@ -380,9 +380,9 @@ def _posted(d: Data) -> changes.PostedResults:
 
 _sheets = {
     "sheets": """select payment_id as sheet, order_id, amount_paid, payment_method, status,
-        row_number() over (partition by order_id order by payment_id) as place from payments""",
-    "judged": """select s.*, case when c.order_id is not null then 'result exists' when s.place > 1 then 'repeated in batch'
-        when s.status = 'REFUNDED' then 'unreadable number' end as reject_reason from sheets s left join cbc c using (order_id)""",
+        row_number() over (partition by order_id, status = 'REFUNDED' order by payment_id) as place from payments""",
+    "judged": """select s.*, case when c.order_id is not null then 'result exists' when s.status = 'REFUNDED' then 'unreadable number'
+        when s.place > 1 then 'repeated in batch' end as reject_reason from sheets s left join cbc c using (order_id)""",
 }
 register(
     "post_results", lambda d: _posted(d).lab_test,
@@ -786,11 +786,21 @@ register(
 
 def _row_rule(rule: str) -> Run:
     def run(d: Data) -> DataFrame:
-        checked = {"clinic_patients": d.intake.patients(), "lab_test": d.intake.orders(), "payments": d.intake.payments(), "app_users": d.intake.users()}
-        return reduce(DataFrame.unionByName, [quality.row_violations(t, df, rule) for t, df in checked.items() if _has_rules(t, rule)])
+        return reduce(DataFrame.unionByName, [quality.row_violations(t, df, rule) for t, df in _unchecked(d).items() if _has_rules(t, rule)])
     return run
 
 
+def _unchecked(d: Data) -> dict[str, DataFrame]:
+    """All eight tables as an import might bring them: prices too low, blood counts on the wrong orders, long protein readings."""
+    return {
+        "clinic_patients": d.intake.patients(), "lab_test": d.intake.orders(), "payments": d.intake.payments(), "app_users": d.intake.users(),
+        "lab_test_catalog": d.clinic.lab_test_catalog.withColumn("price", F.col("price") - 1000),
+        "cbc": d.clinic.cbc.withColumn("order_id", F.floor(F.col("order_id") / 2)),
+        "urinalysis": d.clinic.urinalysis.withColumn("protein", F.rpad("protein", 21, ".")),
+        "fecalysis": d.clinic.fecalysis,
+    }
+
+
 def _has_rules(table: str, rule: str) -> bool:
     return bool(quality.RULES[rule](table))
 
@@ -807,7 +817,8 @@ _Y, _U = ("payments", "in_payments", "payment_id"), ("app_users", "in_users", "u
 register("dq_not_null", _row_rule("not_null"), _rule_sql("not_null", [(*_P, "first_name", "first_name is null")]))
 register(
     "dq_checks", _row_rule("check"),
-    _rule_sql("check", [(*_P, "age", "age < 0"), (*_P, "sex", "sex not in ('M', 'F')"), (*_Y, "amount_paid", "amount_paid <= 0")]),
+    _rule_sql("check", [(*_P, "age", "age < 0"), (*_P, "sex", "sex not in ('M', 'F')"), (*_Y, "amount_paid", "amount_paid <= 0"),
+                         ("lab_test_catalog", "lab_test_catalog", "test_id", "price", "price <= 1000")]),
 )
 register(
     "dq_enums", _row_rule("enum"),
@@ -816,7 +827,8 @@ register(
         (*_Y, "status", "status not in ('PAID', 'PARTIAL', 'REFUNDED')"), (*_U, "role_name", "role_name = 'role_guest'"),
     ]),
 )
-register("dq_lengths", _row_rule("length"), _rule_sql("length", [(*_P, "sex", "length(sex) > 1"), (*_P, "patient_id", "length(patient_id) > 10")]))
+register("dq_lengths", _row_rule("length"), _rule_sql("length", [(*_P, "sex", "length(sex) > 1"), (*_P, "patient_id", "length(patient_id) > 10"),
+                                                                   ("urinalysis", "urinalysis", "ua_id", "protein", "protein is not null")]))
 
 
 def _unique_sql(parts: list[tuple[str, str, str]]) -> str:
@@ -828,12 +840,12 @@ def _unique_sql(parts: list[tuple[str, str, str]]) -> str:
 
 register(
     "dq_unique",
-    lambda d: quality.duplicate_keys("clinic_patients", d.intake.patients())
-    .unionByName(quality.duplicate_keys("payments", d.intake.payments())).unionByName(quality.duplicate_keys("app_users", d.intake.users())),
-    _unique_sql([("clinic_patients", "in_patients", "contact"), ("payments", "in_payments", "payment_id")]),
+    lambda d: reduce(DataFrame.unionByName, [quality.duplicate_keys(t, df) for t, df in _unchecked(d).items()]),
+    _unique_sql([("clinic_patients", "in_patients", "contact"), ("payments", "in_payments", "payment_id"),
+                 ("cbc", "(select order_id // 2 as order_id from cbc)", "order_id")]),
 )
 register(
-    "dq_orphans", lambda d: quality.orphans(d.imported, ("lab_test", "payments", "app_users")),
+    "dq_orphans", lambda d: quality.orphans(d.imported),
     sql("""select 'reference' as rule, 'lab_test' as table_name, cast(order_id as varchar) as row_key, 'patient_id' as column_name,
         patient_id as value from in_orders where patient_id not in (select patient_id from clinic_patients)
         union all select 'reference', 'lab_test', cast(order_id as varchar), 'test_id', cast(test_id as varchar) from in_orders
@@ -841,7 +853,13 @@ register(
         union all select 'reference', 'payments', cast(payment_id as varchar), 'order_id', cast(order_id as varchar) from in_payments
         where order_id not in (select order_id from in_orders)
         union all select 'reference', 'app_users', cast(user_id as varchar), 'patient_id', patient_id from app_users
-        where patient_id not in (select patient_id from clinic_patients)"""),
+        where patient_id not in (select patient_id from clinic_patients)
+        union all select 'reference', 'cbc', cast(cbc_id as varchar), 'order_id', cast(order_id as varchar) from cbc
+        where order_id not in (select order_id from in_orders)
+        union all select 'reference', 'urinalysis', cast(ua_id as varchar), 'order_id', cast(order_id as varchar) from urinalysis
+        where order_id not in (select order_id from in_orders)
+        union all select 'reference', 'fecalysis', cast(fa_id as varchar), 'order_id', cast(order_id as varchar) from fecalysis
+        where order_id not in (select order_id from in_orders)"""),
 )
 register(
     "dq_overpaid", lambda d: quality.overpaid_orders(d.clinic),

@@ -93,9 +93,9 @@ class Intake:
         )
 
     def demo_patients(self) -> DataFrame:
-        """Patients to insert unless their identifier is taken."""
+        """Patients to insert unless their identifier is taken; some identifiers come twice."""
         key = F.col("s_suppkey")
-        code = F.when(F.col("s_acctbal") < 5000, F.concat(F.lit("DEMO-"), key.cast("string"))).otherwise(patient_code(key + 1))
+        code = F.when(F.col("s_acctbal") < 5000, F.concat(F.lit("DEMO-"), F.floor(key / 2).cast("string"))).otherwise(patient_code(key + 1))
         return self._read("supplier").select(code.alias("patient_id"), F.col("s_name").alias("first_name"))
 
     def account_changes(self) -> DataFrame:

@@ -65,7 +65,6 @@ def test_one_group_holding_nearly_everything(spark):
 
 
 def test_many_large_groups_are_not_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(caps, "BROADCAST_GROUPS", 0)
     entries, rooms = random_case(3, 6, 40, 300)
     assert judge(spark, entries, rooms, fold_rows=5, chunk_rows=20) == reckon(entries, rooms)
 

@@ -6,6 +6,7 @@ from datetime import date, datetime
 from decimal import Decimal as D
 
 import pytest
+from conftest import money  # noqa: F401
 from conftest import KEY, THEN, rows
 from pyspark.sql import functions as F
 
@@ -235,3 +236,24 @@ def test_renumber_orders_only_without_panels(clinic, spark):
     after = changes.renumber_orders(clinic, numbers)
     assert {r[0] for r in rows(after.lab_test, "order_id")} == {1, 2, 3, 40, 5, 6, 7, 8}
     assert quality.orphans(after).isEmpty()
+
+
+def test_repeats_in_a_batch_change_each_row_once(clinic, spark):
+    table = clinic.clinic_patients.select("patient_id", "first_name")
+    new = spark.createDataFrame([("PAT-900", "Zed", 2), ("PAT-900", "Amy", 1), (None, "No", 3), (None, "Id", 4), ("PAT-001", "Old", 5)], "patient_id string, first_name string, at int")
+    added = changes.insert_if_absent(table, new.drop("at"), "patient_id", ("first_name",))
+    assert added.count() == table.count() + 3 and added.filter("patient_id = 'PAT-900' and first_name = 'Amy'").count() == 1
+    patch = spark.createDataFrame([(1, "PENDING", 1), (1, "CANCELLED", 2)], "order_id long, status string, at int")
+    patched = changes.patch_rows(clinic.lab_test, patch, "order_id", ("status",), order_by=("at",))
+    assert patched.count() == clinic.lab_test.count() and patched.filter("order_id = 1").first()["status"] == "CANCELLED"
+    numbers = spark.createDataFrame([(4, 40), (4, 41)], "order_id long, new_order_id long")
+    moved = changes.renumber_orders(clinic, numbers)
+    assert moved.lab_test.count() == clinic.lab_test.count() and moved.lab_test.filter("order_id = 41").count() == 1
+
+
+def test_a_good_sheet_after_an_unreadable_one_is_posted(clinic, spark):
+    blank = {c: "" for c in ("wbc", "rbc", "hematocrit", "platelets", "mcv", "mch", "neutrophils", "lymphocytes", "monocytes", "eosinophils", "basophils")}
+    sheets = spark.createDataFrame([{"sheet": n, "order_id": 5, "hemoglobin": h, **blank} for n, h in ((1, "n/a"), (2, "12.5"), (3, "13"))])
+    posted = changes.post_results(clinic, "cbc", sheets, ("sheet",))
+    assert posted.panel.filter("order_id = 5").first()["hemoglobin"] == money("12.50")
+    assert sorted(r["reject_reason"] for r in posted.rejected.collect()) == ["repeated in batch", "unreadable number"]
