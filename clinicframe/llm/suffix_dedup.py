@@ -37,6 +37,8 @@ from clinicframe.llm.common import I64, U32, U64, Rolling, block_count, blocked_
 LENGTH = 100
 GRAM = 32
 HOT = 2000
+#: Owners of stretches for each block; a suffix array takes more memory than the texts it comes from.
+OWNERS = 3
 #: Starts of one text that are looked at together.
 PART = 1 << 19
 _PLACE = np.uint64((1 << 21) - 1)
@@ -240,7 +242,11 @@ def _repeats(frame: pd.DataFrame, length: int) -> pd.DataFrame:
     stretch = np.repeat(chosen, times)
     step = np.arange(len(stretch)) - np.repeat(np.cumsum(times) - times, times)
     if len(stretch):
-        spots = place[runs][stretch] + step
+        # Only their bytes are kept on; most stretches are alone with their anchor.
+        long = size[runs][chosen]
+        begin = np.cumsum(long) - long
+        data = data[np.repeat(place[runs][chosen] - begin, long) + np.arange(long.sum())]
+        spots = np.repeat(begin, times) + step
         names = Rolling(_BYTES[data]).at(spots, length)
         _, where, counts = np.unique(names, return_inverse=True, return_counts=True)
         live = counts[where] > 1
@@ -323,7 +329,7 @@ def _rounds(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     anchors = texts.groupBy("block").applyInPandas(lambda f: _anchors(f, blocks, length), "owner int, block int, keys binary, many binary, stretches binary")
     shared = anchors.groupBy("owner").applyInPandas(_shared, "block int, keys binary, hot binary")
     fields = ", ".join(f"{c} binary" for c in ("anchor", "name", "count", "low", "low_start", "high", "high_start", "content"))
-    sent = texts.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(lambda f, a: _sent(f, a, blocks, length), f"owner int, block int, {fields}")
+    sent = texts.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(lambda f, a: _sent(f, a, OWNERS * blocks, length), f"owner int, block int, {fields}")
     repeats = sent.groupBy("owner").applyInPandas(lambda f: _repeats(f, length), "block int, " + ", ".join(f"{c} binary" for c in REPEATS))
     return texts, repeats
 
