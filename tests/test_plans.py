@@ -7,6 +7,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry
+from clinicframe.plans import registry
 from clinicframe.operators import access, aggregates, billing, joins, listings
 from clinicframe.plans.explain import plan_text
 from clinicframe.sources import tables
@@ -69,7 +70,7 @@ def test_audit_broadcasts_only_the_fixed_grants(stored, spark):
     assert plan.count("BroadcastHashJoin") == 1 and plan.count("SortMergeJoin") == 1
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_no_python_workers_and_no_nested_loops(spark, name):
     plan = plan_text(entry.queries()[name](spark, SF_DIR), "simple")
     for bad in ("EvalPython", "InPandas", "InArrow", "CartesianProduct", "BroadcastNestedLoopJoin"):
