@@ -18,8 +18,9 @@ from clinicframe.functions.crypto import encrypted_columns
 from clinicframe.functions.text import blank_to_null, in_order, patient_code, stripped
 from clinicframe.model import Clinic
 from clinicframe.operators.encryption import CONTACT, with_encryption_columns
+from clinicframe.operators.firstcome import one_at_a_time, taken_keys
 from clinicframe.operators.keys import assign_ids, free_patient_numbers, high_water_mark, number_rows
-from clinicframe.operators.quality import account_rules
+from clinicframe.operators.quality import CHECKS, account_rules
 from clinicframe.operators.skew import join_grouped
 from clinicframe.schemas import PANEL_OF_TEST, PRIMARY_KEY, REFERENCES, panel_fields
 from clinicframe.session import ensure_checkpoint_dir
@@ -71,18 +72,50 @@ def place_orders(
     return clinic.lab_test.unionByName(new)
 
 
+def refused_order_requests(clinic: Clinic, requests: DataFrame) -> DataFrame:
+    """The requests that place no order, with the reason."""
+    people = clinic.clinic_patients.select("patient_id", F.lit(True).alias("__person"))
+    tests = clinic.lab_test_catalog.select("test_name", F.lit(True).alias("__test")).distinct()
+    looked_up = requests.join(people, "patient_id", "left")
+    reason = F.when(F.col("__person").isNull(), "unknown patient").when(F.col("__test").isNull(), "unknown test")
+    judged = join_grouped(looked_up, tests, "test_name", "left").withColumn("reject_reason", reason)
+    return judged.filter(F.col("reject_reason").isNotNull()).select(*requests.columns, "reject_reason")
+
+
+class RegisteredPatients(NamedTuple):
+    """The new patient table and the refused arrivals."""
+
+    clinic_patients: DataFrame
+    rejected: DataFrame
+
+
 def register_patients(
     clinic: Clinic, arrivals: DataFrame, order_by: Sequence[str], key: str | bytes, now: datetime | None = None
-) -> DataFrame:
-    """The patient table with the arrivals added: identifiers filled into gaps, contact encrypted."""
-    numbered = number_rows(arrivals, order_by, "rank")
+) -> RegisteredPatients:
+    """The patient table with the arrivals added: identifiers filled into gaps, contact encrypted.
+
+    Refused with a reason: a negative age, an unknown sex, and a contact that a patient
+    or an earlier accepted arrival has.
+    """
+    cleaned = arrivals.withColumns({c: stripped(F.coalesce(c, F.lit(""))) for c in ("sex", "contact")})
+    broken = [F.when(~F.expr(rule), F.lit(f"bad {name}")) for name, rule in CHECKS["clinic_patients"].items()]
+    checked = taken_keys(clinic.clinic_patients, cleaned, {"contact": "contact exists"})
+    screened = checked.withColumn("reject_reason", F.coalesce(*broken, "__taken")).drop("__taken")
+    decided = one_at_a_time(
+        screened.filter(F.col("reject_reason").isNull()).drop("reject_reason"), {"contact": "contact repeated in batch"}, order_by
+    )
+    numbered = number_rows(decided.filter("accepted").select(*arrivals.columns), order_by, "rank")
     numbers = free_patient_numbers(clinic.clinic_patients, numbered.count())
     text = {c: stripped(F.coalesce(c, F.lit(""))) for c in ("first_name", "last_name", "sex", "address", "contact")}
     moments = {c: moment(now) for c in ("registered_at", "created_at", "updated_at")}
     new = numbered.join(numbers, "rank").withColumns({"patient_id": patient_code(F.col("number")), **text, **moments})
     existing = with_encryption_columns(clinic.clinic_patients, CONTACT)
     plain = [c for c in existing.columns if c not in CONTACT.stored]
-    return existing.unionByName(encrypted_columns(new.select(*plain), F.col("contact"), key, *CONTACT.stored))
+    rejected = screened.filter(F.col("reject_reason").isNotNull()).select(*order_by, "reject_reason").unionByName(
+        decided.filter(~F.col("accepted")).select(*order_by, "reject_reason")
+    )
+    sealed = encrypted_columns(new.select(*plain), F.col("contact"), key, *CONTACT.stored)
+    return RegisteredPatients(existing.unionByName(sealed), rejected)
 
 
 class AddedUsers(NamedTuple):
@@ -100,7 +133,7 @@ def add_users(
     ``requests`` holds ``username``, ``password_hash``, ``role_name``, ``patient_id``,
     ``mysql_username`` (the username where blank) and the columns of ``order_by``.
     Refused with a reason: malformed names or roles, unknown patients, and names or
-    patients that have an account or repeat an earlier well-formed request.
+    patients that have an account or that an earlier accepted request has.
     """
     login = stripped("username")
     cleaned = requests.withColumns({
@@ -111,20 +144,20 @@ def add_users(
     known = cleaned.join(people, "patient_id", "left").withColumn("reject_reason", F.coalesce(
         *broken, F.when(F.col("patient_id").isNotNull() & F.col("__person").isNull(), "unknown patient")
     ))
-    for key, what in (("username", "name"), ("patient_id", "patient")):
-        taken = clinic.app_users.filter(F.col(key).isNotNull()).select(key).distinct().withColumn("__taken", F.lit(True))
-        sound = known.filter(F.col("reject_reason").isNull() & F.col(key).isNotNull())
-        first = sound.groupBy(key).agg(F.min(in_order(order_by)).alias("__first")).join(taken, key, "left")
-        known = join_grouped(known, first, key, "left").withColumn("reject_reason", F.coalesce(
-            "reject_reason", F.when(F.col("__taken"), f"{what} has an account"),
-            F.when(in_order(order_by) != F.col("__first"), f"{what} repeated in batch"),
-        )).drop("__taken", "__first")
+    checked = taken_keys(clinic.app_users, known.drop("__person"), {"username": "name has an account", "patient_id": "patient has an account"})
+    screened = checked.withColumn("reject_reason", F.coalesce("reject_reason", "__taken")).drop("__taken")
+    decided = one_at_a_time(
+        screened.filter(F.col("reject_reason").isNull()).drop("reject_reason"),
+        {"username": "name repeated in batch", "patient_id": "patient repeated in batch"}, order_by,
+    )
     last = high_water_mark(clinic.app_users, "user_id") if high_water is None else high_water
-    numbered = assign_ids(known.filter(F.col("reject_reason").isNull()), "user_id", order_by, last)
+    numbered = assign_ids(decided.filter("accepted"), "user_id", order_by, last)
     new = numbered.withColumns({"is_active": F.lit(True), "created_at": moment(now), "updated_at": moment(now)})
     return AddedUsers(
         clinic.app_users.unionByName(new.select(*clinic.app_users.columns)),
-        known.filter(F.col("reject_reason").isNotNull()).select(*order_by, "username", "reject_reason"),
+        screened.filter(F.col("reject_reason").isNotNull()).select(*order_by, "username", "reject_reason").unionByName(
+            decided.filter(~F.col("accepted")).select(*order_by, "username", "reject_reason")
+        ),
     )
 
 

@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clinicframe.functions.crypto import encrypted_columns
-from clinicframe.functions.text import blank_to_null, in_order
+from clinicframe.functions.text import blank_to_null
 from clinicframe.model import Clinic
 from clinicframe.operators.caps import accept_payments, edit_payments
 from clinicframe.operators.changes import moment, patch_rows
 from clinicframe.operators.encryption import RECEIPT, encrypt_column, with_encryption_columns
+from clinicframe.operators.firstcome import one_at_a_time, taken_keys
 from clinicframe.operators.keys import assign_ids, high_water_mark
 from clinicframe.operators.quality import payment_input
-from clinicframe.operators.skew import join_grouped
 
 
 class RecordedPayments(NamedTuple):
@@ -36,25 +36,18 @@ def record_payments(
     ``entries`` holds ``order_id``, ``amount_text``, ``payment_method``, ``status``,
     ``receipt_number`` and the columns of ``order_by``, which identify an entry.
     Method and status default to CASH and PAID. A receipt may be used once: entries
-    with one already on the ledger are refused, and so are all readable entries of a
-    batch with the same receipt except the first.
+    with one already on the ledger are refused, and so are those whose receipt an
+    earlier accepted entry of the batch has. A refused entry leaves its receipt free.
     """
     typed = entries.withColumns({
         "payment_method": F.coalesce("payment_method", F.lit("CASH")), "status": F.coalesce("status", F.lit("PAID")),
         "receipt_number": blank_to_null("receipt_number"),
     })
     parsed = payment_input(typed).withColumn("amount_paid", F.col("amount").try_cast("decimal(10,2)"))
-    used = clinic.payments.select("receipt_number").distinct().withColumn("__used", F.lit(True))
-    readable = parsed.filter(F.col("reject_reason").isNull() & F.col("receipt_number").isNotNull())
-    first = readable.groupBy("receipt_number").agg(F.min(in_order(order_by)).alias("__first")).join(used, "receipt_number", "left")
-    screened = join_grouped(parsed, first, "receipt_number", "left").withColumn(
-        "reject_reason",
-        F.coalesce(
-            "reject_reason", F.when(F.col("__used"), "receipt exists").when(in_order(order_by) != F.col("__first"), "receipt repeated")
-        ),
-    ).drop("__used", "__first")
+    checked = taken_keys(clinic.payments, parsed, {"receipt_number": "receipt exists"})
+    screened = checked.withColumn("reject_reason", F.coalesce("reject_reason", "__taken")).drop("__taken")
     fit = screened.filter(F.col("reject_reason").isNull()).drop("reject_reason")
-    judged = accept_payments(clinic, fit, order_by)
+    judged = one_at_a_time(fit, {"receipt_number": "receipt repeated"}, order_by, lambda rows: accept_payments(clinic, rows, order_by))
     last = high_water_mark(clinic.payments, "payment_id") if high_water is None else high_water
     numbered = assign_ids(judged.filter("accepted"), "payment_id", order_by, last)
     new = numbered.select(

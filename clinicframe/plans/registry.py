@@ -362,7 +362,7 @@ register(
 )
 register(
     "register_patients",
-    lambda d: changes.register_patients(_with_gaps(d), d.intake.walk_ins(), ("arrival",), TEST_KEY, NOW).select(
+    lambda d: changes.register_patients(_with_gaps(d), d.intake.walk_ins(), ("arrival",), TEST_KEY, NOW).clinic_patients.select(
         "patient_id", "first_name", "last_name", "age", "address", "contact", "registered_at", "contact_token_hash",
         encryption.visible(CONTACT, TEST_KEY).alias("visible_contact"),
     ),
@@ -374,6 +374,28 @@ register(
 )
 
 
+def _applicants(d: Data) -> DataFrame:
+    """The unchecked import as arrivals: negative ages, unknown sexes, few contacts."""
+    return d.intake.patients().withColumnRenamed("patient_id", "arrival").withColumn("address", F.lit(""))
+
+
+register(
+    "register_patients_rejected",
+    lambda d: changes.register_patients(d.clinic, _applicants(d), ("arrival",), TEST_KEY, NOW).rejected,
+    sql("""select patient_id as arrival, reject_reason from (
+        select patient_id, case when age < 0 then 'bad age' when sex not in ('M', 'F') then 'bad sex'
+        when row_number() over (partition by contact, age >= 0 and sex in ('M', 'F') order by patient_id) > 1 then 'contact repeated in batch'
+        end as reject_reason from in_patients) where reject_reason is not null"""),
+)
+register(
+    "order_requests_rejected",
+    lambda d: changes.refused_order_requests(d.clinic, d.intake.order_requests()).select("event_id", "reject_reason"),
+    sql("""select event_id, case when patient_id not in (select patient_id from clinic_patients) then 'unknown patient' else 'unknown test' end
+        as reject_reason from in_requests where patient_id not in (select patient_id from clinic_patients)
+        or test_name not in (select test_name from lab_test_catalog)"""),
+)
+
+
 def _posted(d: Data) -> changes.PostedResults:
     return changes.post_results(d.clinic, "cbc", batches.result_sheets(d.clinic), ("sheet",), NOW)
 
@@ -633,7 +655,7 @@ def _accepted(d: Data, recorded: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 register(
-    "accept_payments", lambda d: _accepted(d, d.clinic.payments.limit(0), d.clinic.payments),
+    "accept_payments", lambda d: _accepted(d, d.clinic.payments.filter(F.lit(False)), d.clinic.payments),
     sql(_verdict, True, incoming="select * from counted", known="select 0 as order_id, 0 as paid where false", **_walk),
 )
 register(
@@ -642,6 +664,22 @@ register(
     sql(_verdict, True, incoming="select * from counted where payment_method <> 'INSURANCE'",
         known="select order_id, sum(net) as paid from counted where payment_method = 'INSURANCE' group by order_id", **_walk),
 )
+
+
+def _hot_orders(d: Data) -> DataFrame:
+    """Judge every payment as one of ten orders, which cost 300 times as much and have nothing paid yet."""
+    dear = d.clinic.lab_test_catalog.withColumn("price", (F.col("price") * 300).cast("decimal(10,2)"))
+    few = d.clinic.payments.withColumn("order_id", F.col("payment_id") % 10 + 1)
+    empty = d.clinic.with_tables(lab_test_catalog=dear, payments=d.clinic.payments.filter(F.lit(False)))
+    return caps.accept_payments(empty, few).select("payment_id", "order_id", "accepted", "reject_reason")
+
+
+register(
+    "accept_payments_hot", _hot_orders,
+    sql(_verdict, True, ranked="""select c.payment_id, payment_id % 10 + 1 as order_id, net, t.price * 300 as room,
+        row_number() over (partition by payment_id % 10 order by payment_date, payment_id) as rn
+        from counted c join lab_test o on o.order_id = payment_id % 10 + 1 join lab_test_catalog t using (test_id)""", walk=_walk["walk"]),
+)
 _edit_walk = {
     "edits": """select payment_id, order_id, net as own, payment_method = 'GCASH' as refund,
         case payment_method when 'GCASH' then 0 when 'CASH' then amount_paid * 2 when 'CARD' then cast(amount_paid / 2 as decimal(10,2))
@@ -673,12 +711,18 @@ _entered = {
         case payment_method when 'CARD' then null when 'GCASH' then receipt_number when 'INSURANCE' then 'N-' || order_id
              else 'E-' || payment_id end as receipt from payments""",
     "known": "select order_id, sum(net) as paid from counted where status = 'PARTIAL' group by order_id",
+    # Only insurance receipts repeat, and only within an order.
     "screened": """select i.*, case when receipt in (select receipt_number from payments where status = 'PARTIAL' and receipt_number is not null)
-        then 'receipt exists' when receipt is not null and row_number() over (partition by receipt order by entry) > 1
-        then 'receipt repeated' end as refused from incoming i""",
-    "ranked": """select s.*, row_number() over (partition by order_id order by entry) as rn, b.price - coalesce(k.paid, 0) as room
-        from screened s join bill b using (order_id) left join known k using (order_id) where refused is null""",
-    "walk": _walk["walk"],
+        then 'receipt exists' end as refused from incoming i""",
+    "ranked": """select s.*, row_number() over (partition by order_id order by entry) as rn, b.price - coalesce(k.paid, 0) as room,
+        payment_method = 'INSURANCE' as shared from screened s join bill b using (order_id) left join known k using (order_id)
+        where refused is null""",
+    "walk": """select order_id, payment_id, rn, (net = 0 or net <= room) as accepted, false as repeated,
+        case when net <= room then room - net else room end as room_left, shared and (net = 0 or net <= room) as used from ranked where rn = 1
+        union all select r.order_id, r.payment_id, r.rn, not (r.shared and w.used) and (r.net = 0 or r.net <= w.room_left), r.shared and w.used,
+        case when not (r.shared and w.used) and r.net <= w.room_left then w.room_left - r.net else w.room_left end,
+        w.used or (r.shared and (r.net = 0 or r.net <= w.room_left))
+        from walk w join ranked r on r.order_id = w.order_id and r.rn = w.rn + 1""",
 }
 register(
     "record_payments",
@@ -696,7 +740,8 @@ register(
 register(
     "record_payments_rejected", lambda d: _recorded(d).rejected.select("entry", "order_id", "reject_reason"),
     sql("""select entry, order_id, refused as reject_reason from screened where refused is not null
-        union all select payment_id, order_id, 'exceeds balance' from walk where not accepted""", True, **_entered),
+        union all select payment_id, order_id, case when repeated then 'receipt repeated' else 'exceeds balance' end
+        from walk where not accepted""", True, **_entered),
 )
 register(
     "apply_payment_edits",

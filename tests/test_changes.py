@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from datetime import date, datetime
 from decimal import Decimal as D
 
@@ -11,6 +12,7 @@ from conftest import KEY, THEN, rows
 from pyspark.sql import functions as F
 
 from clinicframe.operators import changes, encryption, keys, ledger, quality
+from clinicframe.operators.firstcome import one_at_a_time
 from clinicframe.operators.encryption import CONTACT, RECEIPT
 
 NOW = datetime(2024, 7, 1, 12, 0, 0)
@@ -58,7 +60,7 @@ def test_register_patients(clinic, spark):
         [(1, " Flo ", "Reed", 40, "F", "", "0907"), (2, "Gus", "Ray", 41, "M", "Pier", "")],
         "arrival int, first_name string, last_name string, age int, sex string, address string, contact string",
     )
-    table = changes.register_patients(clinic, arrivals, ("arrival",), KEY, NOW)
+    table = changes.register_patients(clinic, arrivals, ("arrival",), KEY, NOW).clinic_patients
     new = table.filter("patient_id in ('PAT-004', 'PAT-007')").withColumn("seen", encryption.visible(CONTACT, KEY))
     assert sorted(rows(new, "patient_id", "first_name", "address", "contact", "seen", "created_at")) == [
         ("PAT-004", "Flo", "", "0907", "0907", NOW), ("PAT-007", "Gus", "Pier", "", "", NOW),
@@ -66,6 +68,27 @@ def test_register_patients(clinic, spark):
     assert table.count() == 7
 
 
+def test_register_patients_refuses_broken_rules(clinic, spark):
+    arrivals = spark.createDataFrame(
+        [(1, "Flo", "Reed", -5, "F", "", "0907"), (2, "Gus", "Ray", 41, "Q", "", "0908"), (3, "Una", "Fox", 41, " F ", "", "0907"),
+         (4, "Una", "Fox", 41, "F", "", "0907 "), (5, "Una", "Fox", None, "F", "", "0909")],
+        "arrival int, first_name string, last_name string, age int, sex string, address string, contact string",
+    )
+    done = changes.register_patients(clinic, arrivals, ("arrival",), KEY, NOW)
+    assert sorted(rows(done.rejected)) == [(1, "bad age"), (2, "bad sex"), (4, "contact repeated in batch")]
+    assert done.clinic_patients.count() == 7
+    again = changes.register_patients(clinic.with_tables(clinic_patients=done.clinic_patients), arrivals.filter("arrival = 3"), ("arrival",), KEY, NOW)
+    assert rows(again.rejected) == [(3, "contact exists")]
+
+
+def test_refused_order_requests(clinic, spark):
+    requests = spark.createDataFrame(
+        [(1, "PAT-006", "CBC"), (2, "PAT-404", "CBC"), (3, "PAT-006", "X-RAY"), (4, None, None)], "n int, patient_id string, test_name string"
+    )
+    refused = changes.refused_order_requests(clinic, requests)
+    assert sorted(rows(refused, "n", "reject_reason")) == [(2, "unknown patient"), (3, "unknown test"), (4, "unknown patient")]
+
+
 def test_place_orders(clinic, spark):
     requests = spark.createDataFrame(
         [(1, "PAT-006", "CBC"), (2, "PAT-404", "CBC"), (3, "PAT-006", "X-RAY"), (4, "PAT-001", "LIPIDS")], "n int, patient_id string, test_name string"
@@ -191,6 +214,31 @@ def test_record_payments(clinic, spark):
     ]
 
 
+def test_refused_entries_leave_their_receipt_free(clinic, spark):
+    # Entry 1 does not fit order 5, so 2 takes its receipt; 2 then uses up the room that 3 wanted, so 4 takes that one's.
+    entries = spark.createDataFrame(
+        [(1, 5, "9999", "X-1"), (2, 5, "150", "X-1"), (3, 5, "100", "X-2"), (4, 5, "50", "X-2"), (5, 5, "1", "X-1")],
+        "n int, order_id long, amount_text string, receipt_number string",
+    ).withColumns({"payment_method": F.lit("CASH"), "status": F.lit("PAID")})
+    recorded = ledger.record_payments(clinic, entries, ("n",), KEY, now=NOW)
+    assert sorted(rows(recorded.payments.filter("payment_id > 6"), "amount_paid", "receipt_number")) == [(D("50.00"), "X-2"), (D("150.00"), "X-1")]
+    assert sorted(rows(recorded.rejected, "n", "reject_reason")) == [(1, "exceeds balance"), (3, "exceeds balance"), (5, "receipt repeated")]
+
+
+def test_first_come_against_one_after_another(spark):
+    rng = random.Random(8)
+    data = [(n, rng.choice([None, *range(25)]), rng.choice([None, *range(25)])) for n in range(120)]
+    taken, expected = (set(), set()), {}
+    for n, a, b in data:
+        expected[n] = a not in taken[0] and b not in taken[1]
+        if expected[n]:
+            for keys_taken, value in zip(taken, (a, b)):
+                if value is not None:
+                    keys_taken.add(value)
+    decided = one_at_a_time(spark.createDataFrame(data, "n int, a int, b int"), {"a": "a taken", "b": "b taken"}, ("n",))
+    assert dict(rows(decided, "n", "accepted")) == expected
+
+
 def test_apply_payment_edits(clinic, spark):
     sealed = clinic.with_tables(payments=encryption.encrypt_column(clinic.payments, RECEIPT, KEY, "empty"))
     edits = spark.createDataFrame(
