@@ -49,6 +49,8 @@ COMMON = 0.1
 MOST_SPARE = 4
 #: Cells of a set's sketch.
 SKETCH = 256
+#: Names that a task deals or sorts at once.
+PORTION = 1 << 19
 
 
 def bands(ratio: float = BAND_RATIO) -> list[int]:
@@ -147,23 +149,34 @@ def sketch(tokens: np.ndarray) -> bytes:
     return np.minimum(np.bincount((tokens >> np.uint64(40)).astype(np.int64) % SKETCH, minlength=SKETCH), 255).astype(np.uint8).tobytes()
 
 
-def _indexed(frame: pd.DataFrame, owners: int, plans: dict[int, Scheme], n: int, percent: int) -> pd.DataFrame:
-    """One message per owner: names with their sets, and the block's documents, dealt by set."""
-    docs, found, seen = [], [], {}
-    for order, text in unpacked(frame):
-        tokens = ngrams(text, n)
-        name = set_name(tokens)
-        docs.append((name, order, len(tokens), sketch(tokens)))
-        if len(tokens) and name not in seen:
-            seen[name] = len(seen)
-            own = all_names(tokens, plans, percent)
-            found.append((own, np.full(len(own), seen[name], U32)))
-    distinct = np.array(list(seen), U64)
+def _indexed(frames: Iterator[pd.DataFrame], owners: int, plans: dict[int, Scheme], n: int, percent: int) -> Iterator[pd.DataFrame]:
+    """Messages of one block to the owners, each portion of its documents on its own: names with their sets, and the documents, dealt by set."""
+    block, docs, found, seen, size = 0, [], [], set(), 0
+    for frame in frames:
+        block = int(frame["block"].iloc[0])
+        for order, text in unpacked(frame):
+            tokens = ngrams(text, n)
+            name = set_name(tokens)
+            docs.append((name, order, len(tokens), sketch(tokens)))
+            if len(tokens) and name not in seen:
+                seen.add(name)
+                found.append((name, all_names(tokens, plans, percent)))
+                size += len(found[-1][1])
+            if size >= PORTION:
+                yield _messages(block, docs, found, owners)
+                docs, found, size = [], [], 0
+    if docs:
+        yield _messages(block, docs, found, owners)
+
+
+def _messages(block: int, docs: list[tuple[int, int, int, bytes]], found: list[tuple[int, np.ndarray]], owners: int) -> pd.DataFrame:
+    distinct = np.array([name for name, _ in found], U64)
     doc_set = np.array([d[0] for d in docs], U64)
     doc_order, doc_size = (np.array([d[k] for d in docs], I64) for k in (1, 2))
     sketches = np.frombuffer(b"".join(d[3] for d in docs), np.uint8).reshape(-1, SKETCH)
-    key, of = np.concatenate([*(f[0] for f in found), np.zeros(0, U64)]), np.concatenate([*(f[1] for f in found), np.zeros(0, U32)])
-    block, messages = int(frame["block"].iloc[0]), {}
+    key = np.concatenate([*(own for _, own in found), np.zeros(0, U64)])
+    of = np.repeat(np.arange(len(found), dtype=U32), [len(own) for _, own in found])
+    messages = {}
     for owner, at in deal(key, owners):
         here, index = np.unique(of[at], return_inverse=True)
         # Names stand in the order of their sets: one bit each says whether a new set begins.
@@ -177,27 +190,38 @@ def _indexed(frame: pd.DataFrame, owners: int, plans: dict[int, Scheme], n: int,
 MESSAGE = ("key", "new", "sets", "doc_set", "doc_order", "doc_size", "sketches")
 
 
-def _shared(frame: pd.DataFrame) -> pd.DataFrame:
+def _shared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of one owner: a row per document, with its sketch, and a row (set, key) per set and name that several sets share."""
-    key = joined(frame["key"], U64)
-    of = np.concatenate([
-        np.frombuffer(s, U64)[np.cumsum(np.unpackbits(np.frombuffer(new, np.uint8), count=len(k) // 8), dtype=np.int64)]
-        for k, new, s in zip(frame["key"], frame["new"], frame["sets"])
-    ])
-    at = np.lexsort((of, key))
-    key, of = key[at], of[at]
-    runs = run_starts(key, of)
-    key, of = key[runs], of[runs]
-    groups = run_starts(key)
-    several = np.repeat(np.diff(np.append(groups, len(key))) > 1, np.diff(np.append(groups, len(key))))
-    docs = [joined(frame[c], d) for c, d in (("doc_set", U64), ("doc_order", I64), ("doc_size", I64))]
-    held = b"".join(frame["sketches"])
-    block = np.repeat(frame["block"].to_numpy(), [len(x) // 8 for x in frame["doc_set"]])
-    listed = pd.DataFrame({
-        "set": docs[0].view(I64), "doc_order": docs[1], "size": docs[2], "block": block, "key": 0,
-        "sketch": [held[SKETCH * k : SKETCH * (k + 1)] for k in range(len(block))],
-    })
-    return pd.concat([listed, pd.DataFrame({"set": of[several].view(I64), "doc_order": 0, "size": -1, "block": -1, "key": key[several].view(I64), "sketch": b""})])
+    held = []
+    for frame in frames:
+        docs = [joined(frame[c], d) for c, d in (("doc_set", U64), ("doc_order", I64), ("doc_size", I64))]
+        sketches = b"".join(frame["sketches"])
+        block = np.repeat(frame["block"].to_numpy(), [len(x) // 8 for x in frame["doc_set"]])
+        yield pd.DataFrame({
+            "set": docs[0].view(I64), "doc_order": docs[1], "size": docs[2], "block": block, "key": 0,
+            "sketch": [sketches[SKETCH * k : SKETCH * (k + 1)] for k in range(len(block))],
+        })
+        held += zip(frame["key"], frame["new"], frame["sets"])
+    # Equal names fall into one portion, so portions can be sorted one by one.
+    portions = 1 << (sum(len(k) for k, _, _ in held) // 8 // PORTION).bit_length()
+    for portion in range(portions):
+        parts = [_portion(*message, portion, portions) for message in held]
+        key, of = (np.concatenate([*(part[k] for part in parts), np.zeros(0, U64)]) for k in (0, 1))
+        at = np.lexsort((of, key))
+        key, of = key[at], of[at]
+        runs = run_starts(key, of)
+        key, of = key[runs], of[runs]
+        lengths = np.diff(np.append(run_starts(key), len(key)))
+        several = np.repeat(lengths > 1, lengths)
+        yield pd.DataFrame({"set": of[several].view(I64), "doc_order": 0, "size": -1, "block": -1, "key": key[several].view(I64), "sketch": b""})
+
+
+def _portion(keys: bytes, new: bytes, sets: bytes, portion: int, portions: int) -> tuple[np.ndarray, np.ndarray]:
+    """The names of a message that fall into the portion, with their sets."""
+    key = np.frombuffer(keys, U64)
+    here = np.flatnonzero((key >> np.uint64(44)) & np.uint64(portions - 1) == portion)
+    of = np.cumsum(np.unpackbits(np.frombuffer(new, np.uint8), count=len(key)), dtype=np.int64)
+    return key[here], np.frombuffer(sets, U64)[of[here]]
 
 
 def _contents(frame: pd.DataFrame, wanted: pd.DataFrame, n: int) -> pd.DataFrame:
@@ -272,9 +296,11 @@ def near_components(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) ->
     ensure_checkpoint_dir(spark)
     blocks = block_count(spark)
     plans = schemes(docs, n, percent)
-    sent = blocked_texts(docs, blocks).groupBy("block").applyInPandas(
-        lambda f: _indexed(f, blocks, plans, n, percent), "owner int, block int, " + ", ".join(f"{c} binary" for c in MESSAGE)
-    )
+
+    def indexed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _indexed(frames, blocks, plans, n, percent)
+
+    sent = blocked_texts(docs, blocks).groupBy("block").applyInPandas(indexed, "owner int, block int, " + ", ".join(f"{c} binary" for c in MESSAGE))
     table = sent.groupBy("owner").applyInPandas(_shared, "set long, doc_order long, size long, block int, key long, sketch binary").checkpoint()
     listed = table.filter("size >= 0")
     # A set goes by its smallest document from here on.
