@@ -10,6 +10,7 @@ per block. The owner answers each block in the same way. Both counts follow
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -19,6 +20,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clinicframe.session import ensure_checkpoint_dir
+
 BLOCKS_PER_PARTITION = 1
 #: A missing doc_id sorts after every other.
 LAST_ID = np.iinfo(np.int64).max
@@ -88,6 +91,13 @@ def id_filter(ids: DataFrame, column: str) -> np.ndarray:
     return out
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows, written as Parquet to the shared checkpoint folder and read again: lineage ends there, in fewer bytes than a checkpoint takes."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def unpacked(frame: pd.DataFrame) -> Iterator[tuple[int, bytes]]:
     """(order, UTF-8 text) of each document of a block."""
     expand = zstandard.ZstdDecompressor().decompress

@@ -12,7 +12,7 @@ entries, thin segments cost comparisons. The spared weight lets sets leave out t
 empty segments, which would otherwise meet for nothing.
 
 Blocks of documents send segment names to their owners, which answer with the names that
-several sets share. Sets are then compared, by sketches and then exactly, in two rounds: each with the first set
+several sets share. An owner tells names apart by 32 bits; names that clash only add comparisons. Sets are then compared, by sketches and then exactly, in two rounds: each with the first set
 of its names, and, within a name whose sets did not all end up in one component, those
 outside the first set's component with the sets of other components. Sets in one
 component need no comparison, so a large group of near copies costs about one each.
@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clinicframe.llm.common import I64, U32, U64, WORDS, Rolling, block_count, blocked_texts, deal, id_filter, identifier, joined, mix, run_starts, unpacked
+from clinicframe.llm.common import I64, U32, U64, WORDS, Rolling, block_count, blocked_texts, deal, id_filter, identifier, joined, mix, run_starts, stored, unpacked
 from clinicframe.llm.components import components
 from clinicframe.session import ensure_checkpoint_dir
 
@@ -177,11 +177,12 @@ def _messages(block: int, docs: list[tuple[int, int, int, bytes]], found: list[t
     key = np.concatenate([*(own for _, own in found), np.zeros(0, U64)])
     of = np.repeat(np.arange(len(found), dtype=U32), [len(own) for _, own in found])
     messages = {}
-    for owner, at in deal(key, owners):
+    # The upper half of a name chooses the owner, who gets the lower half.
+    for owner, at in deal(key >> np.uint64(12), owners):
         here, index = np.unique(of[at], return_inverse=True)
         # Names stand in the order of their sets: one bit each says whether a new set begins.
         new = np.packbits(np.diff(index, prepend=0).astype(np.uint8)).tobytes()
-        messages[owner] = [key[at].tobytes(), new, distinct[here].tobytes(), b"", b"", b"", b""]
+        messages[owner] = [key[at].astype(U32).tobytes(), new, distinct[here].tobytes(), b"", b"", b"", b""]
     for owner, at in deal(mix(doc_set ^ doc_order.astype(U64)), owners):
         messages.setdefault(owner, [b"", b"", b"", b"", b"", b"", b""])[3:] = [doc_set[at].tobytes(), doc_order[at].tobytes(), doc_size[at].tobytes(), sketches[at].tobytes()]
     return pd.DataFrame([(o, block, *m) for o, m in messages.items()], columns=["owner", "block", *MESSAGE])
@@ -202,24 +203,25 @@ def _shared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             "sketch": [sketches[SKETCH * k : SKETCH * (k + 1)] for k in range(len(block))],
         })
         held += zip(frame["key"], frame["new"], frame["sets"])
+        owner = int(frame["owner"].iloc[0])
     # Equal names fall into one portion, so portions can be sorted one by one.
-    portions = 1 << (sum(len(k) for k, _, _ in held) // 8 // PORTION).bit_length()
+    portions = 1 << (sum(len(k) for k, _, _ in held) // 4 // PORTION).bit_length()
     for portion in range(portions):
         parts = [_portion(*message, portion, portions) for message in held]
-        key, of = (np.concatenate([*(part[k] for part in parts), np.zeros(0, U64)]) for k in (0, 1))
+        key, of = (np.concatenate([*(part[k] for part in parts), np.zeros(0, d)]) for k, d in ((0, U32), (1, U64)))
         at = np.lexsort((of, key))
         key, of = key[at], of[at]
         runs = run_starts(key, of)
         key, of = key[runs], of[runs]
         lengths = np.diff(np.append(run_starts(key), len(key)))
         several = np.repeat(lengths > 1, lengths)
-        yield pd.DataFrame({"set": of[several].view(I64), "doc_order": 0, "size": -1, "block": -1, "key": key[several].view(I64), "sketch": b""})
+        yield pd.DataFrame({"set": of[several].view(I64), "doc_order": 0, "size": -1, "block": -1, "key": (owner << 32) + key[several].astype(I64), "sketch": b""})
 
 
 def _portion(keys: bytes, new: bytes, sets: bytes, portion: int, portions: int) -> tuple[np.ndarray, np.ndarray]:
     """The names of a message that fall into the portion, with their sets."""
-    key = np.frombuffer(keys, U64)
-    here = np.flatnonzero((key >> np.uint64(44)) & np.uint64(portions - 1) == portion)
+    key = np.frombuffer(keys, U32)
+    here = np.flatnonzero(key & np.uint32(portions - 1) == portion)
     of = np.cumsum(np.unpackbits(np.frombuffer(new, np.uint8), count=len(key)), dtype=np.int64)
     return key[here], np.frombuffer(sets, U64)[of[here]]
 
@@ -301,15 +303,15 @@ def near_components(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) ->
         return _indexed(frames, blocks, plans, n, percent)
 
     sent = blocked_texts(docs, blocks).groupBy("block").applyInPandas(indexed, "owner int, block int, " + ", ".join(f"{c} binary" for c in MESSAGE))
-    table = sent.groupBy("owner").applyInPandas(_shared, "set long, doc_order long, size long, block int, key long, sketch binary").checkpoint()
+    table = stored(sent.groupBy("owner").applyInPandas(_shared, "set long, doc_order long, size long, block int, key long, sketch binary"))
     listed = table.filter("size >= 0")
     # A set goes by its smallest document from here on.
     sets = listed.filter("size > 0").groupBy("set").agg(F.min(F.struct("doc_order", "block", "size", "sketch")).alias("m"))
-    sets = sets.select("set", F.col("m.doc_order").alias("node"), "m.block", "m.size", "m.sketch").checkpoint()
+    sets = stored(sets.select("set", F.col("m.doc_order").alias("node"), "m.block", "m.size", "m.sketch"))
     named = table.filter("size < 0").select("key", "set").join(sets.select("set", "node", "size"), "set").select("key", "node", "size")
     alike = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
     leaders = named.groupBy("key").agg(F.min(F.struct("node", "size")).alias("leader"))
-    led = named.join(leaders, "key").select("key", "node", "size", "leader.*").toDF("key", "node", "size", "leader", "leader_size").checkpoint()
+    led = stored(named.join(leaders, "key").select("key", "node", "size", "leader.*").toDF("key", "node", "size", "leader", "leader_size"))
     stars = led.filter("node <> leader").filter(alike(F.col("size"), F.col("leader_size"))).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     links = compared(stars, sets, docs, n, percent)
 
@@ -317,7 +319,7 @@ def near_components(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) ->
     placed = led.join(found.select("node", F.col("component").alias("own")), "node", "left").join(
         found.select(F.col("node").alias("leader"), F.col("component").alias("led")), "leader", "left"
     )
-    placed = placed.select("key", "node", "size", "leader", F.coalesce("own", "node").alias("own"), F.coalesce("led", "leader").alias("led")).checkpoint()
+    placed = stored(placed.select("key", "node", "size", "leader", F.coalesce("own", "node").alias("own"), F.coalesce("led", "leader").alias("led")))
     apart = placed.filter("own <> led").select("key", F.col("node").alias("x"), F.col("size").alias("x_size"), F.col("own").alias("x_own"), F.col("led").alias("x_led"))
     others = placed.filter("node <> leader").select("key", F.col("node").alias("y"), F.col("size").alias("y_size"), F.col("own").alias("y_own"))
     # Two sets outside the first component meet once, from the smaller; one inside meets those outside.

@@ -7,7 +7,9 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
+import zstandard
 from llm_cases import LAST, reachable
 
 from clinicframe.llm import common, cover_dedup, golomb_dedup, ngram_join, suffix_dedup, weighted_mix
@@ -187,3 +189,19 @@ def test_empty_tables(documents):
         golomb_dedup.exact_groups(none), cover_dedup.digest(none), suffix_dedup.digest(none), ngram_join.near_components(none), weighted_mix.mix(none)
     ):
         assert df.count() == 0
+
+
+def test_names_in_portions(monkeypatch):
+    texts = [" ".join(f"w{(k + j * (j > k)) % 90}" for j in range(60)) for k in range(40)]
+    plans = {b: s for b in range(12) if (s := ngram_join.scheme(b, 40))}
+    frame = pd.DataFrame({"block": 3, "doc_order": range(40), "packed": [zstandard.compress(t.encode()) for t in texts]})
+
+    def found(portion):
+        monkeypatch.setattr(ngram_join, "PORTION", portion)
+        sent = pd.concat(ngram_join._indexed(iter([frame]), 4, plans, 4, 85))
+        out = pd.concat([x for _, group in sent.groupby("owner") for x in ngram_join._shared(iter([group]))])
+        return sorted(map(tuple, out.to_numpy().tolist()))
+
+    whole = found(1 << 19)
+    assert sum(r[2] >= 0 for r in whole) == 40 and sum(r[2] < 0 for r in whole) > 100
+    assert found(16) == whole
