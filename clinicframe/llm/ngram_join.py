@@ -17,10 +17,13 @@ of its names, and, within a name whose sets did not all end up in one component,
 outside the first set's component with the sets of other components. Sets in one
 component need no comparison, so a large group of near copies costs about one each.
 
+Links run between sets, each under its own hash, never between identifiers; only a finished
+component takes the smallest doc_id of its rows. Rows without doc_id, or with the same one,
+are therefore documents of their own, linked by their texts alone.
+
 Nulls: a null text has no words and an empty set; empty sets are linked with nothing. A
-null doc_id sorts last and is returned as null. Equal sets are linked. Rows repeated with
-one doc_id are one document with all their links. An empty table gives no rows; further
-columns are ignored. Texts are taken whole.
+null doc_id sorts last and is returned as null. Equal sets are linked. An empty table gives
+no rows; further columns are ignored. Texts are taken whole.
 """
 
 from __future__ import annotations
@@ -35,8 +38,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clinicframe.llm.common import I64, U32, U64, WORDS, Rolling, block_count, blocked_texts, deal, id_filter, identifier, joined, mix, run_starts, stored, unpacked
+from clinicframe.llm.common import I64, LAST_ID, U32, U64, WORDS, Rolling, block_count, blocked_texts, deal, id_filter, identifier, joined, mix, run_starts, stored, unpacked
 from clinicframe.llm.components import components
+from clinicframe.operators.skew import join_grouped
 from clinicframe.session import ensure_checkpoint_dir
 
 NGRAM = 4
@@ -131,6 +135,11 @@ def set_name(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) if len(tokens) else 0
 
 
+def text_name(text: bytes) -> int:
+    """What Spark's xxhash64 gives for the text, as an unsigned number."""
+    return xxhash.xxh64_intdigest(text, seed=42)
+
+
 def band_of(size: int) -> int:
     return int(np.searchsorted(BANDS, size, side="right")) - 1
 
@@ -157,7 +166,7 @@ def _indexed(frames: Iterator[pd.DataFrame], owners: int, plans: dict[int, Schem
         for order, text in unpacked(frame):
             tokens = ngrams(text, n)
             name = set_name(tokens)
-            docs.append((name, order, len(tokens), sketch(tokens)))
+            docs.append((name, order, len(tokens), sketch(tokens), text_name(text)))
             if len(tokens) and name not in seen:
                 seen.add(name)
                 found.append((name, all_names(tokens, plans, percent)))
@@ -169,9 +178,9 @@ def _indexed(frames: Iterator[pd.DataFrame], owners: int, plans: dict[int, Schem
         yield _messages(block, docs, found, owners)
 
 
-def _messages(block: int, docs: list[tuple[int, int, int, bytes]], found: list[tuple[int, np.ndarray]], owners: int) -> pd.DataFrame:
+def _messages(block: int, docs: list[tuple[int, int, int, bytes, int]], found: list[tuple[int, np.ndarray]], owners: int) -> pd.DataFrame:
     distinct = np.array([name for name, _ in found], U64)
-    doc_set = np.array([d[0] for d in docs], U64)
+    doc_set, doc_text = (np.array([d[k] for d in docs], U64) for k in (0, 4))
     doc_order, doc_size = (np.array([d[k] for d in docs], I64) for k in (1, 2))
     sketches = np.frombuffer(b"".join(d[3] for d in docs), np.uint8).reshape(-1, SKETCH)
     key = np.concatenate([*(own for _, own in found), np.zeros(0, U64)])
@@ -182,25 +191,26 @@ def _messages(block: int, docs: list[tuple[int, int, int, bytes]], found: list[t
         here, index = np.unique(of[at], return_inverse=True)
         # Names stand in the order of their sets: one bit each says whether a new set begins.
         new = np.packbits(np.diff(index, prepend=0).astype(np.uint8)).tobytes()
-        messages[owner] = [key[at].astype(U32).tobytes(), new, distinct[here].tobytes(), b"", b"", b"", b""]
+        messages[owner] = [key[at].astype(U32).tobytes(), new, distinct[here].tobytes(), b"", b"", b"", b"", b""]
     for owner, at in deal(mix(doc_set ^ doc_order.astype(U64)), owners):
-        messages.setdefault(owner, [b"", b"", b"", b"", b"", b"", b""])[3:] = [doc_set[at].tobytes(), doc_order[at].tobytes(), doc_size[at].tobytes(), sketches[at].tobytes()]
+        messages.setdefault(owner, [b""] * len(MESSAGE))[3:] = [x[at].tobytes() for x in (doc_set, doc_order, doc_size, sketches, doc_text)]
     return pd.DataFrame([(o, block, *m) for o, m in messages.items()], columns=["owner", "block", *MESSAGE])
 
 
-MESSAGE = ("key", "new", "sets", "doc_set", "doc_order", "doc_size", "sketches")
+MESSAGE = ("key", "new", "sets", "doc_set", "doc_order", "doc_size", "sketches", "doc_text")
 
 
 def _shared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of one owner: a row per document, with its sketch, and a row (set, key) per set and name that several sets share."""
     held = []
     for frame in frames:
-        docs = [joined(frame[c], d) for c, d in (("doc_set", U64), ("doc_order", I64), ("doc_size", I64))]
+        docs = [joined(frame[c], d) for c, d in (("doc_set", U64), ("doc_order", I64), ("doc_size", I64), ("doc_text", U64))]
         sketches = b"".join(frame["sketches"])
         block = np.repeat(frame["block"].to_numpy(), [len(x) // 8 for x in frame["doc_set"]])
         yield pd.DataFrame({
             "set": docs[0].view(I64), "doc_order": docs[1], "size": docs[2], "block": block, "key": 0,
             "sketch": [sketches[SKETCH * k : SKETCH * (k + 1)] for k in range(len(block))],
+            "text": docs[3].view(I64),
         })
         held += zip(frame["key"], frame["new"], frame["sets"])
         owner = int(frame["owner"].iloc[0])
@@ -215,7 +225,7 @@ def _shared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, of = key[runs], of[runs]
         lengths = np.diff(np.append(run_starts(key), len(key)))
         several = np.repeat(lengths > 1, lengths)
-        yield pd.DataFrame({"set": of[several].view(I64), "doc_order": 0, "size": -1, "block": -1, "key": (owner << 32) + key[several].astype(I64), "sketch": b""})
+        yield pd.DataFrame({"set": of[several].view(I64), "doc_order": 0, "size": -1, "block": -1, "key": (owner << 32) + key[several].astype(I64), "sketch": b"", "text": 0})
 
 
 def _portion(keys: bytes, new: bytes, sets: bytes, portion: int, portions: int) -> tuple[np.ndarray, np.ndarray]:
@@ -227,20 +237,22 @@ def _portion(keys: bytes, new: bytes, sets: bytes, portion: int, portions: int)
 
 
 def _contents(frame: pd.DataFrame, wanted: pd.DataFrame, n: int) -> pd.DataFrame:
-    """Of one block: the sets of the wanted documents."""
-    asked = set(zip(wanted["node"], wanted["set"])) if len(wanted) else set()
-    orders = {a for a, _ in asked}
+    """Of one block: the wanted sets, each from a document that has it."""
+    asked = {(order, text): node for order, text, node in zip(wanted["doc_order"], wanted["text"], wanted["node"])} if len(wanted) else {}
+    orders = {order for order, _ in asked}
     out = []
     for order, text in unpacked(frame) if asked else ():
         if order in orders:
-            tokens = ngrams(text, n)
-            name = set_name(tokens)
-            if (order, name - (1 << 64) if name >= 1 << 63 else name) in asked:
-                asked.discard((order, name - (1 << 64) if name >= 1 << 63 else name))
-                out.append((order, tokens.tobytes()))
+            node = asked.pop((order, signed(text_name(text))), None)
+            if node is not None:
+                out.append((node, ngrams(text, n).tobytes()))
     return pd.DataFrame(out, columns=["node", "tokens"])
 
 
+def signed(value: int) -> int:
+    return value - (1 << 64) if value >= 1 << 63 else value
+
+
 def most_different(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     """How many hashes two similar sets of these sizes can have apart."""
     return (a + b) * (100 - percent) // (100 + percent)
@@ -271,8 +283,8 @@ def compared(pairs: DataFrame, sets: DataFrame, docs: DataFrame, n: int, percent
     sketches = sets.select("node", "size", "sketch")
     possible = pairs.join(side(sketches, "a"), "a").join(side(sketches, "b"), "b").mapInPandas(lambda f: _possible(f, percent), "a long, b long").checkpoint()
     nodes = possible.select(F.col("a").alias("node")).union(possible.select("b")).distinct()
-    wanted = sets.join(nodes, "node").select("block", "node", "set")
-    texts = blocked_texts(docs, blocks, id_filter(nodes, "node"))
+    wanted = stored(sets.join(nodes, "node").select("block", "doc_order", "text", "node"))
+    texts = blocked_texts(docs, blocks, id_filter(wanted, "doc_order"))
     contents = texts.groupBy("block").cogroup(wanted.groupBy("block")).applyInPandas(lambda f, w: _contents(f, w, n), "node long, tokens binary")
     return possible.join(side(contents, "a"), "a").join(side(contents, "b"), "b").mapInPandas(lambda f: _similar(f, percent), "a long, b long").checkpoint()
 
@@ -292,8 +304,8 @@ def schemes(docs: DataFrame, n: int, percent: int) -> dict[int, Scheme]:
     return {b: s for b, s in found.items() if s}
 
 
-def near_components(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id for every document."""
+def near_rows(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
+    """(doc_order, text, size, component, first) for every row: its text's xxhash64, the number of its n-grams, its component's name and smallest doc_order."""
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
     blocks = block_count(spark)
@@ -303,12 +315,12 @@ def near_components(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) ->
         return _indexed(frames, blocks, plans, n, percent)
 
     sent = blocked_texts(docs, blocks).groupBy("block").applyInPandas(indexed, "owner int, block int, " + ", ".join(f"{c} binary" for c in MESSAGE))
-    table = stored(sent.groupBy("owner").applyInPandas(_shared, "set long, doc_order long, size long, block int, key long, sketch binary"))
+    table = stored(sent.groupBy("owner").applyInPandas(_shared, "set long, doc_order long, size long, block int, key long, sketch binary, text long"))
     listed = table.filter("size >= 0")
-    # A set goes by its smallest document from here on.
-    sets = listed.filter("size > 0").groupBy("set").agg(F.min(F.struct("doc_order", "block", "size", "sketch")).alias("m"))
-    sets = stored(sets.select("set", F.col("m.doc_order").alias("node"), "m.block", "m.size", "m.sketch"))
-    named = table.filter("size < 0").select("key", "set").join(sets.select("set", "node", "size"), "set").select("key", "node", "size")
+    # A set goes by its hash; one of its rows stands for it when texts are read again.
+    sets = listed.filter("size > 0").groupBy("set").agg(F.min(F.struct("doc_order", "text", "block", "size", "sketch")).alias("m"))
+    sets = stored(sets.select(F.col("set").alias("node"), "m.doc_order", "m.text", "m.block", "m.size", "m.sketch"))
+    named = table.filter("size < 0").select("key", F.col("set").alias("node")).join(sets.select("node", "size"), "node").select("key", "node", "size")
     alike = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
     leaders = named.groupBy("key").agg(F.min(F.struct("node", "size")).alias("leader"))
     led = stored(named.join(leaders, "key").select("key", "node", "size", "leader.*").toDF("key", "node", "size", "leader", "leader_size"))
@@ -327,13 +339,30 @@ def near_components(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) ->
     crossing = crossing.filter(alike(F.col("x_size"), F.col("y_size"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = compared(crossing, sets, docs, n, percent)
     groups = components(links.union(more))
-    by_set = sets.join(groups, "node", "left").select("set", F.coalesce("component", "node").alias("component"))
-    out = listed.filter("size > 0").join(by_set, "set").select("doc_order", "size", "component")
-    out = out.unionByName(listed.filter("size = 0").select("doc_order", "size", F.col("doc_order").alias("component")))
-    return out.select(identifier().alias("doc_id"), F.col("size").alias("n_shingles"), identifier("component").alias("component_id"))
+    by_set = stored(sets.join(groups, "node", "left").select("node", "doc_order", F.coalesce("component", "node").alias("component")))
+    smallest = by_set.groupBy("component").agg(F.min("doc_order").alias("first"))
+    by_set = join_grouped(by_set.select("node", "component"), smallest, "component").withColumnRenamed("node", "set")
+    out = join_grouped(listed.filter("size > 0").select("doc_order", "text", "size", "set"), by_set, "set").select("doc_order", "text", "size", "component", "first")
+    alone = listed.filter("size = 0").select("doc_order", "text", "size", F.lit(0).cast("long").alias("component"), F.col("doc_order").alias("first"))
+    return out.unionByName(alone)
+
+
+def near_components(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id for every document."""
+    return near_rows(docs, n, percent).select(identifier().alias("doc_id"), F.col("size").alias("n_shingles"), identifier("first").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
-    """The documents that are the smallest of their component, with all their columns."""
-    kept = near_components(docs, n, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """Of each component one row, of those with the smallest doc_id, and every row without words; with all their columns."""
+    rows = stored(near_rows(docs, n, percent))
+    # Of several texts under the smallest doc_id, as without doc_id, the one with the smallest hash stays.
+    chosen = rows.filter("size > 0").groupBy("component").agg(F.min(F.struct("doc_order", "text")).alias("m")).select("m.*")
+    copies = rows.filter("size > 0").groupBy("doc_order", "text").agg((F.count("*") > 1).alias("several"))
+    kept = chosen.join(copies, ["doc_order", "text"])
+    kept = kept.unionByName(rows.filter("size = 0").select("doc_order", "text", F.lit(False).alias("several")).distinct())
+    kept = stored(kept.select(F.col("doc_order").alias("__order"), F.col("text").alias("__text"), F.col("several").alias("__several")))
+    named = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("__order"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("__text"))
+    found = named.join(kept, ["__order", "__text"])
+    if not kept.filter("__several").isEmpty():
+        found = found.filter("not __several").unionByName(found.filter("__several").dropDuplicates(["__order", "__text"]))
+    return found.select(*docs.columns)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -23,6 +24,11 @@ def sha(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
+def prose(seed, n):
+    draw = random.Random(seed)
+    return " ".join(f"w{draw.randrange(400)}" for _ in range(n))
+
+
 def collected(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
 
@@ -135,6 +141,28 @@ def test_ngram_join(documents, mixed_rows, percent):
     assert len(got) == len(rows)
 
 
+def test_near_copies_without_identifier(documents):
+    base = [prose(seed, 120).split() for seed in (21, 22, 23, 24)]
+    near = lambda k, at: " ".join([*base[k][:at], "changed", *base[k][at + 1 :]])
+    rows = [(5, " ".join(base[0]), "a"), (7, " ".join(base[1]), "a"), (None, near(0, 60), "a"), (None, near(1, 60), "a")]
+    rows += [(None, " ".join(base[2]), "a"), (None, near(2, 60), "a"), (None, " ".join(base[3]), "a"), (None, " ".join(base[3]).upper(), "a"), (None, " ".join(base[3]), "a")]
+    rows += [(None, prose(25, 120), "a"), (None, "", "a"), (None, None, "a"), (8, near(0, 30), "a"), (8, prose(26, 120), "a"), (9, " ".join(base[3]), "a")]
+    got = sorted(((r["doc_id"], r["component_id"]) for r in ngram_join.near_components(documents(*rows)).collect()), key=repr)
+    assert got == sorted([(5, 5), (7, 7), (None, 5), (None, 7), *[(None, None)] * 2, *[(None, 9)] * 3, *[(None, None)] * 3, (8, 5), (8, 8), (9, 9)], key=repr)
+    kept = ngram_join.keep_first(documents(*rows))
+    assert kept.columns == documents().columns
+    texts = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    one = [t for t in texts if t[1] in (rows[4][1], rows[5][1])]
+    assert len(one) == 1 and one[0][0] is None
+    assert sorted((t for t in texts if t not in one), key=repr) == sorted([r[:2] for r in (rows[0], rows[1], rows[9], rows[10], rows[11], rows[13], rows[14])], key=repr)
+
+
+def test_near_copies_without_identifier_stay_once(documents):
+    text = prose(27, 60)
+    kept = ngram_join.keep_first(documents((None, text, "a"), (None, text, "a"), (None, text.upper(), "a"), (None, prose(28, 60), "a"), (3, None, "a")))
+    assert sorted((r["text"] or "").lower() for r in kept.collect()) == sorted(["", text, prose(28, 60)])
+
+
 def test_similar_sets_share_a_name():
     draw = np.random.default_rng(3)
     plans = {b: s for b in range(30) if (s := ngram_join.scheme(b, 10 ** (b % 12)))}
