@@ -1,7 +1,9 @@
 """Near copies among embeddings by tiled comparison in PCA order.
 
 Vectors of one label are compared by cosine. Equal vectors are one vector with a number
-of copies. A rotation to the principal axes of a bounded sample leaves products as they
+of copies and a number of its own, which tiles, links and components use; only a finished
+component takes the smallest vec_id of its rows. Rows without vec_id, or with the same one,
+are therefore linked by their vectors alone. A rotation to the principal axes of a bounded sample leaves products as they
 are and puts most of a vector's length into its leading components. The same sample
 gives a tree of median cuts along these axes; a leaf's vectors make up tiles of about
 ``TILE_ROWS`` rows. Two tiles are compared only if their boxes come within the distance
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 
 from clinicframe.llm.common import LAST_ID, identifier
 from clinicframe.llm.components import components
+from clinicframe.operators.skew import join_grouped
 from clinicframe.session import ensure_checkpoint_dir
 
 THRESHOLD = 0.93
@@ -176,9 +179,10 @@ def near_copies(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     base = vectors.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(LAST_ID)).alias("vec_order"), "label", "embedding")
     kind = "<f4" if dict(base.dtypes)["embedding"] == "array<float>" else "<f8"
     good = F.col("label").isNotNull() & usable(F.col("embedding"))
-    distinct = base.filter(good).groupBy("label", "embedding").agg(F.min("vec_order").alias("rep"), F.count("*").alias("copies"))
-    distinct = distinct.withColumn("dim", F.size("embedding")).checkpoint()
-    sample = distinct.select("dim", "embedding").orderBy(F.xxhash64("rep", "label")).limit(SAMPLE_ROWS).toPandas()
+    distinct = base.filter(good).groupBy("label", "embedding").agg(F.min("vec_order").alias("first"), F.count("*").alias("copies"))
+    # The checkpoint freezes the numbers.
+    distinct = distinct.withColumn("rep", F.monotonically_increasing_id()).withColumn("dim", F.size("embedding")).checkpoint()
+    sample = distinct.select("dim", "embedding").orderBy(F.xxhash64("embedding", "label")).limit(SAMPLE_ROWS).toPandas()
     leaves = distinct.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     axes = {int(d): Axes(np.stack(rows.to_numpy()), leaves // TILE_ROWS) for d, rows in sample.groupby("dim")["embedding"]}
 
@@ -192,7 +196,7 @@ def near_copies(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     element = dict(base.dtypes)["embedding"]
     label = dict(base.dtypes)["label"]
-    placed = distinct.mapInPandas(leaf, f"label {label}, embedding {element}, rep long, copies long, dim int, leaf long")
+    placed = distinct.drop("first").mapInPandas(leaf, f"label {label}, embedding {element}, rep long, copies long, dim int, leaf long")
     sizes = placed.groupBy("label", "dim", "leaf").agg(F.ceil(F.count("*") / TILE_ROWS).alias("parts"))
     placed = placed.join(sizes, ["label", "dim", "leaf"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
     tiles = placed.groupBy("label", "dim", "leaf", "part").applyInPandas(
@@ -221,9 +225,11 @@ def near_copies(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     linked = links.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    named = distinct.select("label", "embedding", "rep", "copies").join(linked, "rep", "left").select(
-        "label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")
+    named = distinct.select("label", "embedding", "rep", "first", "copies").join(linked, "rep", "left").select(
+        "label", "embedding", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("part")
     )
+    smallest = named.groupBy("part").agg(F.min("first").alias("component"))
+    named = join_grouped(named.drop("first"), smallest, "part").drop("part")
     inside = base.filter(good).join(named, ["label", "embedding"]).select("vec_order", "n_links", "component")
     outside = base.filter(~good).select("vec_order", F.lit(0).cast("long").alias("n_links"), F.col("vec_order").alias("component"))
     return inside.unionByName(outside).select(

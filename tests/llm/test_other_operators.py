@@ -155,6 +155,18 @@ def test_near_embeddings(spark, monkeypatch, tile_rows):
     assert embedding_dedup.near_copies(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("tile_rows", [2, 1024])
+def test_embeddings_without_identifier(spark, monkeypatch, tile_rows):
+    monkeypatch.setattr(embedding_dedup, "TILE_ROWS", tile_rows)
+    axis = lambda k, tilt=0.0: [tilt if j == 15 else float(j == k) for j in range(16)]
+    rows = [(1, axis(0)), (2, axis(1)), (None, axis(0, 0.1)), (None, axis(1, 0.1)), (None, axis(2)), (None, axis(2)), (None, axis(2, 0.1)), (3, axis(3)), (3, axis(4)), (4, axis(4, 0.1))]
+    rows += [(None, axis(k)) for k in range(5, 15)]
+    table = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    expected = [(1, 1, 1, True), (2, 1, 2, True), (None, 1, 1, False), (None, 1, 2, False), *[(None, 2, None, True)] * 3, (3, 0, 3, True), (3, 1, 3, True), (4, 1, 3, False)]
+    expected += [(None, 0, None, True)] * 10
+    assert sorted((tuple(r) for r in embedding_dedup.near_copies(table).collect()), key=repr) == sorted(expected, key=repr)
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     public = pytest.importorskip("public_tokenizers")
