@@ -8,8 +8,9 @@ estimation). A small network is then fitted to the non-negative unbiased risk
 ``prior * E+[l(f)] + max(0, Eu[l(-f)] - prior * E+[l(-f)])`` with the logistic loss.
 
 Features are shares of kinds of characters, words and lines of the whole text; labels,
-language, source and identifier are not among them. They are computed once, in one pass
-over the texts, and checkpointed. Only the fit is bounded: ``SAMPLE_ROWS`` positives and
+language, source and identifier are not among them. They are computed in one pass over the
+texts and checkpointed; ``keep_good`` computes them again in the pass that filters the rows,
+so that no identifier has to lead from a score back to its row. Only the fit is bounded: ``SAMPLE_ROWS`` positives and
 as many unlabelled texts, those with the smallest hashed identifiers.
 
 Nulls: a null text is empty, and an empty text is scored like any other; documents with
@@ -164,14 +165,23 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = np.array(frame["features"].tolist()).reshape(-1, N_FEATURES)
-            yield pd.DataFrame({"doc_order": frame["doc_order"], "score": network.score(rows) if network else 0.5})
+            yield pd.DataFrame({"doc_order": frame["doc_order"], "score": scores(network, frame["features"].tolist())})
 
     out = table.mapInPandas(score, "doc_order long, score double").withColumn("doc_id", identifier())
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
+def scores(network: Network | None, rows: list[list[float]]) -> np.ndarray:
+    return network.score(np.array(rows).reshape(-1, N_FEATURES)) if network else np.full(len(rows), 0.5)
+
+
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents predicted good, with all their columns; where one doc_id is repeated, its best text decides."""
-    good = scored(docs, labels).groupBy("doc_id").agg(F.max("predicted").alias("__good")).filter("__good = 1").withColumnRenamed("doc_id", "__id")
-    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """The rows predicted good, with all their columns, each decided by its own text where it stands."""
+    ensure_checkpoint_dir(docs.sparkSession)
+    network = fit(feature_table(docs).checkpoint(), labels)
+
+    @F.pandas_udf("boolean")
+    def good(texts: pd.Series) -> pd.Series:
+        return pd.Series(scores(network, [features(t) for t in texts]) >= CUT)
+
+    return docs.filter(good(F.coalesce(F.col("text").cast("string"), F.lit(""))))

@@ -75,6 +75,17 @@ def test_classifier_on_held_out_documents(spark, documents):
     assert {r["score"] for r in quality_classifier.scored(documents(*rows[:3]), labels.limit(0)).collect()} == {0.5}
 
 
+def test_each_row_is_kept_by_its_own_text(spark, documents):
+    draw = random.Random(3)
+    text = lambda bad: " ".join((w.upper() + "!!" if bad else w) for w in ("".join(draw.choice("abcdefghij") for _ in range(5)) for _ in range(60))) + "."
+    rows = [(k, text(k % 6 == 0), "s") for k in range(300)] + [(None, text(k % 2), "s") for k in range(20)] + [(7, text(True), "s"), (6, text(False), "s")]
+    labels = spark.createDataFrame([(k, int(k % 6 > 0)) for k in range(300)], "doc_id long, quality int")
+    kept = quality_classifier.keep_good(documents(*rows), labels)
+    assert kept.columns == documents().columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted(((i, t) for i, t, _ in rows if "!" not in t), key=repr)
+    assert quality_classifier.keep_good(documents(), labels).count() == 0
+
+
 def test_prior_from_scores():
     draw = np.random.default_rng(1)
     for share in (0.3, 0.6, 0.9):
