@@ -5,15 +5,17 @@ protected entities. A term near an entity can reveal it although it is no such p
 How much it does is measured on the corpus: over all documents, the pointwise mutual
 information of term and entity as a share of the entity's information content,
 ``log(n_both * N / (n_entity * n_term)) / log(N / n_entity)``. It is 1 if the term occurs
-nowhere but near the entity and falls to 0 as the term becomes common elsewhere. From
-``GENERALISE_AT`` on a term is replaced by its kind, from ``REMOVE_AT`` on it is removed,
-wherever it stands within ``WINDOW`` words of a mention of that entity. Evidence counts
-only from ``MIN_CONTEXTS`` different surroundings on, so that copies of one text do not
-make all its words suspicious.
-
-The texts are read twice: for entities with their surroundings, and for the number of
-documents with each word, which are summed within a task before they move. Positions
-travel with the entities, so spans need no third reading.
+nowhere but near the entity and falls to 0 as the term becomes common elsewhere. Copies of
+one text are one surrounding, and an estimate from few surroundings is drawn towards 0: a
+share counts ``k / (k + SMOOTHING)`` for a term that stands near its entity in ``k`` of
+them. From ``GENERALISE_AT`` on a term is replaced by its kind, from ``REMOVE_AT`` on it is
+removed, in every document and wherever it stands, within ``WINDOW`` words of a mention or
+not; only words that belong to a base span stay with that.
+
+The texts are read three times: for entities with their surroundings; for the number of
+documents with each word, which are summed within a task before they move; and for the
+spans, where a filter of fixed size picks the words that may be disclosing terms before
+anything is joined.
 
 Nulls: a null text is empty; documents without entities get no spans. Repeated rows are
 documents of their own. An empty table gives no rows; further columns are ignored.
@@ -28,15 +30,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clinicframe.llm.common import identifier, in_order
+from clinicframe.llm.common import FILTER_BITS, id_filter, identifier, in_order, stored
+from clinicframe.operators.skew import join_grouped
 from clinicframe.session import ensure_checkpoint_dir
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW = 20
-MIN_CONTEXTS = 3
+#: An entity in one surroundings can have its terms generalised, from three on removed.
+SMOOTHING = 0.5
 GENERALISE_AT = 0.6
 REMOVE_AT = 0.85
 #: Distinct words a task counts before it sends them on.
@@ -101,6 +105,11 @@ def entity_name(kind: str, value: str) -> int:
     return signed(xxhash.xxh3_64_intdigest(f"{kind}:{plain}"))
 
 
+def spark_bit(value: int) -> int:
+    """The place that ``id_filter`` gives a number: Spark's xxhash64 of a long."""
+    return xxhash.xxh64_intdigest(value.to_bytes(8, "little", signed=True), seed=42) & (FILTER_BITS - 1)
+
+
 def signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
@@ -113,40 +122,44 @@ def term_name(word: str) -> int:
     return signed(xxhash.xxh3_64_intdigest(word))
 
 
-def surroundings(text: str, spans: list[tuple[str, int, int]], window: int) -> list[dict]:
-    """For each entity of a text: the terms within ``window`` words of a mention, with their places, and a name for the surroundings."""
+def placed_words(text: str, spans: list[tuple[str, int, int]]) -> tuple[list[tuple[int, int]], np.ndarray, list[tuple[int, int]]]:
+    """(places of the words, which of them belong to a span, first and last word of each span)."""
     words = [m.span() for m in _WORD.finditer(text)]
     starts = np.array([w[0] for w in words])
     taken = np.zeros(len(words), bool)
-    near: dict[int, set[int]] = {}
-    for kind, start, end in spans:
+    within = []
+    for _, start, end in spans:
         first, last = int(np.searchsorted(starts, start, side="right")) - 1, int(np.searchsorted(starts, end))
         taken[first:last] = True
+        within.append((first, last))
+    return words, taken, within
+
+
+def surroundings(text: str, spans: list[tuple[str, int, int]], window: int) -> list[dict]:
+    """For each entity of a text: the terms within ``window`` words of a mention, and a name for the surroundings."""
+    words, taken, within = placed_words(text, spans)
+    near: dict[int, set[int]] = {}
+    for (kind, start, end), (first, last) in zip(spans, within):
         near.setdefault(entity_name(kind, text[start:end]), set()).update(range(max(0, first - window), min(len(words), last + window)))
     out = []
     for entity, places in near.items():
-        rows = [(term_name(t), a, b) for k in sorted(places) if not taken[k] for a, b in [words[k]] if (t := term(text[a:b]))]
-        context = signed(xxhash.xxh3_64_intdigest(np.unique(np.array([r[0] for r in rows], np.int64)).tobytes()))
-        out.append({"entity": entity, "context": context, "terms": [r[0] for r in rows], "starts": [r[1] for r in rows], "ends": [r[2] for r in rows]})
+        terms = np.unique(np.array([term_name(t) for k in places if not taken[k] if (t := term(text[slice(*words[k])]))], np.int64))
+        out.append({"entity": entity, "context": signed(xxhash.xxh3_64_intdigest(terms.tobytes())), "terms": terms.tolist()})
     return out
 
 
-FOUND = "array<struct<entity:long,context:long,terms:array<long>,starts:array<int>,ends:array<int>>>"
+FOUND = "array<struct<entity:long,context:long,terms:array<long>>>"
 
 
 def find(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_order, spans, found): base spans as kind:start:end and the entities' surroundings, for every document."""
+    """(found): the surroundings of each document's entities, for every document."""
 
     def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             spans = [base_spans(t) for t in frame["text"]]
-            yield pd.DataFrame({
-                "doc_order": frame["doc_order"],
-                "spans": [[f"{k}:{a}:{b}" for k, a, b in s] for s in spans],
-                "found": [surroundings(t, s, window) if s else [] for t, s in zip(frame["text"], spans)],
-            })
+            yield pd.DataFrame({"found": [surroundings(t, s, window) if s else [] for t, s in zip(frame["text"], spans)]})
 
-    return in_order(docs).mapInPandas(look, f"doc_order long, spans array<string>, found {FOUND}")
+    return in_order(docs).mapInPandas(look, f"found {FOUND}")
 
 
 def document_counts(docs: DataFrame) -> DataFrame:
@@ -174,48 +187,91 @@ def document_counts(docs: DataFrame) -> DataFrame:
     return counted.groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
-def disclosing_terms(found: DataFrame, counts: DataFrame, documents: int, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
-    """(entity, term, share) for the terms that give an entity away from GENERALISE_AT on."""
+def disclosing_terms(found: DataFrame, counts: DataFrame, documents: int) -> DataFrame:
+    """(term, share) for the terms that give some entity away from GENERALISE_AT on, with the highest share."""
     # One row per document and entity; copies of one surrounding are summed up before anything else.
-    mentions = found.select(F.explode("found").alias("m")).select("m.entity", "m.context", F.array_distinct("m.terms").alias("terms"))
-    per_context = mentions.groupBy("entity", "context").agg(F.count("*").alias("n"), F.first("terms").alias("terms"))
-    supported = per_context.groupBy("entity").agg(F.count("*").alias("contexts"), F.sum("n").alias("n_entity"))
-    supported = supported.filter(F.col("contexts") >= min_contexts).select("entity", "n_entity")
-    both = per_context.join(supported, "entity").select("entity", "n_entity", "n", F.explode("terms").alias("term"))
-    both = both.groupBy("entity", "n_entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("contexts"))
-    both = both.filter(F.col("contexts") >= min_contexts)
+    mentions = found.select(F.explode("found").alias("m")).select("m.entity", "m.context", "m.terms")
+    per_context = stored(mentions.groupBy("entity", "context").agg(F.count("*").alias("n"), F.first("terms").alias("terms")))
+    entities = per_context.groupBy("entity").agg(F.sum("n").alias("n_entity"))
+    both = per_context.select("entity", "n", F.explode("terms").alias("term"))
+    both = both.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("contexts"))
     total = F.lit(float(documents))
     information = F.ln(total / F.col("n_entity"))
-    share = F.ln(F.col("n_both") * total / (F.col("n_entity") * F.col("n_term"))) / information
-    known = both.join(counts, "term").filter(information > 0).withColumn("share", share)
-    return known.filter(F.col("share") >= GENERALISE_AT).select("entity", "term", "share")
+    share = F.ln(F.col("n_both") * total / (F.col("n_entity") * F.col("n_term"))) / information * F.col("contexts") / (F.col("contexts") + SMOOTHING)
+    known = join_grouped(join_grouped(both, entities, "entity"), counts, "term").filter(information > 0).withColumn("share", share)
+    return known.filter(F.col("share") >= GENERALISE_AT).groupBy("term").agg(F.max("share").alias("share"))
+
+
+def marked_words(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_order, text_name, spans, places) for every document: base spans as kind:start:end, and the words that may be among the terms, by term."""
+    filled = id_filter(terms, "term").tobytes()
+
+    def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, int | None] = {}
+
+        def candidate(word: str) -> int | None:
+            plain = term(word)
+            bit = spark_bit(name := term_name(plain))
+            return name if plain and filled[bit >> 3] >> (bit & 7) & 1 else None
+
+        for frame in frames:
+            out = []
+            for text in frame["text"]:
+                spans = base_spans(text)
+                candidates: dict[str, int] = {}
+                if len(known) >= COUNTED_WORDS:
+                    known.clear()
+                for word in set(text.split()):
+                    if word not in known:
+                        known[word] = candidate(word)
+                    if known[word] is not None:
+                        candidates[word] = known[word]
+                places: dict[int, dict] = {}
+                if candidates:
+                    words, taken, _ = placed_words(text, spans)
+                    for k, (a, b) in enumerate(words):
+                        name = None if taken[k] else candidates.get(text[a:b])
+                        if name is not None:
+                            held = places.setdefault(name, {"term": name, "starts": [], "ends": []})
+                            held["starts"].append(a)
+                            held["ends"].append(b)
+                out.append(([f"{k}:{a}:{b}" for k, a, b in spans], list(places.values())))
+            yield pd.DataFrame({"doc_order": frame["doc_order"], "text_name": frame["text_name"], "spans": [o[0] for o in out], "places": [o[1] for o in out]})
+
+    texts = in_order(docs).select("doc_order", F.unhex(F.sha2("text", 256)).alias("text_name"), "text")
+    return texts.mapInPandas(look, "doc_order long, text_name binary, spans array<string>, places array<struct<term:long,starts:array<int>,ends:array<int>>>")
 
 
 def spans_of(docs: DataFrame) -> DataFrame:
-    """(row, doc_order, base, added): base spans, and the added ones as structs (start, end, action), for every document."""
+    """(row, doc_order, text_name, base, added): base spans, and the added ones as structs (action, start, end), for every document."""
     ensure_checkpoint_dir(docs.sparkSession)
-    found = find(docs).withColumn("row", F.monotonically_increasing_id()).checkpoint()
-    terms = disclosing_terms(found, document_counts(docs), found.count())
-    places = found.select("row", F.explode("found").alias("m")).select(
-        "row", "m.entity", F.explode(F.arrays_zip("m.terms", "m.starts", "m.ends")).alias("p")
-    )
-    places = places.select("row", "entity", F.col("p.terms").alias("term"), F.col("p.starts").alias("start"), F.col("p.ends").alias("end"))
-    hits = places.join(terms, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("share").alias("share"))
+    found = stored(find(docs))
+    terms = stored(disclosing_terms(found, document_counts(docs), found.count()))
+    marked = marked_words(docs, terms).withColumn("row", F.monotonically_increasing_id()).checkpoint()
+    places = marked.select("row", F.explode("places").alias("p")).select("row", "p.term", "p.starts", "p.ends")
+    # Every word of a row has one term, so the rows of this join are as many as terms of the row.
+    hits = places.join(terms, "term")
     action = F.when(F.col("share") >= REMOVE_AT, "remove").otherwise("generalise")
-    added = hits.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(action.alias("action"), "start", "end"))).alias("added"))
-    return found.select("row", "doc_order", F.col("spans").alias("base")).join(added, "row", "left").select(
-        "row", "doc_order", "base", F.coalesce("added", F.expr("cast(array() as array<struct<action:string,start:int,end:int>>)")).alias("added")
+    own = hits.select("row", F.transform(F.arrays_zip("starts", "ends"), lambda p: F.struct(action.alias("action"), p["starts"].alias("start"), p["ends"].alias("end"))).alias("own"))
+    added = own.groupBy("row").agg(F.array_sort(F.flatten(F.collect_list("own"))).alias("added"))
+    return marked.select("row", "doc_order", "text_name", F.col("spans").alias("base")).join(added, "row", "left").select(
+        "row", "doc_order", "text_name", "base", F.coalesce("added", F.expr("cast(array() as array<struct<action:string,start:int,end:int>>)")).alias("added")
     )
 
 
+def listed_spans() -> Column:
+    """Base spans, then the added ones, as one text."""
+    extra = F.transform("added", lambda s: F.concat_ws(":", s["action"], s["start"].cast("string"), s["end"].cast("string")))
+    return F.array_join(F.concat("base", extra), ",").alias("spans")
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, counts by kind, base_sha256, spans for every document; added spans follow the base ones as generalise and remove."""
     found = spans_of(docs)
     count = lambda kind: F.size(F.filter("base", lambda s: s.startswith(f"{kind}:"))).cast("long").alias(f"n_{kind}")
-    extra = F.transform("added", lambda s: F.concat_ws(":", s["action"], s["start"].cast("string"), s["end"].cast("string")))
     return found.select(
         identifier().alias("doc_id"), *[count(k) for k in KINDS],
-        F.sha2(F.array_join("base", ","), 256).alias("base_sha256"), F.array_join(F.concat("base", extra), ",").alias("spans"),
+        F.sha2(F.array_join("base", ","), 256).alias("base_sha256"), listed_spans(),
     )
 
 

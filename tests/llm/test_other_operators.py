@@ -55,6 +55,25 @@ def test_terms_that_reveal_an_entity(documents):
     assert pii_disclosure.digest(documents()).count() == 0
 
 
+def common_words(k, n=12):
+    return " ".join(f"n{(k * 7 + j) % 90}" for j in range(n))
+
+
+def test_disclosing_terms_are_marked_wherever_they_stand(documents):
+    rows = [(k, f"{common_words(k)} Zorblax wrote from zed@mail.example.com {common_words(k + 1)}", "s") for k in range(6)]
+    rows[0] = (0, rows[0][1] + " " + common_words(3, 40) + " (Zorblax)", "s")
+    rows += [(100 + k, f"{common_words(k)} {common_words(k + 3)}", "s") for k in range(300)]
+    rows += [(500, f"{common_words(2)} zorblax, {common_words(5)} Zorblax", "s"), (501, f"{common_words(4)} Quaxley asks ann@rare.example.org {common_words(6)}", "s")]
+    got = {r["doc_id"]: r["spans"].split(",") for r in pii_disclosure.digest(documents(*rows)).collect()}
+    texts = {i: t for i, t, _ in rows}
+    for i, word in ((0, "Zorblax wrote"), (0, "(Zorblax)"), (500, "zorblax,"), (500, "Zorblax")):
+        at = texts[i].index(word)
+        assert f"remove:{at}:{at + len(word.split()[0])}" in got[i]
+    at = texts[501].index("Quaxley")
+    assert f"generalise:{at}:{at + 7}" in got[501]
+    assert all(got[100 + k] == [""] for k in range(300))
+
+
 def test_classifier_on_held_out_documents(spark, documents):
     draw = random.Random(2)
     word = lambda: "".join(draw.choice("abcdefghij") for _ in range(draw.randint(2, 9)))
