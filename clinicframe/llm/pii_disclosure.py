@@ -294,8 +294,10 @@ def clean_text(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 def sanitised(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with personal data replaced and disclosing terms generalised or removed."""
-    listed = digest(docs).select(F.col("doc_id").alias("__id"), "spans").distinct()
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(listed, F.col("doc_id").eqNullSafe(F.col("__id")))
+    # Spans follow from the text, so equal texts have equal ones and a text meets no others'.
+    listed = spans_of(docs).groupBy("text_name").agg(F.first(listed_spans()).alias("spans"))
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_name", F.unhex(F.sha2("text", 256)))
+    rows = join_grouped(rows, listed, "text_name")
 
     def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

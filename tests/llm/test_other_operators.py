@@ -74,6 +74,15 @@ def test_disclosing_terms_are_marked_wherever_they_stand(documents):
     assert all(got[100 + k] == [""] for k in range(300))
 
 
+def test_each_text_is_cleaned_by_its_own_spans(documents):
+    texts = [f"{common_words(k)} {'pad ' * k}from p{k}@mail.example.com {common_words(k + 1)}" for k in range(8)]
+    rows = [(None, t, "s") for t in texts[:4]] + [(None, None, "s"), (None, texts[0], "s"), *((9, t, "s") for t in texts[4:])]
+    got = [(r["doc_id"], r["text"]) for r in pii_disclosure.sanitised(documents(*rows)).collect()]
+    assert len(got) == len(rows) and sum(not t for _, t in got) == 1
+    assert all("@" not in t and t.count("[email]") == 1 for _, t in got if t)
+    assert sorted(i is None for i, _ in got) == sorted(i is None for i, _, _ in rows)
+
+
 def test_classifier_on_held_out_documents(spark, documents):
     draw = random.Random(2)
     word = lambda: "".join(draw.choice("abcdefghij") for _ in range(draw.randint(2, 9)))
