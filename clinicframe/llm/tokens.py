@@ -5,7 +5,9 @@ before a visible character, or a single line break between two, the text can be
 the parts' ids put together. Words repeat, so most parts are found in a bounded memory.
 New parts in Latin script are encoded by ``tiktoken`` with the same vocabulary, which is
 several times as fast; all others, and texts with other runs of white space, by
-``tokenizers`` itself. Tests hold both against it on whole texts.
+``tokenizers`` itself. A text that contains an added token, like ``<|endoftext|>``, goes to
+``tokenizers`` whole, where the file's settings hold; ``added=False`` spells such tokens out
+as ordinary text instead. Tests hold all against it on whole texts.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ def packed(ids: list[int]) -> bytes:
 class Encoder:
     """Ids as little-endian 32-bit numbers in bytes."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, added: bool = False) -> None:
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -50,6 +52,8 @@ class Encoder:
             model = json.load(file)
         special = {t["content"] for t in model["added_tokens"]}
         ranks = {bytes(symbols[c] for c in token): rank for token, rank in model["model"]["vocab"].items() if token not in special}
+        self.whole = Tokenizer.from_file(path)
+        self.added = re.compile("|".join(map(re.escape, sorted(special)))) if added and special else None
         self.fast = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.newline = self._new("\n")
         self.heads, self.words = _Memory(self, ""), _Memory(self, " ")
@@ -61,6 +65,8 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
+        if self.added and self.added.search(text):
+            return packed(self.whole.encode(text, add_special_tokens=False).ids)
         if _UNCUTTABLE.search(text):
             return self._new(text)
         first, *rest = text.split(" ")
@@ -94,5 +100,5 @@ _loaded: dict[str, Encoder] = {}
 def encoder(path: str) -> Encoder:
     """The encoder of a file, once per Python process."""
     if path not in _loaded:
-        _loaded[path] = Encoder(path)
+        _loaded[path] = Encoder(path, added=True)
     return _loaded[path]

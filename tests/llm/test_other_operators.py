@@ -225,6 +225,19 @@ def test_remembered_words_give_the_same_ids(tokenizer):
         assert fast.encode(text) == np.array(exact.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
 
 
+def test_packing_takes_added_tokens_as_the_library_does(documents, tokenizer):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer)
+    texts = ["<|endoftext|>", "one two <|endoftext|> three", "a<|endoftext|>b  <|endoftext|>\n", "<|endoftext> plain <|endoftext"]
+    got = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in pattern_packing.pack(documents(*((k, t, "s") for k, t in enumerate(texts))), tokenizer).collect()}
+    for k, text in enumerate(texts):
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert (50256 in ids) == (k < 3)
+        data = np.array(ids, "<u4").tobytes() + b"\0\0\0\0"
+        assert got[k] == (len(ids) + 1, zlib.crc32(data))
+
+
 def test_packing(documents, tokenizer):
     draw = random.Random(9)
     rows = [(k, " ".join(f"word{draw.randint(0, 50)}" for _ in range(draw.choice((3, 40, 200, 500)))), "s") for k in range(120)]
