@@ -5,8 +5,11 @@ Row 0 holds the WARC header and the HTTP header; the others hold the payload in
 of at most ``CHUNK_BYTES`` and row for row the length and the SHA-1 of the payload so
 far; the last row closes the record. The bytes of an archive's rows, in order of record
 and chunk, are a WARC/1.1 file. Writing cuts a payload piece by piece into Arrow
-batches of bounded size, and reading goes over the rows with one running digest, so no
-record is ever put together in memory.
+batches of bounded size, and reading goes over the rows with one running digest. The page's text
+is in memory as Arrow hands it over; its bytes are encoded and digested in slices, first
+for the header, then for the chunks, and are never held whole. The archive is a table:
+nothing here writes its bytes to a .warc file or parses one, and a reader finds records by
+the rows' numbers.
 
 Of records with equal payloads of at least ``REVISIT_BYTES`` the one with the largest
 page_id is written as a response, the others as revisits: they keep the HTTP header,
@@ -31,6 +34,8 @@ CHUNK_BYTES = 1 << 16
 REVISIT_BYTES = 1000
 #: Payload bytes in one Arrow batch.
 BATCH_BYTES = 1 << 22
+#: Characters that are encoded at once.
+SLICE = 1 << 16
 #: Fixed values of the WARC format.
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -76,13 +81,27 @@ def headers(page_id: int | None, url: str, kind: str, refers_to: int | None, len
     return "\r\n".join([VERSION, *(f"{k}: {v}" for k, v in fields), "", ""]).encode() + http
 
 
-def chunked(payload: bytes, size: int) -> Iterator[tuple[bytes, int, bytes]]:
-    """(piece, payload length so far, digest so far)."""
-    running = hashlib.sha1()
-    for start in range(0, len(payload), size):
-        piece = payload[start : start + size]
-        running.update(piece)
-        yield piece, start + len(piece), running.digest()
+def encoded(text: str) -> Iterator[bytes]:
+    """The UTF-8 bytes of a text, slice by slice."""
+    for start in range(0, len(text), SLICE):
+        yield text[start : start + SLICE].encode()
+
+
+def chunked(text: str, size: int) -> Iterator[tuple[bytes, int, bytes]]:
+    """(piece, payload length so far, digest so far) of the text's UTF-8 bytes, in pieces of ``size`` bytes."""
+    running, held, upto = hashlib.sha1(), bytearray(), 0
+    for part in encoded(text):
+        held += part
+        whole = len(held) - len(held) % size
+        for start in range(0, whole, size):
+            piece = bytes(held[start : start + size])
+            running.update(piece)
+            upto += len(piece)
+            yield piece, upto, running.digest()
+        del held[:whole]
+    if held:
+        running.update(held)
+        yield bytes(held), upto + len(held), running.digest()
 
 
 def to_chunks(plan: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -95,18 +114,21 @@ def to_chunks(plan: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
             rows, held = [], 0
             ids = (frame[c].astype("Int64") for c in ("page_id", "refers_to"))
             for page, refers, url, html, kind, archive, record in zip(*ids, *(frame[c] for c in ("url", "html", "record_type", "archive", "record"))):
-                payload = html.encode()
-                digest = hashlib.sha1(payload).digest()
-                head = headers(None if pd.isna(page) else int(page), url, kind, None if pd.isna(refers) else int(refers), len(payload), digest)
+                running, length = hashlib.sha1(), 0
+                for part in encoded(html):
+                    running.update(part)
+                    length += len(part)
+                digest = running.digest()
+                head = headers(None if pd.isna(page) else int(page), url, kind, None if pd.isna(refers) else int(refers), length, digest)
                 rows.append((archive, record, 0, head, 0, b""))
                 last = 1
-                for last, (piece, upto, so_far) in enumerate(chunked(payload, chunk_bytes) if kind == "response" else (), 1):
+                for last, (piece, upto, so_far) in enumerate(chunked(html, chunk_bytes) if kind == "response" else (), 1):
                     rows.append((archive, record, last, piece, upto, so_far))
                     held += len(piece)
                     if held >= BATCH_BYTES:
                         yield pd.DataFrame(rows, columns=columns)
                         rows, held = [], 0
-                rows.append((archive, record, last + 1, b"\r\n\r\n", len(payload) if kind == "response" else 0, digest))
+                rows.append((archive, record, last + 1, b"\r\n\r\n", length if kind == "response" else 0, digest))
             if rows:
                 yield pd.DataFrame(rows, columns=columns)
 

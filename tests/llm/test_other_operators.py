@@ -157,6 +157,18 @@ def test_archives_round_trip(spark, tmp_path, chunk):
         warc_chunks.read_archives(spark, str(tmp_path / "b")).collect()
 
 
+def test_payloads_are_encoded_in_slices():
+    class Watched(str):
+        def encode(self, *_):
+            raise AssertionError("encoded whole")
+
+    text = Watched("aé中😀" * 70_000)
+    whole = str.encode(text)
+    pieces = list(warc_chunks.chunked(text, 1000))
+    assert b"".join(p for p, _, _ in pieces) == whole and {len(p) for p, _, _ in pieces[:-1]} == {1000}
+    assert pieces[-1][1:] == (len(whole), hashlib.sha1(whole).digest())
+
+
 def test_empty_archive(spark, tmp_path):
     warc_chunks.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "e"))
     assert warc_chunks.read_archives(spark, str(tmp_path / "e")).count() == 0
