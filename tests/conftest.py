@@ -2,19 +2,17 @@ from __future__ import annotations
 
 import sys
 from datetime import date, datetime
-from decimal import Decimal
 from pathlib import Path
 
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
+from clinic_cases import THEN, money  # noqa: E402
+
 from clinicframe import Clinic, build_session  # noqa: E402
 from clinicframe.schemas import TABLES  # noqa: E402
 
-THEN = datetime(2024, 1, 1, 9, 0, 0)
-KEY = "only for tests"
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -41,10 +39,6 @@ def make(spark):
     return table
 
 
-def money(text: str) -> Decimal:
-    return Decimal(text)
-
-
 @pytest.fixture
 def clinic(make) -> Clinic:
     """Five invented patients, four tests, eight orders, a few panels and payments."""
@@ -107,8 +101,3 @@ def clinic(make) -> Clinic:
                   (4, "doc", "role_doctor", None, True), (5, "ada", "role_patient", "PAT-001", True), (6, "old", "role_lab_tech", None, False))],
         ),
     )
-
-
-def rows(df, *columns):
-    """The collected rows as tuples, in order."""
-    return [tuple(r) for r in (df.select(*columns) if columns else df).collect()]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import rows
+from clinic_cases import rows
 
 from clinicframe.operators import access
 

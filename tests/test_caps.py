@@ -6,7 +6,7 @@ import random
 from decimal import Decimal
 
 import pytest
-from conftest import rows
+from clinic_cases import rows
 from pyspark.sql import functions as F
 
 from clinicframe.operators import caps

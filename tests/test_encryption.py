@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import KEY, rows
+from clinic_cases import KEY, rows
 from pyspark.sql import functions as F
 
 from clinicframe.functions.crypto import fold_key

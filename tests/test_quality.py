@@ -6,7 +6,7 @@ from datetime import date
 from decimal import Decimal as D
 
 import pytest
-from conftest import rows
+from clinic_cases import rows
 
 from clinicframe.operators import quality
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import date
 from decimal import Decimal as D
 
-from conftest import rows
+from clinic_cases import rows
 from pyspark.sql import functions as F
 
 from clinicframe.operators import aggregates, billing, joins, listings

@@ -6,7 +6,7 @@ from datetime import datetime
 from decimal import Decimal as D
 
 import pytest
-from conftest import KEY, rows
+from clinic_cases import KEY, rows
 from pyspark.sql import functions as F
 
 from clinicframe import Clinic
