@@ -7,7 +7,7 @@ from datetime import date, datetime
 from decimal import Decimal as D
 
 import pytest
-from clinic_cases import KEY, THEN, rows
+from clinic_cases import KEY, THEN, money, rows
 from pyspark.sql import functions as F
 
 from clinicframe.operators import changes, encryption, keys, ledger, quality
