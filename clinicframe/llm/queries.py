@@ -7,7 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clinicframe.llm import cover_dedup, embedding_dedup, golomb_dedup, ngram_join, pattern_packing, pii_disclosure, quality_classifier, suffix_dedup, warc_chunks, weighted_mix
+from clinicframe.llm import (
+    cover_dedup, embedding_dedup, golomb_dedup, impact_search, ngram_join, orchard_codes, pattern_packing, pii_disclosure, polynomial_whitening,
+    quality_classifier, suffix_dedup, warc_chunks, weighted_mix,
+)
 from clinicframe.session import ensure_checkpoint_dir
 
 
@@ -63,10 +66,53 @@ def op9_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pattern_packing.pack(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op11_polynomial_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return polynomial_whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op13_orchard_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orchard_codes.encode(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op2_pii_disclosure, op3_cover_substring_dedup, op4_golomb_exact_dedup, op5_weighted_mix, op6_warc_chunks, op7_universe_ngram_join, op8_embedding_dedup, op9_pattern_packing, op10_suffix_substring_dedup)
+    f.__name__: f for f in (
+        op1_quality_classifier, op2_pii_disclosure, op3_cover_substring_dedup, op4_golomb_exact_dedup, op5_weighted_mix, op6_warc_chunks,
+        op7_universe_ngram_join, op8_embedding_dedup, op9_pattern_packing, op10_suffix_substring_dedup, op11_polynomial_whitening, op12_impact_search,
+        op13_orchard_codes,
+    )
 }
 
+_NEAREST_SQL = """
+a{n} as (
+  select vec_id, label, part, any_value(s) as s, min(struct_pack(d := list_dot_product(s, s) - 2 * list_dot_product(s, c) + list_dot_product(c, c), e := entry)) as best
+  from p join b{n} using (part) group by vec_id, label, part)"""
+
+_MOVED_SQL = """
+m{n} as (
+  select part, best.e as entry, [floor(sum(s[1]) / count(*)), floor(sum(s[2]) / count(*)), floor(sum(s[3]) / count(*)), floor(sum(s[4]) / count(*))] as c
+  from a{n} group by part, best.e),
+b{next} as (select b.part, b.entry, coalesce(m.c, b.c) as c from b{n} b left join m{n} m using (part, entry))"""
+
+#: For vectors of 64 components, as the test tables have them.
+_CODES_SQL = f"""
+with v as (
+  select vec_id, label, list_transform(embedding, lambda c: floor(256 * c::double)) as x from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+p as (select vec_id, label, part, x[4 * part + 1 : 4 * part + 4] as s from v, range(16) r(part)),
+b0 as (
+  select part, entry, s as c from (select part, s, row_number() over (partition by part order by vec_id) - 1 as entry from p) where entry < 64),
+{_NEAREST_SQL.format(n=0)}, {_MOVED_SQL.format(n=0, next=1)}, {_NEAREST_SQL.format(n=1)}, {_MOVED_SQL.format(n=1, next=2)}, {_NEAREST_SQL.format(n=2)},
+r as (select vec_id, label, string_agg(printf('%02x', best.e::int), '' order by part) as code, sum(best.d)::bigint as error from a2 group by vec_id, label),
+t as (select label, sum(error)::bigint as label_error from r group by label),
+k as (
+  select sha256(string_agg(list_aggregate(list_transform(c, lambda z: z::bigint::varchar), 'string_agg', ','), ',' order by part, entry)) as codebooks_sha256 from b2)
+select vec_id, code, error, label_error, codebooks_sha256 from r join t on r.label is not distinct from t.label, k
+"""
+
 ORACLES: dict[str, str] = {
     "op4_golomb_exact_dedup": r"""
 with t as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as n from documents)
@@ -111,4 +157,15 @@ select doc_id, size, source_size, target,
        (size * (epochs + case when before + size / 2.0 <= rest then 1 else 0 end))::bigint as taken
 from o
 """,
+    "op12_impact_search": r"""
+with v as (
+  select vec_id, list_transform(embedding, lambda c: floor(64 * c::double)) as x from embeddings
+  where len(embedding) > 0 and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id, list_dot_product(q.x, c.x)::bigint as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, rank::int as rank, vec_id, score from r where rank <= 20
+""",
+    "op13_orchard_codes": _CODES_SQL,
 }
