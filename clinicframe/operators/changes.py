@@ -1,7 +1,8 @@
 """Batch inserts, updates and deletes as functions from tables to new tables.
 
 A change never writes in place: it returns the new DataFrames, which a snapshot
-commit publishes (see ``clinicframe.sources.snapshots``).
+commit publishes (see ``clinicframe.sources.snapshots``). ``clinicframe.operators.edits``
+says the same changes as edits of the rows they touch.
 """
 
 from __future__ import annotations
@@ -169,19 +170,20 @@ class PostedResults(NamedTuple):
     rejected: DataFrame
 
 
-def post_results(
-    clinic: Clinic, test_type: str, results: DataFrame, order_by: Sequence[str], now: datetime | None = None
-) -> PostedResults:
-    """Add panel rows given as text and complete their orders.
+class ReadResults(NamedTuple):
+    """New panel rows, the patch that completes their orders, and the refused sheets."""
+
+    new: DataFrame
+    done: DataFrame
+    rejected: DataFrame
+
+
+def read_results(clinic: Clinic, panel: str, results: DataFrame, order_by: Sequence[str], now: datetime | None = None) -> ReadResults:
+    """Judge a batch of results given as text and number the good ones.
 
-    Blank texts become NULL. Refused with a reason: unknown orders, orders that have
-    this panel already, unreadable numbers, readable sheets after an order's first one.
     What is known of an order is put together first, so the sheets join only once
     and an order with very many of them can be split.
     """
-    panel = PANEL_OF_TEST.get(test_type.upper())
-    if panel is None:
-        raise ValueError(f"no result panel for test {test_type!r}")
     fields = panel_fields(panel)
     texts = {f.name: blank_to_null(f.name) for f in fields}
     values = {f"__{f.name}": F.col(f.name).try_cast(f.dataType) for f in fields}
@@ -203,14 +205,36 @@ def post_results(
         key, "order_id", *[F.col(f"__{f.name}").alias(f.name) for f in fields],
         moment(now).alias("created_at"), moment(now).alias("updated_at"),
     )
-    done = numbered.select("order_id", F.lit("COMPLETED").alias("status"))
-    return PostedResults(
-        clinic.table(panel).unionByName(new),
-        patch_rows(clinic.lab_test, done, "order_id", ("status",), now),
+    # An order is completed by its first readable sheet, so the facts alone tell which: no need to wait for the numbering.
+    done = facts.filter(F.col("__known") & F.col("__have").isNull() & F.col("__first").isNotNull())
+    return ReadResults(
+        new, done.select("order_id", F.lit("COMPLETED").alias("status")),
         judged.filter(F.col("reject_reason").isNotNull()).select("order_id", "reject_reason"),
     )
 
 
+def panel_of(test_type: str) -> str:
+    panel = PANEL_OF_TEST.get(test_type.upper())
+    if panel is None:
+        raise ValueError(f"no result panel for test {test_type!r}")
+    return panel
+
+
+def post_results(
+    clinic: Clinic, test_type: str, results: DataFrame, order_by: Sequence[str], now: datetime | None = None
+) -> PostedResults:
+    """Add panel rows given as text and complete their orders.
+
+    Blank texts become NULL. Refused with a reason: unknown orders, orders that have
+    this panel already, unreadable numbers, readable sheets after an order's first one.
+    """
+    panel = panel_of(test_type)
+    read = read_results(clinic, panel, results, order_by, now)
+    return PostedResults(
+        clinic.table(panel).unionByName(read.new), patch_rows(clinic.lab_test, read.done, "order_id", ("status",), now), read.rejected
+    )
+
+
 # Updates
 
 

@@ -21,7 +21,7 @@ from clinicframe.operators.quality import payment_input
 
 
 class RecordedPayments(NamedTuple):
-    """The new payment table and the refused entries."""
+    """The new payment table, or its new rows, and the refused entries."""
 
     payments: DataFrame
     rejected: DataFrame
@@ -30,6 +30,15 @@ class RecordedPayments(NamedTuple):
 def record_payments(
     clinic: Clinic, entries: DataFrame, order_by: Sequence[str], key: str | bytes, high_water: int | None = None,
     now: datetime | None = None,
+) -> RecordedPayments:
+    """The payment table with the acceptable entries added, see ``new_payments``."""
+    entered = new_payments(clinic, entries, order_by, key, high_water, now)
+    return RecordedPayments(with_encryption_columns(clinic.payments, RECEIPT).unionByName(entered.payments), entered.rejected)
+
+
+def new_payments(
+    clinic: Clinic, entries: DataFrame, order_by: Sequence[str], key: str | bytes, high_water: int | None = None,
+    now: datetime | None = None,
 ) -> RecordedPayments:
     """Enter payments in the order of ``order_by``: parse, check the receipt, apply the cap, number, encrypt.
 
@@ -54,11 +63,10 @@ def record_payments(
         "payment_id", "order_id", "amount_paid", "payment_method", moment(now).alias("payment_date"), "receipt_number", "status",
         moment(now).alias("created_at"), moment(now).alias("updated_at"),
     )
-    existing = with_encryption_columns(clinic.payments, RECEIPT)
     kept = ["order_id", *[c for c in order_by if c != "order_id"], "reject_reason"]
     rejected = screened.filter(F.col("reject_reason").isNotNull()).select(*kept)
     return RecordedPayments(
-        existing.unionByName(encrypt_column(new, RECEIPT, key, "empty")),
+        encrypt_column(new, RECEIPT, key, "empty"),
         rejected.unionByName(judged.filter(~F.col("accepted")).select(*kept)),
     )
 

@@ -70,6 +70,8 @@ PRIMARY_KEY = {
     "clinic_patients": "patient_id", "lab_test_catalog": "test_id", "lab_test": "order_id", "cbc": "cbc_id",
     "urinalysis": "ua_id", "fecalysis": "fa_id", "payments": "payment_id", "app_users": "user_id",
 }
+# The key by whose ranges stored tables are cut into files.
+CLUSTER_KEY = {**PRIMARY_KEY, "cbc": "order_id", "urinalysis": "order_id", "fecalysis": "order_id", "payments": "order_id"}
 UNIQUE_KEYS = {
     "clinic_patients": ("contact",), "lab_test_catalog": ("test_name",), "lab_test": (), "cbc": ("order_id",),
     "urinalysis": ("order_id",), "fecalysis": ("order_id",), "payments": ("receipt_number",),

@@ -71,7 +71,7 @@ def test_snapshots_publish_all_or_nothing(clinic, spark, tmp_path):
     assert snapshots.commit_snapshot(clinic, root) == 1
     one = snapshots.read_snapshot(spark, root)
     smaller = one.with_tables(lab_test=changes.delete_where(one.lab_test, F.col("order_id") > 5))
-    assert snapshots.commit_snapshot(smaller, root, changed=("lab_test",)) == 2
+    assert snapshots.commit_snapshot(smaller, root, changed=("lab_test",), check=False) == 2
     two = snapshots.read_snapshot(spark, root)
     assert (two.lab_test.count(), two.payments.count()) == (5, 6)
     assert two.payments.inputFiles() == one.payments.inputFiles()
@@ -87,9 +87,9 @@ def test_marks_survive_deletes_but_not_a_reload(clinic, spark, tmp_path):
     root = str(tmp_path / "marks")
     snapshots.commit_snapshot(clinic, root)
     less = clinic.with_tables(lab_test=clinic.lab_test.filter("order_id < 4"))
-    snapshots.commit_snapshot(less, root)
+    snapshots.commit_snapshot(less, root, check=False)
     assert snapshots.high_water_marks(spark, root)["lab_test"] == 8
-    snapshots.reload(less, root)
+    snapshots.reload(less, root, check=False)
     assert snapshots.high_water_marks(spark, root)["lab_test"] == 3
 
 
