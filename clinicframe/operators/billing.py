@@ -23,16 +23,18 @@ def paid_by_others(payments: DataFrame) -> DataFrame:
     return joined.select("payment_id", "order_id", (F.col("paid") - F.col("own")).cast(CENT).alias("paid_by_others"))
 
 
-def billing_by_order(clinic: Clinic) -> DataFrame:
+def billing_by_order(clinic: Clinic, sums: DataFrame | None = None) -> DataFrame:
     """Price, paid and balance of every order, cancelled ones included.
 
-    Payments are summed per order before the join, so prices are never repeated.
+    Payments are summed per order before the join, so prices are never repeated; stored
+    sums (``clinicframe.sources.bills``) spare reading the payments.
     """
     priced = clinic.lab_test.select("order_id", "patient_id", "test_id", "order_date").join(
         clinic.lab_test_catalog.select("test_id", "test_name", "price"), "test_id"
     )
     paid = F.coalesce("paid", F.lit(0).cast(CENT))
-    billed = priced.join(paid_to_date(clinic.payments), "order_id", "left")
+    sums = paid_to_date(clinic.payments) if sums is None else sums.select("order_id", "paid")
+    billed = priced.join(sums, "order_id", "left")
     return billed.select(
         "patient_id", "order_id", "order_date", "test_name", "price", paid.alias("paid"),
         (F.col("price") - paid).cast(CENT).alias("balance"),
@@ -46,10 +48,10 @@ def billing_statement(clinic: Clinic) -> DataFrame:
     return lines.select("patient_id", "order_id", day_text("order_date").alias("date_text"), "test_name", *texts)
 
 
-def billing_by_patient(clinic: Clinic) -> DataFrame:
+def billing_by_patient(clinic: Clinic, paid_sums: DataFrame | None = None) -> DataFrame:
     """Total, paid and balance of every patient; zero for patients without orders."""
     sums = [F.sum(c).cast(CENT).alias(n) for c, n in (("price", "total"), ("paid", "paid"))]
-    totals = billing_by_order(clinic).groupBy("patient_id").agg(*sums)
+    totals = billing_by_order(clinic, paid_sums).groupBy("patient_id").agg(*sums)
     joined = clinic.clinic_patients.select("patient_id", "first_name", "last_name").join(totals, "patient_id", "left")
     total, paid = (F.coalesce(c, F.lit(0).cast(CENT)) for c in ("total", "paid"))
     return joined.select(

@@ -78,17 +78,23 @@ def duplicate_keys(table: str, df: DataFrame) -> DataFrame:
 
 
 def orphans(clinic: Clinic, tables: tuple[str, ...] | None = None) -> DataFrame:
-    """Child rows whose parent does not exist; a NULL reference is allowed."""
-    found = []
+    """Child rows whose parent does not exist; a NULL reference is allowed.
+
+    All children of a parent are put together first, so a parent's keys are read and
+    shuffled once. The join is an outer one: an anti join would be moved into each child.
+    """
+    children: dict[tuple[str, str], list[DataFrame]] = {}
     for child, column, parent in REFERENCES:
-        if tables is not None and child not in tables:
-            continue
-        rows = clinic.table(child).filter(F.col(column).isNotNull())
-        keyed = rows.select(F.col(PRIMARY_KEY[child]).cast("string").alias("row_key"), column)
-        lost = keyed.join(clinic.table(parent).select(column), column, "left_anti")
+        if tables is None or child in tables:
+            rows = clinic.table(child).filter(F.col(column).isNotNull())
+            key = F.col(PRIMARY_KEY[child]).cast("string").alias("row_key")
+            children.setdefault((parent, column), []).append(rows.select(F.lit(child).alias("table_name"), key, column))
+    found = []
+    for (parent, column), rows in children.items():
+        here = clinic.table(parent).select(column, F.lit(True).alias("__here"))
+        lost = reduce(DataFrame.unionByName, rows).join(here, column, "left").filter(F.col("__here").isNull())
         found.append(lost.select(
-            F.lit("reference").alias("rule"), F.lit(child).alias("table_name"), "row_key", F.lit(column).alias("column_name"),
-            F.col(column).cast("string").alias("value"),
+            F.lit("reference").alias("rule"), "table_name", "row_key", F.lit(column).alias("column_name"), F.col(column).cast("string").alias("value"),
         ))
     return reduce(DataFrame.unionByName, found)
 

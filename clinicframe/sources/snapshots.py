@@ -194,15 +194,12 @@ def _stage(base: State, edits: Sequence[Edit]) -> _Staged | None:
     return _Staged(lines, _stored_lines(spark.createDataFrame(lines, LINES), root), changed, gone, rows, marks, schemas)
 
 
-def _collides(staged: _Staged, later: list[Version], spark: SparkSession) -> bool:
+def _collides(staged: _Staged, later: list[Version], latest: State) -> bool:
     """Whether versions published since then replaced one of our files or changed rows of one of our keys."""
-    if any(v.changed is None for v in later):
+    if any(v.changed is None for v in later) or not staged.gone <= latest.all_files():
         return True
-    lines = spark.read.schema(LINES).parquet(*[v.lines for v in later])
-    if not staged.gone.isdisjoint(r["path"] for r in lines.filter("gone").select("path").collect()):
-        return True
-    theirs = spark.read.parquet(*[v.changed for v in later])
-    return not spark.read.parquet(staged.changed).join(theirs, ["space", "key"], "left_semi").isEmpty()
+    theirs = latest.spark.read.parquet(*[v.changed for v in later])
+    return not latest.spark.read.parquet(staged.changed).join(theirs, ["space", "key"], "left_semi").isEmpty()
 
 
 def commit_changes(spark: SparkSession, root: str, change: Callable[[Clinic], Sequence[Edit]], tries: int = 8) -> int:
@@ -230,10 +227,9 @@ def commit_changes(spark: SparkSession, root: str, change: Callable[[Clinic], Se
                 entry = entry._replace(lines=_stored_lines(after.lines, root), full=True)
             if publish(spark, root, entry):
                 return entry.version
-            later = history(spark, root, base.version + 1)
-            if _collides(staged, later, spark):
-                break
             latest, first = _state(spark, root), False
+            if _collides(staged, history(spark, root, base.version + 1, latest.version), latest):
+                break
     raise Conflict(f"other writers changed the same rows {tries} times")
 
 

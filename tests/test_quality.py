@@ -9,6 +9,7 @@ import pytest
 from clinic_cases import rows
 
 from clinicframe.operators import quality
+from clinicframe.plans.explain import plan_text
 
 
 @pytest.mark.parametrize("rule", ["not_null", "check", "enum", "length"])
@@ -91,3 +92,8 @@ def test_identifiers(spark):
     assert sorted(rows(quality.identifier_errors(users), "user_id", "column_name")) == [
         (1, "username"), (2, "role_name"), (2, "username"), (3, "mysql_username"), (3, "patient_id"),
     ]
+
+
+def test_orphans_read_each_parent_once(clinic):
+    text = plan_text(quality.orphans(clinic), "simple")
+    assert text.count("LeftOuter") == 3 and "LeftAnti" not in text
