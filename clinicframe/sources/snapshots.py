@@ -29,7 +29,7 @@ from clinicframe.operators.edits import Edit
 from clinicframe.operators.skew import join_grouped
 from clinicframe.schemas import CLUSTER_KEY, LOAD_ORDER, PRIMARY_KEY, TABLES
 from clinicframe.session import ensure_checkpoint_dir
-from clinicframe.sources.versions import FULL_EVERY, LINES, State, Version, history, publish, state
+from clinicframe.sources.versions import FULL_EVERY, LINES, State, Version, history, publish, remove_old, state
 
 
 class Conflict(Exception):
@@ -238,3 +238,28 @@ def _entry(staged: _Staged, base: State, latest: State) -> Version:
     marks = {t: max(staged.marks.get(t) or 0, latest.entry.marks.get(t) or 0) for t in {*staged.marks, *latest.entry.marks}}
     own = {t: s for t, s in staged.schemas.items() if s != base.entry.schemas[t]}
     return Version(latest.version + 1, staged.stored, False, staged.changed, marks, {**latest.entry.schemas, **own})
+
+
+def reclaim(spark: SparkSession, root: str, keep: int = 1, hours: float = 24 * 7) -> int:
+    """Delete files that none of the last ``keep`` versions holds; returns how many.
+
+    Left alone are files younger than ``hours``: a commit under way may be about to name
+    them, and a reader may still use an older version. Older versions become unreadable
+    where they need a deleted file; their entries go with them.
+    """
+    versions = history(spark, root)
+    if not versions:
+        return 0
+    kept = versions[-keep:]
+    start = max(v.version for v in versions if v.full and v.version <= kept[0].version)
+    needed = [v for v in versions if v.version >= start]
+    used = spark.read.schema(LINES).parquet(*[v.lines for v in needed])
+    # A file that came before the first kept version and was gone by then is named by the lines, but not needed.
+    first = _state(spark, root, kept[0].version).all_files()
+    named = {r["path"] for r in used.select("path").distinct().collect()}
+    early = [v.lines for v in needed if v.version <= kept[0].version]
+    dead = {r["path"] for r in spark.read.schema(LINES).parquet(*early).select("path").distinct().collect()} - first
+    folders = [f"{root}/{t}" for t in TABLES]
+    gone = remove_old(spark, folders, (named - dead), hours)
+    gone += remove_old(spark, [f"{root}/_lines", f"{root}/_changed"], {x for v in needed for x in (v.lines, v.changed) if x}, hours)
+    return gone + remove_old(spark, [f"{root}/_versions"], {f"{root}/_versions/{v.version:012d}.json" for v in needed}, hours)

@@ -40,3 +40,12 @@ def orders_in_years(spark: SparkSession, path: str, first: int, last: int) -> Da
     orders, day = spark.read.parquet(path), F.col("order_date")
     pruned = orders.filter(F.col("order_year").between(first, last))
     return pruned.filter((day >= F.lit(date(first, 1, 1))) & (day < F.lit(date(last + 1, 1, 1))))
+
+
+def orders_on_days(spark: SparkSession, path: str, days: DataFrame, column: str = "order_date") -> DataFrame:
+    """Orders of the days in a table: which years' folders are opened is found out from that table when the query runs.
+
+    Spark prunes folders by a join only where the other side has a filter, hence the bounds that every year meets.
+    """
+    years = days.select(F.col(column).alias("order_date"), F.year(column).alias("order_year")).distinct().filter(F.col("order_year").between(1, 9999))
+    return spark.read.parquet(path).join(years, ["order_year", "order_date"], "left_semi")

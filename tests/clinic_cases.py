@@ -16,3 +16,10 @@ def money(text: str) -> Decimal:
 def rows(df, *columns):
     """The collected rows as tuples, in order."""
     return [tuple(r) for r in (df.select(*columns) if columns else df).collect()]
+
+
+def rows_read(df):
+    """Rows that the scans of a query handed on; row groups that were skipped have none."""
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    return sum(leaves.apply(i).metrics().get("numOutputRows").get().value() for i in range(leaves.size()))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from clinic_cases import KEY
+from clinic_cases import KEY, rows_read
 from pyspark.sql import functions as F
 
 from clinicframe.operators.encryption import CONTACT, encrypt_column, find_by_token, find_many_by_token
@@ -23,17 +23,6 @@ def patients(spark):
     return encrypt_column(people, CONTACT, KEY).checkpoint()
 
 
-def rows_read(df):
-    """Rows that the scan handed on, row groups skipped left out."""
-    df.collect()
-    plan, seen = df._jdf.queryExecution().executedPlan(), []
-    leaves = plan.collectLeaves()
-    for i in range(leaves.size()):
-        metric = leaves.apply(i).metrics().get("numOutputRows")
-        seen.append(metric.get().value())
-    return sum(seen)
-
-
 def ids(df):
     return sorted(r[0] for r in df.select("patient_id").collect())
 

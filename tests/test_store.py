@@ -270,3 +270,23 @@ def test_a_version_number_goes_to_one_writer(spark, tmp_path):
         t.join()
     winner, = [n for ok, n in won if ok]
     assert open(path).read() == f"writer {winner}"
+
+
+def test_files_of_old_versions_are_reclaimed(spark, clinic, tmp_path):
+    root = str(tmp_path / "old")
+    snapshots.commit_snapshot(clinic, root, check=False, parts=4)
+    snapshots.commit_changes(spark, root, lambda c: edits.contact(c, "PAT-002", "0999", "East", KEY, NOW))
+    snapshots.commit_changes(spark, root, add(spark, 50, 7))
+    with pytest.raises(ValueError, match="'rule'"):
+        snapshots.commit_changes(spark, root, add(spark, 51, 999))
+    before = snapshots.read_snapshot(spark, root, 2).clinic_patients
+    assert snapshots.reclaim(spark, root, keep=2) == 0
+    # The replaced file of version 1 and what the refused commit wrote, with their checksums.
+    assert snapshots.reclaim(spark, root, keep=2, hours=0) > 0
+    assert before.count() == 5 and snapshots.read_snapshot(spark, root, 2).payments.count() == 6
+    assert snapshots.read_snapshot(spark, root).payments.count() == 7
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|PATH_NOT_FOUND"):
+        snapshots.read_snapshot(spark, root, 1).clinic_patients.collect()
+    assert snapshots.reclaim(spark, root, keep=2, hours=0) == 0
+    snapshots.commit_changes(spark, root, add(spark, 52, 7))
+    assert snapshots.read_snapshot(spark, root).payments.count() == 8
