@@ -25,6 +25,7 @@ from clinicframe.functions.amounts import CENT, NOT_COUNTED, counted_amount
 from clinicframe.functions.text import in_order
 from clinicframe.model import Clinic
 from clinicframe.operators.billing import paid_to_date
+from clinicframe.operators.firstcome import Cap
 from clinicframe.operators.skew import join_grouped
 from clinicframe.schemas import DOMAINS
 from clinicframe.session import ensure_checkpoint_dir
@@ -181,12 +182,23 @@ def accept_payments(clinic: Clinic, incoming: DataFrame, arrival: Sequence[str]
     Refunded payments are recorded without counting. Adds ``accepted`` and ``reject_reason``.
     """
     judged = _judge(clinic, incoming, arrival, _positive_amount(), **limits)
-    reason = (
+    return judged.withColumn("reject_reason", _refusal()).drop("room")
+
+
+def _refusal() -> Column:
+    return (
         F.when(F.col("room").isNull(), "unknown order")
         .when(F.coalesce(F.col("amount_paid") <= 0, F.lit(True)), "amount not positive")
         .when(~F.col("accepted"), "exceeds balance")
     )
-    return judged.withColumn("reject_reason", reason).drop("room")
+
+
+def payment_cap(clinic: Clinic, arrival: Sequence[str] = ARRIVAL) -> Cap:
+    """The rule of ``accept_payments`` for requests that also use up keys."""
+    return Cap(
+        "order_id", open_room(clinic).select("order_id", "room"), (_positive_amount() * 100).cast("bigint"), F.col("status") == NOT_COUNTED, _refusal(),
+        lambda rows: accept_payments(clinic, rows, arrival),
+    )
 
 
 def _known_options(columns: Sequence[str]) -> dict[str, Column]:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from clinicframe.functions.crypto import encrypted_columns
 from clinicframe.functions.text import blank_to_null
 from clinicframe.model import Clinic
-from clinicframe.operators.caps import accept_payments, edit_payments
+from clinicframe.operators.caps import edit_payments, payment_cap
 from clinicframe.operators.changes import moment, patch_rows
 from clinicframe.operators.encryption import RECEIPT, encrypt_column, with_encryption_columns
 from clinicframe.operators.firstcome import one_at_a_time, taken_keys
@@ -56,7 +56,7 @@ def new_payments(
     checked = taken_keys(clinic.payments, parsed, {"receipt_number": "receipt exists"})
     screened = checked.withColumn("reject_reason", F.coalesce("reject_reason", "__taken")).drop("__taken")
     fit = screened.filter(F.col("reject_reason").isNull()).drop("reject_reason")
-    judged = one_at_a_time(fit, {"receipt_number": "receipt repeated"}, order_by, lambda rows: accept_payments(clinic, rows, order_by))
+    judged = one_at_a_time(fit, {"receipt_number": "receipt repeated"}, order_by, payment_cap(clinic, order_by))
     last = high_water_mark(clinic.payments, "payment_id") if high_water is None else high_water
     numbered = assign_ids(judged.filter("accepted"), "payment_id", order_by, last)
     new = numbered.select(

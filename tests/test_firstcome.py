@@ -1,0 +1,87 @@
+"""Requests that use up keys, against deciding them one by one."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+from clinic_cases import rows
+from pyspark.sql import functions as F
+
+from clinicframe.operators.caps import payment_cap
+from clinicframe.operators.firstcome import one_at_a_time
+
+
+def one_by_one(requests, room=None):
+    """(n, accepted, reason) of requests (n, a, b[, order, cents, free])."""
+    taken, left, out = {"a": set(), "b": set()}, dict(room or {}), []
+    for n, a, b, *more in sorted(requests):
+        reason = next((f"{name} taken" for name, key in (("a", a), ("b", b)) if key is not None and key in taken[name]), None)
+        if reason is None and more:
+            order, cents, free = more
+            if order not in left:
+                reason = "unknown order"
+            elif cents <= 0:
+                reason = "amount not positive"
+            elif not free and cents > left[order]:
+                reason = "exceeds balance"
+            elif not free:
+                left[order] -= cents
+        if reason is None:
+            taken["a"].add(a)
+            taken["b"].add(b)
+        out.append((n, reason is None, reason))
+    return out
+
+
+def decided(spark, requests, **options):
+    table = spark.createDataFrame(requests, "n int, a int, b int")
+    return sorted(rows(one_at_a_time(table, {"a": "a taken", "b": "b taken"}, ("n",), **options), "n", "accepted", "reject_reason"))
+
+
+def jobs(spark, run):
+    """The result, and how many Spark jobs it took."""
+    spark.sparkContext.setJobGroup("counted", "")
+    try:
+        result = run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return result, len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted"))
+
+
+def test_a_long_chain_takes_few_jobs(spark):
+    # Each request shares one key with the one before and another with the one after.
+    chain = [(n, n // 2, 10_000 + (n + 1) // 2) for n in range(2000)]
+    got, n = jobs(spark, lambda: decided(spark, chain))
+    assert got == one_by_one(chain) and sum(ok for _, ok, _ in got) == 1000
+    assert n < 30
+
+
+@pytest.mark.parametrize("fold_rows", [4096, 12])
+def test_random_requests(spark, fold_rows):
+    """Folded together, and as connected groups of which some are too large to be folded."""
+    draw = random.Random(3)
+    key = lambda most: draw.choice([None, *range(most)])
+    requests = [(n, key(60), key(60)) for n in range(40)] + [(n, n if n % 3 else 100 + n // 9, None) for n in range(200, 260)]
+    assert decided(spark, requests, fold_rows=fold_rows) == one_by_one(requests)
+
+
+@pytest.mark.parametrize("fold_rows", [4096, 6])
+def test_keys_and_caps_together(spark, clinic, fold_rows):
+    draw = random.Random(5)
+    requests = [
+        (n, draw.choice([None, *range(12)]), None, draw.choice([2, 3, 5, 6, 7, 8, 99]), draw.choice([0, 500, 4000, 9000, 20_000]), draw.random() < 0.2)
+        for n in range(60)
+    ]
+    # What orders still owe in the fixture, in cents.
+    room = {1: 2000, 2: 10_000, 3: 0, 4: 30_000, 5: 20_000, 6: -2950, 7: 12_050, 8: 12_050}
+    table = spark.createDataFrame(requests, "n int, a int, b int, order_id long, cents int, free boolean").select(
+        "n", "a", "order_id", (F.col("cents") / 100).cast("decimal(10,2)").alias("amount_paid"), F.when(F.col("free"), "REFUNDED").otherwise("PAID").alias("status")
+    )
+    got = one_at_a_time(table, {"a": "a taken"}, ("n",), payment_cap(clinic, ("n",)), fold_rows)
+    assert sorted(rows(got, "n", "accepted", "reject_reason")) == one_by_one(requests, room)
+
+
+def test_no_requests(spark):
+    table = spark.createDataFrame([], "n int, a int, b int")
+    assert one_at_a_time(table, {"a": "a taken"}, ("n",)).isEmpty()
