@@ -7,9 +7,9 @@ says the same changes as edits of the rows they touch.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import date, datetime
-from functools import reduce
+from functools import cached_property, reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -162,20 +162,31 @@ def add_users(
     )
 
 
-class PostedResults(NamedTuple):
-    """What posting a batch of results changes, and what it refuses."""
+class ReadResults:
+    """New panel rows, the patch that completes their orders, and the refused sheets.
 
-    panel: DataFrame
-    lab_test: DataFrame
-    rejected: DataFrame
+    Only the new rows need numbers, so the sort and checkpoint for these wait until they are asked for.
+    """
 
+    def __init__(self, done: DataFrame, rejected: DataFrame, number: Callable[[], DataFrame]) -> None:
+        self.done, self.rejected, self._number = done, rejected, number
 
-class ReadResults(NamedTuple):
-    """New panel rows, the patch that completes their orders, and the refused sheets."""
+    @cached_property
+    def new(self) -> DataFrame:
+        return self._number()
 
-    new: DataFrame
-    done: DataFrame
-    rejected: DataFrame
+
+class PostedResults:
+    """What posting a batch of results changes, and what it refuses."""
+
+    def __init__(self, panel: DataFrame, orders: DataFrame, read: ReadResults, now: datetime | None) -> None:
+        self._panel, self._read = panel, read
+        self.lab_test = patch_rows(orders, read.done, "order_id", ("status",), now)
+        self.rejected = read.rejected
+
+    @cached_property
+    def panel(self) -> DataFrame:
+        return self._panel.unionByName(self._read.new)
 
 
 def read_results(clinic: Clinic, panel: str, results: DataFrame, order_by: Sequence[str], now: datetime | None = None) -> ReadResults:
@@ -200,16 +211,19 @@ def read_results(clinic: Clinic, panel: str, results: DataFrame, order_by: Seque
     )
     good = judged.filter(F.col("reject_reason").isNull())
     key = PRIMARY_KEY[panel]
-    numbered = assign_ids(good.drop(key), key, order_by, high_water_mark(clinic.table(panel), key))
-    new = numbered.select(
-        key, "order_id", *[F.col(f"__{f.name}").alias(f.name) for f in fields],
-        moment(now).alias("created_at"), moment(now).alias("updated_at"),
-    )
+
+    def number() -> DataFrame:
+        numbered = assign_ids(good.drop(key), key, order_by, high_water_mark(clinic.table(panel), key))
+        return numbered.select(
+            key, "order_id", *[F.col(f"__{f.name}").alias(f.name) for f in fields],
+            moment(now).alias("created_at"), moment(now).alias("updated_at"),
+        )
+
     # An order is completed by its first readable sheet, so the facts alone tell which: no need to wait for the numbering.
     done = facts.filter(F.col("__known") & F.col("__have").isNull() & F.col("__first").isNotNull())
     return ReadResults(
-        new, done.select("order_id", F.lit("COMPLETED").alias("status")),
-        judged.filter(F.col("reject_reason").isNotNull()).select("order_id", "reject_reason"),
+        done.select("order_id", F.lit("COMPLETED").alias("status")),
+        judged.filter(F.col("reject_reason").isNotNull()).select("order_id", "reject_reason"), number,
     )
 
 
@@ -229,10 +243,7 @@ def post_results(
     this panel already, unreadable numbers, readable sheets after an order's first one.
     """
     panel = panel_of(test_type)
-    read = read_results(clinic, panel, results, order_by, now)
-    return PostedResults(
-        clinic.table(panel).unionByName(read.new), patch_rows(clinic.lab_test, read.done, "order_id", ("status",), now), read.rejected
-    )
+    return PostedResults(clinic.table(panel), clinic.lab_test, read_results(clinic, panel, results, order_by, now), now)
 
 
 # Updates
