@@ -11,8 +11,12 @@ much weight to spare, from the number of documents in the band: variants cost in
 entries, thin segments cost comparisons. The spared weight lets sets leave out their
 empty segments, which would otherwise meet for nothing.
 
-Blocks of documents send segment names to their owners, which answer with the names that
-several sets share. An owner tells names apart by 32 bits; names that clash only add comparisons. Sets are then compared, by sketches and then exactly, in two rounds: each with the first set
+Blocks of documents send segment names to their owners. An owner tells names apart by 32
+bits; names that clash only add comparisons. It compares all sets of a name by one bit for
+each of ``SKETCH`` cells, which tells sets that have more than the allowed hashes apart,
+and answers with the sets that still have a partner: texts that share a passage or a line
+end here, without a row for any pair. Such comparisons under one name grow with the square
+of the sets that share it. Sets are then compared, by sketches and then exactly, in two rounds: each with the first set
 of its names, and, within a name whose sets did not all end up in one component, those
 outside the first set's component with the sets of other components. Sets in one
 component need no comparison, so a large group of near copies costs about one each.
@@ -51,6 +55,10 @@ LARGEST = 1 << 40
 COMPARISON = 20.0
 COMMON = 0.1
 MOST_SPARE = 4
+#: Rounds in which a name compares one of its sets with the others.
+LEADERS = 2
+#: Sets of one name that meet in one task.
+TILE = 4096
 #: Cells of a set's sketch.
 SKETCH = 256
 #: Names that a task deals or sorts at once.
@@ -158,6 +166,11 @@ def sketch(tokens: np.ndarray) -> bytes:
     return np.minimum(np.bincount((tokens >> np.uint64(40)).astype(np.int64) % SKETCH, minlength=SKETCH), 255).astype(np.uint8).tobytes()
 
 
+def odd_cells(tokens: np.ndarray) -> bytes:
+    """One bit for each of SKETCH cells: whether an odd number of hashes falls into it. Each hash that only one of two sets has flips one bit."""
+    return np.packbits((np.bincount((tokens >> np.uint64(24)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1).astype(np.uint8)).tobytes()
+
+
 def _indexed(frames: Iterator[pd.DataFrame], owners: int, plans: dict[int, Scheme], n: int, percent: int) -> Iterator[pd.DataFrame]:
     """Messages of one block to the owners, each portion of its documents on its own: names with their sets, and the documents, dealt by set."""
     block, docs, found, seen, size = 0, [], [], set(), 0
@@ -169,7 +182,7 @@ def _indexed(frames: Iterator[pd.DataFrame], owners: int, plans: dict[int, Schem
             docs.append((name, order, len(tokens), sketch(tokens), text_name(text)))
             if len(tokens) and name not in seen:
                 seen.add(name)
-                found.append((name, all_names(tokens, plans, percent)))
+                found.append((name, all_names(tokens, plans, percent), len(tokens), odd_cells(tokens)))
                 size += len(found[-1][1])
             if size >= PORTION:
                 yield _messages(block, docs, found, owners)
@@ -178,31 +191,33 @@ def _indexed(frames: Iterator[pd.DataFrame], owners: int, plans: dict[int, Schem
         yield _messages(block, docs, found, owners)
 
 
-def _messages(block: int, docs: list[tuple[int, int, int, bytes, int]], found: list[tuple[int, np.ndarray]], owners: int) -> pd.DataFrame:
-    distinct = np.array([name for name, _ in found], U64)
+def _messages(block: int, docs: list[tuple[int, int, int, bytes, int]], found: list[tuple[int, np.ndarray, int, bytes]], owners: int) -> pd.DataFrame:
+    distinct = np.array([f[0] for f in found], U64)
+    sizes = np.array([f[2] for f in found], I64)
+    odd = np.frombuffer(b"".join(f[3] for f in found), np.uint8).reshape(-1, SKETCH // 8)
     doc_set, doc_text = (np.array([d[k] for d in docs], U64) for k in (0, 4))
     doc_order, doc_size = (np.array([d[k] for d in docs], I64) for k in (1, 2))
     sketches = np.frombuffer(b"".join(d[3] for d in docs), np.uint8).reshape(-1, SKETCH)
-    key = np.concatenate([*(own for _, own in found), np.zeros(0, U64)])
-    of = np.repeat(np.arange(len(found), dtype=U32), [len(own) for _, own in found])
+    key = np.concatenate([*(f[1] for f in found), np.zeros(0, U64)])
+    of = np.repeat(np.arange(len(found), dtype=U32), [len(f[1]) for f in found])
     messages = {}
     # The upper half of a name chooses the owner, who gets the lower half.
     for owner, at in deal(key >> np.uint64(12), owners):
         here, index = np.unique(of[at], return_inverse=True)
         # Names stand in the order of their sets: one bit each says whether a new set begins.
         new = np.packbits(np.diff(index, prepend=0).astype(np.uint8)).tobytes()
-        messages[owner] = [key[at].astype(U32).tobytes(), new, distinct[here].tobytes(), b"", b"", b"", b"", b""]
+        messages[owner] = [key[at].astype(U32).tobytes(), new, *[x[here].tobytes() for x in (distinct, sizes, odd)], b"", b"", b"", b"", b""]
     for owner, at in deal(mix(doc_set ^ doc_order.astype(U64)), owners):
-        messages.setdefault(owner, [b""] * len(MESSAGE))[3:] = [x[at].tobytes() for x in (doc_set, doc_order, doc_size, sketches, doc_text)]
+        messages.setdefault(owner, [b""] * len(MESSAGE))[5:] = [x[at].tobytes() for x in (doc_set, doc_order, doc_size, sketches, doc_text)]
     return pd.DataFrame([(o, block, *m) for o, m in messages.items()], columns=["owner", "block", *MESSAGE])
 
 
-MESSAGE = ("key", "new", "sets", "doc_set", "doc_order", "doc_size", "sketches", "doc_text")
+MESSAGE = ("key", "new", "sets", "sizes", "odd", "doc_set", "doc_order", "doc_size", "sketches", "doc_text")
 
 
-def _shared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of one owner: a row per document, with its sketch, and a row (set, key) per set and name that several sets share."""
-    held = []
+def _shared(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
+    """Of one owner: a row per document, with its sketch, and a row (set, key) per set and name under which another set may be similar."""
+    held, sizes, odd = [], [], []
     for frame in frames:
         docs = [joined(frame[c], d) for c, d in (("doc_set", U64), ("doc_order", I64), ("doc_size", I64), ("doc_text", U64))]
         sketches = b"".join(frame["sketches"])
@@ -213,27 +228,55 @@ def _shared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             "text": docs[3].view(I64),
         })
         held += zip(frame["key"], frame["new"], frame["sets"])
+        sizes += list(frame["sizes"])
+        odd += list(frame["odd"])
         owner = int(frame["owner"].iloc[0])
+    listed, sizes = joined((sets for _, _, sets in held), U64), joined(sizes, I64)
+    odd = joined(odd, U64).reshape(-1, SKETCH // 64)
+    begins = np.cumsum([0] + [len(sets) // 8 for _, _, sets in held])
     # Equal names fall into one portion, so portions can be sorted one by one.
     portions = 1 << (sum(len(k) for k, _, _ in held) // 4 // PORTION).bit_length()
     for portion in range(portions):
-        parts = [_portion(*message, portion, portions) for message in held]
-        key, of = (np.concatenate([*(part[k] for part in parts), np.zeros(0, d)]) for k, d in ((0, U32), (1, U64)))
-        at = np.lexsort((of, key))
-        key, of = key[at], of[at]
-        runs = run_starts(key, of)
+        parts = [_portion(key, new, portion, portions) for key, new, _ in held]
+        key = np.concatenate([*(k for k, _ in parts), np.zeros(0, U32)])
+        of = np.concatenate([*(at + begin for (_, at), begin in zip(parts, begins)), np.zeros(0, np.int64)])
+        order = np.lexsort((listed[of], key))
+        key, of = key[order], of[order]
+        runs = run_starts(key, listed[of])
         key, of = key[runs], of[runs]
-        lengths = np.diff(np.append(run_starts(key), len(key)))
-        several = np.repeat(lengths > 1, lengths)
-        yield pd.DataFrame({"set": of[several].view(I64), "doc_order": 0, "size": -1, "block": -1, "key": (owner << 32) + key[several].astype(I64), "sketch": b"", "text": 0})
+        good = _promising(key, sizes[of], odd[of], percent)
+        yield pd.DataFrame({
+            "set": listed[of[good]].view(I64), "doc_order": 0, "size": -1, "block": -1, "key": (owner << 32) + key[good].astype(I64), "sketch": b"", "text": 0,
+        })
 
 
-def _portion(keys: bytes, new: bytes, sets: bytes, portion: int, portions: int) -> tuple[np.ndarray, np.ndarray]:
-    """The names of a message that fall into the portion, with their sets."""
+def _portion(keys: bytes, new: bytes, portion: int, portions: int) -> tuple[np.ndarray, np.ndarray]:
+    """The names of a message that fall into the portion, with the places of their sets in it."""
     key = np.frombuffer(keys, U32)
     here = np.flatnonzero(key & np.uint32(portions - 1) == portion)
     of = np.cumsum(np.unpackbits(np.frombuffer(new, np.uint8), count=len(key)), dtype=np.int64)
-    return key[here], np.frombuffer(sets, U64)[of[here]]
+    return key[here], of[here]
+
+
+def _promising(key: np.ndarray, sizes: np.ndarray, odd: np.ndarray, percent: int) -> np.ndarray:
+    """Which entries of sorted names have another under the same name that may be similar.
+
+    Every two entries of a name are looked at, in place: nothing is written for a pair.
+    """
+    good = np.zeros(len(key), bool)
+    step, left = 1, np.arange(max(0, len(key) - 1))
+    while True:
+        left = left[left + step < len(key)]
+        left = left[key[left] == key[left + step]]
+        if not len(left):
+            return good
+        for start in range(0, len(left), PORTION):
+            a = left[start : start + PORTION]
+            b = a + step
+            apart = np.bitwise_count(odd[a] ^ odd[b]).sum(axis=1, dtype=np.int64)
+            fits = (apart <= most_different(sizes[a], sizes[b], percent)) & (100 * np.minimum(sizes[a], sizes[b]) >= percent * np.maximum(sizes[a], sizes[b]))
+            good[a[fits]] = good[b[fits]] = True
+        step += 1
 
 
 def _contents(frame: pd.DataFrame, wanted: pd.DataFrame, n: int) -> pd.DataFrame:
@@ -304,6 +347,93 @@ def schemes(docs: DataFrame, n: int, percent: int) -> dict[int, Scheme]:
     return {b: s for b, s in found.items() if s}
 
 
+def linked(named: DataFrame, sets: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(node, component) of all sets that are linked, from the names (key, node) that sets share.
+
+    In each of ``LEADERS`` rounds every name whose sets are in several components puts one
+    of them up, another for each name and round, and compares it with those outside its
+    component. Near copies that share many names meet many leaders that way and end up
+    together at a cost of one comparison a name and set. What is left apart then is
+    compared set by set, but only pairs that sketches do not tell apart are written.
+    """
+    placed = join_grouped(named, sets.select("node", "size"), "node").withColumn("own", F.col("node"))
+    links, groups = None, components(named.sparkSession.createDataFrame([], "a long, b long"))
+    for turn in range(LEADERS + 1):
+        # Names all of whose sets are in one component need no more comparisons.
+        parts = placed.groupBy("key").agg(
+            F.min("own").alias("least"), F.max("own").alias("most"), F.count("*").alias("rows"),
+            F.min_by(F.struct("node", "size", "own"), F.xxhash64("node", "key", F.lit(turn))).alias("leader"),
+        ).filter("least < most")
+        rest = stored(join_grouped(placed, parts.select("key", "rows", "leader"), "key"))
+        if rest.isEmpty():
+            break
+        if turn < LEADERS:
+            lead = rest.filter(F.col("own") != F.col("leader.own")).filter(100 * F.least("size", "leader.size") >= percent * F.greatest("size", "leader.size"))
+            pairs = lead.select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b"))
+        else:
+            pairs = _crossing(rest, sets, percent)
+        found = compared(pairs.distinct(), sets, docs, n, percent)
+        links = found if links is None else links.unionByName(found)
+        groups = components(links)
+        placed = rest.select("key", "node", "size").join(groups.select("node", F.col("component").alias("own")), "node", "left").withColumn("own", F.coalesce("own", "node"))
+    return groups
+
+
+def _crossing(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets in different components of one name that sketches do not tell apart.
+
+    A name's sets are dealt into tiles of about ``TILE``, and every two tiles meet in a
+    cell of their own, so a name that very many sets share is spread over tasks.
+    """
+    tiles = F.ceil(F.col("rows") / TILE).cast("int")
+    tile = F.pmod(F.xxhash64("node"), tiles).cast("int")
+    dealt = rest.select("key", "node", "size", "own", tile.alias("tile"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
+    cells = join_grouped(dealt, sets.select("node", "sketch"), "node").withColumns({"low": F.least("tile", "other"), "high": F.greatest("tile", "other")}).drop("other")
+    order = ("key", "low", "high", "node")
+    spread = cells.repartition("key", "low", "high").sortWithinPartitions(*order)
+
+    def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = None
+        for frame in frames:
+            frame = frame if kept is None else pd.concat([kept, frame], ignore_index=True)
+            # The last cell may go on in the next batch.
+            last = frame[list(order[:3])].iloc[-1]
+            ends = int((frame[list(order[:3])] == last).all(axis=1).to_numpy().argmax())
+            yield _apart_by_little(frame.iloc[:ends], percent)
+            kept = frame.iloc[ends:]
+        if kept is not None:
+            yield _apart_by_little(kept, percent)
+
+    return spread.mapInPandas(meet, "a long, b long")
+
+
+def _apart_by_little(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Of sorted cells the pairs of different components whose sketches similar sets can have, each once."""
+    cell = run_starts(*[frame[c].to_numpy() for c in ("key", "low", "high")])
+    cell = np.repeat(np.arange(len(cell)), np.diff(np.append(cell, len(frame))))
+    node, size, own, tile = (frame[c].to_numpy() for c in ("node", "size", "own", "tile"))
+    inside = frame["low"].to_numpy() == frame["high"].to_numpy()
+    cells = np.frombuffer(b"".join(frame["sketch"]), np.uint8).reshape(-1, SKETCH)
+    # A full cell says nothing about the parity of its count.
+    odd = np.packbits((cells & 1) * (cells < 255), axis=1).view(U64)
+    found, step, left = [np.zeros((0, 2), np.int64)], 1, np.arange(max(0, len(frame) - 1))
+    while True:
+        left = left[left + step < len(frame)]
+        left = left[cell[left] == cell[left + step]]
+        if not len(left):
+            return pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
+        for start in range(0, len(left), PORTION // 8):
+            a = left[start : start + PORTION // 8]
+            b = a + step
+            most = most_different(size[a], size[b], percent)
+            fits = (own[a] != own[b]) & (inside[a] | (tile[a] != tile[b])) & (100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b]))
+            fits &= np.bitwise_count(odd[a] ^ odd[b]).sum(axis=1, dtype=np.int64) <= most
+            a, b, most = a[fits], b[fits], most[fits]
+            near = np.abs(cells[a].astype(np.int16) - cells[b]).sum(axis=1, dtype=np.int64) <= most
+            found.append(np.stack([np.minimum(node[a], node[b])[near], np.maximum(node[a], node[b])[near]], axis=1))
+        step += 1
+
+
 def near_rows(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """(doc_order, text, size, component, first) for every row: its text's xxhash64, the number of its n-grams, its component's name and smallest doc_order."""
     spark = docs.sparkSession
@@ -314,31 +444,17 @@ def near_rows(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFr
     def indexed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return _indexed(frames, blocks, plans, n, percent)
 
+    def shared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _shared(frames, percent)
+
     sent = blocked_texts(docs, blocks).groupBy("block").applyInPandas(indexed, "owner int, block int, " + ", ".join(f"{c} binary" for c in MESSAGE))
-    table = stored(sent.groupBy("owner").applyInPandas(_shared, "set long, doc_order long, size long, block int, key long, sketch binary, text long"))
+    table = stored(sent.groupBy("owner").applyInPandas(shared, "set long, doc_order long, size long, block int, key long, sketch binary, text long"))
     listed = table.filter("size >= 0")
     # A set goes by its hash; one of its rows stands for it when texts are read again.
     sets = listed.filter("size > 0").groupBy("set").agg(F.min(F.struct("doc_order", "text", "block", "size", "sketch")).alias("m"))
     sets = stored(sets.select(F.col("set").alias("node"), "m.doc_order", "m.text", "m.block", "m.size", "m.sketch"))
-    named = table.filter("size < 0").select("key", F.col("set").alias("node")).join(sets.select("node", "size"), "node").select("key", "node", "size")
-    alike = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
-    leaders = named.groupBy("key").agg(F.min(F.struct("node", "size")).alias("leader"))
-    led = stored(named.join(leaders, "key").select("key", "node", "size", "leader.*").toDF("key", "node", "size", "leader", "leader_size"))
-    stars = led.filter("node <> leader").filter(alike(F.col("size"), F.col("leader_size"))).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    links = compared(stars, sets, docs, n, percent)
-
-    found = components(links)
-    placed = led.join(found.select("node", F.col("component").alias("own")), "node", "left").join(
-        found.select(F.col("node").alias("leader"), F.col("component").alias("led")), "leader", "left"
-    )
-    placed = stored(placed.select("key", "node", "size", "leader", F.coalesce("own", "node").alias("own"), F.coalesce("led", "leader").alias("led")))
-    apart = placed.filter("own <> led").select("key", F.col("node").alias("x"), F.col("size").alias("x_size"), F.col("own").alias("x_own"), F.col("led").alias("x_led"))
-    others = placed.filter("node <> leader").select("key", F.col("node").alias("y"), F.col("size").alias("y_size"), F.col("own").alias("y_own"))
-    # Two sets outside the first component meet once, from the smaller; one inside meets those outside.
-    crossing = apart.join(others, "key").filter((F.col("x_own") != F.col("y_own")) & ((F.col("y_own") == F.col("x_led")) | (F.col("x") < F.col("y"))))
-    crossing = crossing.filter(alike(F.col("x_size"), F.col("y_size"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = compared(crossing, sets, docs, n, percent)
-    groups = components(links.union(more))
+    named = table.filter("size < 0").select("key", F.col("set").alias("node"))
+    groups = linked(named, sets, docs, n, percent)
     by_set = stored(sets.join(groups, "node", "left").select("node", "doc_order", F.coalesce("component", "node").alias("component")))
     smallest = by_set.groupBy("component").agg(F.min("doc_order").alias("first"))
     by_set = join_grouped(by_set.select("node", "component"), smallest, "component").withColumnRenamed("node", "set")

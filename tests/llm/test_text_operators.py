@@ -227,7 +227,7 @@ def test_names_in_portions(monkeypatch):
     def found(portion):
         monkeypatch.setattr(ngram_join, "PORTION", portion)
         sent = pd.concat(ngram_join._indexed(iter([frame]), 4, plans, 4, 85))
-        out = pd.concat([x for _, group in sent.groupby("owner") for x in ngram_join._shared(iter([group]))])
+        out = pd.concat([x for _, group in sent.groupby("owner") for x in ngram_join._shared(iter([group]), 85)])
         return sorted(map(tuple, out.to_numpy().tolist()))
 
     whole = found(1 << 19)
