@@ -220,7 +220,9 @@ def test_empty_tables(documents):
 
 
 def test_names_in_portions(monkeypatch):
-    texts = [" ".join(f"w{(k + j * (j > k)) % 90}" for j in range(60)) for k in range(40)]
+    # Near copies, and texts that share half with them: only the former have a partner under their names.
+    texts = [" ".join("x" if j == 3 * k else f"w{j}" for j in range(120)) for k in range(30)]
+    texts += [" ".join(f"w{j}" if j < 60 else f"v{k}-{j}" for j in range(120)) for k in range(10)]
     plans = {b: s for b in range(12) if (s := ngram_join.scheme(b, 40))}
     frame = pd.DataFrame({"block": 3, "doc_order": range(40), "packed": [zstandard.compress(t.encode()) for t in texts]})
 
@@ -232,4 +234,37 @@ def test_names_in_portions(monkeypatch):
 
     whole = found(1 << 19)
     assert sum(r[2] >= 0 for r in whole) == 40 and sum(r[2] < 0 for r in whole) > 100
+    assert len({r[0] for r in whole if r[2] < 0}) == 30
     assert found(16) == whole
+
+
+def test_comparisons_in_place(monkeypatch):
+    """Of cells of one name the pairs of different components that sketches leave, in tiles and across the ends of batches."""
+    draw = np.random.default_rng(11)
+    tokens = [np.unique(draw.integers(0, 1 << 63, 200).astype(np.uint64)) for _ in range(3)]
+    sets = [np.unique(np.concatenate([base[: len(base) - 4], draw.integers(0, 1 << 63, 4).astype(np.uint64)])) for base in tokens for _ in range(5)]
+    frame = pd.DataFrame({
+        "key": 7, "low": 0, "high": 1, "node": range(15), "size": [len(s) for s in sets], "own": [k % 2 for k in range(15)],
+        "tile": [k // 3 % 2 for k in range(15)], "sketch": [ngram_join.sketch(s) for s in sets],
+    })
+    met = lambda f: {tuple(r) for r in ngram_join._apart_by_little(f, 85).to_numpy().tolist()}
+    alike = {(a, b) for a in range(15) for b in range(a + 1, 15) if a // 5 == b // 5 and a % 2 != b % 2}
+    assert met(frame) == {(a, b) for a, b in alike if a // 3 % 2 != b // 3 % 2}
+    assert met(frame.assign(high=0)) == alike
+    monkeypatch.setattr(ngram_join, "PORTION", 16)
+    assert met(frame.assign(high=0)) == alike and met(frame.assign(key=range(15))) == set()
+
+
+@pytest.mark.parametrize("n, percent", [(4, 85), (5, 80)])
+def test_groups_just_under_the_threshold(documents, monkeypatch, n, percent):
+    """Very many texts that share a passage, and near copies on both sides of the threshold; names dealt into many tiles."""
+    monkeypatch.setattr(ngram_join, "TILE", 3)
+    draw, base = random.Random(n), [f"b{k}" for k in range(90)]
+    texts = [" ".join(w if draw.random() > p else f"c{draw.randrange(10**6)}" for w in base) for p in (0.01, 0.015, 0.02, 0.03) for _ in range(12)]
+    texts += [" ".join([*base[:50], *(f"d{draw.randrange(10**6)}" for _ in range(40))]) for _ in range(30)]
+    shingles = [frozenset(tuple(t.split()[i : i + n]) for i in range(len(t.split()) - n + 1)) for t in texts]
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if 100 * len(shingles[a] & shingles[b]) >= percent * len(shingles[a] | shingles[b])]
+    expected = reachable(range(len(texts)), links)
+    got = ngram_join.near_components(documents(*[(k, t, "s") for k, t in enumerate(texts)]), n, percent)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == expected
+    assert len(set(expected.values())) > 31
