@@ -10,11 +10,14 @@ per block. The owner answers each block in the same way. Both counts follow
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -105,6 +108,15 @@ def unpacked(frame: pd.DataFrame) -> Iterator[tuple[int, bytes]]:
         yield int(order), expand(packed)
 
 
+def release() -> None:
+    """Give memory that a task no longer uses back to the system: Python workers outlive their tasks, and several share an executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def mix(values: np.ndarray) -> np.ndarray:
     """Spread 64-bit values over all bits."""
     out = values ^ (values >> np.uint64(31))

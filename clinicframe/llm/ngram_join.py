@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clinicframe.llm.common import I64, LAST_ID, U32, U64, WORDS, Rolling, block_count, blocked_texts, deal, id_filter, identifier, joined, mix, run_starts, stored, unpacked
+from clinicframe.llm.common import I64, LAST_ID, U32, U64, WORDS, Rolling, block_count, blocked_texts, deal, id_filter, identifier, joined, mix, release, run_starts, stored, unpacked
 from clinicframe.llm.components import components
 from clinicframe.operators.skew import join_grouped
 from clinicframe.session import ensure_checkpoint_dir
@@ -189,6 +189,9 @@ def _indexed(frames: Iterator[pd.DataFrame], owners: int, plans: dict[int, Schem
                 docs, found, size = [], [], 0
     if docs:
         yield _messages(block, docs, found, owners)
+    del docs, found, seen
+    WORDS.clear()
+    release()
 
 
 def _messages(block: int, docs: list[tuple[int, int, int, bytes, int]], found: list[tuple[int, np.ndarray, int, bytes]], owners: int) -> pd.DataFrame:
@@ -248,6 +251,8 @@ def _shared(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFra
         yield pd.DataFrame({
             "set": listed[of[good]].view(I64), "doc_order": 0, "size": -1, "block": -1, "key": (owner << 32) + key[good].astype(I64), "sketch": b"", "text": 0,
         })
+    del frame, sketches, docs, held, odd, parts, key, of, order, runs, good
+    release()
 
 
 def _portion(keys: bytes, new: bytes, portion: int, portions: int) -> tuple[np.ndarray, np.ndarray]:
@@ -317,6 +322,7 @@ def _similar(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFr
             both = len(np.intersect1d(x, y, assume_unique=True))
             fits.append(100 * both >= percent * (len(x) + len(y) - both))
         yield frame.loc[fits, ["a", "b"]]
+    release()
 
 
 def compared(pairs: DataFrame, sets: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -403,6 +409,7 @@ def _crossing(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             kept = frame.iloc[ends:]
         if kept is not None:
             yield _apart_by_little(kept, percent)
+        release()
 
     return spread.mapInPandas(meet, "a long, b long")
 
