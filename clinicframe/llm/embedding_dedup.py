@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clinicframe.llm.common import LAST_ID, identifier
+from clinicframe.llm.common import LAST_ID, identifier, smallest
 from clinicframe.llm.components import components
 from clinicframe.operators.skew import join_grouped
 from clinicframe.session import ensure_checkpoint_dir
@@ -182,7 +182,7 @@ def near_copies(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     distinct = base.filter(good).groupBy("label", "embedding").agg(F.min("vec_order").alias("first"), F.count("*").alias("copies"))
     # The checkpoint freezes the numbers.
     distinct = distinct.withColumn("rep", F.monotonically_increasing_id()).withColumn("dim", F.size("embedding")).checkpoint()
-    sample = distinct.select("dim", "embedding").orderBy(F.xxhash64("embedding", "label")).limit(SAMPLE_ROWS).toPandas()
+    sample = smallest(distinct.select("label", "dim", "embedding"), [F.xxhash64("embedding", "label")], SAMPLE_ROWS).toPandas()
     leaves = distinct.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     axes = {int(d): Axes(np.stack(rows.to_numpy()), leaves // TILE_ROWS) for d, rows in sample.groupby("dim")["embedding"]}
 
@@ -198,7 +198,9 @@ def near_copies(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     label = dict(base.dtypes)["label"]
     placed = distinct.drop("first").mapInPandas(leaf, f"label {label}, embedding {element}, rep long, copies long, dim int, leaf long")
     sizes = placed.groupBy("label", "dim", "leaf").agg(F.ceil(F.count("*") / TILE_ROWS).alias("parts"))
-    placed = placed.join(sizes, ["label", "dim", "leaf"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
+    # Sizes are grouped by these columns; the fourth has them shuffled anew, so that a leaf with very many vectors can be split.
+    tag = F.hash("label", "dim", "leaf")
+    placed = placed.withColumn("tag", tag).join(sizes.withColumn("tag", tag), ["label", "dim", "leaf", "tag"]).drop("tag").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
     tiles = placed.groupBy("label", "dim", "leaf", "part").applyInPandas(
         lambda f: _tile(f, kind, axes),
         f"label {label}, dim int, tile string, reps binary, copies binary, vectors binary, low array<double>, high array<double>",
@@ -228,8 +230,8 @@ def near_copies(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     named = distinct.select("label", "embedding", "rep", "first", "copies").join(linked, "rep", "left").select(
         "label", "embedding", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("part")
     )
-    smallest = named.groupBy("part").agg(F.min("first").alias("component"))
-    named = join_grouped(named.drop("first"), smallest, "part").drop("part")
+    least = named.groupBy("part").agg(F.min("first").alias("component"))
+    named = join_grouped(named.drop("first"), least, "part").drop("part")
     inside = base.filter(good).join(named, ["label", "embedding"]).select("vec_order", "n_links", "component")
     outside = base.filter(~good).select("vec_order", F.lit(0).cast("long").alias("n_links"), F.col("vec_order").alias("component"))
     return inside.unionByName(outside).select(

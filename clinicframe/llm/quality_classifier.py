@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clinicframe.llm.common import LAST_ID, identifier, in_order
+from clinicframe.llm.common import LAST_ID, identifier, in_order, smallest
 from clinicframe.session import ensure_checkpoint_dir
 
 SAMPLE_ROWS = 8192
@@ -146,7 +146,7 @@ def fit(features_of: DataFrame, labels: DataFrame) -> Network | None:
     learn = features_of.filter(~held_out(identifier())).filter(F.col("doc_order") != LAST_ID)
     good = labels.groupBy(F.col("doc_id").cast("long").alias("doc_order")).agg(F.min(F.coalesce("quality", F.lit(0))).alias("q")).filter("q = 1")
     pick = lambda df, salt: np.array(
-        [r[0] for r in df.orderBy(F.xxhash64("doc_order", F.lit(salt)), "doc_order").select("features").limit(SAMPLE_ROWS).collect()]
+        [r["features"] for r in smallest(df, [F.xxhash64("doc_order", F.lit(salt)), "doc_order"], SAMPLE_ROWS).collect()]
     )
     positive, unlabelled = pick(learn.join(good, "doc_order", "left_semi"), 1), pick(learn, 2)
     if not len(positive):
