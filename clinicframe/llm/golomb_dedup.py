@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clinicframe.llm.common import U64, block_count, identifier, in_order
+from clinicframe.operators.skew import join_grouped
 from clinicframe.session import ensure_checkpoint_dir
 
 BITS = 48
@@ -144,7 +145,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     )
     suspects = marked.filter("suspect")
     # The few suspects decide which texts are read on; equal texts meet by their bytes, summed up before they move.
-    texts = in_order(docs).join(suspects.select("doc_order").distinct(), "doc_order").select("doc_order", normalised(F.col("text")).alias("text"))
+    texts = join_grouped(in_order(docs), suspects.select("doc_order").distinct(), "doc_order").select("doc_order", normalised(F.col("text")).alias("text"))
     groups = texts.groupBy("text").agg(F.min("doc_order").alias("keep_order"), F.count("*").alias("group_size"))
     groups = groups.select("keep_order", "group_size", F.unhex(F.sha2("text", 256)).alias("digest"))
     copies = suspects.join(groups, "digest").select("doc_order", "keep_order", "group_size", "digest")
