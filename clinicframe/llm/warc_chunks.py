@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clinicframe.operators.skew import join_grouped
+
 CHUNK_BYTES = 1 << 16
 REVISIT_BYTES = 1000
 #: Payload bytes in one Arrow batch.
@@ -46,11 +48,12 @@ TABLE = "archive int, record long, chunk long, bytes binary, payload_upto long,
 def planned(pages: DataFrame) -> DataFrame:
     """(page_id, url, html, record_type, refers_to): what to write for each page."""
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    base = base.withColumn("digest", F.unhex(F.sha2("html", 256)))
-    # Equal payloads are summed up to one row each before the payloads move; the long ones only.
-    long = F.octet_length("html") >= REVISIT_BYTES
-    leaders = base.filter(long).groupBy("digest").agg(F.max("page_id").alias("leader"), F.count("*").alias("copies")).filter("copies > 1")
-    rows = base.join(leaders.select("digest", "leader"), "digest", "left")
+    # Short payloads refer to none and stay where they are. Equal long ones are summed up to one row each before payloads move.
+    size = F.octet_length("html")
+    long = base.filter(size >= REVISIT_BYTES).withColumn("digest", F.unhex(F.sha2("html", 256)))
+    leaders = long.groupBy("digest").agg(F.max("page_id").alias("leader"), F.count("*").alias("copies")).filter("copies > 1")
+    rows = join_grouped(long, leaders.select("digest", "leader"), "digest", "left").drop("digest")
+    rows = rows.unionByName(base.filter(size < REVISIT_BYTES).withColumn("leader", F.lit(None).cast("long")))
     revisit = F.col("leader").isNotNull() & ~F.col("leader").eqNullSafe(F.col("page_id"))
     return rows.select(
         "page_id", "url", "html", F.when(revisit, "revisit").otherwise("response").alias("record_type"),
