@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from clinicframe.functions.amounts import parse_amount
 from clinicframe.model import Clinic
@@ -32,6 +33,8 @@ CHECKS = {
 }
 # Fixed value: the form of account names.
 IDENTIFIER = "^[A-Za-z0-9_.-]{1,80}$"
+#: Rows of a key that one task counts, see ``duplicate_keys``.
+KEYS_PER_TASK = 250_000
 
 
 def _not_null(table: str) -> dict[str, Column]:
@@ -66,17 +69,32 @@ def row_violations(table: str, df: DataFrame, rule: str) -> DataFrame:
 
 
 def duplicate_keys(table: str, df: DataFrame) -> DataFrame:
-    """Values of primary and unique keys that occur more than once; NULL may repeat in a unique key."""
-    found = []
+    """Values of primary and unique keys that occur more than once; NULL may repeat in a unique key.
+
+    Nearly every row of such a key is a group of its own, so large tables are counted in tasks of ``KEYS_PER_TASK`` rows.
+    """
+    found, parts = [], -(-df.count() // KEYS_PER_TASK)
     for column in (PRIMARY_KEY[table], *UNIQUE_KEYS[table]):
         if column in df.columns:
-            counted = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("value"))
-            found.append(counted.agg(F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1").select(
-                F.lit("unique").alias("rule"), F.lit(table).alias("table_name"), F.lit(column).alias("column_name"), "value", "n_rows"
+            # Whole numbers become text after the grouping: they take less memory.
+            key = F.col(column) if isinstance(df.schema[column].dataType, IntegralType) else F.col(column).cast("string")
+            counted = _occurrences(df.filter(F.col(column).isNotNull()).select(key.alias("value")), parts)
+            found.append(counted.filter("n_rows > 1").select(
+                F.lit("unique").alias("rule"), F.lit(table).alias("table_name"), F.lit(column).alias("column_name"),
+                F.col("value").cast("string").alias("value"), "n_rows",
             ))
     return reduce(DataFrame.unionByName, found)
 
 
+def _occurrences(values: DataFrame, parts: int) -> DataFrame:
+    """How often each value occurs. A value is first counted within each partition it comes from, so a hot one never meets in one task."""
+    if parts < 2:
+        return values.groupBy("value").agg(F.count(F.lit(1)).alias("n_rows"))
+    apart = values.withColumn("__from", F.spark_partition_id()).repartition(parts, "value", "__from")
+    within = apart.groupBy("value", "__from").agg(F.count(F.lit(1)).alias("n_rows")).drop("__from")
+    return within.repartition(parts, "value").groupBy("value").agg(F.sum("n_rows").alias("n_rows"))
+
+
 def orphans(clinic: Clinic, tables: tuple[str, ...] | None = None) -> DataFrame:
     """Child rows whose parent does not exist; a NULL reference is allowed.
 

@@ -7,6 +7,7 @@ from decimal import Decimal as D
 
 import pytest
 from clinic_cases import rows
+from pyspark.sql import functions as F
 
 from clinicframe.operators import quality
 from clinicframe.plans.explain import plan_text
@@ -97,3 +98,16 @@ def test_identifiers(spark):
 def test_orphans_read_each_parent_once(clinic):
     text = plan_text(quality.orphans(clinic), "simple")
     assert text.count("LeftOuter") == 3 and "LeftAnti" not in text
+
+
+def test_large_keys_are_counted_in_bounded_tasks(spark, monkeypatch):
+    monkeypatch.setattr(quality, "KEYS_PER_TASK", 100)
+    # Key 5 is hot, 7 and 8 repeat, the rest occur once; receipts are missing but for two equal ones.
+    key = F.when(F.col("id") < 400, 5).when(F.col("id") < 403, 7).when(F.col("id") < 405, 8).when(F.col("id") < 410, None).otherwise(F.col("id"))
+    receipt = F.when(F.col("id").isin(3, 900), "R-1")
+    payments = spark.range(0, 1000, 1, 4).select(key.alias("payment_id"), receipt.alias("receipt_number"))
+    found = quality.duplicate_keys("payments", payments)
+    assert sorted(rows(found, "column_name", "value", "n_rows")) == [
+        ("payment_id", "5", 400), ("payment_id", "7", 3), ("payment_id", "8", 2), ("receipt_number", "R-1", 2),
+    ]
+    assert found._jdf.queryExecution().executedPlan().toString().count(", 10), REPARTITION_BY_NUM") == 4
