@@ -13,6 +13,10 @@ from clinicframe.operators.listings import BY_NAME
 from clinicframe.operators.skew import join_grouped
 
 
+#: Texts that one task of ``iv_proof`` encrypts.
+PROOF_ROWS = 100_000
+
+
 class Secret(NamedTuple):
     """A protected column and the three columns stored beside it."""
 
@@ -141,9 +145,13 @@ def raw_cipher(df: DataFrame, secret: Secret, k: int = 3) -> DataFrame:
 
 
 def iv_proof(df: DataFrame, secret: Secret, key: str | bytes) -> DataFrame:
-    """Encrypt every text twice and count: IVs and ciphertexts never repeat, tokens do."""
+    """Encrypt every text twice and count: IVs and ciphertexts never repeat, tokens do.
+
+    Each text becomes six wide rows of a grouping, so the texts are dealt out first: a small file of many rows is one task.
+    """
     text = df.filter(F.col(secret.plain).isNotNull()).select(secret.plain)
-    twice = text.select(secret.plain, F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
+    dealt = text.repartition(max(1, -(-text.count() // PROOF_ROWS)))
+    twice = dealt.select(secret.plain, F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
     stored = encrypted_columns(twice, F.col(secret.plain), key, "cipher", "iv", "token")
     return stored.agg(
         F.count("cipher").alias("n_ciphers"), F.count_distinct("cipher").alias("n_distinct_ciphers"),

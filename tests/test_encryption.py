@@ -58,6 +58,15 @@ def test_every_row_has_its_own_iv_even_for_a_constant(spark):
     assert tuple(proof) == (1000, 1000, 1000, 1)
 
 
+def test_texts_of_one_task_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(encryption, "PROOF_ROWS", 10)
+    df = spark.range(0, 95, 1, 1).select(F.when(F.col("id") < 90, F.col("id").cast("string")).alias("contact"))
+    proof = encryption.iv_proof(df, CONTACT, KEY)
+    assert "RoundRobinPartitioning(9)" in proof._jdf.queryExecution().executedPlan().toString()
+    assert proof.first()[:] == (180, 180, 180, 90)
+    assert encryption.iv_proof(df.filter("false"), CONTACT, KEY).first()[:] == (0, 0, 0, 0)
+
+
 def test_stored_parts_belong_together(spark, tmp_path):
     df = spark.range(2000).select(F.format_string("09%05d", "id").alias("contact")).repartition(8)
     encryption.encrypt_column(df, CONTACT, KEY).write.parquet(str(tmp_path / "t"))
