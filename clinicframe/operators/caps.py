@@ -8,9 +8,11 @@ methods share the work:
 * An order with many payments is never gathered. While the room left lies in
   [b, 2b) for a power of two b, amounts below b always fit, and at most one amount
   of b or more can be accepted before the room drops below b. So the first point
-  where the room drops below b is found by distributed running sums over chunks of
+  where the room drops below b is found by distributed running sums over blocks of
   the order, all orders at once, and each such round at least halves b: about
-  log2(price in cents) rounds, however many payments there are.
+  log2(price in cents) rounds, however many payments there are. A block is summed
+  up once, by powers of two; a round sorts only the rows of blocks that may hold
+  the point.
 """
 
 from __future__ import annotations
@@ -28,17 +30,19 @@ from clinicframe.operators.billing import paid_to_date
 from clinicframe.operators.firstcome import Cap
 from clinicframe.operators.skew import join_grouped
 from clinicframe.schemas import DOMAINS
-from clinicframe.session import ensure_checkpoint_dir
+from clinicframe.session import stored
 
 FOLD_ROWS = 1_000
 CHUNK_ROWS = 200_000
+#: Consecutive rows of an order that a round of halving judges by their sums alone, if it can.
+BLOCK_ROWS = 4_096
 # Kinds of steps, in the order they apply within a group.
 FREE, LOWER, RAISE = 0, 1, 2
 
 
 def accept_steps(
     rows: DataFrame, room: DataFrame, group: str, arrival: Sequence[str], step: Column, free: Column,
-    fold_rows: int = FOLD_ROWS, chunk_rows: int = CHUNK_ROWS,
+    fold_rows: int = FOLD_ROWS, chunk_rows: int = CHUNK_ROWS, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Append ``room`` and ``accepted``: a greedy choice of steps within each group.
 
@@ -52,16 +56,15 @@ def accept_steps(
     marked = rows.withColumns({"__cents": (step * 100).cast("bigint"), "__kind": F.when(step.isNotNull(), kind)})
     limits = room.select(group, F.col("room").cast(CENT).alias("room"))
     columns = rows.columns
-    sizes = marked.groupBy(group).agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") > fold_rows)
+    sizes = stored(marked.groupBy(group).agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") > fold_rows))
     total, groups = sizes.agg(F.sum("__rows"), F.count(F.lit(1))).first()
     if not groups:
         return _fold(marked, limits, group, arrival, columns)
-    ensure_checkpoint_dir(rows.sparkSession)
-    large = sizes.select(group).checkpoint()
+    large = sizes.select(group)
     small = _fold(join_grouped(marked, large, group, "left_anti").select(*marked.columns), limits, group, arrival, columns)
     chunks = -(-total // chunk_rows)
     hot = join_grouped(marked, large, group, "left_semi").select(*marked.columns)
-    return small.unionByName(_by_halving(hot, limits, group, arrival, columns, chunks))
+    return small.unionByName(_by_halving(hot, limits, group, arrival, columns, chunks, block_rows))
 
 
 def _fold(marked: DataFrame, room: DataFrame, group: str, arrival: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -83,30 +86,31 @@ def _fold(marked: DataFrame, room: DataFrame, group: str, arrival: Sequence[str]
 
 
 def _by_halving(
-    marked: DataFrame, room: DataFrame, group: str, arrival: Sequence[str], columns: Sequence[str], chunks: int
+    marked: DataFrame, room: DataFrame, group: str, arrival: Sequence[str], columns: Sequence[str], chunks: int, block_rows: int
 ) -> DataFrame:
     cents, kind, at = F.col("__cents"), F.col("__kind"), F.col("__at")
-    placed = (
-        marked.repartitionByRange(chunks, group, *arrival)
-        .withColumns({"__chunk": F.spark_partition_id(), "__at": in_order(arrival)})
-        .checkpoint()
+    placed = stored(
+        marked.repartitionByRange(chunks, group, *arrival).sortWithinPartitions(group, *arrival)
+        .withColumns({"__block": F.expr(f"monotonically_increasing_id() div {block_rows}"), "__at": in_order(arrival)})
     )
     at_type = placed.schema["__at"].dataType.simpleString()
     span = f"struct<after:{at_type},until:{at_type},base:bigint>"
     freed = placed.groupBy(group).agg(F.sum(F.when(kind == FREE, cents).otherwise(0)).alias("__freed"))
     start = freed.join(room, group, "left").withColumn("left", (F.col("room") * 100).cast("bigint") - F.col("__freed"))
-    start = start.checkpoint()
+    start = stored(start)
     lowering = join_grouped(placed.filter(kind == LOWER).select(group, "__at", "__cents"), start.select(group, "left"), group)
     # Until one step brings the room to zero or above none is accepted, and from there on all are.
     first = lowering.filter(cents <= F.col("left")).groupBy(group).agg(F.min("__at").alias("__first"))
     given = join_grouped(lowering, first, group).filter(at >= F.col("__first")).groupBy(group).agg(F.sum("__cents").alias("__given"))
-    state = start.join(first, group, "left").join(given, group, "left").select(
+    state = stored(start.join(first, group, "left").join(given, group, "left").select(
         group, "room", "__first", (F.col("left") - F.coalesce("__given", F.lit(0))).alias("left"),
-        F.lit(None).cast(at_type).alias("after"), F.array().cast(f"array<{span}>").alias("spans"),
-    ).withColumn("active", F.coalesce(F.col("left") > 0, F.lit(False))).checkpoint()
-    taking = placed.filter(kind == RAISE).select(group, *arrival, "__chunk", "__at", "__cents")
+        F.lit(None).cast(at_type).alias("after"), F.lit(None).cast("bigint").alias("__last"), F.array().cast(f"array<{span}>").alias("spans"),
+    ).withColumn("active", F.coalesce(F.col("left") > 0, F.lit(False))))
+    taking = placed.filter(kind == RAISE).select(group, *arrival, "__block", "__at", "__cents")
+    blocks = stored(_by_size(taking, group))
+    rest = blocks.limit(0)
     while not state.filter("active").isEmpty():
-        state = _halve(taking, state, group, arrival, span).checkpoint()
+        state, rest = _halve(taking, blocks, rest, state, group, arrival, span)
 
     def in_span(s: Column) -> Column:
         inside = (s["after"].isNull() | (at > s["after"])) & (s["until"].isNull() | (at <= s["until"]))
@@ -119,36 +123,69 @@ def _by_halving(
     return judged.select(*columns, "room", (F.col("room").isNotNull() & fits).alias("accepted"))
 
 
+def _by_size(taking: DataFrame, group: str) -> DataFrame:
+    """Per group, block and power of two that the amounts reach: their sum and the least of them."""
+    power = F.length(F.bin("__cents"))
+    return taking.filter(F.col("__cents") > 0).groupBy(group, "__block", power.alias("__power")).agg(
+        F.sum("__cents").alias("__sum"), F.min("__cents").alias("__least")
+    )
+
+
 def _halve(
-    taking: DataFrame, state: DataFrame, group: str, arrival: Sequence[str], span: str
-) -> DataFrame:
-    """Advance every active group past the point where its room drops below its power of two."""
+    taking: DataFrame, blocks: DataFrame, rest: DataFrame, state: DataFrame, group: str, arrival: Sequence[str], span: str
+) -> tuple[DataFrame, DataFrame]:
+    """Advance every active group past the point where its room drops below its power of two.
+
+    Sums of blocks tell in which blocks that point can lie; only the rows of these are looked
+    at. ``rest`` sums up what follows ``after`` in the block that holds it. Returns the new
+    state and its ``rest``.
+    """
     cents, base, left = F.col("__cents"), F.col("base"), F.col("left")
     current = state.withColumn("base", F.expr("shiftleft(1L, length(bin(`left`)) - 1)"))
+    live = current.filter("active").select(group, "left", "after", "__last", "base")
+    whole = join_grouped(blocks, live, group).filter(F.col("__last").isNull() | (F.col("__block") > F.col("__last")))
+    ahead_of = whole.unionByName(join_grouped(rest, live, group))
+    is_small = F.col("__least") < base
+    sums = ahead_of.groupBy(group, "__block", "left", "after", "base").agg(
+        F.coalesce(F.sum(F.when(is_small, F.col("__sum"))), F.lit(0)).alias("__small"), F.min(F.when(~is_small, F.col("__least"))).alias("__big")
+    )
+    earlier = Window.partitionBy(group).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    reached = sums.withColumn("__before", F.coalesce(F.sum("__small").over(earlier), F.lit(0)))
+    # A big amount is accepted for certain if it fits the room at the end of its block, and perhaps if it fits that at the start.
+    start = left - F.col("__before")
+    end = start - F.col("__small")
+    certain = (end < base) | F.coalesce(F.col("__big") <= end, F.lit(False))
+    possible = certain | F.coalesce(F.col("__big") <= start, F.lit(False))
+    marked = reached.withColumns({"__certain": certain, "__possible": possible})
+    open_still = ~F.coalesce(F.max("__certain").over(earlier), F.lit(False))
+    looked_at = stored(marked.withColumn("__open", open_still).filter("__open and __possible").select(
+        group, "__block", "left", "after", "base", "__before"
+    ))
     ahead = F.col("after").isNull() | (F.col("__at") > F.col("after"))
-    live = join_grouped(taking, current.filter("active").select(group, "left", "after", "base"), group).filter(ahead & (cents <= left))
+    rows = stored(taking.join(looked_at, [group, "__block"]).filter(ahead & (cents <= left)))
     is_small = cents < base
     small = F.when(is_small, cents).otherwise(0)
-    up_to_here = Window.partitionBy(group, "__chunk").orderBy(*arrival).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    earlier = Window.partitionBy(group).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    chunk_sums = live.groupBy(group, "__chunk").agg(F.sum(small).alias("__sum"))
-    before = chunk_sums.select(group, "__chunk", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__before"))
-    running = live.withColumn("__within", F.sum(small).over(up_to_here)).join(before, [group, "__chunk"])
+    up_to_here = Window.partitionBy(group, "__block").orderBy(*arrival).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = rows.withColumn("__within", F.sum(small).over(up_to_here))
     left_here = left - F.col("__before") - F.col("__within")
     drops = F.when(is_small, left_here < base).otherwise(cents <= left_here)
     left_after = F.when(is_small, left_here).otherwise(left_here - cents)
-    first = running.filter(drops).groupBy(group).agg(F.min(F.struct("__at", left_after.alias("left"))).alias("drop"))
+    first = running.filter(drops).groupBy(group).agg(F.min(F.struct("__at", left_after.alias("left"), "__block")).alias("drop"))
     moved = current.join(first, group, "left")
     active, until, left_then = F.col("active"), F.col("drop.__at"), F.col("drop.left")
     dropped = active & F.col("drop").isNotNull()
     new_span = F.struct(F.col("after").alias("after"), until.alias("until"), base.alias("base")).cast(span)
-    return moved.select(
+    state = stored(moved.select(
         group, "room", "__first",
         F.when(dropped, left_then).otherwise(left).alias("left"),
         F.when(dropped, until).otherwise(F.col("after")).alias("after"),
+        F.when(dropped, F.col("drop.__block")).otherwise(F.col("__last")).alias("__last"),
         F.when(active, F.array_append("spans", new_span)).otherwise(F.col("spans")).alias("spans"),
         (dropped & F.coalesce(left_then > 0, F.lit(False))).alias("active"),
-    )
+    ))
+    moved_to = state.filter("active").select(group, F.col("__last").alias("__block"), F.col("after").alias("__until"))
+    behind = rows.select(group, "__block", "__at", "__cents").join(moved_to, [group, "__block"]).filter("__at > __until")
+    return state, _by_size(behind, group)
 
 
 def open_room(clinic: Clinic) -> DataFrame:

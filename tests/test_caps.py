@@ -55,6 +55,27 @@ def test_random_steps(spark, limits):
     assert judge(spark, entries, rooms, **limits) == reckon(entries, rooms)
 
 
+@pytest.mark.parametrize("block_rows", [1, 4, 16])
+def test_blocks_of_sums_decide_as_single_rows_do(spark, block_rows):
+    entries, rooms = random_case(21 + block_rows, 8, 60, 3000)
+    limits = {"fold_rows": 3, "chunk_rows": 120, "block_rows": block_rows}
+    assert judge(spark, entries, rooms, **limits) == reckon(entries, rooms)
+
+
+def test_rounds_sort_only_blocks_that_may_decide(spark, monkeypatch):
+    kept, store = [], caps.stored
+
+    def watched(df):
+        kept.append(store(df))
+        return kept[-1]
+
+    monkeypatch.setattr(caps, "stored", watched)
+    entries = [(1, s, 1 + s % 3, False) for s in range(3000)]
+    assert judge(spark, entries, {1: 2500}, fold_rows=10, block_rows=50) == reckon(entries, {1: 2500})
+    looked = [df.count() for df in kept if {"__at", "__before"} <= set(df.columns)]
+    assert len(looked) > 5 and max(looked) <= 100
+
+
 def test_one_group_holding_nearly_everything(spark):
     rng = random.Random(5)
     entries = [(1, s, rng.choice([1, 2, 3, 50, 700, 4000]), False) for s in range(1500)] + [(2, 0, 10, False)]
