@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from clinicframe.functions.text import in_order
 from clinicframe.operators.components import components
 from clinicframe.operators.skew import join_grouped
-from clinicframe.session import ensure_checkpoint_dir
+from clinicframe.session import stored
 
 #: Tied requests that one task folds; so many in all are folded without looking for groups first.
 FOLD_ROWS = 4096
@@ -50,26 +50,27 @@ def one_at_a_time(
     ``keys`` maps key columns to the reason for refusing a request whose key an earlier
     accepted request has; a NULL key is never taken. ``order_by`` must tell requests apart.
     """
-    ensure_checkpoint_dir(requests.sparkSession)
     columns = requests.columns
     judge = cap.judge if cap else _accept_all
-    marked = _tied(requests.withColumn("__id", F.monotonically_increasing_id()).checkpoint(), keys, cap).checkpoint()
+    marked = stored(_tied(stored(requests.withColumn("__id", F.monotonically_increasing_id())), keys, cap))
     loose = judge(marked.filter(~F.col("__tied")).select(*columns)).select(*columns, "accepted", "reject_reason")
     tied = marked.filter("__tied").drop("__tied")
     n = tied.count()
     if not n:
-        return loose.checkpoint()
+        return stored(loose)
     if n <= fold_rows:
-        return loose.unionByName(_folded(tied.withColumn("__part", F.lit(0)), columns, keys, order_by, cap)).checkpoint()
+        return stored(loose.unionByName(_folded(tied.withColumn("__part", F.lit(0)), columns, keys, order_by, cap)))
     parts = components(_links(tied, keys, cap)).select(F.col("node").alias("__id"), F.col("component").alias("__part"))
-    placed = tied.join(parts, "__id", "left").withColumn("__part", F.coalesce("__part", "__id")).checkpoint()
-    large = placed.groupBy("__part").agg(F.count("*").alias("__rows")).filter(F.col("__rows") > fold_rows).select("__part").checkpoint()
+    placed = tied.join(parts, "__id", "left").withColumn("__part", F.coalesce("__part", "__id"))
+    placed = stored(placed)
+    large = placed.groupBy("__part").agg(F.count("*").alias("__rows")).filter(F.col("__rows") > fold_rows).select("__part")
+    large = stored(large)
     small = join_grouped(placed, large, "__part", "left_anti").select(*placed.columns)
     out = loose.unionByName(_folded(small, columns, keys, order_by, cap))
     if not large.isEmpty():
         rest = join_grouped(placed, large, "__part", "left_semi").select(*columns)
         out = out.unionByName(_in_rounds(rest, keys, order_by, judge))
-    return out.checkpoint()
+    return stored(out)
 
 
 def _shared(requests: DataFrame, key: str) -> DataFrame:
@@ -162,7 +163,7 @@ def _in_rounds(requests: DataFrame, keys: dict[str, str], order_by: Sequence[str
         refused = state.filter("__held is not null").select(
             *columns, F.lit(False).alias("accepted"), F.col("__held").alias("reject_reason"), F.col("__held").alias("__was")
         )
-        decided = judged.select(*refused.columns).unionByName(refused).checkpoint()
+        decided = stored(judged.select(*refused.columns).unionByName(refused))
         after = held(decided)
         if after.filter(~F.col("__held").eqNullSafe(F.col("__was"))).isEmpty():
             return decided.drop("__was")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clinicframe.functions.text import patient_code, patient_number
-from clinicframe.session import ensure_checkpoint_dir
+from clinicframe.session import stored
 
 # Fixed value: numbers per bucket of Spark's bitmap functions.
 BUCKET = 32768
@@ -18,13 +18,12 @@ PLACE_BITS = 33
 def number_rows(df: DataFrame, order_by: Sequence[str | Column], name: str, start: int = 1) -> DataFrame:
     """Append consecutive numbers in the given total order, without a single-task sort.
 
-    The rows are range-partitioned and sorted once, and frozen by a checkpoint so
+    The rows are range-partitioned and sorted once, and frozen by storing them so
     that a retried task cannot renumber them. Only one row per partition (its size)
     passes through the running sum that yields the partition's first number.
     """
-    ensure_checkpoint_dir(df.sparkSession)
     spread = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
-    placed = spread.withColumn("__place", F.monotonically_increasing_id()).checkpoint()
+    placed = stored(spread.withColumn("__place", F.monotonically_increasing_id()))
     part = F.shiftright("__place", PLACE_BITS)
     sizes = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__rows"))
     before = F.sum("__rows").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))

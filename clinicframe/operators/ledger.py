@@ -55,10 +55,12 @@ def new_payments(
     parsed = payment_input(typed).withColumn("amount_paid", F.col("amount").try_cast("decimal(10,2)"))
     checked = taken_keys(clinic.payments, parsed, {"receipt_number": "receipt exists"})
     screened = checked.withColumn("reject_reason", F.coalesce("reject_reason", "__taken")).drop("__taken")
-    fit = screened.filter(F.col("reject_reason").isNull()).drop("reject_reason")
+    # Deciding and numbering write the entries out several times: the parsed text stays behind.
+    used = ("order_id", "amount_paid", "payment_method", "status", "receipt_number")
+    fit = screened.filter(F.col("reject_reason").isNull()).select(*used, *[c for c in order_by if c not in used])
     judged = one_at_a_time(fit, {"receipt_number": "receipt repeated"}, order_by, payment_cap(clinic, order_by))
     last = high_water_mark(clinic.payments, "payment_id") if high_water is None else high_water
-    numbered = assign_ids(judged.filter("accepted"), "payment_id", order_by, last)
+    numbered = assign_ids(judged.filter("accepted").select(*fit.columns), "payment_id", order_by, last)
     new = numbered.select(
         "payment_id", "order_id", "amount_paid", "payment_method", moment(now).alias("payment_date"), "receipt_number", "status",
         moment(now).alias("created_at"), moment(now).alias("updated_at"),

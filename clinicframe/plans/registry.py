@@ -16,6 +16,7 @@ from clinicframe.operators.encryption import CONTACT, RECEIPT
 from clinicframe.plans.oracle import NOW as SQL_NOW
 from clinicframe.plans.oracle import sql
 from clinicframe.schemas import PRIMARY_KEY, TABLES
+from clinicframe.session import stored
 from clinicframe.sources import intake as batches
 from clinicframe.sources.intake import Intake
 from clinicframe.sources.tables import row_count_profile
@@ -699,9 +700,14 @@ register(
 
 
 def _recorded(d: Data) -> ledger.RecordedPayments:
-    """Enter every payment anew on a ledger that holds the partial ones."""
-    partial = encryption.encrypt_column(d.payments_with(status="PARTIAL"), RECEIPT, TEST_KEY, "empty")
-    return ledger.record_payments(d.clinic.with_tables(payments=partial), batches.payment_entries(d.clinic), ("entry",), TEST_KEY, now=NOW)
+    """Enter every payment anew on a ledger that holds the partial ones.
+
+    The payments are derived by a grouping and needed many times, so they are stored first, as a ledger would be.
+    """
+    paid = stored(d.clinic.payments)
+    partial = encryption.encrypt_column(paid.filter(F.col("status") == "PARTIAL"), RECEIPT, TEST_KEY, "empty")
+    entries = batches.payment_entries(d.clinic.with_tables(payments=paid))
+    return ledger.record_payments(d.clinic.with_tables(payments=partial), entries, ("entry",), TEST_KEY, now=NOW)
 
 
 _entered = {
