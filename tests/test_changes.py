@@ -10,9 +10,10 @@ import pytest
 from clinic_cases import KEY, THEN, money, rows
 from pyspark.sql import functions as F
 
-from clinicframe.operators import changes, encryption, keys, ledger, quality
+from clinicframe.operators import changes, encryption, firstcome, keys, ledger, quality
 from clinicframe.operators.firstcome import one_at_a_time
 from clinicframe.operators.encryption import CONTACT, RECEIPT
+from clinicframe.session import stored
 
 NOW = datetime(2024, 7, 1, 12, 0, 0)
 
@@ -213,6 +214,25 @@ def test_record_payments(clinic, spark):
     ]
 
 
+def test_deciding_payments_writes_narrow_parquet_only(clinic, spark, monkeypatch):
+    kept = []
+
+    def watched(df):
+        kept.append(stored(df))
+        return kept[-1]
+
+    monkeypatch.setattr(firstcome, "stored", watched)
+    monkeypatch.setattr(keys, "stored", watched)
+    entries = spark.createDataFrame(
+        [(1, 5, "150", "CASH", "PAID", "N-1", "x"), (2, 7, "2", "CASH", "PAID", "N-1", "y")],
+        "n int, order_id long, amount_text string, payment_method string, status string, receipt_number string, note string",
+    )
+    recorded = ledger.record_payments(clinic, entries, ("n",), KEY, now=NOW)
+    assert rows(recorded.rejected, "n", "reject_reason") == [(2, "receipt repeated")]
+    assert len(kept) == 4 and not any({"amount_text", "amount", "note"} & set(df.columns) for df in kept)
+    assert "reject_reason" not in kept[-1].columns
+
+
 def test_refused_entries_leave_their_receipt_free(clinic, spark):
     # Entry 1 does not fit order 5, so 2 takes its receipt; 2 then uses up the room that 3 wanted, so 4 takes that one's.
     entries = spark.createDataFrame(
