@@ -18,6 +18,7 @@ from clinicframe.operators.encryption import RECEIPT, encrypt_column, with_encry
 from clinicframe.operators.firstcome import one_at_a_time, taken_keys
 from clinicframe.operators.keys import assign_ids, high_water_mark
 from clinicframe.operators.quality import payment_input
+from clinicframe.session import stored
 
 
 class RecordedPayments(NamedTuple):
@@ -53,11 +54,13 @@ def new_payments(
         "receipt_number": blank_to_null("receipt_number"),
     })
     parsed = payment_input(typed).withColumn("amount_paid", F.col("amount").try_cast("decimal(10,2)"))
-    checked = taken_keys(clinic.payments, parsed, {"receipt_number": "receipt exists"})
-    screened = checked.withColumn("reject_reason", F.coalesce("reject_reason", "__taken")).drop("__taken")
-    # Deciding and numbering write the entries out several times: the parsed text stays behind.
+    # Screening, deciding and numbering write the entries out several times: the parsed text stays behind.
     used = ("order_id", "amount_paid", "payment_method", "status", "receipt_number")
-    fit = screened.filter(F.col("reject_reason").isNull()).select(*used, *[c for c in order_by if c not in used])
+    used += tuple(c for c in order_by if c not in used)
+    checked = taken_keys(clinic.payments, parsed.select(*used, "reject_reason"), {"receipt_number": "receipt exists"})
+    # Both what is fit and what is refused come from here, so receipts are looked up once.
+    screened = stored(checked.withColumn("reject_reason", F.coalesce("reject_reason", "__taken")).drop("__taken"))
+    fit = screened.filter(F.col("reject_reason").isNull()).select(*used)
     judged = one_at_a_time(fit, {"receipt_number": "receipt repeated"}, order_by, payment_cap(clinic, order_by))
     last = high_water_mark(clinic.payments, "payment_id") if high_water is None else high_water
     numbered = assign_ids(judged.filter("accepted").select(*fit.columns), "payment_id", order_by, last)

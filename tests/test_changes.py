@@ -233,6 +233,20 @@ def test_deciding_payments_writes_narrow_parquet_only(clinic, spark, monkeypatch
     assert "reject_reason" not in kept[-1].columns
 
 
+def test_receipts_are_looked_up_once(clinic, spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(ledger, "stored", lambda df: kept.append(stored(df)) or kept[-1], raising=False)
+    entries = spark.createDataFrame(
+        [(1, 5, "150", "CASH", "PAID", "N-1", "x"), (2, 5, "x", "CASH", "PAID", "N-2", "y")],
+        "n int, order_id long, amount_text string, payment_method string, status string, receipt_number string, note string",
+    )
+    rejected = ledger.record_payments(clinic, entries, ("n",), KEY, now=NOW).rejected
+    # Refused entries are read from what was stored: no second join with the ledger.
+    assert "Join" not in rejected._jdf.queryExecution().optimizedPlan().toString()
+    assert [set(df.columns) for df in kept] == [{"n", "order_id", "amount_paid", "payment_method", "status", "receipt_number", "reject_reason"}]
+    assert [r.n for r in rejected.collect()] == [2]
+
+
 def test_refused_entries_leave_their_receipt_free(clinic, spark):
     # Entry 1 does not fit order 5, so 2 takes its receipt; 2 then uses up the room that 3 wanted, so 4 takes that one's.
     entries = spark.createDataFrame(
