@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clinicframe.llm.common import stored
+
 #: Fixed values of the mix: weights repeat over the sources in order.
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -69,16 +71,25 @@ def targets(sizes: DataFrame) -> DataFrame:
     return base.select("source", "source_size", F.least("limit", F.coalesce(F.col("level") * F.col("weight"), F.col("limit"))).alias("target"))
 
 
-def taken(docs: DataFrame, carry: list[str], seed: int = 0) -> DataFrame:
-    """(row, size, source_size, target, times) for every row; ``row`` holds the columns to carry, ``times`` is how often the mix takes it."""
+def _keyed(docs: DataFrame, carry: list[str], seed: int = 0) -> DataFrame:
+    """(row, source, size, key, cell) for every row; ``row`` holds the columns to carry."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.select(
+    rows = docs.select(
         F.struct(*[docs[c] for c in carry]).alias("row"), "source", word_count(text).alias("size"),
         (-F.ln(uniform(F.col("doc_id"), text, seed)) / quality_weight(text)).alias("key"),
     )
     # exp(-key) is uniform for weight 1, so cells fill evenly; it falls where the key grows.
-    keyed = keyed.withColumn("cell", F.floor((1 - F.exp(-F.col("key"))) * CELLS))
-    per_cell = keyed.groupBy("source", "cell").agg(F.sum("size").alias("cell_size"))
+    return rows.withColumn("cell", F.floor((1 - F.exp(-F.col("key"))) * CELLS))
+
+
+def taken(docs: DataFrame, carry: list[str], seed: int = 0, narrow: bool = False) -> DataFrame:
+    """(row, size, source_size, target, times) for every row; ``row`` holds the columns to carry, ``times`` is how often the mix takes it.
+
+    Several branches need every row's size and key. Rows that are ``narrow`` are stored, so that texts are read for these once.
+    """
+    keyed = _keyed(docs, carry, seed)
+    keyed = stored(keyed) if narrow else keyed
+    per_cell = stored(keyed.groupBy("source", "cell").agg(F.sum("size").alias("cell_size")))
     per_source = targets(per_cell.groupBy("source").agg(F.sum("cell_size").alias("source_size")))
     per_source = per_source.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     per_source = per_source.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
@@ -100,7 +111,7 @@ def taken(docs: DataFrame, carry: list[str], seed: int = 0) -> DataFrame:
 
 def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     """doc_id, size, source_size, target, taken for every document."""
-    needed = taken(docs, ["doc_id"], seed)
+    needed = taken(docs, ["doc_id"], seed, narrow=True)
     return needed.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 

@@ -176,6 +176,11 @@ def test_similar_sets_share_a_name():
                 assert len(np.intersect1d(one, two)), (size, len(a), len(b))
 
 
+def test_mix_reads_texts_once(documents, mixed_rows):
+    plan = weighted_mix.mix(documents(*mixed_rows))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_count" not in plan and "md5" not in plan
+
+
 def test_mix_reaches_its_targets(documents, mixed_rows):
     rows = [(i, t, s) for i, t, s in mixed_rows] + [(1000 + k, "some words here " * (1 + k % 7), "abcdefgh"[k % 8]) for k in range(200)]
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
