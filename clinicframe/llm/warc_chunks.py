@@ -27,6 +27,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -139,8 +140,15 @@ def to_chunks(plan: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES) -> None:
-    """Write the pages as a chunked record table in Parquet."""
-    to_chunks(planned(pages), chunk_bytes).write.parquet(path)
+    """Write the pages as a chunked record table in Parquet, which compresses it."""
+    to_chunks(planned(pages), chunk_bytes).write.parquet(path, compression="zstd")
+
+
+def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of the record table with their bytes compressed."""
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    for frame in frames:
+        yield frame.assign(bytes=[squeeze(data) for data in frame["bytes"]])
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -151,10 +159,12 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """
     # A record's rows are in one file, but a large file is read in splits, so they are dealt by record again.
     chunks = spark.read.parquet(path).select("record", "chunk", "bytes", "payload_upto", "digest_upto")
-    chunks = chunks.repartition("record").sortWithinPartitions("record", "chunk")
+    # Pieces are compressed on the way.
+    chunks = chunks.mapInPandas(packed, chunks.schema).repartition("record").sortWithinPartitions("record", "chunk")
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, fields, running, length, closed = None, {}, None, 0, True
+        expand = zstandard.ZstdDecompressor().decompress
 
         def result() -> tuple:
             stated = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:"))
@@ -165,12 +175,13 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
         for frame in frames:
             out = []
-            for record, chunk, data, upto, digest in zip(*(frame[c] for c in frame.columns)):
+            for record, chunk, squeezed, upto, digest in zip(*(frame[c] for c in frame.columns)):
+                data = expand(squeezed)
                 if record != current:
                     if current is not None:
                         out.append(result())
-                    current, fields, running, length, closed = record, parse_headers(bytes(data)), hashlib.sha1(), 0, False
-                elif bytes(data) == b"\r\n\r\n" and upto == length and (fields["WARC-Type"] == "revisit" or length == int(fields["length"])):
+                    current, fields, running, length, closed = record, parse_headers(data), hashlib.sha1(), 0, False
+                elif data == b"\r\n\r\n" and upto == length and (fields["WARC-Type"] == "revisit" or length == int(fields["length"])):
                     closed = True
                 else:
                     running.update(data)

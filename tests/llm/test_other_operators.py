@@ -169,6 +169,17 @@ def test_payloads_are_encoded_in_slices():
     assert pieces[-1][1:] == (len(whole), hashlib.sha1(whole).digest())
 
 
+def test_archives_are_stored_and_dealt_compressed(spark, tmp_path):
+    table = spark.createDataFrame([(k, "u", common_words(k, 400)) for k in range(20)], "page_id long, url string, html string")
+    warc_chunks.write_archives(table, str(tmp_path / "c"))
+    assert all(p.name.endswith(".zstd.parquet") for p in (tmp_path / "c").rglob("part-*"))
+    rows = spark.read.parquet(str(tmp_path / "c")).toPandas()
+    small = next(warc_chunks.packed(iter([rows])))
+    assert small["bytes"].map(len).sum() < rows["bytes"].map(len).sum() / 2
+    plan = warc_chunks.read_archives(spark, str(tmp_path / "c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "packed" in plan[plan.index("RepartitionByExpression"):]
+
+
 def test_empty_archive(spark, tmp_path):
     warc_chunks.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "e"))
     assert warc_chunks.read_archives(spark, str(tmp_path / "e")).count() == 0
