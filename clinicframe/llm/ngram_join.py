@@ -11,11 +11,11 @@ much weight to spare, from the number of documents in the band: variants cost in
 entries, thin segments cost comparisons. The spared weight lets sets leave out their
 empty segments, which would otherwise meet for nothing.
 
-Blocks of documents send segment names to their owners. An owner tells names apart by 32
+Blocks of documents send segment names to their owners, of whom each band has a few. An owner tells names apart by 32
 bits; names that clash only add comparisons. It compares all sets of a name by one bit for
 each of ``SKETCH`` cells, which tells sets that have more than the allowed hashes apart,
 and answers with the sets that still have a partner: texts that share a passage or a line
-end here, without a row for any pair. Such comparisons under one name grow with the square
+end here, without a row for any pair, and names that the same sets share become one. Such comparisons under one name grow with the square
 of the sets that share it. Sets are then compared, by sketches and then exactly, in two rounds: each with the first set
 of its names, and, within a name whose sets did not all end up in one component, those
 outside the first set's component with the sets of other components. Sets in one
@@ -34,7 +34,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import exp, factorial
+from math import ceil, exp, factorial
 
 import numpy as np
 import pandas as pd
@@ -152,13 +152,42 @@ def band_of(size: int) -> int:
     return int(np.searchsorted(BANDS, size, side="right")) - 1
 
 
-def all_names(tokens: np.ndarray, plans: dict[int, Scheme], percent: int) -> np.ndarray:
-    """Names in the set's own band and, if it can be similar to a larger set of the next, there."""
-    band = band_of(len(tokens))
+def own_plans(size: int, plans: dict[int, Scheme], percent: int) -> list[Scheme]:
+    """The allocations of the set's own band and, if it can be similar to a larger set of the next, of that."""
+    band = band_of(size)
     own = [plans[band]] if band in plans else []
-    if band + 1 in plans and 100 * len(tokens) >= percent * BANDS[band + 1]:
+    if band + 1 in plans and 100 * size >= percent * BANDS[band + 1]:
         own.append(plans[band + 1])
-    return np.unique(np.concatenate([names(tokens, p) for p in own])) if own else np.zeros(0, U64)
+    return own
+
+
+def all_names(tokens: np.ndarray, plans: dict[int, Scheme], percent: int) -> np.ndarray:
+    """Names in the bands of ``own_plans``."""
+    return np.unique(np.concatenate([np.zeros(0, U64), *(names(tokens, p) for p in own_plans(len(tokens), plans, percent))]))
+
+
+def places(plans: dict[int, Scheme], documents: dict[int, int], owners: int) -> dict[int, tuple[int, int]]:
+    """(first, number) of the owners of each band's names, by its share of all names.
+
+    A set goes along with its names to each owner that gets any. Were all bands dealt to all
+    owners, that would be nearly every owner, the more of them the larger the tables are.
+    """
+    # Of the band below, about a third of the sets can be similar to larger ones.
+    sets = {b: documents.get(b, 0) + documents.get(b - 1, 0) / 3 for b in plans}
+    weight = {b: sets[b] * (p.single + p.double * (1 + (BANDS[b] * BANDS[b + 1]) ** 0.5 / p.segments)) + 1e-9 for b, p in plans.items()}
+    out, before, total = {}, 0.0, sum(weight.values())
+    for band, share in weight.items():
+        first = min(owners - 1, int(before / total * owners))
+        before += share
+        out[band] = (first, max(1, min(owners, ceil(before / total * owners)) - first))
+    return out
+
+
+def placed_names(tokens: np.ndarray, plans: dict[int, Scheme], place: dict[int, tuple[int, int]], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Names as in ``all_names``, and the owner of each: the upper half of a name chooses among its band's owners."""
+    found = [(np.unique(names(tokens, p)), place[p.band]) for p in own_plans(len(tokens), plans, percent)]
+    owner = [first + (key >> np.uint64(32)).astype(I64) % number for key, (first, number) in found]
+    return np.concatenate([np.zeros(0, U64), *(key for key, _ in found)]), np.concatenate([np.zeros(0, I64), *owner])
 
 
 def sketch(tokens: np.ndarray) -> bytes:
@@ -171,8 +200,11 @@ def odd_cells(tokens: np.ndarray) -> bytes:
     return np.packbits((np.bincount((tokens >> np.uint64(24)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1).astype(np.uint8)).tobytes()
 
 
-def _indexed(frames: Iterator[pd.DataFrame], owners: int, plans: dict[int, Scheme], n: int, percent: int) -> Iterator[pd.DataFrame]:
+def _indexed(
+    frames: Iterator[pd.DataFrame], owners: int, plans: dict[int, Scheme], n: int, percent: int, place: dict[int, tuple[int, int]] | None = None
+) -> Iterator[pd.DataFrame]:
     """Messages of one block to the owners, each portion of its documents on its own: names with their sets, and the documents, dealt by set."""
+    place = place or dict.fromkeys(plans, (0, owners))
     block, docs, found, seen, size = 0, [], [], set(), 0
     for frame in frames:
         block = int(frame["block"].iloc[0])
@@ -182,7 +214,7 @@ def _indexed(frames: Iterator[pd.DataFrame], owners: int, plans: dict[int, Schem
             docs.append((name, order, len(tokens), sketch(tokens), text_name(text)))
             if len(tokens) and name not in seen:
                 seen.add(name)
-                found.append((name, all_names(tokens, plans, percent), len(tokens), odd_cells(tokens)))
+                found.append((name, *placed_names(tokens, plans, place, percent), len(tokens), odd_cells(tokens)))
                 size += len(found[-1][1])
             if size >= PORTION:
                 yield _messages(block, docs, found, owners)
@@ -194,18 +226,19 @@ def _indexed(frames: Iterator[pd.DataFrame], owners: int, plans: dict[int, Schem
     release()
 
 
-def _messages(block: int, docs: list[tuple[int, int, int, bytes, int]], found: list[tuple[int, np.ndarray, int, bytes]], owners: int) -> pd.DataFrame:
+def _messages(block: int, docs: list[tuple[int, int, int, bytes, int]], found: list[tuple[int, np.ndarray, np.ndarray, int, bytes]], owners: int) -> pd.DataFrame:
     distinct = np.array([f[0] for f in found], U64)
-    sizes = np.array([f[2] for f in found], I64)
-    odd = np.frombuffer(b"".join(f[3] for f in found), np.uint8).reshape(-1, SKETCH // 8)
+    sizes = np.array([f[3] for f in found], U32)
+    odd = np.frombuffer(b"".join(f[4] for f in found), np.uint8).reshape(-1, SKETCH // 8)
     doc_set, doc_text = (np.array([d[k] for d in docs], U64) for k in (0, 4))
     doc_order, doc_size = (np.array([d[k] for d in docs], I64) for k in (1, 2))
     sketches = np.frombuffer(b"".join(d[3] for d in docs), np.uint8).reshape(-1, SKETCH)
     key = np.concatenate([*(f[1] for f in found), np.zeros(0, U64)])
     of = np.repeat(np.arange(len(found), dtype=U32), [len(f[1]) for f in found])
     messages = {}
-    # The upper half of a name chooses the owner, who gets the lower half.
-    for owner, at in deal(key >> np.uint64(12), owners):
+    # The upper half of a name has chosen the owner, who gets the lower half.
+    owner_of = np.concatenate([*(f[2] for f in found), np.zeros(0, I64)])
+    for owner, at in deal(owner_of.astype(U64) << np.uint64(20), owners):
         here, index = np.unique(of[at], return_inverse=True)
         # Names stand in the order of their sets: one bit each says whether a new set begins.
         new = np.packbits(np.diff(index, prepend=0).astype(np.uint8)).tobytes()
@@ -219,8 +252,12 @@ MESSAGE = ("key", "new", "sets", "sizes", "odd", "doc_set", "doc_order", "doc_si
 
 
 def _shared(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
-    """Of one owner: a row per document, with its sketch, and a row (set, key) per set and name under which another set may be similar."""
-    held, sizes, odd = [], [], []
+    """Of one owner: a row per document, with its sketch, and a row (set, key) per set and name under which another set may be similar.
+
+    Near copies share most of their names, and names that the same sets share say the same:
+    the key is a hash of these sets, and each is written once.
+    """
+    held, sizes, odd, told = [], [], [], np.zeros(0, U64)
     for frame in frames:
         docs = [joined(frame[c], d) for c, d in (("doc_set", U64), ("doc_order", I64), ("doc_size", I64), ("doc_text", U64))]
         sketches = b"".join(frame["sketches"])
@@ -233,8 +270,7 @@ def _shared(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFra
         held += zip(frame["key"], frame["new"], frame["sets"])
         sizes += list(frame["sizes"])
         odd += list(frame["odd"])
-        owner = int(frame["owner"].iloc[0])
-    listed, sizes = joined((sets for _, _, sets in held), U64), joined(sizes, I64)
+    listed, sizes = joined((sets for _, _, sets in held), U64), joined(sizes, U32).astype(I64)
     odd = joined(odd, U64).reshape(-1, SKETCH // 64)
     begins = np.cumsum([0] + [len(sets) // 8 for _, _, sets in held])
     # Equal names fall into one portion, so portions can be sorted one by one.
@@ -248,13 +284,29 @@ def _shared(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFra
         runs = run_starts(key, listed[of])
         key, of = key[runs], of[runs]
         good = _promising(key, sizes[of], odd[of], percent)
-        yield pd.DataFrame({
-            "set": listed[of[good]].view(I64), "doc_order": 0, "size": -1, "block": -1, "key": (owner << 32) + key[good].astype(I64), "sketch": b"", "text": 0,
-        })
-    del frame, sketches, docs, held, odd, parts, key, of, order, runs, good
+        sharing, sets = sharers(key[good], listed[of[good]], told)
+        told = np.union1d(told, sharing)
+        yield pd.DataFrame({"set": sets.view(I64), "doc_order": 0, "size": -1, "block": -1, "key": sharing.view(I64), "sketch": b"", "text": 0})
+    del frame, sketches, docs, held, odd, parts, key, of, order, runs, good, sharing, sets, told
     release()
 
 
+def sharers(key: np.ndarray, sets: np.ndarray, told: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, set) of the sets that share a name, from sorted names: equal ones once, and none whose hash is in ``told``.
+
+    Where hashes of different sets clash, these meet as under one name, which only adds comparisons.
+    """
+    starts = run_starts(key)
+    if not len(starts):
+        return np.zeros(0, U64), np.zeros(0, U64)
+    shared = mix(np.add.reduceat(mix(sets), starts))
+    _, first = np.unique(shared, return_index=True)
+    new = np.zeros(len(starts), bool)
+    new[first] = ~np.isin(shared[first], told)
+    rows = np.diff(np.append(starts, len(key)))
+    return np.repeat(shared[new], rows[new]), sets[np.repeat(new, rows)]
+
+
 def _portion(keys: bytes, new: bytes, portion: int, portions: int) -> tuple[np.ndarray, np.ndarray]:
     """The names of a message that fall into the portion, with the places of their sets in it."""
     key = np.frombuffer(keys, U32)
@@ -338,8 +390,8 @@ def compared(pairs: DataFrame, sets: DataFrame, docs: DataFrame, n: int, percent
     return possible.join(side(contents, "a"), "a").join(side(contents, "b"), "b").mapInPandas(lambda f: _similar(f, percent), "a long, b long").checkpoint()
 
 
-def schemes(docs: DataFrame, n: int, percent: int) -> dict[int, Scheme]:
-    """The allocation of each band up to the longest text, from the number of documents by size."""
+def band_counts(docs: DataFrame, n: int) -> dict[int, int]:
+    """Documents of each band that holds any."""
     words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
     sizes = docs.select(F.greatest(F.lit(1), words - (n - 1)).alias("size"))
     # Some ten rows per band, whatever the number of documents.
@@ -348,6 +400,11 @@ def schemes(docs: DataFrame, n: int, percent: int) -> dict[int, Scheme]:
     for row in counted:
         band = band_of(row["largest"])
         documents[band] = documents.get(band, 0) + row["n"]
+    return documents
+
+
+def schemes(documents: dict[int, int], percent: int) -> dict[int, Scheme]:
+    """The allocation of each band up to that of the longest text, from the number of documents by band."""
     last = max(documents, default=-1) + 1
     found = {b: scheme(b, documents.get(b, 0) + documents.get(b - 1, 0), percent) for b in range(last + 1)}
     return {b: s for b, s in found.items() if s}
@@ -446,10 +503,12 @@ def near_rows(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFr
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
     blocks = block_count(spark)
-    plans = schemes(docs, n, percent)
+    documents = band_counts(docs, n)
+    plans = schemes(documents, percent)
+    place = places(plans, documents, blocks)
 
     def indexed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return _indexed(frames, blocks, plans, n, percent)
+        return _indexed(frames, blocks, plans, n, percent, place)
 
     def shared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return _shared(frames, percent)
@@ -460,7 +519,8 @@ def near_rows(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFr
     # A set goes by its hash; one of its rows stands for it when texts are read again.
     sets = listed.filter("size > 0").groupBy("set").agg(F.min(F.struct("doc_order", "text", "block", "size", "sketch")).alias("m"))
     sets = stored(sets.select(F.col("set").alias("node"), "m.doc_order", "m.text", "m.block", "m.size", "m.sketch"))
-    named = table.filter("size < 0").select("key", F.col("set").alias("node"))
+    # Owners may have found the same sharers.
+    named = table.filter("size < 0").select("key", F.col("set").alias("node")).distinct()
     groups = linked(named, sets, docs, n, percent)
     by_set = stored(sets.join(groups, "node", "left").select("node", "doc_order", F.coalesce("component", "node").alias("component")))
     smallest = by_set.groupBy("component").agg(F.min("doc_order").alias("first"))

@@ -243,6 +243,35 @@ def test_names_in_portions(monkeypatch):
     assert found(16) == whole
 
 
+def test_sets_go_to_few_owners():
+    """However many owners there are, a band's names go to its share of them, and all bands cover them."""
+    documents = dict.fromkeys(range(20), 10_000)
+    plans = {b: p for b in range(20) if (p := ngram_join.scheme(b, 20_000))}
+    place = ngram_join.places(plans, documents, 40)
+    assert set(place) == set(plans) and {o for first, number in place.values() for o in range(first, first + number)} == set(range(40))
+    tokens = common.mix(np.arange(60, dtype=np.uint64))
+    key, owner = ngram_join.placed_names(tokens, plans, place, 85)
+    assert sorted(key) == sorted(ngram_join.all_names(tokens, plans, 85))
+    assert len(set(owner.tolist())) <= sum(place[p.band][1] for p in ngram_join.own_plans(60, plans, 85)) < 10 < len(key)
+    assert ngram_join.places({}, {}, 40) == {}
+
+
+def test_names_of_the_same_sets_become_one(monkeypatch):
+    # Two near copies share nearly all their names, which say no more than one does.
+    texts = [" ".join("x" if j == 50 * k else f"w{j}" for j in range(400)) for k in (1, 2)]
+    plans = {b: s for b in range(24) if (s := ngram_join.scheme(b, 40))}
+    frame = pd.DataFrame({"block": 3, "doc_order": range(2), "packed": [zstandard.compress(t.encode()) for t in texts]})
+    for portion in (1 << 19, 16):
+        monkeypatch.setattr(ngram_join, "PORTION", portion)
+        sent = pd.concat(ngram_join._indexed(iter([frame]), 1, plans, 4, 85))
+        out = pd.concat(ngram_join._shared(iter([sent]), 85))
+        assert len(out[out["size"] < 0]) == 2 and out[out["size"] < 0]["key"].nunique() == 1
+    sets = np.array([1, 2, 1, 2, 1, 3, 2, 3], np.uint64)
+    key, of = ngram_join.sharers(np.array([5, 5, 6, 6, 7, 7, 8, 8], np.uint32), sets, np.zeros(0, np.uint64))
+    assert sorted(of.tolist()) == [1, 1, 2, 2, 3, 3] and len(set(key.tolist())) == 3
+    assert not len(ngram_join.sharers(np.array([9, 9], np.uint32), sets[:2], key)[0])
+
+
 def test_comparisons_in_place(monkeypatch):
     """Of cells of one name the pairs of different components that sketches leave, in tiles and across the ends of batches."""
     draw = np.random.default_rng(11)
