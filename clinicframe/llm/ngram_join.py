@@ -19,7 +19,8 @@ end here, without a row for any pair, and names that the same sets share become
 of the sets that share it. Sets are then compared, by sketches and then exactly, in two rounds: each with the first set
 of its names, and, within a name whose sets did not all end up in one component, those
 outside the first set's component with the sets of other components. Sets in one
-component need no comparison, so a large group of near copies costs about one each.
+component need no comparison, so a large group of near copies costs about one each. For the exact
+comparison pairs are dealt to tasks by the sets around which they lie, and each text is sent once to each of its tasks.
 
 Links run between sets, each under its own hash, never between identifiers; only a finished
 component takes the smallest doc_id of its rows. Rows without doc_id, or with the same one,
@@ -336,17 +337,16 @@ def _promising(key: np.ndarray, sizes: np.ndarray, odd: np.ndarray, percent: int
         step += 1
 
 
-def _contents(frame: pd.DataFrame, wanted: pd.DataFrame, n: int) -> pd.DataFrame:
-    """Of one block: the wanted sets, each from a document that has it."""
-    asked = {(order, text): node for order, text, node in zip(wanted["doc_order"], wanted["text"], wanted["node"])} if len(wanted) else {}
-    orders = {order for order, _ in asked}
+def _contents(frame: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+    """Of one block: the texts of the wanted sets, compressed, for each task that compares them."""
+    asked: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for order, text, node, task in zip(wanted["doc_order"], wanted["text"], wanted["node"], wanted["task"]) if len(wanted) else ():
+        asked.setdefault((order, text), []).append((task, node))
+    frame = frame[frame["doc_order"].isin([order for order, _ in asked])]
     out = []
-    for order, text in unpacked(frame) if asked else ():
-        if order in orders:
-            node = asked.pop((order, signed(text_name(text))), None)
-            if node is not None:
-                out.append((node, ngrams(text, n).tobytes()))
-    return pd.DataFrame(out, columns=["node", "tokens"])
+    for (order, text), packed in zip(unpacked(frame), frame["packed"]):
+        out += [(task, node, packed) for task, node in asked.pop((order, signed(text_name(text))), ())]
+    return pd.DataFrame(out, columns=["task", "node", "packed"])
 
 
 def signed(value: int) -> int:
@@ -366,28 +366,52 @@ def _possible(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataF
         yield frame.loc[apart <= most_different(frame["size_a"].to_numpy(), frame["size_b"].to_numpy(), percent), ["a", "b"]]
 
 
-def _similar(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        fits = []
-        for a, b in zip(frame["tokens_a"], frame["tokens_b"]):
-            x, y = np.frombuffer(a, U64), np.frombuffer(b, U64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            fits.append(100 * both >= percent * (len(x) + len(y) - both))
-        yield frame.loc[fits, ["a", "b"]]
+def _similar(contents: pd.DataFrame, pairs: pd.DataFrame, n: int, percent: int) -> pd.DataFrame:
+    """Of one task: the pairs whose sets are similar."""
+    tokens = {node: ngrams(text, n) for node, text in unpacked(contents[["node", "packed"]].rename(columns={"node": "doc_order"}))} if len(contents) else {}
+    fits = []
+    for a, b in zip(pairs["a"], pairs["b"]) if len(pairs) else ():
+        x, y = tokens[a], tokens[b]
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        fits.append(100 * both >= percent * (len(x) + len(y) - both))
+    found = pairs.loc[fits, ["a", "b"]]
+    del tokens
+    return found
+
+
+def dealt_pairs(pairs: DataFrame, tasks: int) -> DataFrame:
+    """The distinct pairs (a, b) with the task that compares them.
+
+    A pair goes by the smallest set that an end of it is paired with, so that sets which are all
+    paired with each other, or with one, meet in one task and each text is sent there once. Where more than
+    ``TILE`` pairs go by one set, they are spread over tasks.
+    """
+    ends = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).union(pairs.select("b", "a"))
+    hubs = ends.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("hub"))
+    found = join_grouped(pairs, hubs.select(F.col("node").alias("a"), F.col("hub").alias("hub_a")), "a")
+    found = join_grouped(found, hubs.select(F.col("node").alias("b"), F.col("hub").alias("hub_b")), "b")
+    found = found.select("a", "b", F.least("hub_a", "hub_b").alias("hub"))
+    found = join_grouped(found, found.groupBy("hub").agg(F.count("*").alias("rows")), "hub")
+    part = F.pmod(F.xxhash64("a", "b"), F.ceil(F.col("rows") / TILE))
+    return found.select("a", "b", F.pmod(F.xxhash64("hub", part), F.lit(tasks)).cast("int").alias("task"))
     release()
 
 
 def compared(pairs: DataFrame, sets: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar: first by sketch, then exactly, on texts read again."""
+    """The pairs (a, b) whose sets are similar: first by sketch, then exactly, on texts read again.
+
+    Texts meet in tasks that pairs are dealt to; no row carries a text or a set for a single pair.
+    """
     blocks = block_count(docs.sparkSession)
     side = lambda df, name: df.select(*[F.col(c).alias(f"{c}_{name}" if c != "node" else name) for c in df.columns])
     sketches = sets.select("node", "size", "sketch")
     possible = pairs.join(side(sketches, "a"), "a").join(side(sketches, "b"), "b").mapInPandas(lambda f: _possible(f, percent), "a long, b long").checkpoint()
-    nodes = possible.select(F.col("a").alias("node")).union(possible.select("b")).distinct()
-    wanted = stored(sets.join(nodes, "node").select("block", "doc_order", "text", "node"))
+    dealt = stored(dealt_pairs(possible, blocks))
+    nodes = dealt.select("task", F.col("a").alias("node")).union(dealt.select("task", "b")).distinct()
+    wanted = stored(sets.join(nodes, "node").select("block", "doc_order", "text", "node", "task"))
     texts = blocked_texts(docs, blocks, id_filter(wanted, "doc_order"))
-    contents = texts.groupBy("block").cogroup(wanted.groupBy("block")).applyInPandas(lambda f, w: _contents(f, w, n), "node long, tokens binary")
-    return possible.join(side(contents, "a"), "a").join(side(contents, "b"), "b").mapInPandas(lambda f: _similar(f, percent), "a long, b long").checkpoint()
+    contents = texts.groupBy("block").cogroup(wanted.groupBy("block")).applyInPandas(_contents, "task int, node long, packed binary")
+    return contents.groupBy("task").cogroup(dealt.groupBy("task")).applyInPandas(lambda c, p: _similar(c, p, n, percent), "a long, b long").checkpoint()
 
 
 def band_counts(docs: DataFrame, n: int) -> dict[int, int]:

@@ -302,3 +302,18 @@ def test_groups_just_under_the_threshold(documents, monkeypatch, n, percent):
     got = ngram_join.near_components(documents(*[(k, t, "s") for k, t in enumerate(texts)]), n, percent)
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == expected
     assert len(set(expected.values())) > 31
+
+
+def test_pairs_around_one_set_meet_in_one_task(spark, monkeypatch):
+    """A text goes to a task once, not once for each of its pairs; very many pairs around one set are spread."""
+    among = [(a, b) for a in range(10, 40) for b in range(a + 1, 40)]
+    around = [(k, 1000) for k in range(100, 300)]
+    pairs = spark.createDataFrame(among + around, "a long, b long")
+    dealt = [tuple(r) for r in ngram_join.dealt_pairs(pairs, 64).collect()]
+    assert sorted(r[:2] for r in dealt) == among + around
+    assert len({t for a, _, t in dealt if a < 40}) == 1 and len({t for a, _, t in dealt if a >= 100}) == 1
+    monkeypatch.setattr(ngram_join, "TILE", 50)
+    dealt = [tuple(r) for r in ngram_join.dealt_pairs(pairs, 64).collect()]
+    assert sorted(r[:2] for r in dealt) == among + around
+    assert len({t for a, _, t in dealt if a < 40}) > 5 and 1 < len({t for a, _, t in dealt if a >= 100}) <= 4
+    assert ngram_join.dealt_pairs(pairs.limit(0), 64).count() == 0
