@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from clinicframe.llm.common import I64, LAST_ID, U32, U64, WORDS, Rolling, block_count, blocked_texts, deal, id_filter, identifier, joined, mix, release, run_starts, stored, unpacked
 from clinicframe.llm.components import components
 from clinicframe.operators.skew import join_grouped
-from clinicframe.session import ensure_checkpoint_dir
+from clinicframe.session import ensure_checkpoint_dir, freed_shuffles
 
 NGRAM = 4
 PERCENT = 85
@@ -444,7 +444,7 @@ def linked(named: DataFrame, sets: DataFrame, docs: DataFrame, n: int, percent:
     compared set by set, but only pairs that sketches do not tell apart are written.
     """
     placed = join_grouped(named, sets.select("node", "size"), "node").withColumn("own", F.col("node"))
-    links, groups = None, components(named.sparkSession.createDataFrame([], "a long, b long"))
+    links, groups = None, named.sparkSession.createDataFrame([], "node long, component long")
     for turn in range(LEADERS + 1):
         # Names all of whose sets are in one component need no more comparisons.
         parts = placed.groupBy("key").agg(
@@ -460,8 +460,9 @@ def linked(named: DataFrame, sets: DataFrame, docs: DataFrame, n: int, percent:
         else:
             pairs = _crossing(rest, sets, percent)
         found = compared(pairs.distinct(), sets, docs, n, percent)
-        links = found if links is None else links.unionByName(found)
-        groups = components(links)
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            groups = components(links)
         placed = rest.select("key", "node", "size").join(groups.select("node", F.col("component").alias("own")), "node", "left").withColumn("own", F.coalesce("own", "node"))
     return groups
 
@@ -537,16 +538,18 @@ def near_rows(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFr
     def shared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return _shared(frames, percent)
 
-    sent = blocked_texts(docs, blocks).groupBy("block").applyInPandas(indexed, "owner int, block int, " + ", ".join(f"{c} binary" for c in MESSAGE))
-    table = stored(sent.groupBy("owner").applyInPandas(shared, "set long, doc_order long, size long, block int, key long, sketch binary, text long"))
+    # The many rounds of small joins would otherwise keep all their files until the driver happens to collect its garbage.
+    with freed_shuffles(spark):
+        sent = blocked_texts(docs, blocks).groupBy("block").applyInPandas(indexed, "owner int, block int, " + ", ".join(f"{c} binary" for c in MESSAGE))
+        table = stored(sent.groupBy("owner").applyInPandas(shared, "set long, doc_order long, size long, block int, key long, sketch binary, text long"))
+        # A set goes by its hash; one of its rows stands for it when texts are read again.
+        sets = table.filter("size > 0").groupBy("set").agg(F.min(F.struct("doc_order", "text", "block", "size", "sketch")).alias("m"))
+        sets = stored(sets.select(F.col("set").alias("node"), "m.doc_order", "m.text", "m.block", "m.size", "m.sketch"))
+        # Owners may have found the same sharers.
+        named = table.filter("size < 0").select("key", F.col("set").alias("node")).distinct()
+        groups = linked(named, sets, docs, n, percent)
+        by_set = stored(sets.join(groups, "node", "left").select("node", "doc_order", F.coalesce("component", "node").alias("component")))
     listed = table.filter("size >= 0")
-    # A set goes by its hash; one of its rows stands for it when texts are read again.
-    sets = listed.filter("size > 0").groupBy("set").agg(F.min(F.struct("doc_order", "text", "block", "size", "sketch")).alias("m"))
-    sets = stored(sets.select(F.col("set").alias("node"), "m.doc_order", "m.text", "m.block", "m.size", "m.sketch"))
-    # Owners may have found the same sharers.
-    named = table.filter("size < 0").select("key", F.col("set").alias("node")).distinct()
-    groups = linked(named, sets, docs, n, percent)
-    by_set = stored(sets.join(groups, "node", "left").select("node", "doc_order", F.coalesce("component", "node").alias("component")))
     smallest = by_set.groupBy("component").agg(F.min("doc_order").alias("first"))
     by_set = join_grouped(by_set.select("node", "component"), smallest, "component").withColumnRenamed("node", "set")
     out = join_grouped(listed.filter("size > 0").select("doc_order", "text", "size", "set"), by_set, "set").select("doc_order", "text", "size", "component", "first")

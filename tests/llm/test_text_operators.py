@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -317,3 +319,19 @@ def test_pairs_around_one_set_meet_in_one_task(spark, monkeypatch):
     assert sorted(r[:2] for r in dealt) == among + around
     assert len({t for a, _, t in dealt if a < 40}) > 5 and 1 < len({t for a, _, t in dealt if a >= 100}) <= 4
     assert ngram_join.dealt_pairs(pairs.limit(0), 64).count() == 0
+
+
+def test_rounds_leave_no_shuffle_files(spark, documents):
+    texts = [(k, " ".join(f"x{k}" if j == 9 * (k % 5) else f"w{k // 5}-{j}" for j in range(200)), "a") for k in range(20)]
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, None)
+    there = lambda: set(Path(spark.sparkContext._temp_dir).parents[1].glob("blockmgr-*/*/shuffle_*.data"))
+    old = there()
+    found = ngram_join.near_components(documents(*texts))
+    for _ in range(50):  # files go in the background
+        if not there() - old:
+            break
+        time.sleep(0.2)
+    assert not there() - old
+    assert spark.conf.get(setting, None) == before
+    assert sorted(tuple(r) for r in found.collect()) == [(k, 197, k // 5 * 5) for k in range(20)] == sorted(tuple(r) for r in found.collect())
