@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -176,22 +177,43 @@ class Rolling:
         return mix((self.sums[length:] - self.sums[:n]) * self.down[:n]) if n > 0 else np.zeros(0, U64)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered; emptied at a fixed number of words."""
-
-    LIMIT = 300_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), U64, len(words))
-
-
-WORDS = WordHashes()
+WORD_POWERS = Powers(0xA3B195354A39B70D)
+#: Bytes of a text that are hashed at once, and the length from which a word is hashed on its own.
+SLICE, LONG_WORD = 1 << 16, 128
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+_IS_GAP = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_LETTERS = mix(np.arange(1, 257, dtype=U64) * np.uint64(_MULTIPLIER))
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hashes of the words of the text, in order; all words of a slice of it at once."""
+    if len(text) <= SLICE:
+        return _hashes_of_slice(text)
+    out, start = [], 0
+    while start < len(text):
+        gap = _GAP.search(text, start + SLICE)
+        piece = text[start : gap.start() if gap else len(text)]
+        # A very long word is hashed alone, so that no array is as long as it.
+        out += [_hashes_of_slice(piece)] if len(piece) <= 2 * SLICE else [_hashes_of_slice(w) if len(w) < LONG_WORD else _hash_of_long(w) for w in piece.split()]
+        start += len(piece)
+    return np.concatenate(out) if out else np.zeros(0, U64)
+
+
+def _hash_of_long(word: bytes) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(word)], U64)
+
+
+def _hashes_of_slice(text: bytes) -> np.ndarray:
+    letters = np.frombuffer(text, np.uint8)
+    edge = np.ones(len(letters) + 2, bool)
+    edge[1:-1] = _IS_GAP[letters]
+    turns = np.flatnonzero(edge[1:] != edge[:-1])
+    starts, ends = turns[::2], turns[1::2]
+    rolling = Rolling(_LETTERS[letters], WORD_POWERS)
+    out = mix((rolling.sums[ends] - rolling.sums[starts]) * rolling.down[starts])
+    for k in np.flatnonzero(ends - starts >= LONG_WORD):
+        out[k] = _hash_of_long(text[starts[k] : ends[k]])[0]
+    return out
 
 
 def deal(keys: np.ndarray, owners: int) -> Iterator[tuple[int, np.ndarray]]:

@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from clinicframe.llm.common import I64, POWERS_2, U64, WORDS, Rolling, block_count, blocked_texts, deal, identifier, joined, members, mix, run_starts, unpacked
+from clinicframe.llm.common import I64, POWERS_2, U64, Rolling, block_count, blocked_texts, deal, identifier, joined, members, mix, run_starts, unpacked, word_hashes
 
 WINDOW = 50
 #: A perfect difference set; every distance modulo 31 is a difference of two of its members.
@@ -47,11 +47,11 @@ def difference_cover(period: int) -> tuple[int, ...]:
 class Passages:
     """Hashes of one document's words, anchors and passages."""
 
-    def __init__(self, words: list[bytes], window: int) -> None:
-        self.window, self.n = window, len(words)
+    def __init__(self, text: bytes, window: int) -> None:
+        self.hashes = word_hashes(text)
+        self.window, self.n = window, len(self.hashes)
         self.period = min(PERIOD, window)
         self.anchor = window - self.period + 1
-        self.hashes = WORDS.of(words)
         self.rolling = Rolling(self.hashes)
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +76,7 @@ class Passages:
 
 
 def _anchors(frame: pd.DataFrame, owners: int, window: int) -> pd.DataFrame:
-    found = [np.unique(p.anchors()[1]) for _, text in unpacked(frame) if (p := Passages(text.split(), window)).n >= window]
+    found = [np.unique(p.anchors()[1]) for _, text in unpacked(frame) if (p := Passages(text, window)).n >= window]
     keys, counts = np.unique(np.concatenate([*found, np.zeros(0, U64)]), return_counts=True)
     many = (counts > 1).astype(np.uint8)
     block = int(frame["block"].iloc[0])
@@ -100,7 +100,7 @@ def _passages(frame: pd.DataFrame, answers: pd.DataFrame, owners: int, window: i
     shared = np.sort(joined(answers["keys"], U64))
     found: list[tuple[np.ndarray, ...]] = []
     for order, text in unpacked(frame) if len(shared) else ():
-        p = Passages(text.split(), window)
+        p = Passages(text, window)
         if p.n < window:
             continue
         places, keys = p.anchors()
@@ -141,7 +141,7 @@ def _cut(frame: pd.DataFrame, answers: pd.DataFrame, window: int) -> pd.DataFram
         words = text.split()
         removed = np.zeros(len(words), bool)
         if len(first) and len(words) >= window:
-            p = Passages(words, window)
+            p = Passages(text, window)
             known, where = members(p.rolling.all(window), first)
             starts = np.flatnonzero(known)
             where = where[starts]

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clinicframe.llm.common import I64, LAST_ID, U32, U64, WORDS, Rolling, block_count, blocked_texts, deal, id_filter, identifier, joined, mix, release, run_starts, stored, unpacked
+from clinicframe.llm.common import I64, LAST_ID, U32, U64, Rolling, block_count, blocked_texts, deal, id_filter, identifier, joined, mix, release, run_starts, stored, unpacked, word_hashes
 from clinicframe.llm.components import components
 from clinicframe.operators.skew import join_grouped
 from clinicframe.session import ensure_checkpoint_dir, freed_shuffles
@@ -133,10 +133,10 @@ def names(tokens: np.ndarray, plan: Scheme) -> np.ndarray:
 
 def ngrams(text: bytes, n: int) -> np.ndarray:
     """Sorted distinct hashes of the n-grams of lower-cased words; of a shorter text its only sequence."""
-    words = text.lower().split()
-    if not words:
+    words = word_hashes(text.lower())
+    if not len(words):
         return np.zeros(0, U64)
-    rolling = Rolling(WORDS.of(words))
+    rolling = Rolling(words)
     return np.unique(rolling.all(n) if len(words) >= n else rolling.at(np.zeros(1, np.int64), len(words)) + np.uint64(len(words)))
 
 
@@ -223,7 +223,6 @@ def _indexed(
     if docs:
         yield _messages(block, docs, found, owners)
     del docs, found, seen
-    WORDS.clear()
     release()
 
 
@@ -376,6 +375,7 @@ def _similar(contents: pd.DataFrame, pairs: pd.DataFrame, n: int, percent: int)
         fits.append(100 * both >= percent * (len(x) + len(y) - both))
     found = pairs.loc[fits, ["a", "b"]]
     del tokens
+    release()
     return found
 
 
@@ -394,7 +394,6 @@ def dealt_pairs(pairs: DataFrame, tasks: int) -> DataFrame:
     found = join_grouped(found, found.groupBy("hub").agg(F.count("*").alias("rows")), "hub")
     part = F.pmod(F.xxhash64("a", "b"), F.ceil(F.col("rows") / TILE))
     return found.select("a", "b", F.pmod(F.xxhash64("hub", part), F.lit(tasks)).cast("int").alias("task"))
-    release()
 
 
 def compared(pairs: DataFrame, sets: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import sys
 import time
 from collections import defaultdict
 from pathlib import Path
@@ -335,3 +336,24 @@ def test_rounds_leave_no_shuffle_files(spark, documents):
     assert not there() - old
     assert spark.conf.get(setting, None) == before
     assert sorted(tuple(r) for r in found.collect()) == [(k, 197, k // 5 * 5) for k in range(20)] == sorted(tuple(r) for r in found.collect())
+
+
+def test_word_hashes_in_slices(monkeypatch):
+    """A word has one hash wherever it stands, in short and in long texts, and one of its own."""
+    draw = random.Random(8)
+    words = [bytes(draw.choice(b"ab\xc3\xa4\x00\x1f") for _ in range(draw.choice((1, 2, 3, 5, 9, 127, 128, 129, 700)))) for _ in range(400)]
+    text = b" \n" + b"".join(w + draw.choice((b" ", b"\t\x0b", b"\r\n  ", b"\x0c")) for w in words)
+    whole = common.word_hashes(text)
+    assert text.split() == words and len(whole) == len(words)
+    assert [int(common.word_hashes(w)[0]) for w in words] == whole.tolist()
+    assert len(set(whole.tolist())) == len(set(words))
+    for size in (1, 50, 300, 2000):
+        monkeypatch.setattr(common, "SLICE", size)
+        assert (common.word_hashes(text) == whole).all() and len(common._hashes_of_slice(b" ")) == 0 == len(common.word_hashes(b" " * 3 * size))
+    monkeypatch.undo()
+    # Letters are looked up and added up for all words of a text at once: far fewer steps than words.
+    steps = []
+    sys.setprofile(lambda frame, event, arg: steps.append(event))
+    common.word_hashes(b"some words " * 2000)
+    sys.setprofile(None)
+    assert len(steps) < 200
