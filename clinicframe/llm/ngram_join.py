@@ -366,17 +366,27 @@ def _possible(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataF
 
 
 def _similar(contents: pd.DataFrame, pairs: pd.DataFrame, n: int, percent: int) -> pd.DataFrame:
-    """Of one task: the pairs whose sets are similar."""
+    """Of one task: similar pairs that link whatever its similar pairs link. Sets that are linked already need no comparison."""
     tokens = {node: ngrams(text, n) for node, text in unpacked(contents[["node", "packed"]].rename(columns={"node": "doc_order"}))} if len(contents) else {}
-    fits = []
+    root = {node: node for node in tokens}
+
+    def find(node: int) -> int:
+        while root[node] != node:
+            root[node] = node = root[root[node]]
+        return node
+
+    found = []
     for a, b in zip(pairs["a"], pairs["b"]) if len(pairs) else ():
-        x, y = tokens[a], tokens[b]
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        fits.append(100 * both >= percent * (len(x) + len(y) - both))
-    found = pairs.loc[fits, ["a", "b"]]
-    del tokens
+        one, two = find(a), find(b)
+        if one != two:
+            x, y = tokens[a], tokens[b]
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if 100 * both >= percent * (len(x) + len(y) - both):
+                root[two] = one
+                found.append((a, b))
+    del tokens, root
     release()
-    return found
+    return pd.DataFrame(found, columns=["a", "b"])
 
 
 def dealt_pairs(pairs: DataFrame, tasks: int) -> DataFrame:
@@ -384,20 +394,20 @@ def dealt_pairs(pairs: DataFrame, tasks: int) -> DataFrame:
 
     A pair goes by the smallest set that an end of it is paired with, so that sets which are all
     paired with each other, or with one, meet in one task and each text is sent there once. Where more than
-    ``TILE`` pairs go by one set, they are spread over tasks.
+    ``TILE`` pairs go by one set, they are spread over tasks; the pairs of a set that has few of them stay together.
     """
     ends = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).union(pairs.select("b", "a"))
-    hubs = ends.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("hub"))
-    found = join_grouped(pairs, hubs.select(F.col("node").alias("a"), F.col("hub").alias("hub_a")), "a")
-    found = join_grouped(found, hubs.select(F.col("node").alias("b"), F.col("hub").alias("hub_b")), "b")
-    found = found.select("a", "b", F.least("hub_a", "hub_b").alias("hub"))
+    hubs = ends.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("hub"), F.count("*").alias("degree"))
+    for end in ("a", "b"):
+        pairs = join_grouped(pairs, hubs.select(F.col("node").alias(end), F.col("hub").alias(f"hub_{end}"), F.col("degree").alias(f"degree_{end}")), end)
+    found = pairs.select("a", "b", F.least("hub_a", "hub_b").alias("hub"), F.when(F.col("degree_a") < F.col("degree_b"), F.col("a")).otherwise(F.col("b")).alias("fewer"))
     found = join_grouped(found, found.groupBy("hub").agg(F.count("*").alias("rows")), "hub")
-    part = F.pmod(F.xxhash64("a", "b"), F.ceil(F.col("rows") / TILE))
+    part = F.pmod(F.xxhash64("fewer"), F.ceil(F.col("rows") / TILE))
     return found.select("a", "b", F.pmod(F.xxhash64("hub", part), F.lit(tasks)).cast("int").alias("task"))
 
 
 def compared(pairs: DataFrame, sets: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar: first by sketch, then exactly, on texts read again.
+    """Pairs (a, b) of similar sets that link all sets which ``pairs`` with similar sets link: first by sketch, then exactly, on texts read again.
 
     Texts meet in tasks that pairs are dealt to; no row carries a text or a set for a single pair.
     """
@@ -443,7 +453,7 @@ def linked(named: DataFrame, sets: DataFrame, docs: DataFrame, n: int, percent:
     compared set by set, but only pairs that sketches do not tell apart are written.
     """
     placed = join_grouped(named, sets.select("node", "size"), "node").withColumn("own", F.col("node"))
-    links, groups = None, named.sparkSession.createDataFrame([], "node long, component long")
+    groups = named.sparkSession.createDataFrame([], "node long, component long")
     for turn in range(LEADERS + 1):
         # Names all of whose sets are in one component need no more comparisons.
         parts = placed.groupBy("key").agg(
@@ -460,8 +470,8 @@ def linked(named: DataFrame, sets: DataFrame, docs: DataFrame, n: int, percent:
             pairs = _crossing(rest, sets, percent)
         found = compared(pairs.distinct(), sets, docs, n, percent)
         if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            groups = components(links)
+            # Of earlier links one a set is enough.
+            groups = components(found.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b"))))
         placed = rest.select("key", "node", "size").join(groups.select("node", F.col("component").alias("own")), "node", "left").withColumn("own", F.coalesce("own", "node"))
     return groups
 
