@@ -4,8 +4,10 @@ Components become whole numbers. The index is dealt into shards of at most about
 ``SHARD_CELLS`` numbers, each stored as one row; opened, a shard has a posting list for
 each axis, cut into segments of one quantised component value. For a query, a segment's
 impact is the largest product that any of its postings can add. Segments of all axes are
-taken by falling impact and added to one running score a vector, which also counts its
-axes seen. What a vector has not met yet adds at most (axes not seen) * (next impact).
+taken by falling impact and added to one running score a vector, whose axes seen are
+counted. What a vector has not met yet adds at most (axes not seen) * (next impact).
+Queries go through the segments in groups, so that a posting is read once for all of them
+and the postings between two looks are added in one product of matrices.
 The k best of the running scores, computed exactly, give a score that a member must reach.
 Processing stops once the vectors that could still reach it are few; those and no others
 are scored exactly, so stopping early never changes a result. Blocks of queries meet the
@@ -23,6 +25,8 @@ further columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -38,10 +42,10 @@ EVERY = 20
 SCALE = 64
 SHARD_CELLS = 1 << 22
 QUERY_CELLS = 1 << 20
-#: Segments of an axis, and looks at what could still be a member.
+#: Segments of an axis, queries that go through them together, and the shares of all postings after which is looked at what could still be a member.
 LEVELS = 32
-LOOKS = 10
-_SEEN = 16  # low bits of a running score that count the axes seen
+GROUP = 128
+LOOKS = (0.4, 0.6, 0.8)
 
 
 def _narrow(x: np.ndarray) -> tuple[str, bytes]:
@@ -73,17 +77,17 @@ class Shard:
             ranked = column[order].astype(np.int64)
             width = max(1, -(-(int(ranked[-1]) - int(ranked[0]) + 1) // LEVELS))
             first = run_starts((ranked - ranked[0]).astype(np.uint64) // np.uint64(width))
-            members.append(order)
-            values.append(ranked)
+            members.append(order.astype(np.int32))
+            values.append(column[order])
             low.append(ranked[first])
             high.append(ranked[np.append(first[1:], n) - 1])
             starts.append(first + axis * n)
             axes.append(np.full(len(first), axis))
-        self.members, self.values = np.concatenate(members), np.concatenate(values) << _SEEN
+        self.members, self.values = np.concatenate(members), np.concatenate(values)
         self.low, self.high, self.axes = np.concatenate(low), np.concatenate(high), np.concatenate(axes)
         self.starts = np.concatenate(starts)
         self.ends = np.append(self.starts[1:], n * dim)
-        # Doubles hold the scores exactly where the packed running scores fit.
+        # Doubles hold the scores exactly where ``searched`` adds running scores.
         self.exact = x.astype(np.float64)
 
     def scores(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -91,28 +95,65 @@ class Shard:
 
     def possible(self, query: np.ndarray, k: int, floor: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions and exact scores of at least all that reach both ``floor`` and the k-th score here."""
+        return next(self.searched(query[None], k, np.array([floor])))
+
+    def searched(self, queries: np.ndarray, k: int, floors: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query what ``possible`` gives; queries go through the segments in groups."""
         n, dim = self.x.shape
-        if dim * self.largest * largest(query) >= 1 << (62 - _SEEN) or dim >= 1 << _SEEN:
-            wide = self.x.astype(object) @ query.astype(object)
-            return np.arange(n), np.array([max(-I64_MAX - 1, min(I64_MAX, int(v))) for v in wide], np.int64)
-        weight = query.astype(np.int64)
-        of_segment = weight[self.axes]
+        step = max(1, min(GROUP, 2 * SHARD_CELLS // n))
+        for start in range(0, len(queries), step):
+            group = queries[start : start + step]
+            wide = np.array([dim * self.largest * largest(query) >= 1 << 46 for query in group])
+            held = iter(self._of_group(group[~wide].astype(np.int64), k, floors[start : start + step][~wide]) if not wide.all() else ())
+            for query, is_wide in zip(group, wide):
+                if is_wide:
+                    products = self.x.astype(object) @ query.astype(object)
+                    yield np.arange(n), np.array([max(-I64_MAX - 1, min(I64_MAX, int(v))) for v in products], np.int64)
+                else:
+                    yield next(held)
+
+    def _of_group(self, weights: np.ndarray, k: int, floors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """A segment is taken by the largest impact that it has for a query of the group; each query stops for itself."""
+        n, dim = self.x.shape
+        # Single precision holds whole numbers up to this, too.
+        kind = np.float32 if dim * self.largest * largest(weights) < 1 << 24 else np.float64
+        of_segment = weights[:, self.axes]
         impact = np.maximum(np.abs(of_segment * self.low), np.abs(of_segment * self.high))
-        order = np.argsort(-impact, kind="stable")
-        running = np.zeros(n, np.int64)
-        look = np.cumsum(self.ends[order] - self.starts[order]) * LOOKS // (n * dim)
-        begins, ends, weights = self.starts[order].tolist(), self.ends[order].tolist(), of_segment[order].tolist()
-        members, values = self.members, self.values
-        for at in range(len(order)):
-            b, e = begins[at], ends[at]
-            running[members[b:e]] += values[b:e] * weights[at] + 1
-            if at + 1 < len(order) and look[at + 1] > look[at] >= LOOKS // 4:
-                reach = (running >> _SEEN) + (dim - (running & ((1 << _SEEN) - 1))) * int(impact[order[at + 1]])
-                bar = max(floor, self._bar(running, query, k))
-                could = np.flatnonzero(reach >= bar)
+        order = np.argsort(-impact.max(axis=0), kind="stable")
+        # The largest impact of what is left, for each query.
+        left = np.maximum.accumulate(impact[:, order[::-1]], axis=1)[:, ::-1]
+        share = np.cumsum(self.ends[order] - self.starts[order]) / (n * dim)
+        bounds = [0, *(np.searchsorted(share, LOOKS) + 1), len(order)]
+        running, seen = np.zeros((len(weights), n), kind), np.zeros(n, np.int64)
+        found: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(weights)
+        active = np.arange(len(weights))
+        for begin, end in zip(bounds, bounds[1:]):
+            running[active] += weights[active].astype(kind) @ self._postings(np.sort(order[begin:end]), seen, kind)
+            if end >= len(order):
+                break
+            for q in active:
+                reach = running[q] + (dim - seen) * int(left[q, end])
+                could = np.flatnonzero(reach >= max(int(floors[q]), self._bar(running[q], weights[q], k)))
                 if len(could) <= max(4 * k, n // 16):
-                    return could, self.scores(could, query)
-        return np.arange(n), running >> _SEEN
+                    found[q] = could, self.scores(could, weights[q])
+            active = np.array([q for q in active if found[q] is None], np.int64)
+            if not len(active):
+                break
+        for q in active:
+            found[q] = np.arange(n), running[q].astype(np.int64)
+        return found
+
+    def _postings(self, segments: np.ndarray, seen: np.ndarray, kind: type) -> np.ndarray:
+        """(axis, vector): the components that these segments post, 0 elsewhere; ``seen`` counts them for each vector."""
+        n, dim = self.x.shape
+        posted = np.zeros((dim, n), kind)
+        axes = self.axes[segments]
+        for some in np.split(segments, np.flatnonzero(np.diff(axes)) + 1):
+            if len(some):
+                rows, values = (np.concatenate([of[b:e] for b, e in zip(self.starts[some], self.ends[some])]) for of in (self.members, self.values))
+                posted[self.axes[some[0]], rows] = values
+                seen[rows] += 1
+        return posted
 
     def _bar(self, running: np.ndarray, query: np.ndarray, k: int) -> int:
         """A score that k vectors of this shard reach."""
@@ -141,8 +182,7 @@ def _searched(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
             floors = np.full(len(ids), -I64_MAX - 1)
             if block.places is not None:
                 floors[np.asarray(block.places, np.int64)] = np.asarray(block.floors, np.int64)
-            for place, (own, query) in enumerate(zip(ids, queries)):
-                rows, scores = shard.possible(query, k + 1, int(floors[place]))
+            for place, (own, query, (rows, scores)) in enumerate(zip(ids, queries, shard.searched(queries, k + 1, floors))):
                 good = scores >= floors[place]
                 rows, scores = rows[good], scores[good]
                 if len(rows) > k + 1:

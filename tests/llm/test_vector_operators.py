@@ -180,6 +180,22 @@ def test_search_stops_early_and_stays_exact():
     assert stopped > 40
 
 
+def test_queries_share_postings(monkeypatch):
+    """A posting is read once for a group of queries, not once for each; a query with large numbers goes alone."""
+    draw = np.random.default_rng(5)
+    x = np.floor(draw.normal(size=(2000, 16)) * 20).astype(np.int64)
+    shard, read = impact_search.Shard(np.arange(2000), x), []
+    plain = impact_search.Shard._postings
+    monkeypatch.setattr(impact_search.Shard, "_postings", lambda self, segments, *rest: read.extend(segments) or plain(self, segments, *rest))
+    queries = np.concatenate([x[:50], x[50:51] << 45, x[51:100]])
+    exact = [x.astype(object) @ q.astype(object) for q in queries]
+    floors = np.array([-LAST - 1 if k % 2 else min(LAST, sorted(e)[-11]) for k, e in enumerate(exact)])
+    for e, (rows, scores) in zip(exact, shard.searched(queries, 11, floors), strict=True):
+        cut = [max(-LAST - 1, min(LAST, int(v))) for v in e]
+        assert scores.tolist() == [cut[r] for r in rows] and {r for r in range(2000) if cut[r] >= sorted(cut)[-11]} <= set(rows.tolist())
+    assert len(read) == len(set(read)) <= len(shard.axes)
+
+
 def test_search_with_very_large_numbers(embeddings):
     rows = [(i * 10, [math.ldexp(s * (i + 1), p), 3.0 * i], 1) for i in range(6) for s, p in ((1, 40), (-1, 20), (1, 70))]
     assert searched(embeddings(*rows), 4) == brute_force(rows, 4)
