@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from clinicframe.llm.common import I64, LAST_ID, U32, U64, Rolling, block_count, blocked_texts, deal, id_filter, identifier, joined, mix, release, run_starts, stored, unpacked, word_hashes
 from clinicframe.llm.components import components
 from clinicframe.operators.skew import join_grouped
-from clinicframe.session import ensure_checkpoint_dir, freed_shuffles
+from clinicframe.session import ensure_checkpoint_dir, freed_shuffles, small_batches
 
 NGRAM = 4
 PERCENT = 85
@@ -548,7 +548,7 @@ def near_rows(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFr
         return _shared(frames, percent)
 
     # The many rounds of small joins would otherwise keep all their files until the driver happens to collect its garbage.
-    with freed_shuffles(spark):
+    with freed_shuffles(spark), small_batches(spark):
         sent = blocked_texts(docs, blocks).groupBy("block").applyInPandas(indexed, "owner int, block int, " + ", ".join(f"{c} binary" for c in MESSAGE))
         table = stored(sent.groupBy("owner").applyInPandas(shared, "set long, doc_order long, size long, block int, key long, sketch binary, text long"))
         # A set goes by its hash; one of its rows stands for it when texts are read again.

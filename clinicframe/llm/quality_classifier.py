@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clinicframe.llm.common import LAST_ID, identifier, in_order, smallest
-from clinicframe.session import ensure_checkpoint_dir
+from clinicframe.session import ensure_checkpoint_dir, small_batches
 
 SAMPLE_ROWS = 8192
 CUT = 0.3
@@ -160,7 +160,8 @@ def fit(features_of: DataFrame, labels: DataFrame) -> Network | None:
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
     ensure_checkpoint_dir(docs.sparkSession)
-    table = feature_table(docs).checkpoint()
+    with small_batches(docs.sparkSession):
+        table = feature_table(docs).checkpoint()
     network = fit(table, labels)
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -178,7 +179,9 @@ def scores(network: Network | None, rows: list[list[float]]) -> np.ndarray:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows predicted good, with all their columns, each decided by its own text where it stands."""
     ensure_checkpoint_dir(docs.sparkSession)
-    network = fit(feature_table(docs).checkpoint(), labels)
+    with small_batches(docs.sparkSession):
+        table = feature_table(docs).checkpoint()
+    network = fit(table, labels)
 
     @F.pandas_udf("boolean")
     def good(texts: pd.Series) -> pd.Series:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,16 +52,9 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def freed_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of DataFrames made within are removed as soon as an action on them ends.
-
-    Otherwise they stay until the driver's garbage collection finds them, which jobs of many
-    small rounds hardly cause. What is to be used after the block is stored within it; a
-    DataFrame that runs twice makes its shuffle files anew.
-    """
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
     before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
+    spark.conf.set(name, value)
     try:
         yield
     finally:
@@ -69,3 +62,26 @@ def freed_shuffles(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(name)
         else:
             spark.conf.set(name, before)
+
+
+def freed_shuffles(spark: SparkSession) -> AbstractContextManager[None]:
+    """Shuffle files of DataFrames made within are removed as soon as an action on them ends.
+
+    Otherwise they stay until the driver's garbage collection finds them, which jobs of many
+    small rounds hardly cause. What is to be used after the block is stored within it; a
+    DataFrame that runs twice makes its shuffle files anew.
+    """
+    return _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+#: Bytes of rows that go to a Python worker at once where texts do.
+BATCH_BYTES = 2 << 20
+
+
+def small_batches(spark: SparkSession) -> AbstractContextManager[None]:
+    """Actions within send rows to Python workers in batches of about ``BATCH_BYTES``, whatever the length of texts.
+
+    Batches are bounded by rows alone otherwise, and a batch is several times in memory: in Arrow
+    on both sides, and as Python strings in workers, which keep what they once needed.
+    """
+    return _setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

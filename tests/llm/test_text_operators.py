@@ -16,7 +16,8 @@ import pytest
 import zstandard
 from llm_cases import LAST, reachable
 
-from clinicframe.llm import common, cover_dedup, golomb_dedup, ngram_join, suffix_dedup, weighted_mix
+from clinicframe import session
+from clinicframe.llm import common, cover_dedup, golomb_dedup, ngram_join, quality_classifier, suffix_dedup, weighted_mix
 
 
 def order(doc_id):
@@ -367,3 +368,30 @@ def test_word_hashes_in_slices(monkeypatch):
     common.word_hashes(b"some words " * 2000)
     sys.setprofile(None)
     assert len(steps) < 200
+
+
+# Memory of workers
+
+
+def test_texts_reach_workers_in_batches_of_bounded_bytes(spark, documents, mixed_rows, monkeypatch):
+    def held(frames):
+        for frame in frames:
+            yield pd.DataFrame({"bytes": [int(frame["text"].str.len().sum())]})
+
+    long = spark.range(0, 64, 1, 1).selectExpr("repeat('x', 200000) as text")
+    with session.small_batches(spark):
+        sent = [r["bytes"] for r in long.mapInPandas(held, "bytes long").checkpoint().collect()]
+    assert sum(sent) == 64 * 200_000 and max(sent) <= session.BATCH_BYTES + 400_000
+    limit, seen = "spark.sql.execution.arrow.maxBytesPerBatch", {"texts": [], "features": []}
+    before = spark.conf.get(limit, None)
+    texts, features = ngram_join.blocked_texts, quality_classifier.feature_table
+    monkeypatch.setattr(ngram_join, "blocked_texts", lambda *a: seen["texts"].append(spark.conf.get(limit, None)) or texts(*a))
+    monkeypatch.setattr(quality_classifier, "feature_table", lambda d: seen["features"].append(spark.conf.get(limit, None)) or features(d))
+    docs = documents(*mixed_rows)
+    ngram_join.near_components(docs).collect()
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    quality_classifier.scored(docs, labels)
+    quality_classifier.keep_good(docs, labels)
+    assert len(seen["texts"]) > 1 and len(seen["features"]) == 2
+    assert {x for v in seen.values() for x in v} == {str(session.BATCH_BYTES)}
+    assert spark.conf.get(limit, None) == before
