@@ -7,9 +7,11 @@ array is built in pieces that can be built apart:
    anchor. Equal strings have equal anchors at equal distances, so starts with one anchor
    form a stretch of text, and strings of different anchors never need to meet. Blocks
    send the anchors' hashes to owners, which answer with those that occur twice.
-2. Blocks send each distinct stretch with a shared anchor once, with its first and its
-   last place in the block. An anchor with more than ``HOT`` stretches is split up: its
-   stretches go as single strings, each to the owner of its own hash.
+2. Blocks send each distinct stretch with a shared anchor once, with its first place in
+   the block and whether there are more. Its bytes go along only where the anchor has
+   other stretches too; one that is all its anchor has, as in copies, is known by the
+   anchor. An anchor with more than ``HOT`` stretches is split up: its stretches go as
+   single strings, each by its hash alone to the owner of that.
 3. An owner sorts the suffixes of its stretches, takes the common prefixes of neighbours
    and scans them with a stack. Every interval of the tree with a prefix of ``length`` or
    more is a group of all places with that string; it is maximal, and reported, if the
@@ -17,6 +19,10 @@ array is built in pieces that can be built apart:
    is one leaf, its places counted with it. Of each interval the earliest place stays.
 4. Blocks mark their bytes and report the repeats, each with the earliest place.
 
+Memory of a task follows its block and not what repeats: bytes are copied from texts once
+they have their place in a message, messages are compressed, and an owner builds the
+array for some anchors at a time.
+
 Nulls: a null text is empty; a null doc_id sorts after every other. Rows repeated with one
 doc_id are ordered by nothing but their starts: strings that start at the same place of
 both stay. Texts under ``length`` bytes stay whole. An empty table gives no rows; further
@@ -26,13 +32,17 @@ columns are ignored. Texts are taken whole, long ones in overlapping parts.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 
-from clinicframe.llm.common import I64, U32, U64, Rolling, block_count, blocked_texts, deal, identifier, joined, members, mix, run_starts, unpacked
+from clinicframe.llm.common import (
+    I64, U32, U64, Rolling, block_count, blocked_texts, deal, identifier, members, mix, release, run_starts, stored, unpacked,
+)
+from clinicframe.session import freed_shuffles, small_batches
 
 LENGTH = 100
 GRAM = 32
@@ -41,9 +51,56 @@ HOT = 2000
 OWNERS = 3
 #: Starts of one text that are looked at together.
 PART = 1 << 19
+#: Stretches whose bytes are copied at once, and suffixes from which on an owner begins another array.
+COPIED, SUFFIXES = 1 << 14, 1 << 17
 _PLACE = np.uint64((1 << 21) - 1)
 _BYTES = mix(np.arange(1, 257, dtype=U64) * np.uint64(0x2545F4914F6CDD1D))
 _U8, _U16 = np.dtype(np.uint8), np.dtype("<u2")
+#: Of a shared anchor: one stretch in all, several, or so many that they are split up.
+_ALONE, _SEVERAL, _SPLIT = range(3)
+#: Flags of an entry: the block has more places of the stretch; its bytes come along.
+_MORE, _HELD = np.uint8(1), np.uint8(2)
+ANCHORS = {"anchor": U64, "name": U64, "many": _U8, "stretches": U32}
+SHARED = {"anchor": U64, "kind": _U8}
+#: ``name`` is 0 where the anchor has this stretch only.
+ENTRIES = {"anchor": U64, "name": U64, "count": _U16, "low": I64, "low_start": I64, "flags": _U8}
+REPEATS = {"anchor": U64, "name": U64, "count": _U16, "step": _U16, "long": _U16, "first": I64, "first_start": I64}
+
+
+def squeezed(columns: Iterable[np.ndarray], own: np.ndarray, content: np.ndarray | bytes = b"") -> bytes:
+    """A message: the rows ``own`` of the columns, and bytes that belong to them."""
+    message = b"".join([len(own).to_bytes(8, "little"), *(c[own].tobytes() for c in columns), content])
+    return zstandard.ZstdCompressor(level=1).compress(message)
+
+
+def opened(cells: Iterable[bytes], types: dict[str, np.dtype]) -> tuple[list[np.ndarray], list[int], np.ndarray]:
+    """(columns, rows of each message, bytes) of messages, one after another."""
+    expand, rows = zstandard.ZstdDecompressor().decompress, []
+    pieces: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in (*types.values(), _U8)]
+    for cell in cells:
+        message = expand(cell)
+        n, at = int.from_bytes(message[:8], "little"), 8
+        for found, dtype in zip(pieces, types.values()):
+            found.append(np.frombuffer(message, dtype, n, at))
+            at += n * dtype.itemsize
+        pieces[-1].append(np.frombuffer(message, _U8, -1, at) if at < len(message) else np.zeros(0, _U8))
+        rows.append(n)
+    *columns, content = (np.concatenate(x) for x in pieces)
+    return columns, rows, content
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of runs that begin at ``starts``, one run after another."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+def by_block(block: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(block, its positions) of each block."""
+    at = np.argsort(block, kind="stable")
+    if len(at):
+        starts = run_starts(block[at])
+        for part in np.split(at, starts[1:]):
+            yield int(block[part[0]]), part
 
 
 class Stretches:
@@ -77,8 +134,7 @@ class Stretches:
         """Cut the chosen stretches into single strings."""
         if which.any():
             times = np.where(which, self.count, 1)
-            first = np.repeat(np.cumsum(times) - times, times)
-            step = np.where(np.repeat(which, times), np.arange(len(first)) - first, 0)
+            step = np.where(np.repeat(which, times), spread(np.zeros(len(times), np.int64), times), 0)
             count = np.where(np.repeat(which, times), 1, np.repeat(self.count, times))
             self.start, self.anchor, self.count = np.repeat(self.start, times) + step, np.repeat(self.anchor, times), count
             self.name = self._names(self.start, self.count, length)
@@ -94,59 +150,80 @@ def parts(text: bytes, length: int) -> Iterator[tuple[int, np.ndarray]]:
 def _anchors(frame: pd.DataFrame, owners: int, length: int) -> pd.DataFrame:
     found = [(s.anchor, s.name) for _, text in unpacked(frame) for _, data in parts(text, length) for s in [Stretches(data, length)]]
     anchor, name = (np.concatenate([*(f[k] for f in found), np.zeros(0, U64)]) for k in (0, 1))
+    del found
     at = np.lexsort((name, anchor))
     anchor, name = anchor[at], name[at]
     distinct, runs = run_starts(anchor, name), run_starts(anchor)
     occurrences = np.diff(np.append(runs, len(anchor)))
     stretches = np.diff(np.append(np.searchsorted(distinct, runs), len(distinct))).astype(U32)
-    keys, many, block = anchor[runs], (occurrences > 1).astype(np.uint8), int(frame["block"].iloc[0])
-    rows = [(owner, block, keys[k].tobytes(), many[k].tobytes(), stretches[k].tobytes()) for owner, k in deal(keys, owners)]
-    return pd.DataFrame(rows, columns=["owner", "block", "keys", "many", "stretches"])
+    table, block = (anchor[runs], name[runs], (occurrences > 1).astype(np.uint8), stretches), int(frame["block"].iloc[0])
+    rows = [(owner, block, squeezed(table, own)) for owner, own in deal(table[0], owners)]
+    return pd.DataFrame(rows, columns=["owner", "block", "message"])
 
 
 def _shared(frame: pd.DataFrame) -> pd.DataFrame:
-    """Of one owner: for each block its anchors that occur twice in all, and whether they are to be split up."""
-    keys, many, stretches = (joined(frame[c], d) for c, d in (("keys", U64), ("many", _U8), ("stretches", U32)))
-    block = np.repeat(frame["block"].to_numpy(), [len(m) for m in frame["many"]])
-    distinct, where, counts = np.unique(keys, return_inverse=True, return_counts=True)
-    np.add.at(counts, where, many)
-    total = np.bincount(where, weights=stretches, minlength=len(distinct))
-    keep, hot = counts[where] > 1, (total[where] > HOT).astype(np.uint8)
-    rows = [(int(b), keys[own].tobytes(), hot[own].tobytes()) for b in np.unique(block[keep]) for own in [keep & (block == b)]]
-    return pd.DataFrame(rows, columns=["block", "keys", "hot"])
+    """Of one owner: for each block its anchors that occur twice in all, and of which kind they are."""
+    (anchor, name, many, stretches), rows, _ = opened(frame["message"], ANCHORS)
+    block = np.repeat(frame["block"].to_numpy(), rows)
+    at = np.lexsort((name, anchor))
+    anchor, name, many, stretches, block = (x[at] for x in (anchor, name, many, stretches, block))
+    runs, names = run_starts(anchor), run_starts(anchor, name)
+    times = np.diff(np.append(runs, len(anchor)))
+    # A block that has several stretches gives the name of one.
+    several = (np.diff(np.append(np.searchsorted(names, runs), len(names))) > 1) | (np.maximum.reduceat(stretches, runs) > 1)
+    kind = np.where(np.add.reduceat(stretches, runs, dtype=np.int64) > HOT, _SPLIT, np.where(several, _SEVERAL, _ALONE)).astype(np.uint8)
+    keep = np.flatnonzero(np.repeat(times + np.add.reduceat(many, runs, dtype=np.int64) > 1, times))
+    table = (anchor[keep], np.repeat(kind, times)[keep])
+    return pd.DataFrame([(b, squeezed(table, own)) for b, own in by_block(block[keep])], columns=["block", "message"])
 
 
 def _sent(frame: pd.DataFrame, answers: pd.DataFrame, owners: int, length: int) -> pd.DataFrame:
-    columns = ["owner", "block", "anchor", "name", "count", "low", "low_start", "high", "high_start", "content"]
-    keys, hot = joined(answers["keys"], U64), joined(answers["hot"], _U8)
+    (keys, kinds), _, _ = opened(answers["message"], SHARED)
     at = np.argsort(keys)
-    keys, hot = keys[at], hot[at].astype(bool)
+    keys, kinds = keys[at], kinds[at]
     found: list[tuple[np.ndarray, ...]] = []
-    contents: dict[tuple[int, int], bytes] = {}
-    for order, text in unpacked(frame) if len(keys) else ():
+    for number, (_, text) in enumerate(unpacked(frame) if len(keys) else ()):
         for first, data in parts(text, length):
             s = Stretches(data, length)
             known, where = members(s.anchor, keys)
-            s.select(known).split(hot[where[known]], length)
-            for a, n, b, c in zip(s.anchor.tolist(), s.name.tolist(), s.start.tolist(), s.count.tolist()):
-                if (a, n) not in contents:
-                    contents[a, n] = data[b : b + c + length - 1].tobytes()
-            found.append((s.anchor, s.name, s.count, np.full(len(s.start), order, I64), s.start + first))
-    if not contents:
-        return pd.DataFrame([], columns=columns)
-    anchor, name, count, order, start = (np.concatenate(x) for x in zip(*found))
+            s.select(known).split(kinds[where[known]] == _SPLIT, length)
+            found.append((s.anchor, s.name, s.count.astype(_U16), np.full(len(s.start), number, np.int32), s.start + first))
+    if not sum(len(f[0]) for f in found):
+        return pd.DataFrame([], columns=["owner", "block", "message"])
+    anchor, name, count, number, start = (np.concatenate(x) for x in zip(*found))
+    del found
+    kind = kinds[np.searchsorted(keys, anchor)]
+    name[kind == _ALONE] = 0
+    order = frame["doc_order"].to_numpy()[number]
     at = np.lexsort((start, order, name, anchor))
-    anchor, name, count, order, start = (x[at] for x in (anchor, name, count, order, start))
+    anchor, name, count, number, start, order, kind = (x[at] for x in (anchor, name, count, number, start, order, kind))
     runs = run_starts(anchor, name)
     ends = np.append(runs[1:], len(anchor)) - 1
-    table = (anchor[runs], name[runs], count[runs].astype(_U16), order[runs], start[runs], order[ends], start[ends])
+    more = (order[runs] != order[ends]) | (start[runs] != start[ends])
+    anchor, name, count, number, start, order, kind = (x[runs] for x in (anchor, name, count, number, start, order, kind))
+    held = kind == _SEVERAL
+    table = (anchor, name, count, order, start, more * _MORE | held * _HELD)
     # A split anchor has single strings only; they go by their own names.
-    route = np.where(np.isin(table[0], keys[hot]), table[1], table[0])
-    block, rows = int(frame["block"].iloc[0]), []
-    for owner, own in deal(route, owners):
-        held = b"".join(contents[key] for key in zip(table[0][own].tolist(), table[1][own].tolist()))
-        rows.append((owner, block, *(x[own].tobytes() for x in table), held))
-    return pd.DataFrame(rows, columns=columns)
+    dealt = list(deal(np.where(kind == _SPLIT, name, anchor), owners))
+    sequence = np.concatenate([own for _, own in dealt])
+    size = np.where(held, count.astype(np.int64) + length - 1, 0)
+    ends = np.cumsum(size[sequence])
+    place = np.empty(len(size), np.int64)
+    place[sequence] = ends - size[sequence]
+    content = np.empty(ends[-1], np.uint8)
+    expand, packed = zstandard.ZstdDecompressor().decompress, frame["packed"].to_numpy()
+    wanted = np.flatnonzero(held)
+    for of, some in by_block(number[wanted]):
+        data = np.frombuffer(expand(packed[of]), np.uint8)
+        for k in range(0, len(some), COPIED):
+            own = wanted[some[k : k + COPIED]]
+            content[spread(place[own], size[own])] = data[spread(start[own], size[own])]
+    block, rows, done = int(frame["block"].iloc[0]), [], 0
+    for owner, own in dealt:
+        upto = done + int(size[own].sum())
+        rows.append((owner, block, squeezed(table, own, content[done:upto].tobytes())))
+        done = upto
+    return pd.DataFrame(rows, columns=["owner", "block", "message"])
 
 
 class SuffixArray:
@@ -218,63 +295,64 @@ def scan(array: SuffixArray, rank: np.ndarray, left: np.ndarray, length: int) ->
 
 def _repeats(frame: pd.DataFrame, length: int) -> pd.DataFrame:
     """Of one owner: for each block and stretch the repeats in it: place in the stretch, length, earliest place of all."""
-    types = {"anchor": U64, "name": U64, "count": _U16, "low": I64, "low_start": I64, "high": I64, "high_start": I64}
-    anchor, name, count, low, low_start, high, high_start = (joined(frame[c], d) for c, d in types.items())
+    (anchor, name, count, low, low_start, flags), rows, data = opened(frame["message"], ENTRIES)
     count = count.astype(np.int64)
-    block = np.repeat(frame["block"].to_numpy(), [len(x) // 8 for x in frame["anchor"]])
+    block = np.repeat(frame["block"].to_numpy(), rows)
     size = count + length - 1
-    place = np.cumsum(size) - size
-    data = joined(frame["content"], _U8)
+    brought = np.where(flags & _HELD, size, 0)
+    place = np.cumsum(brought) - brought
     at = np.lexsort((low_start, low, name, anchor))
-    anchor, name, count, size, place, block = (x[at] for x in (anchor, name, count, size, place, block))
-    low, low_start, high, high_start = (x[at] for x in (low, low_start, high, high_start))
+    anchor, name, count, size, place, block, low, low_start, flags = (x[at] for x in (anchor, name, count, size, place, block, low, low_start, flags))
     runs = run_starts(anchor, name)
     of = np.repeat(np.arange(len(runs)), np.diff(np.append(runs, len(anchor))))
     # Copies of whole stretches: the earliest place of each distinct one.
     first, first_start = low[runs], low_start[runs]
-    copied = np.flatnonzero((first[of] != high) | (first_start[of] != high_start))
+    copied = np.flatnonzero((first[of] != low) | (first_start[of] != low_start) | (flags & _MORE > 0))
     found = [(copied, np.zeros(len(copied), np.int64), size[copied], first[of[copied]], first_start[of[copied]])]
     # Distinct stretches with one anchor share strings; those found twice by their hash make up the suffix array.
-    groups = run_starts(anchor[runs])
-    several = np.repeat(np.diff(np.append(groups, len(runs))) > 1, np.diff(np.append(groups, len(runs))))
-    chosen = np.flatnonzero(several)
-    times = count[runs][chosen]
-    stretch = np.repeat(chosen, times)
-    step = np.arange(len(stretch)) - np.repeat(np.cumsum(times) - times, times)
-    if len(stretch):
-        # Only their bytes are kept on; most stretches are alone with their anchor.
-        long = size[runs][chosen]
+    chosen = np.flatnonzero(flags[runs] & _HELD)
+    for some in _portions(anchor[runs][chosen], count[runs][chosen]):
+        which = chosen[some]
+        own = runs[which]
+        times, long = count[own], size[own]
+        stretch, step = np.repeat(which, times), spread(np.zeros(len(own), np.int64), times)
         begin = np.cumsum(long) - long
-        data = data[np.repeat(place[runs][chosen] - begin, long) + np.arange(long.sum())]
+        text = data[spread(place[own], long)]
         spots = np.repeat(begin, times) + step
-        names = Rolling(_BYTES[data]).at(spots, length)
+        names = Rolling(_BYTES[text]).at(spots, length)
         _, where, counts = np.unique(names, return_inverse=True, return_counts=True)
         live = counts[where] > 1
         stretch, step, spots = stretch[live], step[live], spots[live]
-    if len(stretch):
-        array = SuffixArray(data, spots, size[runs][stretch] - step)
+        if not len(stretch):
+            continue
+        array = SuffixArray(text, spots, size[runs][stretch] - step)
         order, start = first[stretch], first_start[stretch] + step
         rank = np.empty(len(spots), np.int64)
         rank[np.lexsort((start, order))] = np.arange(len(spots))
-        best, source = scan(array, rank, np.where(step > 0, data[np.maximum(spots - 1, 0)].astype(np.int64), -1), length)
+        best, source = scan(array, rank, np.where(step > 0, text[np.maximum(spots - 1, 0)].astype(np.int64), -1), length)
         hit = np.flatnonzero(best)
         found.append((runs[stretch[hit]], step[hit], best[hit], order[source[hit]], start[source[hit]]))
     entry, step, long, order, start = (np.concatenate(x) for x in zip(*found))
-    columns = (anchor[entry], name[entry], count[entry].astype(_U16), step.astype(_U16), long.astype(_U16), order, start)
-    owner_block = block[entry]
-    rows = [(int(b), *(np.ascontiguousarray(c[own]).tobytes() for c in columns)) for b in np.unique(owner_block) for own in [owner_block == b]]
-    return pd.DataFrame(rows, columns=["block", *REPEATS])
+    table = (anchor[entry], name[entry], count[entry].astype(_U16), step.astype(_U16), long.astype(_U16), order, start)
+    return pd.DataFrame([(b, squeezed(table, own)) for b, own in by_block(block[entry])], columns=["block", "message"])
 
 
-REPEATS = {"anchor": U64, "name": U64, "count": _U16, "step": _U16, "long": _U16, "first": I64, "first_start": I64}
+def _portions(anchor: np.ndarray, count: np.ndarray) -> Iterator[np.ndarray]:
+    """Positions of stretches, sorted by anchor, in portions of about ``SUFFIXES`` suffixes; those of an anchor stay together."""
+    if len(anchor):
+        groups = run_starts(anchor)
+        before = (np.cumsum(count) - count)[groups]
+        yield from np.split(np.arange(len(anchor)), groups[run_starts(before // SUFFIXES)][1:])
 
 
 def _marked(frame: pd.DataFrame, answers: pd.DataFrame, length: int) -> Iterator[tuple[int, bytes, list[tuple[np.ndarray, ...]]]]:
     """(order, text, repeats) of each document of a block; repeats are (start, length, first, first_start)."""
-    table = [joined(answers[c], d) for c, d in REPEATS.items()]
+    table, _, _ = opened(answers["message"], REPEATS)
     at = np.lexsort((table[1], table[0]))
     anchor, name, count, step, long, first, first_start = (x[at] for x in table)
-    split, shared = np.unique(anchor[count == 1]), np.unique(anchor)
+    del table
+    split, shared = np.unique(anchor[(count == 1) & (name > 0)]), np.unique(anchor)
+    alone = name[np.searchsorted(anchor, shared)] == 0
     runs = run_starts(anchor, name)
     ends = np.append(runs[1:], len(anchor))
     # One number for anchor and name; the name is compared again.
@@ -285,7 +363,9 @@ def _marked(frame: pd.DataFrame, answers: pd.DataFrame, length: int) -> Iterator
         repeats = []
         for begin, data in parts(text, length) if len(key) else ():
             s = Stretches(data, length)
-            s.select(members(s.anchor, shared)[0])
+            known, where = members(s.anchor, shared)
+            s.select(known)
+            s.name[alone[where[known]]] = 0
             places, names, anchors = [s.start], [s.name], [s.anchor]
             hot = members(s.anchor, split)[0]
             if hot.any():
@@ -296,7 +376,7 @@ def _marked(frame: pd.DataFrame, answers: pd.DataFrame, length: int) -> Iterator
             known &= name[runs[where]] == named
             start, where = start[known] + begin, where[known]
             times = ends[where] - runs[where]
-            row = np.repeat(runs[where], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            row = spread(runs[where], times)
             spot = np.repeat(start, times) + step[row]
             later = (first[row] < order) | ((first[row] == order) & (first_start[row] < spot))
             repeats.append((spot[later], long[row][later].astype(np.int64), first[row][later], first_start[row][later]))
@@ -322,15 +402,28 @@ def _listed(frame: pd.DataFrame, answers: pd.DataFrame, length: int) -> pd.DataF
     return pd.DataFrame(rows, columns=["doc_order", "start", "length", "first_order", "first_start"])
 
 
+def _lean(step: Callable[..., pd.DataFrame]) -> Callable[..., pd.DataFrame]:
+    """The step, after which memory that it no longer uses is given back."""
+    # The number of arguments tells Spark whether the key is one of them.
+    if step.__code__.co_argcount == 1:
+        return lambda frame: _after(step(frame))
+    return lambda frame, answers: _after(step(frame, answers))
+
+
+def _after(frame: pd.DataFrame) -> pd.DataFrame:
+    release()
+    return frame
+
+
 def _rounds(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """(texts by block, repeats by block)."""
     blocks = block_count(docs.sparkSession)
     texts = blocked_texts(docs, blocks)
-    anchors = texts.groupBy("block").applyInPandas(lambda f: _anchors(f, blocks, length), "owner int, block int, keys binary, many binary, stretches binary")
-    shared = anchors.groupBy("owner").applyInPandas(_shared, "block int, keys binary, hot binary")
-    fields = ", ".join(f"{c} binary" for c in ("anchor", "name", "count", "low", "low_start", "high", "high_start", "content"))
-    sent = texts.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(lambda f, a: _sent(f, a, OWNERS * blocks, length), f"owner int, block int, {fields}")
-    repeats = sent.groupBy("owner").applyInPandas(lambda f: _repeats(f, length), "block int, " + ", ".join(f"{c} binary" for c in REPEATS))
+    to_owner, to_block = "owner int, block int, message binary", "block int, message binary"
+    anchors = texts.groupBy("block").applyInPandas(_lean(lambda f: _anchors(f, blocks, length)), to_owner)
+    shared = anchors.groupBy("owner").applyInPandas(_lean(_shared), to_block)
+    sent = texts.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(_lean(lambda f, a: _sent(f, a, OWNERS * blocks, length)), to_owner)
+    repeats = sent.groupBy("owner").applyInPandas(_lean(lambda f: _repeats(f, length)), to_block)
     return texts, repeats
 
 
@@ -344,9 +437,10 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every document."""
-    texts, repeats = _rounds(docs, length)
-    cut = texts.groupBy("block").cogroup(repeats.groupBy("block")).applyInPandas(
-        lambda f, a: _cut(f, a, length), "doc_order long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    )
-    return cut.select(identifier().alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every document; stored."""
+    with small_batches(docs.sparkSession), freed_shuffles(docs.sparkSession):
+        texts, repeats = _rounds(docs, length)
+        cut = texts.groupBy("block").cogroup(repeats.groupBy("block")).applyInPandas(
+            _lean(lambda f, a: _cut(f, a, length)), "doc_order long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+        )
+        return stored(cut.select(identifier().alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256"))
