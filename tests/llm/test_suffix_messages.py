@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import tracemalloc
 
 import numpy as np
 import pandas as pd
 import pytest
 import zstandard
-from conftest import prose
 
 from clinicframe.llm import suffix_dedup
 
 LENGTH = 100
 
 
+def prose(seed, n):
+    draw = random.Random(seed)
+    return " ".join(f"w{draw.randrange(400)}" for _ in range(n))
+
+
 def of_blocks(rows, blocks):
     packed = [(order % blocks, order, zstandard.compress(text)) for order, text in rows]
     return [f for _, f in pd.DataFrame(packed, columns=["block", "doc_order", "packed"]).groupby("block")]
